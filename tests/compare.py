@@ -99,7 +99,7 @@ def main():
         try:
             ok, message = compare(spark, con, args.sf, fn, sqls.get(name))
         except Exception as e:  # noqa: BLE001 - report and go on
-            ok, message = False, f"{type(e).__name__}: {str(e)[:1500]}"
+            ok, message = False, f"{type(e).__name__}: {str(e)[:500]}"
         if not ok:
             failed.append(name)
         print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - start:.1f}s {message}", flush=True)

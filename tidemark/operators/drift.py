@@ -160,10 +160,7 @@ def metric_deltas(pairs: DataFrame, spec: MonitorSpec) -> list[Column]:
     return cols
 
 
-def _paired_metrics(
-    cur: DataFrame, base: DataFrame, on: Column, window_cmp: Column, kind: str, spec: MonitorSpec
-) -> DataFrame:
-    joined = cur.alias("cur").join(base.alias("base"), on)
+def _select_pair(joined: DataFrame, kind: str, window_cmp: Column, spec: MonitorSpec) -> DataFrame:
     return joined.select(
         F.lit(kind).alias("drift_type"),
         *[F.col(f"cur.{k}") for k in GROUP],
@@ -173,14 +170,49 @@ def _paired_metrics(
     )
 
 
+def pair_with_baseline(analysis: DataFrame, base_analysis: DataFrame) -> DataFrame:
+    """Metric rows ``cur`` next to the baseline row ``base`` of version and slice."""
+    on = same_keys("cur", "base", [*_BASE_KEYS, "column_name"])
+    return analysis.alias("cur").join(base_analysis.alias("base"), on)
+
+
+def pair_with_previous(analysis: DataFrame) -> DataFrame:
+    """Metric rows ``cur`` next to the row ``base`` of the window before."""
+    by = [*_SERIES, "column_name"]
+    cur = join_null_safe(analysis, window_pairs(analysis, by), [*by, "window"])
+    on = same_keys("cur", "base", by) & (F.col("cur.window_cmp") == F.col("base.window"))
+    return cur.alias("cur").join(analysis.alias("base"), on)
+
+
+def previous_counts(counts: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Value counts of windows that have a predecessor, and the predecessors' counts
+    labelled with the window they are compared to."""
+    by = [*_SERIES, "column_name"]
+    successor = pairs.select(*by, F.col("window_cmp").alias("window"), F.col("window").alias("_next"))
+    base = join_null_safe(counts, successor, [*by, "window"]).drop("window")
+    paired = join_null_safe(counts, pairs, [*by, "window"], "left_semi")
+    return paired, base.withColumnRenamed("_next", "window")
+
+
+def distances(
+    cur: DataFrame, base: DataFrame, base_keys: Sequence[str], pvalue: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """KS of the numeric columns and category tests of the others."""
+    keys = [*GROUP, "column_name"]
+    is_number = F.col("num").isNotNull()
+    return (
+        ks_statistics(cur.where(is_number), base.where(is_number), base_keys, keys),
+        category_tests(cur.where(~is_number), base.where(~is_number), base_keys, keys, pvalue),
+    )
+
+
 def _with_distances(
-    metrics: DataFrame, cur: DataFrame, base: DataFrame, base_keys: list[str], pvalue: bool
+    metrics: DataFrame, cur: DataFrame, base: DataFrame, base_keys: Sequence[str], pvalue: bool
 ) -> DataFrame:
     keys = [*GROUP, "column_name"]
-    is_number = F.col("num").isNotNull()
-    ks = ks_statistics(cur.where(is_number), base.where(is_number), base_keys, keys)
-    cat = category_tests(cur.where(~is_number), base.where(~is_number), base_keys, keys, pvalue)
-    return join_null_safe(join_null_safe(metrics, ks, keys, "left"), cat, keys, "left")
+    for part in distances(cur, base, base_keys, pvalue):
+        metrics = join_null_safe(metrics, part, keys, "left")
+    return metrics
 
 
 def baseline_drift(
@@ -192,31 +224,19 @@ def baseline_drift(
     pvalue: bool = True,
 ) -> DataFrame:
     """Every window against the baseline of its version and slice."""
-    by = [*_BASE_KEYS, "column_name"]
-    on = same_keys("cur", "base", by)
-    cmp = F.lit(None).cast(analysis.schema["window"].dataType)
-    metrics = _paired_metrics(analysis, base_analysis, on, cmp, BASELINE, spec)
-    return _with_distances(metrics, counts, base_counts, by, pvalue)
+    none = F.lit(None).cast(analysis.schema["window"].dataType)
+    metrics = _select_pair(pair_with_baseline(analysis, base_analysis), BASELINE, none, spec)
+    return _with_distances(metrics, counts, base_counts, [*_BASE_KEYS, "column_name"], pvalue)
 
 
 def consecutive_drift(
     analysis: DataFrame, counts: DataFrame, spec: MonitorSpec, pvalue: bool = True
 ) -> DataFrame:
     """Every window against the one before it; the first has none."""
-    by = [*_SERIES, "column_name"]
-    pairs = window_pairs(analysis, by)
-    cur = join_null_safe(analysis, pairs, [*by, "window"])
-    on = same_keys("cur", "base", by) & (F.col("cur.window_cmp") == F.col("base.window"))
-    metrics = _paired_metrics(cur, analysis, on, F.col("cur.window_cmp"), CONSECUTIVE, spec)
-    # Each window's counts serve as the base of its successor.
-    successor = pairs.select(*by, F.col("window_cmp").alias("window"), F.col("window").alias("_next"))
-    base = (
-        join_null_safe(counts, successor, [*by, "window"])
-        .drop("window")
-        .withColumnRenamed("_next", "window")
-    )
-    paired = join_null_safe(counts, pairs, [*by, "window"], "left_semi")
-    return _with_distances(metrics, paired, base, [*GROUP, "column_name"], pvalue)
+    joined = pair_with_previous(analysis)
+    metrics = _select_pair(joined, CONSECUTIVE, F.col("cur.window_cmp"), spec)
+    cur, base = previous_counts(counts, window_pairs(analysis))
+    return _with_distances(metrics, cur, base, [*GROUP, "column_name"], pvalue)
 
 
 def drift(

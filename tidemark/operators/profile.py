@@ -12,7 +12,7 @@ from tidemark.functions.columns import col, join_null_safe, quoted
 from tidemark.functions.templates import render
 from tidemark.operators.counts import distinct_and_median, value_counts
 from tidemark.operators.quality import quality_metrics
-from tidemark.operators.slices import slice_structs
+from tidemark.operators.slices import slice_pairs
 from tidemark.operators.windows import no_window, snapshot_window, window_of
 from tidemark.session import spread
 from tidemark.spec import ALL_STAGES, BASELINE, INPUT, TABLE, InferenceLog, MonitorSpec
@@ -49,12 +49,17 @@ def _optional(name: str | None) -> Column:
 
 
 def group_rows(
-    df: DataFrame, spec: MonitorSpec, log_type: str = INPUT, as_of: dt.datetime | None = None
+    df: DataFrame,
+    spec: MonitorSpec,
+    log_type: str = INPUT,
+    as_of: dt.datetime | None = None,
+    only_windows: DataFrame | None = None,
 ) -> DataFrame:
     """Rows tagged with every group they belong to.
 
     Granularities, stages and slices are crossed into one array, so a row is expanded by
-    a single generator.  Baseline rows have no window.
+    a single generator.  Baseline rows have no window.  ``only_windows``
+    (``granularity, window``) keeps the rows of those windows.
     """
     a = spec.analysis
     df = spread(df)
@@ -75,9 +80,9 @@ def group_rows(
         if TABLE in metric.input_columns:  # free text: any column may be named in it
             kept = kept + [c for c in df.columns if c not in kept]
     # Computed once per row, below the generator, which then only copies references.
-    pieces = slice_structs(spec.slicing_exprs)
+    pieces = slice_pairs(spec.slicing_exprs)
     once = {f"_w{i}": w for i, (_, w) in enumerate(windows)}
-    once |= {f"_s{i}": p["slice_value"] for i, p in enumerate(pieces)}
+    once |= {f"_s{i}": value for i, (_, value) in enumerate(pieces)}
     once["_version"] = _optional(getattr(a, "model_version_col", None))
     once["_stage"] = _optional(stage)
     stages = [F.col("_stage")] + ([F.lit(ALL_STAGES)] if stage else [])
@@ -87,25 +92,28 @@ def group_rows(
                 g.alias("granularity"),
                 F.col(f"_w{i}").alias("window"),
                 s.alias("model_stage"),
-                p["slice_key"].alias("slice_key"),
+                key.alias("slice_key"),
                 F.col(f"_s{j}").alias("slice_value"),
             )
             for i, (g, _) in enumerate(windows)
             for s in stages
-            for j, p in enumerate(pieces)
+            for j, (key, _) in enumerate(pieces)
         ]
     )
     placed = df.select(*[col(c) for c in kept], *[e.alias(n) for n, e in once.items()])
     tagged = placed.select(
         *[col(c) for c in kept], F.col("_version"), F.explode(groups).alias("_group")
     )
-    return tagged.select(
+    rows = tagged.select(
         F.col("_group.granularity").alias("granularity"),
         F.col("_group.window").alias("window"),
         F.col("_version").alias("model_version"),
         *[F.col(f"_group.{k}").alias(k) for k in GROUP[3:]],
         *[col(c) for c in kept if c not in GROUP],
     )
+    if only_windows is not None:
+        rows = join_null_safe(rows, only_windows, ["granularity", "window"], "left_semi")
+    return rows
 
 
 def _column_aggregates(name: str, data_type: T.DataType, exact: bool) -> dict[str, Column]:
@@ -215,13 +223,27 @@ def profile(
     log_type: str = INPUT,
     as_of: dt.datetime | None = None,
     counts: DataFrame | None = None,
+    only_windows: DataFrame | None = None,
+) -> DataFrame:
+    """Analysis rows of ``df``: aggregate metrics, then derived ones."""
+    rows = aggregate_metrics(df, spec, log_type, as_of, counts, only_windows)
+    return add_derived_metrics(rows, spec)
+
+
+def aggregate_metrics(
+    df: DataFrame,
+    spec: MonitorSpec,
+    log_type: str = INPUT,
+    as_of: dt.datetime | None = None,
+    counts: DataFrame | None = None,
+    only_windows: DataFrame | None = None,
 ) -> DataFrame:
-    """Analysis rows of ``df``.
+    """Metrics that need the monitored rows.
 
     With ``spec.exact`` the value counts are needed; pass them when they are at hand.
     """
     columns = analysed_columns(df, spec)
-    rows = group_rows(df, spec, log_type, as_of)
+    rows = group_rows(df, spec, log_type, as_of, only_windows)
     data_types = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name in columns}
     wide, placed, metric_types = wide_aggregates(rows, spec, columns)
     long = to_long(wide, placed, metric_types, data_types)
@@ -229,11 +251,16 @@ def profile(
         if counts is None:
             counts = value_counts(rows, GROUP, columns)
         long = add_exact_metrics(long, counts)
-    return add_derived_metrics(long, spec).withColumn("log_type", F.lit(log_type))
+    return long.withColumn("log_type", F.lit(log_type))
 
 
 def group_value_counts(
-    df: DataFrame, spec: MonitorSpec, log_type: str = INPUT, as_of: dt.datetime | None = None
+    df: DataFrame,
+    spec: MonitorSpec,
+    log_type: str = INPUT,
+    as_of: dt.datetime | None = None,
+    only_windows: DataFrame | None = None,
 ) -> DataFrame:
     """Value counts of every analysed column in every group of ``df``."""
-    return value_counts(group_rows(df, spec, log_type, as_of), GROUP, analysed_columns(df, spec))
+    rows = group_rows(df, spec, log_type, as_of, only_windows)
+    return value_counts(rows, GROUP, analysed_columns(df, spec))

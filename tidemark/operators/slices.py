@@ -8,21 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def slice_structs(exprs: Sequence[str]) -> list[Column]:
+def slice_pairs(exprs: Sequence[str]) -> list[tuple[Column, Column]]:
     """``(slice_key, slice_value)`` of the unsliced group and of every expression."""
     none = F.lit(None).cast("string")
-    structs = [F.struct(none.alias("slice_key"), none.alias("slice_value"))]
-    for text in exprs:
-        structs.append(
-            F.struct(
-                F.lit(text).alias("slice_key"),
-                F.expr(text).cast("string").alias("slice_value"),
-            )
-        )
-    return structs
+    return [(none, none)] + [(F.lit(text), F.expr(text).cast("string")) for text in exprs]
 
 
 def with_slices(df: DataFrame, exprs: Sequence[str]) -> DataFrame:
-    return df.select("*", F.explode(F.array(*slice_structs(exprs))).alias("_slice")).select(
+    pieces = [
+        F.struct(key.alias("slice_key"), value.alias("slice_value"))
+        for key, value in slice_pairs(exprs)
+    ]
+    return df.select("*", F.explode(F.array(*pieces)).alias("_slice")).select(
         *df.columns, "_slice.slice_key", "_slice.slice_value"
     )
