@@ -227,9 +227,9 @@ def finish_aggregate_base(base: DataFrame) -> DataFrame:
         F.col("lowest").alias("min"),
         F.col("highest").alias("max"),
         (F.col("total") / n).alias("avg"),
-        F.sqrt(F.greatest(F.lit(0.0), F.col("m2")) / F.nullif(F.col("n_num") - 1, F.lit(0))).alias(
-            "stddev"
-        ),
+        F.when(
+            F.col("n_num") > 1, F.sqrt(F.greatest(F.lit(0.0), F.col("m2")) / (F.col("n_num") - 1))
+        ).alias("stddev"),
         (F.col("n_zeros") / n).alias("percent_zeros"),
         F.hll_sketch_estimate("hll").alias("distinct_count"),
         F.when(F.col("n_num") > 0, F.kll_sketch_get_quantile_double("kll", F.lit(0.5))).alias(
