@@ -76,7 +76,7 @@ def record_array(payload: Column, prediction_col: str = PREDICTIONS) -> Column:
         predictions,
         F.array().cast("array<string>"),
     )
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(payload)).startswith("OBJECT"), F.lit(False))
+    is_object = F.ltrim(payload).startswith("{") & F.try_parse_json(payload).isNotNull()
     return F.when(is_object, F.concat(F.lit("["), F.array_join(records, ","), F.lit("]"))).otherwise(
         payload
     )

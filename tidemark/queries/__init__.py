@@ -1,6 +1,12 @@
 """Registered queries, one per feature, grouped as in the feature list."""
 
-from tidemark.queries import monitoring, refresh_queries, resampling  # noqa: F401
+from tidemark.queries import (  # noqa: F401
+    kinds_queries,
+    monitoring,
+    refresh_queries,
+    requests,
+    resampling,
+)
 from tidemark.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
