@@ -6,6 +6,9 @@ from tidemark.queries import (  # noqa: F401
     refresh_queries,
     requests,
     resampling,
+    scoring_queries,
+    tables_queries,
+    usage_queries,
 )
 from tidemark.queries.registry import ORACLES, QUERIES
 
