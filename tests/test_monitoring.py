@@ -107,7 +107,7 @@ def _brute_ks(a, b):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_ks_against_brute_force(spark, seed):
+def test_ks_against_brute_force(spark, both_plans, seed):
     rng = random.Random(seed)
     base = [rng.randint(0, 30) for _ in range(60)]
     windows = {w: [rng.randint(0, 10 + 10 * w) for _ in range(20 + 10 * w)] for w in (1, 2, 3)}
@@ -121,7 +121,7 @@ def test_ks_against_brute_force(spark, seed):
     }
 
 
-def test_ks_disjoint_identical_and_hot_value(spark):
+def test_ks_disjoint_identical_and_hot_value(spark, both_plans):
     base = _counts(spark, [5] * 1000 + [1, 2, 3], k="x")
     same = D.ks_statistics(base, base, ["k"], ["k"]).first()
     assert same.ks_statistic == 0 and same.ks_pvalue == 1
@@ -157,7 +157,7 @@ def test_category_tests_with_missing_categories(spark):
     assert 0 < row.chi_squared_pvalue < 1
 
 
-def test_running_totals_over_skewed_groups(spark):
+def test_running_totals_over_skewed_groups(spark, both_plans):
     rng = random.Random(0)
     rows = [("hot", float(i), rng.randint(1, 5)) for i in range(3000)] + [(None, 1.0, 2), (None, 0.5, 1)]
     df = spark.createDataFrame(rows, "g string, v double, n long")
@@ -205,7 +205,7 @@ def test_injected_drift_is_seen_on_the_changed_columns_only(spark):
     assert rows["beds"].ks_statistic == 0 and rows["beds"].ks_pvalue == 1
 
 
-def test_incremental_refresh_equals_backfill(spark):
+def test_incremental_refresh_equals_backfill(spark, both_plans):
     spec = MonitorSpec(TimeSeries("ts"), ("1 day", "1 week"), ("c",), columns=("x", "c"))
     new = _log(spark)
     late = spark.createDataFrame([(day(2), 7.0, "a", "0")], new.schema)

@@ -60,10 +60,12 @@ def medians(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return value_at_rank(numbers, [*keys, "column_name"], "num", "n", {"median": half})
 
 
-def distinct_and_median(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Both of the above, reading the counts once."""
+def distinct_and_median(
+    counts: DataFrame, keys: Sequence[str], stored: bool = False
+) -> DataFrame:
+    """Both of the above, from one pass over the counts."""
     by = [*keys, "column_name"]
-    running = running_totals(counts, by, "num", ["n"], unordered=["txt"])
+    running = running_totals(counts, by, "num", ["n"], unordered=["txt"], stored=stored)
     return running.groupBy(*by).agg(
         F.count("*").alias("distinct_count"),
         F.min(F.when(F.col("n_running") >= F.ceil(F.col("n_total") / 2), F.col("num"))).alias(

@@ -11,7 +11,8 @@ from tidemark.functions.columns import join_null_safe, same_keys
 from tidemark.functions.stats import chi2_pvalue, ks_pvalue
 from tidemark.functions.templates import render
 from tidemark.operators.profile import GROUP
-from tidemark.operators.running import CHUNK, chunk_offsets, chunked, running_within_chunk
+from tidemark.operators.running import CHUNK, chunk_offsets, chunked, fits_in_task
+from tidemark.session import materialize
 from tidemark.spec import BASELINE, CONSECUTIVE, MonitorSpec
 
 _SERIES = ["granularity", "model_version", "model_stage", "slice_key", "slice_value"]
@@ -53,48 +54,74 @@ def ks_statistics(
     """
     extra = [k for k in cur_keys if k not in base_keys]
     types = {f.name: f.dataType for f in cur.schema.fields}
-    cur_rows = cur.groupBy(*cur_keys, "num").agg(F.sum("n").alias("n_cur"))
-    base_rows = base.groupBy(*base_keys, "num").agg(F.sum("n").alias("n_base"))
-    both = cur_rows.withColumns({"n_base": F.lit(0).cast("long"), "_cur": F.lit(True)}).unionByName(
-        base_rows.withColumns(
-            {k: F.lit(None).cast(types[k]) for k in extra}
-            | {"n_cur": F.lit(0).cast("long"), "_cur": F.lit(False)}
+    none = F.lit(0).cast("long")
+    both = cur.select(
+        *cur_keys, "num", F.col("n").alias("n_cur"), none.alias("n_base"), F.lit(True).alias("_cur")
+    ).unionByName(
+        base.select(
+            *base_keys,
+            *[F.lit(None).cast(types[k]).alias(k) for k in extra],
+            "num",
+            none.alias("n_cur"),
+            F.col("n").alias("n_base"),
+            F.lit(False).alias("_cur"),
         )
     )
-    parts = chunked(both, base_keys, "num")
-    in_base = Window.partitionBy(*base_keys, CHUNK).orderBy("num")
-    # The same value of all other windows shares the position; only base rows count.
-    local = parts.withColumns(
-        {
-            "_base_upto": running_within_chunk(base_keys, "num", "n_base"),
-            "_base_here": F.sum("n_base").over(in_base.rangeBetween(0, 0)),
-        }
-    ).where("_cur")
-    local = local.withColumn("_cur_upto", running_within_chunk(cur_keys, "num", "n_cur"))
-    cur_off = chunk_offsets(parts.where("_cur"), cur_keys, ["n_cur"])
-    base_off = chunk_offsets(parts, base_keys, ["n_base"])
-    placed = join_null_safe(local, cur_off, [*cur_keys, CHUNK])
-    placed = join_null_safe(placed, base_off, [*base_keys, CHUNK])
-    f_base = (F.col("n_base_before") + F.col("_base_upto")) / F.col("n_base_total")
-    f_base_left = (
-        F.col("n_base_before") + F.col("_base_upto") - F.col("_base_here")
-    ) / F.col("n_base_total")
-    f_cur = (F.col("n_cur_before") + F.col("_cur_upto")) / F.col("n_cur_total")
-    f_cur_left = (F.col("n_cur_before") + F.col("_cur_upto") - F.col("n_cur")) / F.col("n_cur_total")
-    gap = F.greatest(F.abs(f_cur - f_base), F.abs(f_cur_left - f_base_left))
+    both = materialize(both, "ks")
+    place = _place_in_task if fits_in_task(both, base_keys) else _place_in_chunks
+    placed = place(both, list(base_keys), list(cur_keys))
+    f_base, f_cur = F.col("base_upto") / F.col("base_total"), F.col("cur_upto") / F.col("cur_total")
+    left_base = (F.col("base_upto") - F.col("base_here")) / F.col("base_total")
+    left_cur = (F.col("cur_upto") - F.col("cur_here")) / F.col("cur_total")
+    gap = F.greatest(F.abs(f_cur - f_base), F.abs(left_cur - left_base))
     return (
-        placed.where(F.col("n_base_total") > 0)
+        placed.where(F.col("_cur") & (F.col("base_total") > 0))
         .groupBy(*cur_keys)
         .agg(
             F.max(gap).alias("ks_statistic"),
-            F.max("n_cur_total").alias("_n1"),
-            F.max("n_base_total").alias("_n2"),
+            F.max("cur_total").alias("_n1"),
+            F.max("base_total").alias("_n2"),
         )
         .withColumn("ks_pvalue", ks_pvalue(F.col("ks_statistic"), F.col("_n1"), F.col("_n2")))
         .drop("_n1", "_n2")
     )
 
 
+def _sums(side: str, keys: Sequence[str]) -> dict[str, Column]:
+    """``<side>_upto`` up to this value and ``<side>_here`` at it, equal values together."""
+    order = Window.partitionBy(*keys).orderBy("num")
+    n = F.sum(f"n_{side}")
+    return {
+        f"{side}_upto": n.over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+        f"{side}_here": n.over(order.rangeBetween(Window.currentRow, Window.currentRow)),
+    }
+
+
+def _place_in_task(both: DataFrame, base_keys: list[str], cur_keys: list[str]) -> DataFrame:
+    """One shuffle by the base keys serves both sides."""
+    per_cur = [*cur_keys, "_cur"]
+    out = both.withColumns(
+        _sums("base", base_keys) | {"base_total": F.sum("n_base").over(Window.partitionBy(*base_keys))}
+    )
+    return out.withColumns(
+        _sums("cur", per_cur) | {"cur_total": F.sum("n_cur").over(Window.partitionBy(*per_cur))}
+    )
+
+
+def _place_in_chunks(both: DataFrame, base_keys: list[str], cur_keys: list[str]) -> DataFrame:
+    """The same for large groups: sums within chunks plus the totals of earlier chunks."""
+    parts = chunked(both, base_keys, "num")
+    out = parts.withColumns(_sums("base", [*base_keys, CHUNK])).where("_cur")
+    out = out.withColumns(_sums("cur", [*cur_keys, CHUNK]))
+    cur_off = chunk_offsets(parts.where("_cur"), cur_keys, ["n_cur"])
+    out = join_null_safe(out, cur_off, [*cur_keys, CHUNK])
+    out = join_null_safe(out, chunk_offsets(parts, base_keys, ["n_base"]), [*base_keys, CHUNK])
+    return out.withColumns(
+        {f"{s}_upto": F.col(f"{s}_upto") + F.col(f"n_{s}_before") for s in ("base", "cur")}
+        | {f"{s}_total": F.col(f"n_{s}_total") for s in ("base", "cur")}
+    )
+
+
 def category_tests(
     cur: DataFrame,
     base: DataFrame,

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import spread
+
 PREDICTIONS = "predictions"
 
 # Fixed names of the payload keys; the first one present decides the shape.
@@ -112,7 +114,7 @@ def process_requests(
     processing a log row again gives the same ids.
     """
     response = T.StructType([response_field])
-    unpacked = raw.withColumns(
+    unpacked = spread(raw).withColumns(
         {
             "request": typed_records(F.col("request"), request_fields, response_field.name),
             "response": typed_records(F.col("response"), response, response_field.name),

@@ -14,7 +14,7 @@ from tidemark.operators.counts import distinct_and_median, value_counts
 from tidemark.operators.quality import quality_metrics
 from tidemark.operators.slices import slice_pairs
 from tidemark.operators.windows import no_window, snapshot_window, window_of
-from tidemark.session import spread
+from tidemark.session import materialize, spread
 from tidemark.spec import ALL_STAGES, BASELINE, INPUT, TABLE, InferenceLog, MonitorSpec
 
 GROUP = ["granularity", "window", "model_version", "model_stage", "slice_key", "slice_value"]
@@ -194,9 +194,9 @@ def to_long(
 
 
 def add_exact_metrics(long: DataFrame, counts: DataFrame) -> DataFrame:
-    """Join exact distinct counts and medians to the long rows."""
+    """Join exact distinct counts and medians, from written counts, to the long rows."""
     by = [*GROUP, "column_name"]
-    long = join_null_safe(long, distinct_and_median(counts, GROUP), by, "left")
+    long = join_null_safe(long, distinct_and_median(counts, GROUP, stored=True), by, "left")
     distinct = F.when(
         F.col("column_name") != TABLE, F.coalesce(F.col("distinct_count"), F.lit(0))
     )
@@ -240,7 +240,8 @@ def aggregate_metrics(
 ) -> DataFrame:
     """Metrics that need the monitored rows.
 
-    With ``spec.exact`` the value counts are needed; pass them when they are at hand.
+    With ``spec.exact`` the value counts are needed; pass them when they are at hand as a
+    written table.
     """
     columns = analysed_columns(df, spec)
     rows = group_rows(df, spec, log_type, as_of, only_windows)
@@ -249,7 +250,7 @@ def aggregate_metrics(
     long = to_long(wide, placed, metric_types, data_types)
     if spec.exact:
         if counts is None:
-            counts = value_counts(rows, GROUP, columns)
+            counts = materialize(value_counts(rows, GROUP, columns), "counts")
         long = add_exact_metrics(long, counts)
     return long.withColumn("log_type", F.lit(log_type))
 

@@ -1,9 +1,10 @@
-"""Running totals over groups too large for one task.
+"""Running totals, also over groups too large for one task.
 
-A plain window sorts a whole group in one task.  Here the rows are range-partitioned
-by (group, value) into chunks, each chunk is summed on its own, and the totals of the
-chunks before it are added.  A group holding a third of all rows is spread over as
-many tasks as there are chunks.
+A plain window sorts a whole group in one task.  That is the shorter plan while the
+largest group is small, which is checked.  Beyond that the rows are range-partitioned by
+(group, value) into chunks, each chunk is summed on its own, and the totals of the chunks
+before it are added: a group holding a third of all rows is spread over as many tasks as
+there are chunks.
 """
 
 from __future__ import annotations
@@ -17,6 +18,14 @@ from tidemark.functions.columns import join_null_safe
 from tidemark.session import materialize
 
 CHUNK = "_chunk"
+# Rows of one group that a single task may sort.
+TASK_ROWS = 1 << 20
+
+
+def fits_in_task(stored: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether every group of an already written frame is small enough for one task."""
+    sizes = stored.groupBy(*keys).agg(F.count("*").alias("rows"))
+    return (sizes.agg(F.max("rows")).first()[0] or 0) <= TASK_ROWS
 
 
 def chunked(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
@@ -58,12 +67,22 @@ def running_totals(
     order_col: str,
     measures: Sequence[str],
     unordered: Sequence[str] = (),
+    stored: bool = False,
 ) -> DataFrame:
     """Add ``<m>_running`` (cumulative, peers included) and ``<m>_total`` per group.
 
     ``unordered`` names further value columns of rows whose ``order_col`` is NULL, so
     that these are spread over chunks too; such rows get no meaningful running total.
+    ``stored`` says that ``df`` is already a written table and cheap to read twice.
     """
+    df = df if stored else materialize(df, "counts")
+    if fits_in_task(df, keys):
+        group = Window.partitionBy(*keys)
+        upto = group.orderBy(order_col).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns(
+            {f"{m}_running": F.sum(m).over(upto) for m in measures}
+            | {f"{m}_total": F.sum(m).over(group) for m in measures}
+        )
     parts = chunked(df, keys, order_col, *unordered)
     local = parts.withColumns({f"{m}_local": running_within_chunk(keys, order_col, m) for m in measures})
     joined = join_null_safe(local, chunk_offsets(parts, keys, measures), [*keys, CHUNK])
@@ -79,13 +98,14 @@ def value_at_rank(
     value_col: str,
     count_col: str,
     ranks: dict[str, Column],
+    stored: bool = False,
 ) -> DataFrame:
     """Order statistics from value counts.
 
     ``ranks`` maps an output column to a 1-based rank, which may refer to the group size
     as ``<count_col>_total``.
     """
-    running = running_totals(counts, keys, value_col, [count_col])
+    running = running_totals(counts, keys, value_col, [count_col], stored=stored)
     reached = F.col(f"{count_col}_running")
     return running.groupBy(*keys).agg(
         *[F.min(F.when(reached >= rank, F.col(value_col))).alias(name) for name, rank in ranks.items()]

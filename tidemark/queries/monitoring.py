@@ -14,6 +14,7 @@ from tidemark.operators import quality as Q
 from tidemark.operators import slices as S
 from tidemark.operators import windows as W
 from tidemark.queries.registry import query, table
+from tidemark.session import materialize
 from tidemark.spec import (
     BASELINE,
     GenericTable,
@@ -411,9 +412,9 @@ def _cat_sql(kind: str) -> str:
 def _pairs(spark, sf, spec):
     """(kind, current counts, base counts, base keys, analysis pairs) for both drift types."""
     df = table(spark, sf, "lineitem")
-    counts = P.group_value_counts(df, spec)
+    counts = materialize(P.group_value_counts(df, spec), "counts")
     pairs = D.window_pairs(counts)
-    base = P.group_value_counts(first_year(spark, sf), spec, BASELINE)
+    base = materialize(P.group_value_counts(first_year(spark, sf), spec, BASELINE), "counts")
     cur, previous = D.previous_counts(counts, pairs)
     none = F.lit(None).cast(counts.schema["window"].dataType)
     return [
