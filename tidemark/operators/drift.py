@@ -54,28 +54,31 @@ def ks_statistics(
     """
     extra = [k for k in cur_keys if k not in base_keys]
     types = {f.name: f.dataType for f in cur.schema.fields}
-    none = F.lit(0).cast("long")
+    zero = F.lit(0).cast("long")
     both = cur.select(
-        *cur_keys, "num", F.col("n").alias("n_cur"), none.alias("n_base"), F.lit(True).alias("_cur")
+        *cur_keys, "num", F.col("n").alias("n_cur"), zero.alias("n_base"), F.lit(True).alias("_cur")
     ).unionByName(
         base.select(
             *base_keys,
             *[F.lit(None).cast(types[k]).alias(k) for k in extra],
             "num",
-            none.alias("n_cur"),
+            zero.alias("n_cur"),
             F.col("n").alias("n_base"),
             F.lit(False).alias("_cur"),
         )
     )
-    both = materialize(both, "ks")
-    place = _place_in_task if fits_in_task(both, base_keys) else _place_in_chunks
-    placed = place(both, list(base_keys), list(cur_keys))
-    f_base, f_cur = F.col("base_upto") / F.col("base_total"), F.col("cur_upto") / F.col("cur_total")
-    left_base = (F.col("base_upto") - F.col("base_here")) / F.col("base_total")
-    left_cur = (F.col("cur_upto") - F.col("cur_here")) / F.col("cur_total")
-    gap = F.greatest(F.abs(f_cur - f_base), F.abs(left_cur - left_base))
+    gap = F.abs(_share("base") - _share("cur"))
+    if not fits_in_task(base_keys, cur, base):
+        placed = _place_in_chunks(both, list(base_keys), list(cur_keys))
+    elif extra:
+        placed = _place_in_task(both, list(base_keys), list(cur_keys))
+    else:
+        placed = _place_pairs(both, list(cur_keys))
+    if "base_here" in placed.columns:
+        placed = placed.where("_cur")
+        gap = F.greatest(gap, F.abs(_share("base", "base_here") - _share("cur", "cur_here")))
     return (
-        placed.where(F.col("_cur") & (F.col("base_total") > 0))
+        placed.where((F.col("base_total") > 0) & (F.col("cur_total") > 0))
         .groupBy(*cur_keys)
         .agg(
             F.max(gap).alias("ks_statistic"),
@@ -87,6 +90,22 @@ def ks_statistics(
     )
 
 
+def _share(side: str, without: str | None = None) -> Column:
+    """Value of the distribution function, or its limit from the left."""
+    upto = F.col(f"{side}_upto")
+    return (upto - F.col(without) if without else upto) / F.col(f"{side}_total")
+
+
+def _place_pairs(both: DataFrame, keys: list[str]) -> DataFrame:
+    """One base per current group: both sides run along one sort, at every value."""
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy("num").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumns(
+        {f"{s}_upto": F.sum(f"n_{s}").over(upto) for s in ("base", "cur")}
+        | {f"{s}_total": F.sum(f"n_{s}").over(group) for s in ("base", "cur")}
+    )
+
+
 def _sums(side: str, keys: Sequence[str]) -> dict[str, Column]:
     """``<side>_upto`` up to this value and ``<side>_here`` at it, equal values together."""
     order = Window.partitionBy(*keys).orderBy("num")
@@ -140,7 +159,8 @@ def category_tests(
     )
     base_n = base.select(*base_keys, "txt", F.col("n").alias("b"))
     rows = join_null_safe(cur.select(*cur_keys, "txt", "n"), base_n, [*base_keys, "txt"], "left")
-    totals = join_null_safe(n1, n2, base_keys)
+    # Metric-sized; once written, their size is known and the counts need not move.
+    totals = materialize(join_null_safe(n1, n2, base_keys), "totals")
     rows = join_null_safe(rows, totals, cur_keys)
     a, b = F.col("n").cast("double"), F.coalesce(F.col("b"), F.lit(0)).cast("double")
     sums = rows.groupBy(*cur_keys).agg(
@@ -262,7 +282,8 @@ def consecutive_drift(
     """Every window against the one before it; the first has none."""
     joined = pair_with_previous(analysis)
     metrics = _select_pair(joined, CONSECUTIVE, F.col("cur.window_cmp"), spec)
-    cur, base = previous_counts(counts, window_pairs(analysis))
+    # Written out, the few pairs have a known size and join without moving the counts.
+    cur, base = previous_counts(counts, materialize(window_pairs(analysis), "pairs"))
     return _with_distances(metrics, cur, base, [*GROUP, "column_name"], pvalue)
 
 

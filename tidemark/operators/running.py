@@ -22,10 +22,14 @@ CHUNK = "_chunk"
 TASK_ROWS = 1 << 20
 
 
-def fits_in_task(stored: DataFrame, keys: Sequence[str]) -> bool:
-    """Whether every group of an already written frame is small enough for one task."""
-    sizes = stored.groupBy(*keys).agg(F.count("*").alias("rows"))
-    return (sizes.agg(F.max("rows")).first()[0] or 0) <= TASK_ROWS
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("rows"))
+    return sizes.agg(F.max("rows")).first()[0] or 0
+
+
+def fits_in_task(keys: Sequence[str], *frames: DataFrame) -> bool:
+    """Whether every group of the frames together is small enough for one task."""
+    return sum(largest_group(df, keys) for df in frames) <= TASK_ROWS
 
 
 def chunked(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
@@ -76,7 +80,7 @@ def running_totals(
     ``stored`` says that ``df`` is already a written table and cheap to read twice.
     """
     df = df if stored else materialize(df, "counts")
-    if fits_in_task(df, keys):
+    if fits_in_task(keys, df):
         group = Window.partitionBy(*keys)
         upto = group.orderBy(order_col).rangeBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumns(

@@ -413,7 +413,7 @@ def _pairs(spark, sf, spec):
     """(kind, current counts, base counts, base keys, analysis pairs) for both drift types."""
     df = table(spark, sf, "lineitem")
     counts = materialize(P.group_value_counts(df, spec), "counts")
-    pairs = D.window_pairs(counts)
+    pairs = materialize(D.window_pairs(counts), "pairs")
     base = materialize(P.group_value_counts(first_year(spark, sf), spec, BASELINE), "counts")
     cur, previous = D.previous_counts(counts, pairs)
     none = F.lit(None).cast(counts.schema["window"].dataType)
