@@ -106,6 +106,11 @@ def test_median_coverage_is_high_for_same_size(numbers):
     assert set(shares) == {200, 1000} and shares[1000] >= 0.8
 
 
+def test_large_samples_are_limited_before_the_shuffle(numbers):
+    samples = TH.fixed_size_samples(numbers, F.col("id"), [200, 6000], 3)
+    assert "WindowGroupLimit" in samples._jdf.queryExecution().executedPlan().toString()
+
+
 def test_alerts(spark):
     metrics = spark.createDataFrame([("w1", "x", 5.0), ("w2", "x", 9.0), ("w3", "x", None)], "w string, column_name string, avg double")
     bounds = spark.createDataFrame([("avg", 0.95, "x", 4.0, 6.0)], "metric string, interval_width double, column_name string, low double, high double")

@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A skewed join is split even when that costs one more shuffle downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rank limits up to this size are applied in each task before the shuffle.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
 
