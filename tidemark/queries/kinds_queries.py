@@ -43,10 +43,26 @@ def _profile_sql() -> str:
         FROM ranked GROUP BY column_name)"""
 
 
+def _datetime_sql(source: str, names: list[str]) -> str:
+    """The rule on distinct failing values, spelled out."""
+    formats = "['%Y-%m-%d', '%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y/%m/%d', '%m/%d/%Y']"
+    long = " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS v FROM src" for c in names)
+    return f"""WITH src AS ({source}), long_ AS ({long}),
+    t AS (SELECT *, coalesce(try_strptime(v, {formats}) IS NOT NULL, false) AS ok FROM long_)
+    SELECT column_name, count(*) FILTER (ok) > 0 AND
+        count(DISTINCT v) FILTER (NOT ok) + (count(*) > count(v))::INT <= 1 AS is_datetime FROM t GROUP BY column_name"""
+
+
 @query(
     "n1_datetime_columns",
-    """SELECT unnest(['as_date', 'as_time', 'one_bad', 'nulls_only_bad', 'two_bad', 'status', 'priority']) AS column_name,
-        unnest([true, true, true, true, false, false, false]) AS is_datetime FROM (SELECT count(*) FROM orders)""",
+    _datetime_sql(
+        """SELECT strftime(o_orderdate, '%Y-%m-%d') AS as_date, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS as_time,
+        CASE WHEN o_orderkey % 3 = 0 THEN 'unknown' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS one_bad,
+        CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS nulls_only_bad,
+        CASE WHEN o_orderkey % 3 = 0 THEN 'unknown' WHEN o_orderkey % 5 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS two_bad,
+        o_orderstatus AS status, o_orderpriority AS priority FROM orders""",
+        ["as_date", "as_time", "one_bad", "nulls_only_bad", "two_bad", "status", "priority"],
+    ),
 )
 def datetime_columns(spark, sf):
     """Order dates as text in several layouts, with failing values mixed in."""
@@ -64,20 +80,19 @@ def datetime_columns(spark, sf):
     return N.datetime_columns(df)
 
 
-@query(
-    "a8_patterned_rows",
-    """SELECT '2020-01-1' || o_orderkey % 10 AS date_str, '2020-01-01 00:00:1' || o_orderkey % 10 AS ts_str,
-        CASE WHEN o_orderkey % 10 <> 0 THEN '2020-01-1' || o_orderkey % 10 END AS dates_with_nulls,
-        'str: ' || o_orderkey % 10000 AS random_str FROM orders""",
-)
+_PATTERNED = """SELECT '2020-01-1' || o_orderkey % 10 AS date_str, '2020-01-01 00:00:1' || o_orderkey % 10 AS ts_str,
+    CASE WHEN o_orderkey % 10 <> 0 THEN '2020-01-1' || o_orderkey % 10 END AS dates_with_nulls,
+    'str: ' || o_orderkey % 10000 AS random_str FROM orders"""
+
+
+@query("a8_patterned_rows", _PATTERNED)
 def patterned(spark, sf):
     return patterned_rows(spark, table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")))
 
 
 @query(
     "n1_datetime_of_patterned_rows",
-    """SELECT unnest(['date_str', 'ts_str', 'dates_with_nulls', 'random_str']) AS column_name,
-        unnest([true, true, true, false]) AS is_datetime FROM (SELECT count(*) FROM orders)""",
+    _datetime_sql(_PATTERNED, ["date_str", "ts_str", "dates_with_nulls", "random_str"]),
 )
 def datetime_of_patterned_rows(spark, sf):
     ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tidemark.operators import counts as C
 from tidemark.operators import drift as D
 from tidemark.operators import profile as P
-from tidemark.operators import quality as Q
 from tidemark.operators import slices as S
 from tidemark.operators import windows as W
 from tidemark.queries.registry import query, table
@@ -19,7 +18,6 @@ from tidemark.spec import (
     BASELINE,
     GenericTable,
     InferenceLog,
-    Metric,
     MonitorSpec,
     TimeSeries,
 )

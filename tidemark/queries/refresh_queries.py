@@ -14,14 +14,11 @@ from tidemark.plans import refresh as R
 from tidemark.queries.monitoring import (
     AS_OF,
     GENERIC,
-    LINEITEM,
-    REGRESSION_LOG,
     YEARLY,
     _ORDER_LOG,
     _YEAR_AVG,
     _YEAR_ROWS,
     _cat_sql,
-    _cmp_out,
     _ks_sql,
     R as rounded_sql,
     first_year,
