@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from tidemark.llm import token_files as T
@@ -37,14 +38,16 @@ def test_files_hold_the_library_ids(spark):
     assert sorted(((g[0], *g[2:]) for g in got), key=repr) == sorted(want(rows), key=repr)
 
 
-def test_bounded_cache_gives_the_same(spark, monkeypatch):
-    monkeypatch.setattr(T, "CACHED_CHUNKS", 5)
-    encoder = T.ChunkEncoder(PATH, "<u2")
+def test_bounded_memory_gives_the_same(monkeypatch):
+    monkeypatch.setattr(T, "KNOWN_UNITS", 5)
+    encoder = T.UnitEncoder(PATH, "<u2", 2)
     t = Tokenizer.from_file(PATH)
-    for i in range(5):
-        texts = fuzz(i, 20) + ["x" * 300]
-        got = [np.frombuffer(b, "<u2").tolist() for b in encoder.encode(texts)]
-        assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    for i in range(200):
+        texts = [*fuzz(i, 20), "x" * 300, "a`b ` `", "Word, word. WORD!!! w*** w's x&y don't a-b", "", None]
+        texts += ["<|STARTOFTEXT|> <|startoftext|>! J\u030c J. A\u030a \u1fef I\u0307", "a=\u0338 =\u0338 A=\u0338b"]
+        ids, sizes = encoder.encode(pa.array(texts))
+        got = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        assert got == [t.encode(x or "", add_special_tokens=False).ids + [2] for x in texts]
 
 
 def test_bases_are_prefix_sums(spark, tmp_path):

@@ -33,60 +33,135 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.tokens import steps
+from tidemark.llm.tokens import runs, slice_hashes, steps, text_buffer
 from tidemark.session import scratch_path
 
 END_ID = 2
 #: Bytes of text that a part aims at.
-PART_BYTES = 64 << 20
-CACHED_CHUNKS = 200_000
-CACHED_LENGTH = 64
+PART_BYTES = 32 << 20
+#: Units whose ids a worker keeps, in each of two generations.
+KNOWN_UNITS = 250_000
 
 
 # ---------------------------------------------------------------- encoding
 
 
-class ChunkEncoder:
-    """The library's encoder, asked once for each distinct chunk between blanks.
-
-    The tokenizer drops white space and never merges across it, so a text's ids are those
-    of its chunks end to end.  Answers are kept up to a bound, as packed bytes.
+class Memo:
+    """Bounded memory in two generations: what is met again moves up, the rest is forgotten."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.young: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
+
+    def unknown(self, keys: list[int]) -> list[int]:
+        """Places of keys to be learned; the others are in the young generation afterwards."""
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        out = []
+        for place, key in enumerate(keys):
+            if key not in young:
+                if key in old:
+                    young[key] = old[key]
+                else:
+                    out.append(place)
+        return out
+
+
+class UnitEncoder:
+    """The library's encoder, asked once for each distinct unit of a text.
+
+    The tokenizer drops white space and never merges across it, nor from a letter to a mark
+    after it.  So a text is cut there, and its ids are those of its units end to end.  Case
+    does not count for the tokenizer, so units of ASCII letters are put in lower case.  A
+    step's units are told apart by 64-bit hashes of their bytes, on whole buffers.
     """
 
-    def __init__(self, path: str, dtype: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.dtype = np.dtype(dtype)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def learn(self, chunks: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return {c: np.array(e.ids, self.dtype).tobytes() for c, e in zip(chunks, found)}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = {c for chunks in split for c in chunks if c not in known}
-        fresh = self.learn(list(new)) if new else {}
-        if len(known) + len(fresh) > CACHED_CHUNKS:
-            found = {c: known[c] for chunks in split for c in chunks if c in known}
-            known.clear()
-            known[""] = b""
-            lookup = found | fresh
-        else:
-            lookup = None
-        known.update((c, b) for c, b in fresh.items() if len(c) <= CACHED_LENGTH and len(known) < CACHED_CHUNKS)
-        if lookup is None:
-            lookup = known if all(len(c) <= CACHED_LENGTH for c in fresh) else known | fresh
-        return [b"".join(map(lookup.__getitem__, chunks)) for chunks in split]
+    def __init__(self, path: str, dtype: str, end_id: int):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        # For lower-case ASCII letters the library's own model without the steps before it,
+        # which leave such words as they are.
+        self.plain = Tokenizer(self.whole.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.dtype, self.memo = np.dtype(dtype), Memo(KNOWN_UNITS)
+        self.end = np.array([end_id], self.dtype).tobytes()
+        self.mark = self.whole.encode(MARK, add_special_tokens=False).ids
+
+    def learn(self, units: list[str], tokenizer) -> list[bytes]:
+        """Packed ids of units.
+
+        They are encoded as one text with a mark between them, which is cheaper than one by
+        one; the ids are cut at the mark's id.  Where that does not give as many pieces as
+        there are units, because one of them makes the mark's id, they are halved.
+        """
+        if not units:
+            return []
+        if len(units) > 1 and len(self.mark) == 1:
+            joined = tokenizer.encode(f" {MARK} ".join(units), add_special_tokens=False).ids
+            joined = np.array(joined, self.dtype)
+            cuts = np.flatnonzero(joined == self.mark[0])
+            if len(cuts) == len(units) - 1:
+                size, data = self.dtype.itemsize, joined.tobytes()
+                starts, ends = np.append(0, cuts + 1) * size, np.append(cuts, len(joined)) * size
+                return [data[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+            half = len(units) // 2
+            return self.learn(units[:half], tokenizer) + self.learn(units[half:], tokenizer)
+        return [np.array(tokenizer.encode(u, add_special_tokens=False).ids, self.dtype).tobytes() for u in units]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each text closed by the end id, and the number of each text's."""
+        data, offsets = text_buffer(column)
+        n = len(offsets) - 1
+        letter = _LETTER[data]
+        cut = np.zeros(len(data), bool)
+        cut[1:] = letter[:-1] & _CUT_BEFORE[data[1:]]
+        starts, ends = runs(_VISIBLE[data], offsets, cut)
+        sums = np.append(0, np.cumsum(letter))
+        pure = sums[ends] - sums[starts] == ends - starts
+        data = np.where(np.repeat(pure, ends - starts), data[_VISIBLE[data] > 0] | 32, data[_VISIBLE[data] > 0])
+        bounds = np.append(0, np.cumsum(ends - starts))
+        hashes = slice_hashes(data, bounds[:-1], bounds[1:])
+        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        names, known = keys.tolist(), self.memo
+        new = np.array(known.unknown(names), np.int64)
+        text = data.tobytes()
+        for is_pure, tokenizer in ((True, self.plain), (False, self.whole)):
+            places = new[pure[first[new]] == is_pure]
+            at = first[places]
+            units = [text[a:b].decode() for a, b in zip(bounds[at].tolist(), bounds[at + 1].tolist())]
+            found = self.learn(units, tokenizer)
+            known.young.update(zip((names[i] for i in places.tolist()), found))
+        values = [known.young[k] for k in names] + [self.end]
+        sizes = np.array([len(v) for v in values], np.int64) // self.dtype.itemsize
+        table, table_starts = np.frombuffer(b"".join(values), self.dtype), np.append(0, np.cumsum(sizes))[:-1]
+        # The end id is a unit after each text's last.
+        firsts = np.searchsorted(starts, offsets)
+        order = np.insert(inverse, firsts[1:], len(names))
+        lengths = sizes[order]
+        places = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths - table_starts[order], lengths)
+        rows = np.repeat(np.arange(n), np.diff(firsts) + 1)
+        return table[places], np.bincount(rows, lengths, n).astype(np.int64)
+
+
+#: Between units that are encoded together; a token of its own.
+MARK = "`"
+_BYTES = np.arange(256)
+_LETTER = ((_BYTES | 32) >= 97) & ((_BYTES | 32) <= 122) & (_BYTES < 128)
+_VISIBLE = (~np.isin(_BYTES, [10, 32])).astype(np.uint8)
+#: Marks that may follow a letter without being part of a special token's name or of what
+#: the tokenizer joins with letters.
+_CUT_BEFORE = np.isin(_BYTES, list(b"!#$%&*+,-./:;=?"))
 
 
 @lru_cache(maxsize=2)
-def chunk_encoder(path: str, dtype: str) -> ChunkEncoder:
-    return ChunkEncoder(path, dtype)
+def unit_encoder(path: str, dtype: str, end_id: int) -> UnitEncoder:
+    """The encoder of a worker, with what it has met."""
+    return UnitEncoder(path, dtype, end_id)
 
 
 def id_type(path: str) -> str:
@@ -111,17 +186,17 @@ class PartWriter:
     def __init__(self, folder: str, part: int, dtype: str):
         self.fs, self.folder = shared(folder)
         self.name, self.attempt = f"{part:08d}", uuid.uuid4().hex
-        self.part, self.width = part, np.dtype(dtype).itemsize
+        self.part = part
         self.sizes, self.docs = [0], []
         self.out = self.fs.open_output_stream(self.path("bin"))
 
     def path(self, kind: str, final: bool = False) -> str:
         return f"{self.folder}/{self.name}{'' if final else '.' + self.attempt}.{kind}"
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.out.write(ids)
-        self.sizes.append(len(ids) // self.width)
-        self.docs.append(doc_id)
+    def add(self, docs: list[int | None], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.out.write(ids.tobytes())
+        self.sizes += sizes.tolist()
+        self.docs += docs
 
     def close(self) -> tuple[int, int, int]:
         self.out.close()
@@ -154,16 +229,13 @@ def write(
     parts = max(-(-int(size) // part_bytes), spark.sparkContext.defaultParallelism)
     fs, path = shared(folder)
     fs.create_dir(path, recursive=True)
-    tail = np.array([end_id], dtype).tobytes()
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer = chunk_encoder(tokenizer_path, dtype), None
+        encoder, writer = unit_encoder(tokenizer_path, dtype, end_id), None
         for batch in steps(batches, "text"):
             # An attempt that starts over starts with a new file.
             writer = writer or PartWriter(folder, batch.column("part")[0].as_py(), dtype)
-            ids = encoder.encode(batch.column("text").to_pylist())
-            for doc_id, packed in zip(batch.column("doc_id").to_pylist(), ids):
-                writer.add(doc_id, packed + tail)
+            writer.add(batch.column("doc_id").to_pylist(), *encoder.encode(batch.column("text")))
         done = [writer.close()] if writer else []
         yield pa.RecordBatch.from_arrays(
             [pa.array([x[i] for x in done], pa.int64()) for i in range(3)], ["part", "rows", "ids"]

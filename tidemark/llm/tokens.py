@@ -19,6 +19,9 @@ STEP_BYTES = 1 << 21
 _BYTES = np.arange(256, dtype=np.uint8)
 _LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 _IN_WORD = ((_BYTES >= 48) & (_BYTES <= 57)) | ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 128)
+# Kinds of bytes: 0 blanks and controls, 1 of words, 2 marks.
+_UPPER = (_BYTES >= 65) & (_BYTES <= 90)
+_MARKS = np.where(_IN_WORD | _UPPER, 1, np.where((_BYTES > 32) & (_BYTES < 127), 2, 0)).astype(np.uint8)
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _BYTE_VALUE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -70,22 +73,41 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word, and the first word's index of every row (rows + 1 long)."""
+    low = _LOWER[data]
+    return _run_hashes(low, _IN_WORD[low].view(np.uint8), offsets)
+
+
+def mark_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_hashes``, for words as written and for the runs of marks between them."""
+    return _run_hashes(data, _MARKS[data], offsets)
+
+
+def _run_hashes(data: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the longest runs of bytes of one kind, other than kind 0, inside rows."""
+    starts, ends = runs(kind, offsets)
+    return slice_hashes(data, starts, ends), np.searchsorted(starts, offsets)
+
+
+def runs(kind: np.ndarray, offsets: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of one kind; ``cut`` marks further places to start at."""
+    n = len(kind)
+    change = np.ones(n + 1, bool)
+    np.not_equal(kind[1:], kind[:-1], out=change[1:-1])
+    change[offsets[offsets < n]] = True
+    if cut is not None:
+        change[:-1] |= cut
+    return np.flatnonzero(change[:-1] & (kind > 0)), np.flatnonzero(change[1:] & (kind > 0)) + 1
+
+
+def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of every slice of the bytes."""
     n = len(data)
     if not n:
-        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
-    low = _LOWER[data]
-    inside = _IN_WORD[low]
-    edges = offsets[(offsets > 0) & (offsets < n)]
-    before, after = np.zeros(n, bool), np.zeros(n, bool)
-    before[1:], after[:-1] = inside[:-1], inside[1:]
-    before[edges] = False
-    after[edges - 1] = False
-    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+        return np.empty(0, np.uint64)
     up, down = _powers(max(n - 1, 1).bit_length())
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[low] * up[:n], out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)
-    return mixed(hashes), np.searchsorted(starts, offsets)
+    np.cumsum(_BYTE_VALUE[data] * up[:n], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def gram_hashes(words: np.ndarray, firsts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
