@@ -86,3 +86,47 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("longest_match")
+
+
+@query("op2_bpe")
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents and the texts decoded from them, as digests."""
+    from tidemark.llm import bpe
+
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op3_language")
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by compression with dictionaries of the other folds."""
+    from tidemark.llm import langid
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    contents = langid.dictionaries(docs.where(~langid.held_out()))
+    texts = docs.select("doc_id", langid.held_out().alias("held_out"), "text")
+    return langid.predict(texts, contents).drop("text")
+
+
+@query("op5_secrets")
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document, by patterns and by character models."""
+    from tidemark.llm import secrets
+
+    docs = table(spark, sf_dir, "documents")
+    return secrets.report(docs, secrets.train(docs))
+
+
+@query("op8_ngram_join")
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of every document under five-word Jaccard similarity, with its links."""
+    from tidemark.llm import ngram_join
+
+    return ngram_join.classify(table(spark, sf_dir, "documents"))
+
+
+@query("op1_quality")
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    from tidemark.llm import quality
+
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
