@@ -47,7 +47,7 @@ def test_documents_of_the_test_data(bpe):
 
 
 def test_digests_and_ids(spark, monkeypatch):
-    monkeypatch.setattr(B, "CACHED_PIECES", 20)
+    monkeypatch.setattr(B, "KNOWN_PIECES", 20)
     rows = list(enumerate(fuzz(7, 50))) + [(None, None), (3, ""), (3, ""), (9, "word " * 20000)]
     df = spark.createDataFrame([(*x, 0) for x in rows], "doc_id long, text string, n_tokens int")
 

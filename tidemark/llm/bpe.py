@@ -34,9 +34,10 @@ from tidemark.llm.tokens import steps
 
 # The published split pattern of this vocabulary family.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_PIECES = 200_000
-CACHED_LENGTH = 64
-CACHED_PAIRS = 1_000_000
+#: Pieces whose ids a worker keeps, in each of two generations, and their greatest length.
+KNOWN_PIECES = 250_000
+KNOWN_LENGTH = 64
+KNOWN_PAIRS = 1_000_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -81,7 +82,9 @@ class Bpe:
         names = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.pieces = regex.compile(PIECES)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.size_of = {i: len(b) for i, b in self.bytes_of.items()}
+        self.known: dict[str, tuple[int, ...]] = {n: (i,) for n, i in self.special.items()}
+        self.before: dict[str, tuple[int, ...]] = {}
 
     def is_made(self, token: int) -> bool:
         """Whether merging the token's own bytes ends in that token."""
@@ -122,7 +125,7 @@ class Bpe:
         key = left << 20 | right
         found = self.compatible_pairs.get(key)
         if found is None:
-            if len(self.compatible_pairs) >= CACHED_PAIRS:
+            if len(self.compatible_pairs) >= KNOWN_PAIRS:
                 self.compatible_pairs.clear()
             found = self.compatible_pairs[key] = not self.crosses(left, right)
         return found
@@ -133,45 +136,52 @@ class Bpe:
         last = [-1] * (len(data) + 1)
         pairs = self.compatible_pairs
         for end, (size, token) in self.automaton.iter(data):
-            start = end + 1 - size
-            if start:
-                before = last[start]
-                if before < 0:
-                    continue
-                fits = pairs.get(before << 20 | token)
-                if fits is None:
-                    fits = self.compatible(before, token)
-                if not fits:
-                    continue
-            last[end + 1] = token
+            end += 1
+            if last[end] < 0:
+                if size < end:
+                    before = last[end - size]
+                    fits = pairs.get(before << 20 | token)
+                    if fits is None:
+                        fits = before >= 0 and self.compatible(before, token)
+                    if not fits:
+                        continue
+                last[end] = token
         ids, end = [], len(data)
         while end:
-            ids.append(last[end])
-            end -= len(self.bytes_of[last[end]])
-        return tuple(reversed(ids))
-
-    def encode(self, text: str) -> list[int]:
-        if self.specials and any(name in text for name in self.special):
-            parts = self.specials.split(text)
-            return [i for p in parts for i in ([self.special[p]] if p in self.special else self._plain(p))]
-        return self._plain(text)
-
-    def _plain(self, text: str) -> list[int]:
-        known, found = self.known, self.pieces.findall(text)
-        try:
-            return list(chain.from_iterable(map(known.__getitem__, found)))
-        except KeyError:
-            out: list[int] = []
-            for piece in found:
-                ids = known.get(piece)
-                if ids is None:
-                    ids = self.encode_piece(piece)
-                    if len(piece) <= CACHED_LENGTH:
-                        if len(known) >= CACHED_PIECES:
-                            known.clear()
-                        known[piece] = ids
-                out += ids
-            return out
+            token = last[end]
+            ids.append(token)
+            end -= self.size_of[token]
+        ids.reverse()
+        return tuple(ids)
+
+    def split(self, text: str) -> list[str]:
+        """Pieces of the text, special tokens among them."""
+        if self.specials is None or not any(name in text for name in self.special):
+            return self.pieces.findall(text)
+        out: list[str] = []
+        for part in self.specials.split(text):
+            out += [part] if part in self.special else self.pieces.findall(part)
+        return out
+
+    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
+        """Ids of the texts.  Pieces of the step are looked up, and new ones encoded, once."""
+        split = [self.split(t or "") for t in texts]
+        if len(self.known) > KNOWN_PIECES:
+            # What is met again moves from the old generation to the new one.
+            self.known, self.before = {n: (i,) for n, i in self.special.items()}, self.known
+        known, before = self.known, self.before
+        long = []
+        for piece in set().union(*split) - known.keys():
+            known[piece] = before.get(piece) or self.encode_piece(piece)
+            if len(piece) > KNOWN_LENGTH:
+                long.append(piece)
+        ids = [list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in split]
+        for piece in long:
+            del known[piece]
+        return ids
+
+    def encode(self, text: str | None) -> list[int]:
+        return self.encode_batch([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -189,7 +199,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", to: str = "ids")
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for batch in steps(batches, text_col):
-            ids = [bpe.encode(t or "") for t in batch.column(text_col).to_pylist()]
+            ids = bpe.encode_batch(batch.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, to]
             )
@@ -204,8 +214,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         bpe = vocabulary(path)
         for batch in steps(batches, text_col):
             counts, ids_digest, text_digest = [], [], []
-            for text in batch.column(text_col).to_pylist():
-                ids = bpe.encode(text or "")
+            for ids in bpe.encode_batch(batch.column(text_col).to_pylist()):
                 counts.append(len(ids))
                 ids_digest.append(_sha256(",".join(map(bpe.text_of.__getitem__, ids))))
                 text_digest.append(_sha256(bpe.decode(ids)))

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.grouping import runs_of
 from tidemark.llm.tokens import gram_hashes, mixed, steps, text_buffer, word_hashes
 from tidemark.session import materialize
 
@@ -38,6 +39,7 @@ MOST_BANDS = 16
 TILE = 384
 #: Grams that are compared at a time inside a tile.
 GRAM_BLOCK = 4096
+TILE_KEYS = ["band", "value", "left", "right"]
 
 
 def bands_for(similarity: float, recall: float, most: int = MOST_BANDS) -> tuple[int, int]:
@@ -157,14 +159,9 @@ def least_reached(linked: np.ndarray) -> np.ndarray:
 
 
 def _tile_step(words: int, similarity: float):
-    keys = ["band", "value", "left", "right"]
-
     def tile(batch: pa.Table):
+        batch = batch.sort_by("class")
         classes = batch.column("class").to_pylist()
-        # Repeated rows of a representative stand once.
-        order = sorted({c: i for i, c in reversed(list(enumerate(classes)))}.items())
-        batch = batch.take([i for _, i in order])
-        classes = [c for c, _ in order]
         bands = np.array(batch.column("bands").to_pylist(), np.int64)
         left, right = batch.column("left")[0].as_py(), batch.column("right")[0].as_py()
         block = batch.column("block").to_numpy()
@@ -177,34 +174,13 @@ def _tile_step(words: int, similarity: float):
         return [(classes[i], int(degree[i]), classes[label[i]]) for i in found]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def done() -> pa.RecordBatch:
-            rows = tile(pa.Table.from_batches(held))
-            return pa.RecordBatch.from_arrays(
+        for group in runs_of(batches, TILE_KEYS):
+            rows = tile(group)
+            yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.binary()))],
                 ["class", "links", "least"],
             )
 
-        last = None
-        for batch in batches:
-            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-            change = np.zeros(batch.num_rows, bool)
-            for c in columns:
-                change[1:] |= c[1:] != c[:-1]
-            cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if a == b:
-                    continue
-                key = tuple(c[a] for c in columns)
-                if held and key != last:
-                    yield done()
-                    held = []
-                held.append(batch.slice(a, b - a))
-                last = key
-        if held:
-            yield done()
-
     return step
 
 
@@ -260,12 +236,11 @@ def links(
     needed = wanted.select("class").distinct().join(classes, "class")
     needed = needed.select("class", "copies", "bands", "rep.doc_id", "rep.key")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key"))
-    content = materialize(
-        texts.alias("a").join(needed.alias("b"), same).select("b.class", "b.copies", "b.bands", "a.text"), "content"
-    )
-    sent = wanted.join(content, "class").repartition("band", "value", "left", "right")
+    # Repeated rows of a representative are one.
+    content = texts.alias("a").join(needed.alias("b"), same).select("b.class", "b.copies", "b.bands", "a.text")
+    sent = wanted.join(content.dropDuplicates(["class"]), "class").repartition(*TILE_KEYS)
     found = materialize(
-        sent.sortWithinPartitions("band", "value", "left", "right").mapInArrow(
+        sent.sortWithinPartitions(*TILE_KEYS).mapInArrow(
             _tile_step(words, similarity), "class binary, links long, least binary"
         ),
         "found",

@@ -130,3 +130,29 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import quality
 
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_main_text")
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from tidemark.llm import pages
+
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op7_surrogates")
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced, and how much of each kind."""
+    from tidemark.llm import surrogates
+
+    return surrogates.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+
+
+@query("op4_neighbours")
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import neighbours
+
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.pmod(F.col("id"), F.lit(50)) == 0)
