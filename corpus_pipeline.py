@@ -1,27 +1,57 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: stages over ``documents``, each written and read again.
+
+Language identification drops documents that it rejects, the n-gram join leaves one
+document of each group of near copies, decontamination drops documents with benchmark
+windows, the secret scan masks what it finds, and the last stage encodes what is left.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate
+from tidemark.llm import bpe, decontaminate, langid, ngram_join, secrets
 from tidemark.session import materialize, tune
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_unclear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with enough margin."""
+    return langid.accepted(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return ngram_join.one_of_each(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark."""
+    return secrets.redacted(docs, secrets.train(docs))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number and digest of every document's token ids, digest of the text decoded from them."""
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language", drop_unclear_language),
+    ("near copies", drop_near_copies),
     ("decontaminate", drop_contaminated),
+    ("secrets", mask_secrets),
+    ("encode", encode),
 ]
 
-#: No stage but one can be said in SQL; the stages are tested against brute force.
+#: Compression and tokenizers cannot be said in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
@@ -29,5 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is a table before the next stage."""
     docs = tune(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,8 +2,8 @@
 
 Each language has a dictionary of raw text, taken from labelled documents.  A text is
 compressed once with each dictionary; the language whose dictionary gives the smallest
-result is predicted.  The score compares how much the best and the second-best dictionary
-save over compressing without one; where they save nearly the same, the text is rejected.
+result is predicted.  The score is the share that the best dictionary saves over the
+second-best; where that is next to nothing, the text is rejected.
 
 Compression sees at most a block of ``block`` characters at a time with a fresh dictionary,
 and sizes of all blocks of a text are added, so long texts count whole and the dictionary
@@ -14,9 +14,9 @@ from whole documents in an order drawn by a hash of their text (a bounded sample
 bound a parameter).  Languages are taken by frequency, at most ``max_languages``.
 
 Cases: a null text or one without a letter is ``und`` with score 0 and rejected; with no
-labelled text every text is ``und``; equal sizes go to the language first in the alphabet;
-a null label teaches nothing; repeated rows are predicted each; upper case is folded, as
-case says nothing of the language.
+labelled text every text is ``und``; equal sizes go to the language with more labelled
+texts, then the first in the alphabet; a null label teaches nothing; repeated rows are
+predicted each; upper case is folded, as case says nothing of the language.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,11 +34,13 @@ from tidemark.llm.tokens import steps
 
 DICTIONARY_BYTES = 96 << 10
 MAX_LANGUAGES = 200
-LEVEL = 3
+LEVEL = 6
 BLOCK = 32 << 10
 UNKNOWN = "und"
-#: Below this score a prediction is rejected.
-REJECT_BELOW = 0.02
+#: Below this score a prediction is rejected, for texts of at least so many letters; whole
+#: bytes cannot tell the margin of a shorter one.
+REJECT_BELOW = 0.004
+JUDGED_FROM = 200
 
 
 def dictionaries(
@@ -72,9 +75,9 @@ def dictionaries(
     drawn: dict[str, list[tuple[int, str]]] = {}
     for row in texts.select("lang", "draw", "text").toLocalIterator():
         drawn.setdefault(row["lang"], []).append((row["draw"], row["text"]))
-    for lang, found in sorted(drawn.items()):
+    for lang in [row["lang"] for row in top if row["lang"] in drawn]:
         content = b""
-        for _, text in sorted(found):
+        for _, text in sorted(drawn[lang]):
             if len(content) >= dictionary_bytes:
                 break
             content += folded(text).encode() + b"\n"
@@ -82,49 +85,52 @@ def dictionaries(
     return out
 
 
+_LETTERS = regex.compile(r"\p{L}+")
+
+
 def folded(text: str) -> str:
     """Letters in lower case, every other run of characters one blank."""
-    return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+    return " ".join(_LETTERS.findall(text.lower()))
 
 
 @lru_cache(maxsize=4)
 def compressors(contents: tuple[tuple[str, bytes], ...], level: int):
-    """Language names, a compressor for each, and one without a dictionary."""
+    """Language names and a compressor for each."""
     out = []
     for _, content in contents:
         data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         data.precompute_compress(level=level)
-        out.append(_plain(level, data))
-    return [lang for lang, _ in contents], out, _plain(level, None)
-
-
-def _plain(level: int, data) -> zstandard.ZstdCompressor:
-    return zstandard.ZstdCompressor(
-        level=level, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False
-    )
+        out.append(
+            zstandard.ZstdCompressor(
+                level=level, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False
+            )
+        )
+    return [lang for lang, _ in contents], out
 
 
 class Classifier:
     """Predicts a language and a score for texts."""
 
     def __init__(self, contents: dict[str, bytes], level: int = LEVEL, block: int = BLOCK):
-        self.langs, self.own, self.none = compressors(tuple(sorted(contents.items())), level)
+        self.langs, self.own = compressors(tuple(contents.items()), level)
         self.block = block
 
     def size(self, compressor, blocks: list[bytes]) -> int:
         return sum(len(compressor.compress(b)) for b in blocks)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None, reject_below: float = REJECT_BELOW) -> tuple[str, float, bool]:
+        """Language, score, and whether the prediction is rejected."""
         letters = folded(text or "")
         if not letters or not self.langs:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, True
         blocks = [letters[i : i + self.block].encode() for i in range(0, len(letters), self.block)]
         sizes = [self.size(c, blocks) for c in self.own]
-        best = min(range(len(sizes)), key=lambda i: (sizes[i], self.langs[i]))
+        best = min(range(len(sizes)), key=lambda i: sizes[i])
         if len(sizes) == 1:
-            return self.langs[0], 1.0
+            return self.langs[0], 1.0, False
         second = min(s for i, s in enumerate(sizes) if i != best)
-        return self.langs[best], (second - sizes[best]) / max(second, 1)
+        score = (second - sizes[best]) / max(second, 1)
+        return self.langs[best], score, score < reject_below and len(letters) >= JUDGED_FROM
 
 
 def predict(
@@ -140,11 +146,11 @@ def predict(
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(sent.value)
         for batch in steps(batches, text_col):
-            found = [classifier.predict(t) for t in batch.column(text_col).to_pylist()]
+            found = [classifier.predict(t, reject_below) for t in batch.column(text_col).to_pylist()]
             columns = [
                 pa.array([f[0] for f in found], pa.string()),
                 pa.array([f[1] for f in found], pa.float64()),
-                pa.array([f[0] == UNKNOWN or f[1] < reject_below for f in found], pa.bool_()),
+                pa.array([f[2] for f in found], pa.bool_()),
             ]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *columns], [*batch.schema.names, "lang_pred", "score", "rejected"]

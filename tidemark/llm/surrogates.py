@@ -172,13 +172,11 @@ def surrogate(kind: Column, canon: Column, nonce: int, key: str) -> Column:
     digest = _digest(key, kind, canon, F.lit(nonce))
     loose = nonce >= STRICT
     more = F.substr(digest, F.lit(60 - 4 * min(nonce, 10)), F.lit(max(1, nonce - STRICT + 2))) if loose else F.lit("")
-    # Addresses of one domain stay addresses of one domain; its last label is kept.
+    # Addresses of one domain stay addresses of one domain, under a name that is reserved.
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
-    ending = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
-    host = F.substr(domain, F.lit(1), F.char_length(domain) - F.char_length(ending))
-    email = F.concat(
-        _same_shape(local, digest), more, F.lit("@"), _same_shape(host, _digest(key, F.lit("domain"), domain)), ending
-    )
+    host = F.regexp_replace(domain, r"\.[^.]*$", "")
+    host = F.concat(_same_shape(host, _digest(key, F.lit("domain"), domain)), F.lit(".example"))
+    email = F.concat(_same_shape(local, digest), more, F.lit("@"), host)
     number = _same_shape(canon, digest)
     # A national number starts with 2 to 9.
     phone = F.concat((F.pmod(_number(digest, F.lit(30)), F.lit(8)) + 2).cast("string"), F.substr(number, F.lit(2)))
