@@ -171,7 +171,7 @@ def _ascend(levels: int):
 
 def search(
     vectors: DataFrame,
-    is_query: Column,
+    is_query: Column | str,
     trees: int = TREES,
     levels: int = LEVELS,
     candidates: int = CANDIDATES,

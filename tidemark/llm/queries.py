@@ -151,8 +151,6 @@ def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_neighbours")
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every fiftieth vector."""
-    from pyspark.sql import functions as F
-
     from tidemark.llm import neighbours
 
-    return neighbours.search(table(spark, sf_dir, "embeddings"), F.pmod(F.col("id"), F.lit(50)) == 0)
+    return neighbours.search(table(spark, sf_dir, "embeddings"), "pmod(id, 50) = 0")
