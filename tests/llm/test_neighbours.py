@@ -66,6 +66,17 @@ def test_forest_without_the_root(spark, monkeypatch):
     assert recall(got, brute(stored, lambda i: i % 50 == 0)) >= 0.9
 
 
+def test_ranges_at_every_level():
+    r = np.random.default_rng(5)
+    strings = np.sort(r.integers(0, 32**10, 5000))
+    wanted = strings[::50] ^ 3
+    for shared in range(0, 11):
+        width = 32 ** (10 - shared)
+        low, high = N._ranges(strings, wanted, np.full(len(wanted), shared, np.int32), 10)
+        same = [int((strings // width == w // width).sum()) for w in wanted]
+        assert (high - low).tolist() == same
+
+
 def test_odd_vectors_and_ties(spark):
     v = [1.0, 2.0, 0.0]
     rows = [(0, v), (50, [2.0, 4.0, 0.0]), (3, v), (2, v), (1, v), (4, v), (5, v), (6, v), (7, v), (8, [0.0, 0.0, 1.0]),

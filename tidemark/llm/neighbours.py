@@ -115,7 +115,7 @@ def entries(vectors: DataFrame, trees: int, levels: int, with_vectors: bool) ->
 
 def _ranges(strings: np.ndarray, wanted: np.ndarray, shared: np.ndarray, levels: int):
     """Range of the sorted strings that share the given number of symbols with the wanted."""
-    width = (2 * PROJECTED) ** (levels - shared)
+    width = (2 * PROJECTED) ** (levels - shared.astype(np.int64))
     low = wanted // width * width
     return np.searchsorted(strings, low), np.searchsorted(strings, low + width)
 
