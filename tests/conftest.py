@@ -23,13 +23,3 @@ def spark():
 @pytest.fixture(scope="session")
 def small():
     return SMALL
-
-
-@pytest.fixture(params=["one task", "chunks"])
-def both_plans(request, monkeypatch):
-    """Run a test with groups sorted in one task and again split into chunks."""
-    if request.param == "chunks":
-        from tidemark.operators import running
-
-        monkeypatch.setattr(running, "TASK_ROWS", 0)
-    return request.param

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.draws import poisson_draws, uniform
+from tidemark.functions.draws import poisson_draws, poisson_of, uniform
 from tidemark.functions.stats import chi2_tail, t_quantile
 from tidemark.operators import bootstrap as B
 from tidemark.operators import sampling, setops
@@ -21,9 +21,38 @@ def numbers(spark):
 
 def test_t_quantile_against_the_engine_library(spark):
     dist = spark._jvm.org.apache.commons.math3.distribution.TDistribution
-    for dof, tol in ((1, 1e-5), (5, 1e-5), (10, 2e-5), (40, 1e-6), (5000, 1e-6)):
-        got = spark.range(1).select(t_quantile(F.lit(dof), 0.95)).first()[0]
-        assert got == pytest.approx(dist(float(dof)).inverseCumulativeProbability(0.975), abs=tol)
+    for confidence in (0.5, 0.8, 0.95, 0.999):
+        exact = {dof: 1e-6 * dist(float(dof)).inverseCumulativeProbability(0.5 + confidence / 2) for dof in range(1, 10)}
+        for dof, tol in (exact | {10: 2e-3, 40: 1e-5, 5000: 1e-6}).items():
+            got = spark.range(1).select(t_quantile(F.lit(dof), confidence)).first()[0]
+            want = dist(float(dof)).inverseCumulativeProbability(0.5 + confidence / 2)
+            assert got == pytest.approx(want, abs=tol), (dof, confidence)
+
+
+def test_intervals_of_eight_rows_at_any_confidence(spark):
+    df = spark.createDataFrame([(float(v),) for v in range(8)], "x double")
+    mean, median = TH.mean_interval(df, ["x"], 0.8).first(), TH.median_interval(df, ["x"], 0.8).first()
+    breadth = 1.414924 * math.sqrt(6) / math.sqrt(8)
+    assert (mean.low, mean.high) == (pytest.approx(3.5 - breadth, abs=1e-5), pytest.approx(3.5 + breadth, abs=1e-5))
+    assert (median.low, median.high) == (1.0, 5.0)
+    bounds = TH.mean_interval(df, ["x"], 0.8)
+    metrics = spark.createDataFrame([("w", "x", 1e9)], "w string, column_name string, avg double")
+    assert TH.alerts(metrics, bounds, ["avg"], ["w"]).count() == 1
+
+
+def test_spread_of_large_values(spark):
+    df = spark.range(7).select("id", (F.lit(1.7e12) + F.col("id")).alias("x"))
+    got = [r.value for r in B.bootstrap(df, {"x": ["stddev"]}, 20, F.col("id")).collect()]
+    small = B.bootstrap(df.withColumn("x", F.col("id").cast("double")), {"x": ["stddev"]}, 20, F.col("id"))
+    assert sorted(got) == pytest.approx(sorted(r.value for r in small.collect()), rel=1e-6)
+
+
+def test_poisson_of_any_mean(spark):
+    for mean in (0.5, 3.0, 40.0, 99.0, 5000.0):
+        drawn = spark.range(4000).select(poisson_of(F.lit(mean), F.md5(F.col("id").cast("string")), 0).alias("k"))
+        row = drawn.agg(F.avg("k"), F.var_samp("k"), F.min("k")).first()
+        assert row[0] == pytest.approx(mean, abs=5 * math.sqrt(mean / 4000)) and row[2] >= 0
+        assert row[1] == pytest.approx(mean, rel=0.15)
 
 
 def test_chi2_tail_against_closed_forms():
@@ -106,15 +135,25 @@ def test_median_coverage_is_high_for_same_size(numbers):
     assert set(shares) == {200, 1000} and shares[1000] >= 0.8
 
 
-def test_large_samples_are_limited_before_the_shuffle(numbers):
-    samples = TH.fixed_size_samples(numbers, F.col("id"), [200, 6000], 3)
-    assert "WindowGroupLimit" in samples._jdf.queryExecution().executedPlan().toString()
+def test_large_samples_are_cut_before_the_shuffle(spark):
+    df = spark.range(60000)
+    samples = TH.fixed_size_samples(df, F.col("id"), [200, 2000], 3)
+    plan = samples._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange") :]
+    assert "_u" in below and "<" in below[below.index("Filter") :]
+    sizes = {(r.trial, r["size"]): r["count"] for r in samples.groupBy("trial", "size").count().collect()}
+    assert sizes == {(t, s): s for t in range(3) for s in (200, 2000)}
 
 
 def test_alerts(spark):
     metrics = spark.createDataFrame([("w1", "x", 5.0), ("w2", "x", 9.0), ("w3", "x", None)], "w string, column_name string, avg double")
     bounds = spark.createDataFrame([("avg", 0.95, "x", 4.0, 6.0)], "metric string, interval_width double, column_name string, low double, high double")
-    assert [r.w for r in TH.alerts(metrics, bounds, ["avg"], ["w"]).collect()] == ["w2"]
+    got = {r.w: r.reason for r in TH.alerts(metrics, bounds, ["avg"], ["w"]).collect()}
+    assert got == {"w2": "above", "w3": "no value"}
+    none = bounds.withColumns({"low": F.lit(None).cast("double"), "high": F.lit(None).cast("double")})
+    assert {r.reason for r in TH.alerts(metrics, none, ["avg"], ["w"]).collect()} == {"no bounds"}
+    open_ = TH.constant_limits([("avg", "x", 6.0, None)], spark)
+    assert [r.w for r in TH.alerts(metrics.where("avg is not null"), open_, ["avg"], ["w"]).collect()] == ["w1"]
 
 
 def test_split_is_disjoint_and_whole(numbers):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def saturday_week_start(d: Column) -> Column:
     """The Saturday on or before ``d``."""
-    return F.date_sub(F.trunc(F.date_add(d, 2), "WEEK"), 2)
+    return F.date_sub(F.next_day(d, "SAT"), 7)
 
 
 def within_days(d: Column, days: int, as_of: Column | None = None) -> Column:

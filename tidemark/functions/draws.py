@@ -7,11 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Cumulative probabilities of a Poisson(1) count of 0, 1, 2, ...
-POISSON_CDF = [
-    0.3678794412, 0.7357588823, 0.9196986029, 0.9810118431, 0.9963401532,
-    0.9994058152, 0.9999167589, 0.9999897508, 0.9999988748,
-]
+# Cumulative probabilities of a Poisson(1) count of 0, 1, 2, ..., 12: beyond, a step is
+# less than a 32-bit draw can tell.
+POISSON_CDF = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(13)]
 
 _PER_HASH = 4  # an md5 text holds four 32-bit draws
 
@@ -19,13 +17,54 @@ _PER_HASH = 4  # an md5 text holds four 32-bit draws
 def uniform(key: Column, number: Column | int = 0) -> Column:
     """Uniform in [0, 1) from the hash of ``key-number``."""
     number = F.lit(number) if isinstance(number, int) else number
-    text = F.md5(F.concat_ws("-", key.cast("string"), number.cast("string")))
-    return F.conv(F.substring(text, 1, 8), 16, 10).cast("double") / 4294967296.0
+    return _share(F.md5(F.concat_ws("-", key.cast("string"), number.cast("string"))), 0)
+
+
+def _share(text: Column, place: int) -> Column:
+    """The 32 bits at a place of a hash text as a number in [0, 1)."""
+    return F.conv(F.substring(text, 1 + 8 * place, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def uniforms(df: DataFrame, key: Column, count: int, to: str, number: str) -> DataFrame:
+    """Every row ``count`` times, with a uniform draw and its number; four draws a hash."""
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.lit((count - 1) // _PER_HASH)),
+        lambda b: F.md5(F.concat_ws("-", key.cast("string"), b.cast("string"))),
+    )
+    draws = F.flatten(F.transform(blocks, lambda h: F.array(*[_share(h, i) for i in range(_PER_HASH)])))
+    return df.select("*", F.posexplode(F.slice(draws, 1, count)).alias(number, to))
+
+
+# A Poisson count of a mean up to this is drawn from its distribution function; of a larger
+# mean, it is the rounded normal of the same mean and variance, whose skewness is less
+# than a tenth by then.
+LADDER_UPTO = 100
+_LADDER = 200
+
+
+def poisson_of(mean: Column, text: Column, place: int) -> Column:
+    """Poisson count of any mean from two 32-bit draws of a hash text."""
+    first, second = _share(text, 2 * place), _share(text, 2 * place + 1)
+    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("below"), F.lit(0).alias("count"))
+
+    def climb(state: Column, j: Column) -> Column:
+        p = state["p"] * mean / j
+        passed = (first >= state["below"]).cast("int")
+        return F.struct(p.alias("p"), (state["below"] + p).alias("below"), (state["count"] + passed).alias("count"))
+
+    ladder = F.aggregate(F.sequence(F.lit(1), F.lit(_LADDER)), start, climb, lambda s: s["count"])
+    # 1 - u is never 0.
+    normal = F.sqrt(-2 * F.log(1 - first)) * F.cos(2 * math.pi * second)
+    large = F.greatest(F.lit(0.0), F.round(mean + F.sqrt(mean) * normal))
+    return F.when(mean <= LADDER_UPTO, ladder.cast("long")).otherwise(large.cast("long"))
 
 
 def row_key(df: DataFrame) -> Column:
-    """The whole row as text, for tables without a unique key."""
-    return F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in df.columns])
+    """The whole row as text, for tables without a unique key; NULLs are told from empty texts.
+
+    Equal rows get equal keys, hence equal draws; give a unique key where that matters.
+    """
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
 
 
 def poisson(hex8: Column) -> Column:

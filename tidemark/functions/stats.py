@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from statistics import NormalDist
 
@@ -10,19 +11,38 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Two-sided quantiles of the t distribution for 1 to 9 degrees of
-# freedom, by confidence; the expansion below is used from 10 on.
-T_SMALL = {
-    0.9: [6.313752, 2.919986, 2.353363, 2.131847, 2.015048, 1.943180, 1.894579, 1.859548, 1.833113],
-    0.95: [12.706205, 4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624, 2.306004, 2.262157],
-    0.99: [63.656741, 9.924843, 5.840909, 4.604095, 4.032143, 3.707428, 3.499483, 3.355387, 3.249836],
-}
+# From so many degrees of freedom on, the expansion in 1/dof is used.
+EXPANSION_FROM = 10
+
+
+def t_share(t: float, dof: int) -> float:
+    """Share of the t distribution within -t..t, a finite sum for whole degrees of freedom."""
+    angle = math.atan(t / math.sqrt(dof))
+    cos2 = math.cos(angle) ** 2
+    term = total = 1.0
+    for k in range(1, (dof - 1) // 2 if dof % 2 else dof // 2):
+        term *= cos2 * ((2 * k) / (2 * k + 1) if dof % 2 else (2 * k - 1) / (2 * k))
+        total += term
+    if dof % 2 == 0:
+        return math.sin(angle) * total
+    return 2 / math.pi * (angle + (math.sin(angle) * math.cos(angle) * total if dof > 1 else 0.0))
+
+
+def t_exact(dof: int, confidence: float) -> float:
+    """Two-sided quantile by bisection."""
+    low, high = 0.0, 1.0
+    while t_share(high, dof) < confidence:
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if t_share(middle, dof) < confidence else (low, middle)
+    return high
 
 
 def t_quantile(dof: Column, confidence: float) -> Column:
     """Two-sided t quantile: Cornish-Fisher in 1/dof, exact values below 10.
 
-    NULL below one degree of freedom, and below 10 at a confidence without exact values.
+    NULL below one degree of freedom.
     """
     z = NormalDist().inv_cdf(0.5 + confidence / 2)
     g1 = (z**3 + z) / 4
@@ -31,13 +51,9 @@ def t_quantile(dof: Column, confidence: float) -> Column:
     g4 = (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160
     d = F.nullif(dof.cast("double"), F.lit(0.0))
     series = z + g1 / d + g2 / (d * d) + g3 / (d * d * d) + g4 / (d * d * d * d)
-    small = T_SMALL.get(round(confidence, 6))
-    exact = (
-        F.get(F.array(*[F.lit(v) for v in small]), dof.cast("int") - 1)
-        if small
-        else F.lit(None).cast("double")
-    )
-    return F.when(dof >= 10, series).when((dof >= 1) & (dof < 10), exact)
+    small = F.array(*[F.lit(t_exact(k, confidence)) for k in range(1, EXPANSION_FROM)])
+    exact = F.get(small, F.least(dof, F.lit(EXPANSION_FROM)).cast("int") - 1)
+    return F.when(dof >= EXPANSION_FROM, series).when(dof >= 1, exact)
 
 
 def ks_pvalue(statistic: Column, n1: Column, n2: Column) -> Column:
@@ -76,15 +92,14 @@ def chi2_tail(x: float, dof: float) -> float:
     b = h + 1 - a
     c, d = 1e300, 1 / b
     value = d
-    for i in range(1, 100_000):
+    for i in itertools.count(1):
         an = -i * (i - a)
         b += 2
         d = 1 / (an * d + b or 1e-300)
         c = b + an / c or 1e-300
         value *= d * c
-        if abs(d * c - 1) < 1e-16:
-            break
-    return scale * value
+        if abs(d * c - 1) < 1e-15:
+            return scale * value
 
 
 @F.pandas_udf(T.DoubleType())

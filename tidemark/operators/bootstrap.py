@@ -3,28 +3,29 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col
-from tidemark.functions.draws import poisson_draws
+from tidemark.functions.draws import poisson_draws, poisson_of
 from tidemark.operators.counts import long_values
 
 STATS = ("avg", "stddev", "percent_zeros", "avg_length", "percent_null")
 
 
-def weighted_stat(stat: str, c: Column, w: Column) -> Column:
-    """A statistic of ``c`` in which each row counts ``w`` times."""
+def weighted_stat(stat: str, c: Column, w: Column, anchor: float | None = None) -> Column:
+    """A statistic of ``c`` in which each row counts ``w`` times.
+
+    Squares are taken from ``anchor``, a value near the mean, so large values do not cancel.
+    """
     here = F.when(c.isNotNull(), w)
     n = F.nullif(F.sum(here).cast("double"), F.lit(0.0))
     if stat == "avg":
         return F.sum(w * c) / n
     if stat == "stddev":
-        x = c.cast("double")
+        x = c.cast("double") - F.lit(anchor or 0.0)
         mean_square = F.sum(w * x) * F.sum(w * x) / n
         spread = F.greatest(F.lit(0.0), F.sum(w * x * x) - mean_square)
         return F.sqrt(spread / F.nullif(n - 1, F.lit(0.0)))
@@ -39,6 +40,15 @@ def weighted_stat(stat: str, c: Column, w: Column) -> Column:
     raise ValueError(f"no bootstrap for {stat!r}")
 
 
+def anchors(df: DataFrame, column_stats: Mapping[str, Sequence[str]]) -> dict[str, float]:
+    """Means of the columns whose spread is wanted: one row from one aggregate."""
+    names = [c for c, stats in column_stats.items() if "stddev" in stats]
+    if not names:
+        return {}
+    row = df.agg(*[F.avg(col(c)).cast("double").alias(f"a{i}") for i, c in enumerate(names)]).first()
+    return {c: row[i] for i, c in enumerate(names)}
+
+
 def bootstrap(
     df: DataFrame, column_stats: Mapping[str, Sequence[str]], replicates: int, key: Column
 ) -> DataFrame:
@@ -48,10 +58,11 @@ def bootstrap(
     and task however large the table is.
     """
     wanted = [(c, s) for c, stats in column_stats.items() for s in stats]
+    anchor = anchors(df, column_stats)
     drawn = poisson_draws(df.select(*[col(c) for c in column_stats], key.alias("_k")), F.col("_k"), replicates)
     w = F.col("weight")
     wide = drawn.groupBy("replicate").agg(
-        *[weighted_stat(s, col(c), w).alias(f"s{i}") for i, (c, s) in enumerate(wanted)]
+        *[weighted_stat(s, col(c), w, anchor.get(c)).alias(f"s{i}") for i, (c, s) in enumerate(wanted)]
     )
     cells = F.array(
         *[
@@ -87,27 +98,18 @@ def resample_counts(counts: DataFrame, replicates: int, seed: int = 0) -> DataFr
     """The same distribution from value counts instead of rows.
 
     The weights of n equal rows add up to one Poisson(n) draw, so the work depends on
-    the number of distinct values and not on the number of rows.  The draw is seeded by
-    the value, so a task that runs again draws the same.
+    the number of distinct values and not on the number of rows.  A draw follows from the
+    seed, the value and the number of the replicate; a hash serves two replicates.
     """
-    hashed = counts.select(
-        "column_name", "num", "txt", "n", F.xxhash64(F.lit(seed), "column_name", "num", "txt").alias("_seed")
+    value = F.coalesce("txt", F.col("num").cast("string"))
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.lit((replicates - 1) // 2)),
+        lambda b: F.md5(F.concat_ws("-", F.lit(str(seed)), "column_name", value, b.cast("string"))),
     )
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            size = len(pdf)
-            weights = np.empty((size, replicates), dtype=np.int64)
-            for i, (n, s) in enumerate(zip(pdf["n"], pdf["_seed"])):
-                weights[i] = np.random.Generator(np.random.Philox(key=s & (2**64 - 1))).poisson(
-                    n, replicates
-                )
-            for r in range(replicates):
-                out = pdf[["column_name", "num", "txt"]].assign(replicate=r, n=weights[:, r])
-                yield out[out["n"] > 0]
-
-    schema = "column_name string, num double, txt string, replicate int, n long"
-    return hashed.mapInPandas(draw, schema).select("replicate", "column_name", "num", "txt", "n")
+    mean = F.col("n").cast("double")
+    draws = F.flatten(F.transform(blocks, lambda h: F.array(poisson_of(mean, h, 0), poisson_of(mean, h, 1))))
+    drawn = counts.select("column_name", "num", "txt", F.posexplode(F.slice(draws, 1, replicates)).alias("replicate", "n"))
+    return drawn.where(F.col("n") > 0).select("replicate", "column_name", "num", "txt", "n")
 
 
 def percentile_interval(

@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.columns import col
-from tidemark.operators.running import running_totals, value_at_rank
+from tidemark.operators.running import GROUP_ID, named, running_by_group, value_at_rank
 
 
-def value_struct(name: str, data_type: T.DataType) -> Column:
+def value_struct(name: str, data_type: T.DataType, source: str | None = None) -> Column:
     """``(column_name, num, txt)``: numbers as double, anything else as text.
 
     Longs and decimals carry their text too, since a double cannot tell every pair of
-    them apart.
+    them apart.  ``source`` is the name the column goes by, if it is another one.
     """
-    c = col(name)
+    c = col(source or name)
     none_num, none_txt = F.lit(None).cast("double"), F.lit(None).cast("string")
     if isinstance(data_type, (T.LongType, T.DecimalType)):
         num, txt = c.cast("double"), c.cast("string")
@@ -31,28 +31,31 @@ def value_struct(name: str, data_type: T.DataType) -> Column:
     return F.struct(F.lit(name).alias("column_name"), num.alias("num"), txt.alias("txt"))
 
 
-def long_values(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """One row per input row and column: ``keys, column_name, num, txt``."""
+def long_values(
+    rows: DataFrame, keys: Sequence[str], columns: Sequence[str], source: Callable[[str], str] = str
+) -> DataFrame:
+    """One row per input row and column: ``keys, column_name, num, txt``.
+
+    ``source`` gives the name that a column goes by in ``rows``.
+    """
     types = {f.name: f.dataType for f in rows.schema.fields}
-    cells = F.array(*[value_struct(c, types[c]) for c in columns])
+    cells = F.array(*[value_struct(c, types[source(c)], source(c)) for c in columns])
     return rows.select(*keys, F.explode(cells).alias("_cell")).select(*keys, "_cell.*")
 
 
-def value_counts(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def value_counts(
+    rows: DataFrame, keys: Sequence[str], columns: Sequence[str], source: Callable[[str], str] = str
+) -> DataFrame:
     """Rows per (keys, column, value); NULLs are left out.
 
     Rows of one hot value are summed on the map side, so its group reaches the shuffle
     as one row per task.
     """
-    cells = long_values(rows, keys, columns)
+    cells = long_values(rows, keys, columns, source)
     present = cells.where(F.col("num").isNotNull() | F.col("txt").isNotNull())
     return present.groupBy(*keys, "column_name", "num", "txt").agg(F.count("*").alias("n"))
 
 
-def distinct_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return counts.groupBy(*keys, "column_name").agg(F.count("*").alias("distinct_count"))
-
-
 def medians(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Discrete median of the numeric columns: the value at rank ceil(n/2)."""
     numbers = counts.where(F.col("num").isNotNull())
@@ -60,15 +63,12 @@ def medians(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return value_at_rank(numbers, [*keys, "column_name"], "num", "n", {"median": half})
 
 
-def distinct_and_median(
-    counts: DataFrame, keys: Sequence[str], stored: bool = False
-) -> DataFrame:
-    """Both of the above, from one pass over the counts."""
+def distinct_and_median(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Both of the above, from one pass over written counts."""
     by = [*keys, "column_name"]
-    running = running_totals(counts, by, "num", ["n"], unordered=["txt"], stored=stored)
-    return running.groupBy(*by).agg(
+    running = running_by_group(counts, by, "num", ["n"], unordered=["txt"])
+    found = running.groupBy(GROUP_ID).agg(
         F.count("*").alias("distinct_count"),
-        F.min(F.when(F.col("n_running") >= F.ceil(F.col("n_total") / 2), F.col("num"))).alias(
-            "median"
-        ),
+        F.min(F.when(F.col("n_running") >= F.ceil(F.col("n_total") / 2), F.col("num"))).alias("median"),
     )
+    return named(found, counts, by)

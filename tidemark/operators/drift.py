@@ -11,7 +11,7 @@ from tidemark.functions.columns import join_null_safe, same_keys
 from tidemark.functions.stats import chi2_pvalue, ks_pvalue
 from tidemark.functions.templates import render
 from tidemark.operators.profile import GROUP
-from tidemark.operators.running import CHUNK, chunk_offsets, chunked, fits_in_task
+from tidemark.operators.running import CHUNK, GROUP_ID, chunk_offsets, chunked, group_id, named, within_chunk
 from tidemark.session import materialize
 from tidemark.spec import BASELINE, CONSECUTIVE, MonitorSpec
 
@@ -47,97 +47,51 @@ def ks_statistics(
 ) -> DataFrame:
     """Largest distance of two empirical distribution functions per ``cur_keys``.
 
-    ``cur`` and ``base`` are value counts (``num``, ``n``); ``cur_keys`` extends
+    ``cur`` and ``base`` are written value counts (``num``, ``n``); ``cur_keys`` contains
     ``base_keys``.  Between two current values the current function is flat and the
     base one only grows, so looking at each current value from both sides finds the
     maximum; the base is never copied per window.
     """
-    extra = [k for k in cur_keys if k not in base_keys]
-    types = {f.name: f.dataType for f in cur.schema.fields}
-    zero = F.lit(0).cast("long")
+    zero, no_id = F.lit(0).cast("long"), F.lit(None).cast("long")
     both = cur.select(
-        *cur_keys, "num", F.col("n").alias("n_cur"), zero.alias("n_base"), F.lit(True).alias("_cur")
+        group_id(base_keys).alias("_base"), group_id(cur_keys).alias("_cur"), "num", F.col("n").alias("n_cur"), zero.alias("n_base")
     ).unionByName(
         base.select(
-            *base_keys,
-            *[F.lit(None).cast(types[k]).alias(k) for k in extra],
-            "num",
-            zero.alias("n_cur"),
-            F.col("n").alias("n_base"),
-            F.lit(False).alias("_cur"),
+            group_id(base_keys).alias("_base"), no_id.alias("_cur"), "num", zero.alias("n_cur"), F.col("n").alias("n_base")
         )
-    )
-    gap = F.abs(_share("base") - _share("cur"))
-    if not fits_in_task(base_keys, cur, base):
-        placed = _place_in_chunks(both, list(base_keys), list(cur_keys))
-    elif extra:
-        placed = _place_in_task(both, list(base_keys), list(cur_keys))
-    else:
-        placed = _place_pairs(both, list(cur_keys))
-    if "base_here" in placed.columns:
-        placed = placed.where("_cur")
-        gap = F.greatest(gap, F.abs(_share("base", "base_here") - _share("cur", "cur_here")))
-    return (
-        placed.where((F.col("base_total") > 0) & (F.col("cur_total") > 0))
-        .groupBy(*cur_keys)
+    )
+    parts = chunked(both, "_base", "num")
+    mine = parts.where("_cur IS NOT NULL")
+    rows = _sums(_sums(parts, "base", "_base").where("_cur IS NOT NULL"), "cur", "_cur")
+    rows = rows.join(chunk_offsets(mine, "_cur", ["n_cur"]), ["_cur", CHUNK])
+    rows = rows.join(chunk_offsets(parts, "_base", ["n_base"]), ["_base", CHUNK])
+    here = F.abs(_share("base") - _share("cur"))
+    left = F.abs(_share("base", "base_here") - _share("cur", "cur_here"))
+    found = (
+        rows.where((F.col("n_base_total") > 0) & (F.col("n_cur_total") > 0))
+        .groupBy(F.col("_cur").alias(GROUP_ID))
         .agg(
-            F.max(gap).alias("ks_statistic"),
-            F.max("cur_total").alias("_n1"),
-            F.max("base_total").alias("_n2"),
+            F.max(F.greatest(here, left)).alias("ks_statistic"),
+            F.max("n_cur_total").alias("_n1"),
+            F.max("n_base_total").alias("_n2"),
         )
         .withColumn("ks_pvalue", ks_pvalue(F.col("ks_statistic"), F.col("_n1"), F.col("_n2")))
         .drop("_n1", "_n2")
     )
+    return named(found, cur, cur_keys)
 
 
 def _share(side: str, without: str | None = None) -> Column:
     """Value of the distribution function, or its limit from the left."""
-    upto = F.col(f"{side}_upto")
-    return (upto - F.col(without) if without else upto) / F.col(f"{side}_total")
-
-
-def _place_pairs(both: DataFrame, keys: list[str]) -> DataFrame:
-    """One base per current group: both sides run along one sort, at every value."""
-    group = Window.partitionBy(*keys)
-    upto = group.orderBy("num").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumns(
-        {f"{s}_upto": F.sum(f"n_{s}").over(upto) for s in ("base", "cur")}
-        | {f"{s}_total": F.sum(f"n_{s}").over(group) for s in ("base", "cur")}
-    )
-
-
-def _sums(side: str, keys: Sequence[str]) -> dict[str, Column]:
-    """``<side>_upto`` up to this value and ``<side>_here`` at it, equal values together."""
-    order = Window.partitionBy(*keys).orderBy("num")
-    n = F.sum(f"n_{side}")
-    return {
-        f"{side}_upto": n.over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
-        f"{side}_here": n.over(order.rangeBetween(Window.currentRow, Window.currentRow)),
-    }
-
-
-def _place_in_task(both: DataFrame, base_keys: list[str], cur_keys: list[str]) -> DataFrame:
-    """One shuffle by the base keys serves both sides."""
-    per_cur = [*cur_keys, "_cur"]
-    out = both.withColumns(
-        _sums("base", base_keys) | {"base_total": F.sum("n_base").over(Window.partitionBy(*base_keys))}
-    )
-    return out.withColumns(
-        _sums("cur", per_cur) | {"cur_total": F.sum("n_cur").over(Window.partitionBy(*per_cur))}
-    )
+    upto = F.col(f"n_{side}_before") + F.col(f"{side}_upto")
+    return (upto - F.col(without) if without else upto) / F.col(f"n_{side}_total")
 
 
-def _place_in_chunks(both: DataFrame, base_keys: list[str], cur_keys: list[str]) -> DataFrame:
-    """The same for large groups: sums within chunks plus the totals of earlier chunks."""
-    parts = chunked(both, base_keys, "num")
-    out = parts.withColumns(_sums("base", [*base_keys, CHUNK])).where("_cur")
-    out = out.withColumns(_sums("cur", [*cur_keys, CHUNK]))
-    cur_off = chunk_offsets(parts.where("_cur"), cur_keys, ["n_cur"])
-    out = join_null_safe(out, cur_off, [*cur_keys, CHUNK])
-    out = join_null_safe(out, chunk_offsets(parts, base_keys, ["n_base"]), [*base_keys, CHUNK])
-    return out.withColumns(
-        {f"{s}_upto": F.col(f"{s}_upto") + F.col(f"n_{s}_before") for s in ("base", "cur")}
-        | {f"{s}_total": F.col(f"n_{s}_total") for s in ("base", "cur")}
+def _sums(parts: DataFrame, side: str, group: str) -> DataFrame:
+    """Add ``<side>_upto``, the chunk's sum up to this value, and ``<side>_here`` at it."""
+    peers = Window.partitionBy(group, CHUNK).orderBy("num").rangeBetween(Window.currentRow, Window.currentRow)
+    return parts.withColumns(
+        {f"{side}_upto": within_chunk(group, "num", f"n_{side}"), f"{side}_here": F.sum(f"n_{side}").over(peers)}
     )
 
 

@@ -76,20 +76,27 @@ def delete_where(df: DataFrame, predicate: str) -> DataFrame:
     return df.where(~F.coalesce(F.expr(predicate), F.lit(False)))
 
 
+def conflicting_labels(labels: DataFrame, id_cols: Sequence[str], label_col: str) -> DataFrame:
+    """Ids that are given more than one label."""
+    given = labels.where(col(label_col).isNotNull()).groupBy(*[col(c) for c in id_cols])
+    return given.agg(F.min(col(label_col)).alias("a"), F.max(col(label_col)).alias("b")).where("a != b")
+
+
 def log_labels(
-    logged: DataFrame, labels: DataFrame, id_cols: Sequence[str], label_col: str
+    logged: DataFrame, labels: DataFrame, id_cols: Sequence[str], label_col: str, only: str | None = None
 ) -> DataFrame:
     """Fill labels that arrive late; ids not in ``logged`` are ignored.
 
-    ``_updated`` marks the rows that got a label.
+    An id may be given several times; of different labels the largest counts, a NULL label
+    is none.  ``only`` is a condition on the rows that may get a label.  ``_updated`` marks
+    the rows whose label changed.
     """
-    new = labels.select(
-        *[col(c) for c in id_cols], col(label_col).alias("_new"), F.lit(True).alias("_updated")
-    )
-    joined = logged.join(new, list(id_cols), "left")
+    given = labels.where(col(label_col).isNotNull()).groupBy(*[col(c) for c in id_cols])
+    joined = logged.join(given.agg(F.max(col(label_col)).alias("_new")), list(id_cols), "left")
     old = col(label_col) if label_col in logged.columns else F.lit(None)
-    filled = joined.withColumn(label_col, F.coalesce(F.col("_new"), old))
-    return filled.withColumn("_updated", F.coalesce("_updated", F.lit(False))).drop("_new")
+    wanted = F.col("_new").isNotNull() & (F.coalesce(F.expr(only), F.lit(False)) if only else F.lit(True))
+    marked = joined.withColumn("_updated", wanted & ~old.eqNullSafe(F.col("_new")))
+    return marked.withColumn(label_col, F.when(F.col("_updated"), F.col("_new")).otherwise(old)).drop("_new")
 
 
 def updated_count(filled: DataFrame) -> DataFrame:

@@ -13,10 +13,13 @@ from tidemark.operators.counts import value_counts
 # Fixed list: the date and time layouts that count as a date.
 DATETIME_FORMATS = [
     "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]",
     "yyyy/MM/dd",
     "MM/dd/yyyy",
+    "d MMM yyyy",
+    "MMM d, yyyy",
+    "d MMMM yyyy",
 ]
 
 # Cardinality limits for numbers that may be codes.

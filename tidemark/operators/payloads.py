@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import spread
-
 PREDICTIONS = "predictions"
 
 # Fixed names of the payload keys; the first one present decides the shape.
@@ -47,7 +45,8 @@ def _quoted(text: Column) -> Column:
 def record_array(payload: Column, prediction_col: str = PREDICTIONS) -> Column:
     """Payload text of any accepted shape as the text of a JSON record array.
 
-    Another object gives an empty array; text that is no JSON object stays as it is.
+    Another object gives an empty array; text that is no JSON object stays as it is.  Of a
+    repeated key the last value counts.
     """
     p = F.from_json(payload, _SHAPES)
     split = F.transform(p["data"], lambda row: _object(p["columns"], row))
@@ -78,7 +77,8 @@ def record_array(payload: Column, prediction_col: str = PREDICTIONS) -> Column:
         predictions,
         F.array().cast("array<string>"),
     )
-    is_object = F.ltrim(payload).startswith("{") & F.try_parse_json(payload).isNotNull()
+    # Keys of the outermost object; of anything else there are none.
+    is_object = F.json_object_keys(payload).isNotNull()
     return F.when(is_object, F.concat(F.lit("["), F.array_join(records, ","), F.lit("]"))).otherwise(
         payload
     )
@@ -114,7 +114,7 @@ def process_requests(
     processing a log row again gives the same ids.
     """
     response = T.StructType([response_field])
-    unpacked = spread(raw).withColumns(
+    unpacked = raw.withColumns(
         {
             "request": typed_records(F.col("request"), request_fields, response_field.name),
             "response": typed_records(F.col("response"), response, response_field.name),

@@ -14,7 +14,7 @@ from tidemark.operators.counts import distinct_and_median, value_counts
 from tidemark.operators.quality import quality_metrics
 from tidemark.operators.slices import slice_pairs
 from tidemark.operators.windows import no_window, snapshot_window, window_of
-from tidemark.session import materialize, spread
+from tidemark.session import materialize
 from tidemark.spec import ALL_STAGES, BASELINE, INPUT, TABLE, InferenceLog, MonitorSpec
 
 GROUP = ["granularity", "window", "model_version", "model_stage", "slice_key", "slice_value"]
@@ -44,10 +44,25 @@ def analysed_columns(df: DataFrame, spec: MonitorSpec) -> list[str]:
     return [c for c in df.columns if c not in skipped]
 
 
+def inner(name: str) -> str:
+    """Name of a monitored column among the grouped rows, apart from the group's own."""
+    return f"_col_{name}" if name in GROUP or name.startswith("_") else name
+
+
+def _inner_col(name: str) -> Column:
+    return col(inner(name))
+
+
 def _optional(name: str | None) -> Column:
     return col(name).cast("string") if name else F.lit(None).cast("string")
 
 
+def _log_columns(spec: MonitorSpec) -> list[str]:
+    """Prediction and label of an inference log."""
+    a = spec.analysis
+    return [c for c in (a.prediction_col, a.label_col) if c] if isinstance(a, InferenceLog) else []
+
+
 def group_rows(
     df: DataFrame,
     spec: MonitorSpec,
@@ -58,11 +73,10 @@ def group_rows(
     """Rows tagged with every group they belong to.
 
     Granularities, stages and slices are crossed into one array, so a row is expanded by
-    a single generator.  Baseline rows have no window.  ``only_windows``
+    a single generator.  Columns go by their ``inner`` names.  Baseline rows have no window.  ``only_windows``
     (``granularity, window``) keeps the rows of those windows.
     """
     a = spec.analysis
-    df = spread(df)
     ts = spec.timestamp_col
     stage = getattr(a, "model_stage_col", None)
     if log_type == BASELINE:
@@ -74,8 +88,7 @@ def group_rows(
         windows = [(F.lit(g), window_of(col(ts), g)) for g in spec.granularities]
         df = df.where(col(ts).isNotNull())
     kept = analysed_columns(df, spec)
-    if isinstance(a, InferenceLog):
-        kept += [c for c in (a.prediction_col, a.label_col) if c and c not in kept]
+    kept += [c for c in _log_columns(spec) if c not in kept]
     for metric in spec.metrics_of("aggregate"):
         if TABLE in metric.input_columns:  # free text: any column may be named in it
             kept = kept + [c for c in df.columns if c not in kept]
@@ -100,16 +113,16 @@ def group_rows(
             for j, (key, _) in enumerate(pieces)
         ]
     )
-    placed = df.select(*[col(c) for c in kept], *[e.alias(n) for n, e in once.items()])
+    placed = df.select(*[col(c).alias(inner(c)) for c in kept], *[e.alias(n) for n, e in once.items()])
     tagged = placed.select(
-        *[col(c) for c in kept], F.col("_version"), F.explode(groups).alias("_group")
+        *[_inner_col(c) for c in kept], F.col("_version"), F.explode(groups).alias("_group")
     )
     rows = tagged.select(
         F.col("_group.granularity").alias("granularity"),
         F.col("_group.window").alias("window"),
         F.col("_version").alias("model_version"),
         *[F.col(f"_group.{k}").alias(k) for k in GROUP[3:]],
-        *[col(c) for c in kept if c not in GROUP],
+        *[_inner_col(c) for c in kept],
     )
     if only_windows is not None:
         rows = join_null_safe(rows, only_windows, ["granularity", "window"], "left_semi")
@@ -117,7 +130,7 @@ def group_rows(
 
 
 def _column_aggregates(name: str, data_type: T.DataType, exact: bool) -> dict[str, Column]:
-    c = col(name)
+    c = _inner_col(name)
     out: dict[str, Column] = {"count": F.count("*"), "num_nulls": F.count_if(c.isNull())}
     if isinstance(data_type, T.NumericType):
         out["min"] = F.min(c).cast("double")
@@ -142,15 +155,17 @@ def wide_aggregates(
 
     Returns the frame, the metric-to-column map per profiled column, and metric types.
     """
-    types = {f.name: f.dataType for f in rows.schema.fields}
+    named = {f.name: f.dataType for f in rows.schema.fields}
+    types = {c: named[inner(c)] for c in columns}
     metric_types = dict(_BASE_METRICS)
     if not spec.exact:
         metric_types |= _SKETCH_METRICS
     placed: dict[str, dict[str, str]] = {TABLE: {"count": "t__count", "non_null_columns": "t__filled"}}
     aggs = [F.count("*").alias("t__count")]
-    filled = sum((F.when(F.count(col(c)) > 0, 1).otherwise(0) for c in columns), F.lit(0))
+    filled = sum((F.when(F.count(_inner_col(c)) > 0, 1).otherwise(0) for c in columns), F.lit(0))
     aggs.append(filled.alias("t__filled"))
-    for name, expr in quality_metrics(spec.analysis).items():
+    of_log = {c: named[inner(c)] for c in _log_columns(spec)}
+    for name, expr in quality_metrics(spec.analysis, of_log, _inner_col).items():
         metric_types[name] = "double"
         placed[TABLE][name] = f"t__{name}"
         aggs.append(expr.alias(f"t__{name}"))
@@ -162,7 +177,7 @@ def wide_aggregates(
     for k, m in enumerate(spec.metrics_of("aggregate")):
         metric_types[m.metric_name] = m.output_type
         for c in m.input_columns:
-            text = render(m.metric_definition, column_name=c)
+            text = render(m.metric_definition, column_name=c if c == TABLE else inner(c))
             placed.setdefault(c, {})[m.metric_name] = f"m{k}__{len(aggs)}"
             aggs.append(F.expr(text).cast(m.output_type).alias(placed[c][m.metric_name]))
     return rows.groupBy(*GROUP).agg(*aggs), placed, metric_types
@@ -196,7 +211,7 @@ def to_long(
 def add_exact_metrics(long: DataFrame, counts: DataFrame) -> DataFrame:
     """Join exact distinct counts and medians, from written counts, to the long rows."""
     by = [*GROUP, "column_name"]
-    long = join_null_safe(long, distinct_and_median(counts, GROUP, stored=True), by, "left")
+    long = join_null_safe(long, distinct_and_median(counts, GROUP), by, "left")
     distinct = F.when(
         F.col("column_name") != TABLE, F.coalesce(F.col("distinct_count"), F.lit(0))
     )
@@ -250,7 +265,7 @@ def aggregate_metrics(
     long = to_long(wide, placed, metric_types, data_types)
     if spec.exact:
         if counts is None:
-            counts = materialize(value_counts(rows, GROUP, columns), "counts")
+            counts = materialize(value_counts(rows, GROUP, columns, inner), "counts")
         long = add_exact_metrics(long, counts)
     return long.withColumn("log_type", F.lit(log_type))
 
@@ -264,4 +279,4 @@ def group_value_counts(
 ) -> DataFrame:
     """Value counts of every analysed column in every group of ``df``."""
     rows = group_rows(df, spec, log_type, as_of, only_windows)
-    return value_counts(rows, GROUP, analysed_columns(df, spec))
+    return value_counts(rows, GROUP, analysed_columns(df, spec), inner)

@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.columns import col
 from tidemark.operators.running import running_totals
+from tidemark.session import materialize
 from tidemark.spec import Analysis, InferenceLog
 
 
-def quality_metrics(analysis: Analysis) -> dict[str, Column]:
-    """Aggregates for the table-level row; rows without a label do not count."""
+def quality_metrics(
+    analysis: Analysis, types: Mapping[str, T.DataType], column: Callable[[str], Column] = col
+) -> dict[str, Column]:
+    """Aggregates for the table-level row; rows without a label do not count.
+
+    ``types`` are those of the table's columns; ``column`` refers to one of them.
+    """
     if not isinstance(analysis, InferenceLog) or analysis.label_col is None:
         return {}
-    pred, label = col(analysis.prediction_col), col(analysis.label_col)
+    pred, label = column(analysis.prediction_col), column(analysis.label_col)
     both = label.isNotNull() & pred.isNotNull()
     if analysis.problem_type == "classification":
-        hit = (pred.cast("string") == label.cast("string")).cast("int")
+        # Numbers are compared as numbers, so 1.0 hits 1; anything else as text.
+        sides = (analysis.prediction_col, analysis.label_col)
+        kind = "double" if all(isinstance(types[c], T.NumericType) for c in sides) else "string"
+        hit = (pred.cast(kind) == label.cast(kind)).cast("int")
         return {"accuracy_score": F.avg(F.when(both, hit))}
     error = pred.cast("double") - label.cast("double")
     mse = F.avg(F.when(both, error * error))
@@ -66,7 +76,7 @@ def roc_curve(scored: DataFrame, score: str, label: str, keys: Sequence[str] = (
     Positives and negatives are accumulated in chunks of the score range, so no group
     has to be sorted in one task.
     """
-    points = _score_counts(scored, score, label, keys)
+    points = materialize(_score_counts(scored, score, label, keys), "scores")
     curve = running_totals(points, keys, "_down", ["pos", "neg"])
     return curve.select(
         *keys,

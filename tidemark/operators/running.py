@@ -1,10 +1,10 @@
-"""Running totals, also over groups too large for one task.
+"""Running totals over groups of any size, by one plan.
 
-A plain window sorts a whole group in one task.  That is the shorter plan while the
-largest group is small, which is checked.  Beyond that the rows are range-partitioned by
-(group, value) into chunks, each chunk is summed on its own, and the totals of the chunks
-before it are added: a group holding a third of all rows is spread over as many tasks as
-there are chunks.
+Rows are range-partitioned by (group, value) into chunks, each chunk is summed on its own,
+and the totals of the chunks before it are added: a group holding a third of all rows is
+spread over as many tasks as there are chunks, and small inputs are one chunk.  A group is
+known by a 64-bit number meanwhile; its key columns, a small table, are joined back at the
+end.
 """
 
 from __future__ import annotations
@@ -14,103 +14,118 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import join_null_safe
+from tidemark.functions.columns import col
 from tidemark.session import materialize
 
 CHUNK = "_chunk"
-# Rows of one group that a single task may sort.
-TASK_ROWS = 1 << 20
+GROUP_ID = "_gid"
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("rows"))
-    return sizes.agg(F.max("rows")).first()[0] or 0
+def group_id(keys: Sequence[str]) -> Column:
+    """64-bit number of a group; without keys there is one group."""
+    return F.xxhash64(*[col(k) for k in keys]) if keys else F.lit(0).cast("long")
 
 
-def fits_in_task(keys: Sequence[str], *frames: DataFrame) -> bool:
-    """Whether every group of the frames together is small enough for one task."""
-    return sum(largest_group(df, keys) for df in frames) <= TASK_ROWS
+def group_table(df: DataFrame, keys: Sequence[str], name: str = GROUP_ID) -> DataFrame:
+    """The number and the key columns of every group: as large as the metric table."""
+    groups = df.select(group_id(keys).alias(name), *[col(k) for k in keys]).distinct()
+    return materialize(groups, "groups")
 
 
-def chunked(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
-    """Range-partition by keys and order columns and record the partition as a column.
+def chunked(df: DataFrame, *order: str) -> DataFrame:
+    """Range-partition by the columns and record the partition as a column.
 
     Rows equal in all of them stay together.  The result is written out because the range
-    bounds come from a sample: both readers must see the same chunks.
+    bounds come from a sample: all readers must see the same chunks.  It is read back with
+    one task per chunk, so windows and sums within chunks need no further shuffle.
     """
-    ranged = df.repartitionByRange(*[F.col(k) for k in (*keys, *order)])
-    return materialize(ranged.withColumn(CHUNK, F.spark_partition_id()), "chunks")
-
-
-def chunk_offsets(parts: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """Per (keys, chunk): each measure before the chunk and over the whole group."""
-    sums = parts.groupBy(*keys, CHUNK).agg(*[F.sum(m).alias(m) for m in measures])
-    group = Window.partitionBy(*keys)
-    before = group.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    return sums.select(
-        *keys,
-        CHUNK,
-        *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"{m}_before") for m in measures],
-        *[F.sum(m).over(group).alias(f"{m}_total") for m in measures],
+    ranged = df.repartitionByRange(*[F.col(c) for c in order])
+    parts = materialize(ranged.withColumn(CHUNK, F.spark_partition_id()), "chunks")
+    return parts.repartition(CHUNK)
+
+
+def chunk_offsets(parts: DataFrame, group: str, measures: Sequence[str]) -> DataFrame:
+    """Per (group, chunk): each measure before the chunk and over the whole group.
+
+    A row per group and chunk; written, so that its size is known to the join.
+    """
+    sums = parts.groupBy(group, CHUNK).agg(*[F.sum(m).alias(m) for m in measures])
+    whole = Window.partitionBy(group)
+    before = whole.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    return materialize(
+        sums.select(
+            group,
+            CHUNK,
+            *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"{m}_before") for m in measures],
+            *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures],
+        ),
+        "offsets",
     )
 
 
-def running_within_chunk(keys: Sequence[str], order_col: str, measure: str) -> Column:
+def within_chunk(group: str, order_col: str, measure: str) -> Column:
     """Sum up to and including all rows with the same value, inside one chunk."""
-    w = (
-        Window.partitionBy(*keys, CHUNK)
-        .orderBy(order_col)
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return F.sum(measure).over(w)
+    order = Window.partitionBy(group, CHUNK).orderBy(order_col)
+    return F.sum(measure).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
 
 
-def running_totals(
-    df: DataFrame,
-    keys: Sequence[str],
-    order_col: str,
-    measures: Sequence[str],
-    unordered: Sequence[str] = (),
-    stored: bool = False,
+def running_by_group(
+    df: DataFrame, keys: Sequence[str], order_col: str, measures: Sequence[str], unordered: Sequence[str] = ()
 ) -> DataFrame:
-    """Add ``<m>_running`` (cumulative, peers included) and ``<m>_total`` per group.
+    """``_gid``, order column, measures, ``<m>_running`` (peers included), ``<m>_total``.
 
     ``unordered`` names further value columns of rows whose ``order_col`` is NULL, so
     that these are spread over chunks too; such rows get no meaningful running total.
-    ``stored`` says that ``df`` is already a written table and cheap to read twice.
     """
-    df = df if stored else materialize(df, "counts")
-    if fits_in_task(keys, df):
-        group = Window.partitionBy(*keys)
-        upto = group.orderBy(order_col).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumns(
-            {f"{m}_running": F.sum(m).over(upto) for m in measures}
-            | {f"{m}_total": F.sum(m).over(group) for m in measures}
-        )
-    parts = chunked(df, keys, order_col, *unordered)
-    local = parts.withColumns({f"{m}_local": running_within_chunk(keys, order_col, m) for m in measures})
-    joined = join_null_safe(local, chunk_offsets(parts, keys, measures), [*keys, CHUNK])
-    joined = joined.withColumns(
-        {f"{m}_running": F.col(f"{m}_local") + F.col(f"{m}_before") for m in measures}
-    )
-    return joined.drop(CHUNK, *[f"{m}_{x}" for m in measures for x in ("local", "before")])
+    narrow = df.select(group_id(keys).alias(GROUP_ID), order_col, *unordered, *measures)
+    parts = chunked(narrow, GROUP_ID, order_col, *unordered)
+    sums = parts.withColumns({f"{m}_running": within_chunk(GROUP_ID, order_col, m) for m in measures})
+    joined = sums.join(chunk_offsets(parts, GROUP_ID, measures), [GROUP_ID, CHUNK])
+    joined = joined.withColumns({f"{m}_running": F.col(f"{m}_running") + F.col(f"{m}_before") for m in measures})
+    return joined.drop(CHUNK, *[f"{m}_before" for m in measures])
+
+
+def named(rows: DataFrame, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows by group number with the key columns of the groups of ``df``."""
+    if not keys:
+        return rows.drop(GROUP_ID)
+    rest = [c for c in rows.columns if c != GROUP_ID]
+    return rows.join(group_table(df, keys), GROUP_ID).select(*[col(k) for k in keys], *[col(c) for c in rest])
+
+
+def running_totals(df: DataFrame, keys: Sequence[str], order_col: str, measures: Sequence[str]) -> DataFrame:
+    """``keys``, order column, measures, running totals and group totals.
+
+    ``df`` is read three times; pass a written table where that is dear.
+    """
+    return named(running_by_group(df, keys, order_col, measures), df, keys)
 
 
 def value_at_rank(
-    counts: DataFrame,
-    keys: Sequence[str],
-    value_col: str,
-    count_col: str,
-    ranks: dict[str, Column],
-    stored: bool = False,
+    counts: DataFrame, keys: Sequence[str], value_col: str, count_col: str, ranks: dict[str, Column]
 ) -> DataFrame:
     """Order statistics from value counts.
 
     ``ranks`` maps an output column to a 1-based rank, which may refer to the group size
     as ``<count_col>_total``.
     """
-    running = running_totals(counts, keys, value_col, [count_col], stored=stored)
+    running = running_by_group(counts, keys, value_col, [count_col])
     reached = F.col(f"{count_col}_running")
-    return running.groupBy(*keys).agg(
+    found = running.groupBy(GROUP_ID).agg(
         *[F.min(F.when(reached >= rank, F.col(value_col))).alias(name) for name, rank in ranks.items()]
     )
+    return named(found, counts, keys)
+
+
+def positions(df: DataFrame, order: Sequence[Column], to: str = "position") -> DataFrame:
+    """All rows with their place in a sort: placed in their chunk, plus the rows before it."""
+    ranged = df.repartitionByRange(*order)
+    parts = materialize(ranged.withColumn(CHUNK, F.spark_partition_id()), "chunks").repartition(CHUNK)
+    sizes = parts.groupBy(CHUNK).agg(F.count("*").alias("_size"))
+    # A row per chunk.
+    before = F.sum("_size").over(Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = materialize(sizes.select(CHUNK, F.coalesce(before, F.lit(0)).alias("_before")), "offsets")
+    here = F.row_number().over(Window.partitionBy(CHUNK).orderBy(*order))
+    return parts.withColumn("_here", here).join(offsets, CHUNK).withColumn(
+        to, F.col("_here") + F.col("_before")
+    ).drop(CHUNK, "_here", "_before")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.columns import col
-from tidemark.functions.draws import uniform
+from tidemark.functions.columns import col, join_null_safe
+from tidemark.functions.draws import uniforms
 from tidemark.functions.stats import t_quantile
 from tidemark.operators import bootstrap as B
 from tidemark.operators.counts import value_counts
@@ -81,7 +81,7 @@ def median_interval(df: DataFrame, columns: Sequence[str], confidence: float) ->
 
     Ranks count the non-NULL values of each column and stay within 1..n.
     """
-    counts = value_counts(df, [], columns).where(F.col("num").isNotNull())
+    counts = materialize(value_counts(df, [], columns).where(F.col("num").isNotNull()), "counts")
     n = F.col("n_total")
     breadth = t_quantile(n - 1, confidence) * F.sqrt(n / 4)
     low = F.greatest(F.lit(1), F.ceil(n / 2 - breadth))
@@ -102,11 +102,12 @@ def distance_thresholds(
     confidence: float,
     replicates: int,
     key: Column,
-    by_counts: bool = False,
+    by_counts: bool = True,
 ) -> list[DataFrame]:
     """How far a resample of the baseline lies from the baseline itself.
 
-    ``by_counts`` resamples value counts instead of rows, for large tables.
+    ``by_counts`` resamples value counts; otherwise rows are weighted, which shuffles and
+    stores rows x replicates.
     """
     columns = list(column_metrics)
     base = materialize(value_counts(df, [], columns), "counts")
@@ -148,10 +149,10 @@ def delta_thresholds(
     """Two-sided interval of a replicate's metric minus the baseline's own."""
     stats = {c: [DELTA_OF[m] for m in ms] for c, ms in column_metrics.items()}
     reps = B.bootstrap(df, stats, replicates, key)
-    one = F.lit(1)
+    one, anchor = F.lit(1), B.anchors(df, stats)
     own = df.agg(
         *[
-            B.weighted_stat(s, col(c), one).alias(f"{i}_{s}")
+            B.weighted_stat(s, col(c), one, anchor.get(c)).alias(f"{i}_{s}")
             for i, (c, ss) in enumerate(stats.items())
             for s in ss
         ]
@@ -180,13 +181,17 @@ def generate_thresholds(
     key: Column,
     confidence: float = 0.95,
     replicates: int = 50,
-    by_counts: bool = False,
+    by_counts: bool = True,
+    model_version: str | None = None,
+    version_col: str = "model_version",
 ) -> DataFrame:
     """Thresholds for every (column, metric) pair that applies to the column's type.
 
-    avg by the t interval, median by order statistics, other metrics by bootstrap,
+    ``model_version`` takes the rows of one version only.  avg by the t interval, median by order statistics, other metrics by bootstrap,
     drift metrics by bootstrap against the baseline; one resampling pass per kind.
     """
+    if model_version is not None:
+        df = df.where(col(version_col) == model_version)
     types = {f.name: f.dataType for f in df.schema.fields}
 
     def applies(c: str, metric: str) -> bool:
@@ -227,15 +232,24 @@ def generate_thresholds(
 def fixed_size_samples(
     df: DataFrame, key: Column, sizes: Sequence[int], trials: int
 ) -> DataFrame:
-    """``size, trial`` and the sampled rows: for each, the ``size`` smallest hashes.
+    """``size, trial`` and the sampled rows: for each, the ``size`` smallest draws.
 
-    The rank limit is applied inside each task before the shuffle, so a group never
-    holds more than tasks x size rows.
+    Draws above a cut, which leaves a little more than the largest size of them, are
+    dropped before any shuffle, so a trial's window holds about that many rows.  If a
+    trial is left with too few, the cut is doubled.
     """
-    drawn = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
-    drawn = drawn.withColumns({"_u": uniform(key, F.col("trial")), "_k": key.cast("string")})
+    named = df.withColumn("_k", key.cast("string"))
+    drawn = uniforms(named, F.col("_k"), trials, "_u", "trial")
+    total, wanted = df.count(), max(sizes)
+    cut = min(1.0, (wanted + 6 * wanted**0.5 + 20) / max(total, 1))
+    while cut < 1.0:
+        left = drawn.where(F.col("_u") < cut).groupBy("trial").count()
+        enough = left.where(F.col("count") >= wanted).count()
+        if enough == trials:
+            break
+        cut *= 2
     rank = F.row_number().over(Window.partitionBy("trial").orderBy("_u", "_k"))
-    ranked = drawn.withColumn("_rank", rank).where(F.col("_rank") <= max(sizes))
+    ranked = drawn.where(F.col("_u") < cut).withColumn("_rank", rank).where(F.col("_rank") <= wanted)
     fits = F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: s >= F.col("_rank"))
     return ranked.select("*", F.explode(fits).alias("size")).drop("_u", "_k", "_rank")
 
@@ -260,18 +274,34 @@ def coverage(
     return medians.groupBy("size").agg(F.avg(inside.cast("int")).alias("coverage"))
 
 
+def constant_limits(limits: Sequence[tuple[str, str, float | None, float | None]], spark: SparkSession) -> DataFrame:
+    """Thresholds given by hand: (metric, column, low, high), either bound may be open."""
+    rows = spark.createDataFrame(list(limits), "metric string, column_name string, low double, high double")
+    return rows.withColumn("interval_width", F.lit(None).cast("double")).select(*COLUMNS)
+
+
 def alerts(
-    metrics: DataFrame, thresholds: DataFrame, names: Sequence[str], keys: Sequence[str]
+    metrics: DataFrame, thresholds: DataFrame, names: Sequence[str], keys: Sequence[str], match: Sequence[str] = ()
 ) -> DataFrame:
-    """Metric rows outside their interval: ``keys, column_name, metric, value, low, high``.
+    """Metric rows outside their interval: ``keys, column_name, metric, value, low, high, reason``.
 
-    ``names`` maps to columns of the metric table; thresholds match by metric and column.
+    ``names`` are columns of the metric table.  Thresholds match by metric, column and the
+    columns in ``match``, such as a slice or a version; NULLs match NULLs.  A NULL bound is
+    open; a value without any bound, and a NULL value, cannot be judged and are reported
+    with that reason.
     """
     cells = F.array(*[F.struct(F.lit(m).alias("metric"), col(m).cast("double").alias("value")) for m in names])
-    long = metrics.select(*keys, "column_name", F.explode(cells).alias("_c")).select(
-        *keys, "column_name", "_c.*"
+    kept = list(dict.fromkeys([*keys, *match]))
+    long = metrics.select(*kept, "column_name", F.explode(cells).alias("_c")).select(*kept, "column_name", "_c.*")
+    bounds = thresholds.select("metric", "column_name", *match, "low", "high")
+    joined = join_null_safe(long, bounds, ["metric", "column_name", *match])
+    low, high, value = F.col("low"), F.col("high"), F.col("value")
+    reason = (
+        F.when(low.isNull() & high.isNull(), "no bounds")
+        .when(value.isNull(), "no value")
+        .when(value < low, "below")
+        .when(value > high, "above")
     )
-    joined = long.join(thresholds, ["metric", "column_name"])
-    return joined.where(~F.col("value").between(F.col("low"), F.col("high"))).select(
-        *keys, "column_name", "metric", "value", "low", "high"
+    return joined.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(
+        *keys, "column_name", "metric", "value", "low", "high", "reason"
     )

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import spec as S
-from tidemark.operators.joins import log_labels
+from tidemark.operators.joins import conflicting_labels, log_labels
 from tidemark.plans import refresh as R
 from tidemark.session import materialize
-from tidemark.sources.tables import SnapshotTable, conform, remove
+from tidemark.sources.tables import SnapshotTable, among, conform, exists, remove
 
 _SPEC_SCHEMA = "table_name string, baseline_table_name string, linked_entities array<string>, spec string"
 
@@ -217,8 +217,8 @@ class Monitors:
     def delete(self, table_name: str, purge_artifacts: bool = False) -> None:
         info = self.info(table_name)
         if purge_artifacts:
-            for path in (info.analysis_metrics_path, info.drift_metrics_path):
-                SnapshotTable(self.spark, path).drop()
+            for name in ("analysis_metrics", "drift_metrics", "value_counts", "baseline", "seen"):
+                SnapshotTable(self.spark, f"{self._folder(table_name)}/{name}").drop()
         self._specs.replace(self.specs().where(F.col("table_name") != table_name))
 
 
@@ -249,22 +249,47 @@ class LoggingTable:
         rows.write.mode("append").partitionBy(*_PARTITIONS).parquet(self.path)
         return batch_id
 
+    def _partition(self, log_type: str, version: str, batch_id: str | None = None) -> str:
+        """Folder of a version or batch, its values escaped as the writer does."""
+        values = [v for v in (log_type, version, batch_id) if v is not None]
+        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        return "/".join([self.path, *[f"{k}={escape(v)}" for k, v in zip(_PARTITIONS, values)]])
+
     def log_baseline(self, df: DataFrame, version: str, batch_id: str) -> str:
-        """Baseline of a version; logging it again replaces it."""
-        df = materialize(df, "baseline")
-        remove(self.spark, f"{self.path}/log_type={S.BASELINE}/model_version={version}")
-        return self._append(df, S.BASELINE, version, batch_id)
+        """Baseline of a version; logging it again replaces it.
+
+        The new batch is written first, so a write that fails leaves the old ones.
+        """
+        new = materialize(df, "baseline")
+        others: list[str] = []
+        if exists(self.spark, self._partition(S.BASELINE, version)):
+            mine = (F.col("log_type") == S.BASELINE) & (F.col("model_version") == version)
+            others = [r[0] for r in self.read().where(mine).select("batch_id").distinct().collect()]
+        if batch_id in others:
+            remove(self.spark, self._partition(S.BASELINE, version, batch_id))
+        self._append(new, S.BASELINE, version, batch_id)
+        for other in others:
+            if other != batch_id:
+                remove(self.spark, self._partition(S.BASELINE, version, other))
+        return batch_id
 
     def log_scored(self, df: DataFrame, version: str, batch_id: str) -> str:
         return self._append(df, S.INPUT, version, batch_id)
 
     def log_labels(self, labels: DataFrame, label_col: str) -> int:
-        """Fill labels by id; returns the number of rows updated."""
+        """Fill labels of scored rows by id; returns the number of rows that changed."""
+        labels = materialize(labels.select(*self.id_cols, label_col), "labels")
+        if not conflicting_labels(labels, self.id_cols, label_col).isEmpty():
+            raise ValueError(f"an id is given different labels in {label_col!r}")
+        only = f"log_type = '{S.INPUT}'"
         logged = self.read()
-        hit = logged.join(labels.select(*self.id_cols), self.id_cols, "left_semi")
-        parts = hit.select(*_PARTITIONS).distinct()
-        touched = logged.join(parts, _PARTITIONS, "left_semi")
-        filled = materialize(log_labels(touched, labels, self.id_cols, label_col), "labels")
+        hit = logged.where(only).join(labels.select(*self.id_cols), self.id_cols, "left_semi")
+        # As many rows as there are batches with labels; as literals they prune the scan.
+        parts = [tuple(r) for r in hit.select(*_PARTITIONS).distinct().collect()]
+        if not parts:
+            return 0
+        touched = logged.where(among(_PARTITIONS, parts))
+        filled = materialize(log_labels(touched, labels, self.id_cols, label_col, only), "labels")
         (
             filled.select(*self.schema.names)
             .write.mode("overwrite")
@@ -275,9 +300,7 @@ class LoggingTable:
         return filled.where("_updated").count()
 
     def remove_batch(self, log_type: str, version: str, batch_id: str) -> None:
-        remove(
-            self.spark, f"{self.path}/log_type={log_type}/model_version={version}/batch_id={batch_id}"
-        )
+        remove(self.spark, self._partition(log_type, version, batch_id))
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)

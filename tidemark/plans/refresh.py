@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col, join_null_safe
@@ -19,7 +19,7 @@ from tidemark.operators.profile import (
     analysed_columns,
     group_rows,
     group_value_counts,
-    profile,
+    inner,
 )
 from tidemark.operators.windows import assign_windows
 from tidemark.session import materialize
@@ -181,7 +181,7 @@ def refresh_drift(
 def aggregate_base(df: DataFrame, spec: MonitorSpec, columns: Sequence[str] | None = None) -> DataFrame:
     """Partial aggregates per group and column that later batches can be merged into."""
     columns = list(columns or analysed_columns(df, spec))
-    cells = long_values(group_rows(df, spec), GROUP, columns)
+    cells = long_values(group_rows(df, spec), GROUP, columns, inner)
     present = F.col("num").isNotNull() | F.col("txt").isNotNull()
     return cells.groupBy(*GROUP, "column_name").agg(
         F.count("*").alias("n_rows"),
@@ -198,14 +198,20 @@ def aggregate_base(df: DataFrame, spec: MonitorSpec, columns: Sequence[str] | No
 
 
 def merge_aggregate_base(parts: DataFrame) -> DataFrame:
-    """Merge partial aggregates of disjoint batches into one row per group and column."""
-    n, total, m2 = F.col("n_num"), F.col("total"), F.col("m2")
-    between = F.sum(total * total / F.nullif(n, F.lit(0)))
-    all_n = F.nullif(F.sum(n), F.lit(0))
+    """Merge partial aggregates of disjoint batches into one row per group and column.
+
+    The spread of the parts' means is measured from the common mean, so large values do
+    not cancel; the window holds as many rows as there are parts of a group.
+    """
+    n = F.nullif(F.col("n_num"), F.lit(0))
+    group = Window.partitionBy(*GROUP, "column_name")
+    common = F.sum("total").over(group) / F.nullif(F.sum("n_num").over(group), F.lit(0))
+    off = F.col("total") / n - common
+    parts = parts.withColumn("_between", F.coalesce(n * off * off, F.lit(0.0)))
     return parts.groupBy(*GROUP, "column_name").agg(
         F.sum("n_rows").alias("n_rows"),
         F.sum("n_values").alias("n_values"),
-        (F.sum(m2) + between - F.sum(total) * F.sum(total) / all_n).alias("m2"),
+        (F.sum("m2") + F.sum("_between")).alias("m2"),
         F.sum("n_num").alias("n_num"),
         F.sum("total").alias("total"),
         F.min("lowest").alias("lowest"),
@@ -236,22 +242,3 @@ def finish_aggregate_base(base: DataFrame) -> DataFrame:
             "median"
         ),
     )
-
-
-__all__ = [
-    "MonitorResult",
-    "Stage",
-    "aggregate_base",
-    "aggregate_stage",
-    "changed_rows",
-    "derived_stage",
-    "drift_stage",
-    "finish_aggregate_base",
-    "merge_aggregate_base",
-    "monitor",
-    "profile",
-    "refresh_analysis",
-    "refresh_drift",
-    "run_stages",
-    "touched_windows",
-]

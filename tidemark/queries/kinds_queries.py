@@ -13,9 +13,9 @@ from tidemark.queries.registry import query, table
 from tidemark.sources.tables import patterned_rows
 
 _PROFILED = {
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
     "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
-    "customer": ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
 }
 # True kinds of the profiled columns, for the evaluations.
 _NUMERIC = ["o_totalprice", "p_retailprice", "c_acctbal", "p_size"]
@@ -45,7 +45,8 @@ def _profile_sql() -> str:
 
 def _datetime_sql(source: str, names: list[str]) -> str:
     """The rule on distinct failing values, spelled out."""
-    formats = "['%Y-%m-%d', '%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y/%m/%d', '%m/%d/%Y']"
+    formats = """['%Y-%m-%d', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M:%S.%f', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%dT%H:%M:%S.%f',
+        '%Y-%m-%dT%H:%M:%S%z', '%Y/%m/%d', '%m/%d/%Y', '%d %b %Y', '%b %d, %Y', '%d %B %Y']"""
     long = " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS v FROM src" for c in names)
     return f"""WITH src AS ({source}), long_ AS ({long}),
     t AS (SELECT *, coalesce(try_strptime(v, {formats}) IS NOT NULL, false) AS ok FROM long_)
@@ -60,8 +61,10 @@ def _datetime_sql(source: str, names: list[str]) -> str:
         CASE WHEN o_orderkey % 3 = 0 THEN 'unknown' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS one_bad,
         CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS nulls_only_bad,
         CASE WHEN o_orderkey % 3 = 0 THEN 'unknown' WHEN o_orderkey % 5 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS two_bad,
+        strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.250') AS fraction, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+02:00') AS moved,
+        strftime(o_orderdate, '%d %b %Y') AS month_name,
         o_orderstatus AS status, o_orderpriority AS priority FROM orders""",
-        ["as_date", "as_time", "one_bad", "nulls_only_bad", "two_bad", "status", "priority"],
+        ["as_date", "as_time", "one_bad", "nulls_only_bad", "two_bad", "fraction", "moved", "month_name", "status", "priority"],
     ),
 )
 def datetime_columns(spark, sf):
@@ -74,15 +77,19 @@ def datetime_columns(spark, sf):
         F.when(third, "unknown").otherwise(day).alias("one_bad"),
         F.when(~third, day).alias("nulls_only_bad"),
         F.when(third, "unknown").when(~fifth, day).alias("two_bad"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'.250'").alias("fraction"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'+02:00'").alias("moved"),
+        F.date_format("o_orderdate", "dd MMM yyyy").alias("month_name"),
         F.col("o_orderstatus").alias("status"),
         F.col("o_orderpriority").alias("priority"),
     )
     return N.datetime_columns(df)
 
 
-_PATTERNED = """SELECT '2020-01-1' || o_orderkey % 10 AS date_str, '2020-01-01 00:00:1' || o_orderkey % 10 AS ts_str,
-    CASE WHEN o_orderkey % 10 <> 0 THEN '2020-01-1' || o_orderkey % 10 END AS dates_with_nulls,
-    'str: ' || o_orderkey % 10000 AS random_str FROM orders"""
+_PATTERNED = """SELECT strftime(DATE '2020-01-10' + (o_orderkey % 10)::INT, '%Y-%m-%d') AS day_text,
+    strftime(TIMESTAMP '2020-01-10 00:00:00' + to_seconds(o_orderkey % 10), '%Y-%m-%d %H:%M:%S') AS moment_text,
+    CASE WHEN o_orderkey % 10 <> 0 THEN strftime(DATE '2020-01-10' + (o_orderkey % 10)::INT, '%Y-%m-%d') END AS gappy_day,
+    'label ' || o_orderkey % 10000 AS label FROM orders"""
 
 
 @query("a8_patterned_rows", _PATTERNED)
@@ -92,7 +99,7 @@ def patterned(spark, sf):
 
 @query(
     "n1_datetime_of_patterned_rows",
-    _datetime_sql(_PATTERNED, ["date_str", "ts_str", "dates_with_nulls", "random_str"]),
+    _datetime_sql(_PATTERNED, ["day_text", "moment_text", "gappy_day", "label"]),
 )
 def datetime_of_patterned_rows(spark, sf):
     ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))

@@ -47,6 +47,13 @@ def R(sql: str, digits: int = 6) -> str:
     return f"round(({sql}) + {SHIFT}, {digits})"
 
 
+def chi2_tail_sql(statistic: str, dof: str) -> str:
+    """Upper tail of the chi-squared distribution: a series of 500 terms for the lower one."""
+    a, h = f"(({dof}) / 2.0)", f"(({statistic}) / 2.0)"
+    term = f"exp(({a} + k) * ln({h}) - {h} - lgamma({a} + k + 1))"
+    return f"CASE WHEN {h} <= 0 THEN 1.0 ELSE 1 - list_sum(list_transform(range(0, 500), lambda k: {term})) END"
+
+
 def stamp(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
@@ -190,7 +197,7 @@ def mean_and_stddev(spark, sf):
 )
 def median(spark, sf):
     spec = GENERIC.with_params(slicing_exprs=("o_orderpriority",), columns=("o_totalprice",))
-    counts = P.group_value_counts(table(spark, sf, "orders"), spec, as_of=AS_OF)
+    counts = materialize(P.group_value_counts(table(spark, sf, "orders"), spec, as_of=AS_OF), "counts")
     return C.medians(counts, P.GROUP).select("slice_value", "median")
 
 
@@ -398,11 +405,11 @@ def _ks_sql(kind: str) -> str:
     FROM ks)"""
 
 
-def _cat_sql(kind: str) -> str:
+def _cat_sql(kind: str, digits: int = 6) -> str:
     return f"""SELECT * FROM (WITH {_drift_sql(kind, False)},
     e AS (SELECT *, (a + b) * ta / (ta + tb) AS ea, (a + b) * tb / (ta + tb) AS eb FROM tot)
     SELECT {_cmp_out(kind)},
-        {R('sum((a - ea) ** 2 / ea + (b - eb) ** 2 / eb)')} AS chi_squared_statistic,
+        {R('sum((a - ea) ** 2 / ea + (b - eb) ** 2 / eb)', digits)} AS chi_squared_statistic,
         count(*) - 1 AS chi_squared_dof, {R('0.5 * sum(abs(a / ta - b / tb))')} AS tv_distance
     FROM e GROUP BY window_start, cmp, slice_key, slice_value, column_name)"""
 
@@ -456,10 +463,17 @@ def chi_squared(spark, sf):
     return _distance_rows(spark, sf, ("l_returnflag", "l_linestatus"), measure, metrics)
 
 
-@query("e7_chi_squared_pvalue")
+def _pvalue_sql(kind: str) -> str:
+    tail = chi2_tail_sql(f"chi_squared_statistic - {SHIFT}", "chi_squared_dof")
+    return f"""SELECT * EXCLUDE (chi_squared_dof, tv_distance) REPLACE (round(chi_squared_statistic, 6) AS chi_squared_statistic),
+        {R(tail, 5)} AS chi_squared_pvalue FROM ({_cat_sql(kind, 14)})"""
+
+
+@query("e7_chi_squared_pvalue", _pvalue_sql("BASELINE") + " UNION ALL " + _pvalue_sql("CONSECUTIVE"))
 def chi_squared_pvalue(spark, sf):
     metrics = ["chi_squared_statistic", "chi_squared_pvalue"]
-    return _distance_rows(spark, sf, ("l_returnflag", "l_linestatus"), D.category_tests, metrics)
+    rows = _distance_rows(spark, sf, ("l_returnflag", "l_linestatus"), D.category_tests, metrics)
+    return rows.withColumn("chi_squared_pvalue", rounded(F.col("chi_squared_pvalue"), 5))
 
 
 @query(
@@ -582,15 +596,14 @@ def snapshot_windows(spark, sf):
 
 @query(
     "e4_previous_window",
-    """WITH w AS (SELECT DISTINCT event_type, date_trunc('hour', ts) AS s FROM events WHERE user_id % 7 = 0)
+    """WITH w AS (SELECT DISTINCT event_type, date_trunc('minute', ts) AS s FROM events)
     SELECT * FROM (SELECT event_type AS slice_value, strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start,
         strftime(lag(s) OVER (PARTITION BY event_type ORDER BY s), '%Y-%m-%d %H:%M:%S') AS window_cmp_start
         FROM w) WHERE window_cmp_start IS NOT NULL""",
 )
 def previous_window(spark, sf):
-    """Sparse hourly windows: the one before is the last that has rows."""
-    events = table(spark, sf, "events").where("user_id % 7 = 0")
-    rows = W.assign_windows(events, "ts", ["1 hour"])
+    """Sparse windows of a minute: the one before is the last that has rows."""
+    rows = W.assign_windows(table(spark, sf, "events"), "ts", ["1 minute"])
     pairs = D.window_pairs(rows.withColumnRenamed("event_type", "slice_value"), ["granularity", "slice_value"])
     return flat(pairs, "slice_value", "window", "window_cmp")
 

@@ -31,20 +31,21 @@ from tidemark.queries.registry import query, table
 from tidemark.session import scratch_path
 from tidemark.spec import BASELINE, InferenceLog, Metric, MonitorSpec, TimeSeries
 
-LOG_AVG = Metric("aggregate", "log_avg", ("o_totalprice",), "avg(log(abs(`{{column_name}}`) + 1))")
-EXP_LOG = Metric("derived", "exp_log", ("o_totalprice",), "exp(log_avg)")
-EXP_LOG_DELTA = Metric(
-    "drift", "exp_log_delta", ("o_totalprice",), "{{current_df}}.exp_log - {{base_df}}.exp_log"
+VARIATION = Metric("aggregate", "variation", ("o_totalprice",), "stddev(`{{column_name}}`) / avg(`{{column_name}}`)")
+# Of the mean, as a share of it.
+MEAN_ERROR = Metric("derived", "mean_error", ("o_totalprice",), "variation / sqrt(count)")
+MEAN_ERROR_RATIO = Metric(
+    "drift", "mean_error_ratio", ("o_totalprice",), "{{current_df}}.mean_error / {{base_df}}.mean_error"
 )
 ORDERS_BY_YEAR = MonitorSpec(
     TimeSeries("o_orderdate"),
     ("1 year",),
     columns=("o_totalprice",),
-    custom_metrics=(LOG_AVG, EXP_LOG, EXP_LOG_DELTA),
-    exact=False,
+    custom_metrics=(VARIATION, MEAN_ERROR, MEAN_ERROR_RATIO),
 )
-_ORDERS_LOG = """m AS (SELECT strftime(date_trunc('year', o_orderdate), '%Y-%m-%d %H:%M:%S') AS window_start,
-    avg(ln(abs(o_totalprice) + 1)) AS la FROM orders GROUP BY ALL)"""
+_VARIATION = """m AS (SELECT strftime(date_trunc('year', o_orderdate), '%Y-%m-%d %H:%M:%S') AS window_start,
+    stddev_samp(o_totalprice) / avg(o_totalprice) AS v, stddev_samp(o_totalprice) / avg(o_totalprice) / sqrt(count(*)) AS e
+    FROM orders GROUP BY ALL)"""
 
 
 def _custom(spark, sf) -> DataFrame:
@@ -54,25 +55,24 @@ def _custom(spark, sf) -> DataFrame:
 
 @query(
     "d18_custom_aggregate",
-    f"WITH {_ORDERS_LOG} SELECT window_start, 'o_totalprice' AS column_name, {rounded_sql('la')} AS log_avg FROM m",
+    f"WITH {_VARIATION} SELECT window_start, 'o_totalprice' AS column_name, {rounded_sql('v')} AS variation FROM m",
 )
 def custom_aggregate(spark, sf):
-    return flat(_custom(spark, sf), "window", "column_name", "log_avg")
+    return flat(_custom(spark, sf), "window", "column_name", "variation")
 
 
 @query(
     "d19_custom_derived",
-    f"WITH {_ORDERS_LOG} SELECT window_start, 'o_totalprice' AS column_name, {rounded_sql('exp(la)', 4)} AS exp_log FROM m",
+    f"WITH {_VARIATION} SELECT window_start, 'o_totalprice' AS column_name, {rounded_sql('e')} AS mean_error FROM m",
 )
 def custom_derived(spark, sf):
-    return flat(_custom(spark, sf), "window", "column_name", "exp_log", digits=4)
+    return flat(_custom(spark, sf), "window", "column_name", "mean_error")
 
 
 @query(
     "e9_custom_drift",
-    f"""WITH {_ORDERS_LOG} SELECT * FROM (SELECT window_start, lag(window_start) OVER (ORDER BY window_start) AS window_cmp_start,
-        'o_totalprice' AS column_name,
-        {rounded_sql('exp(la) - lag(exp(la)) OVER (ORDER BY window_start)', 4)} AS exp_log_delta
+    f"""WITH {_VARIATION} SELECT * FROM (SELECT window_start, lag(window_start) OVER (ORDER BY window_start) AS window_cmp_start,
+        'o_totalprice' AS column_name, {rounded_sql('e / lag(e) OVER (ORDER BY window_start)')} AS mean_error_ratio
         FROM m) WHERE window_cmp_start IS NOT NULL""",
 )
 def custom_drift(spark, sf):
@@ -80,7 +80,7 @@ def custom_drift(spark, sf):
     rows = joined.select(
         "cur.window", "cur.window_cmp", "cur.column_name", *D.metric_deltas(joined, ORDERS_BY_YEAR)
     )
-    return flat(rows, "window", "window_cmp", "column_name", "exp_log_delta", digits=4)
+    return flat(rows, "window", "window_cmp", "column_name", "mean_error_ratio")
 
 
 CLASSIFICATION_LOG = InferenceLog(

@@ -5,14 +5,16 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.draws import poisson, poisson_draws
+from tidemark.functions.draws import LADDER_UPTO, POISSON_CDF, poisson, poisson_draws
+from tidemark.functions.stats import t_exact
 from tidemark.operators import bootstrap as B
 from tidemark.operators import profile as P
 from tidemark.operators import reshape, sampling, setops
 from tidemark.operators import thresholds as TH
+from tidemark.operators.running import positions
 from tidemark.queries.monitoring import R, flat, rounded
 from tidemark.queries.registry import query, table
 from tidemark.spec import MonitorSpec, TimeSeries
@@ -21,11 +23,9 @@ CONFIDENCE = 0.95
 REPLICATES = 50
 
 # SQL: the same draws as in tidemark.functions.draws.
-_POISSON_SQL = """CASE WHEN v <= floor(.3678794412 * 4294967296) THEN 0 WHEN v <= floor(.7357588823 * 4294967296) THEN 1
-    WHEN v <= floor(.9196986029 * 4294967296) THEN 2 WHEN v <= floor(.9810118431 * 4294967296) THEN 3
-    WHEN v <= floor(.9963401532 * 4294967296) THEN 4 WHEN v <= floor(.9994058152 * 4294967296) THEN 5
-    WHEN v <= floor(.9999167589 * 4294967296) THEN 6 WHEN v <= floor(.9999897508 * 4294967296) THEN 7
-    WHEN v <= floor(.9999988748 * 4294967296) THEN 8 ELSE 9 END"""
+_POISSON_SQL = "CASE " + " ".join(
+    f"WHEN v <= {math.floor(p * 2**32)} THEN {k}" for k, p in enumerate(POISSON_CDF)
+) + f" ELSE {len(POISSON_CDF)} END"
 
 
 def _draws_sql(key: str, source: str, columns: str) -> str:
@@ -34,8 +34,12 @@ def _draws_sql(key: str, source: str, columns: str) -> str:
         FROM {source}, (SELECT unnest(range({REPLICATES})) AS i))"""
 
 
+def _share_sql(text: str, place: str = "0") -> str:
+    return f"(concat('0x', substr({text}, 1 + 8 * ({place}), 8))::UBIGINT / 4294967296.0)"
+
+
 def _uniform_sql(key: str, number: str = "'0'") -> str:
-    return f"(concat('0x', substr(md5(concat({key}, '-', {number})), 1, 8))::UBIGINT / 4294967296.0)"
+    return _share_sql(f"md5(concat({key}, '-', {number}))")
 
 
 _Z = NormalDist().inv_cdf(0.975)
@@ -228,21 +232,48 @@ def drift_thresholds(spark, sf):
         F.col("o_orderkey"),
         CONFIDENCE,
         REPLICATES,
+        by_counts=False,
     )
     return flat(out, *TH.COLUMNS, digits=5)
 
 
-@query("i10_drift_thresholds_from_counts")
+def _poisson_of_sql(rows: str) -> str:
+    """``w`` for rows of ``n`` and two draws ``u1``, ``u2``: the ladder, or the rounded normal."""
+    return f"""SELECT *, CASE WHEN n > {LADDER_UPTO}
+            THEN greatest(0.0, round(n + sqrt(n) * sqrt(-2 * ln(1 - u1)) * cos(2 * pi() * u2)))::BIGINT
+            ELSE (SELECT count(*) FILTER (u1 >= below) FROM (SELECT sum(exp(-n + j * ln(n) - lgamma(j + 1))) OVER (ORDER BY j) AS below
+                FROM (SELECT unnest(range(200)) AS j))) END AS w FROM ({rows})"""
+
+
+def _count_reps_sql(column: str, value: str) -> str:
+    return _poisson_of_sql(f"""SELECT r AS replicate, v, n, {_share_sql('h', '2 * (r % 2)')} AS u1, {_share_sql('h', '2 * (r % 2) + 1')} AS u2
+        FROM (SELECT v, n::DOUBLE AS n, r, md5(concat_ws('-', '0', '{column}', {value}, r // 2)) AS h
+            FROM (SELECT {column} AS v, count(*) AS n FROM lineitem GROUP BY 1), (SELECT unnest(range({REPLICATES})) AS r))""")
+
+
+@query(
+    "i10_drift_thresholds_from_counts",
+    f"""WITH cat AS (SELECT replicate, w::DOUBLE AS a, n AS b, sum(w) OVER (PARTITION BY replicate)::DOUBLE AS ta, sum(n) OVER (PARTITION BY replicate) AS tb
+        FROM ({_count_reps_sql('l_returnflag', 'v')})),
+    dist AS (SELECT replicate, 0.5 * sum(abs(a / ta - b / tb)) AS tv,
+        sum((a - (a + b) * ta / (ta + tb)) ** 2 / ((a + b) * ta / (ta + tb)) + (b - (a + b) * tb / (ta + tb)) ** 2 / ((a + b) * tb / (ta + tb))) AS chi
+        FROM cat GROUP BY replicate),
+    cum AS (SELECT replicate, sum(w) OVER o / sum(w) OVER p AS fa, sum(n) OVER o / sum(n) OVER p AS fb
+        FROM ({_count_reps_sql('l_quantity', 'v::VARCHAR')}) WINDOW p AS (PARTITION BY replicate), o AS (PARTITION BY replicate ORDER BY v)),
+    ks AS (SELECT replicate, max(abs(fa - fb)) AS d FROM cum GROUP BY replicate)
+    {_top_sql('chi_squared_test', 'l_returnflag', 'chi', 'dist')} UNION ALL {_top_sql('tv_distance', 'l_returnflag', 'tv', 'dist')}
+    UNION ALL {_top_sql('ks_test', 'l_quantity', 'd', 'ks')}""",
+)
 def drift_thresholds_from_counts(spark, sf):
     """The same thresholds with value counts resampled: work by distinct values."""
-    return TH.generate_thresholds(
+    out = TH.generate_thresholds(
         table(spark, sf, "lineitem"),
         {"l_returnflag": ["chi_squared_test", "tv_distance"], "l_quantity": ["ks_test"]},
         F.col("l_orderkey"),
         CONFIDENCE,
         REPLICATES,
-        by_counts=True,
     )
+    return flat(out, *TH.COLUMNS, digits=5)
 
 
 _SIZES, _TRIALS = (100, 400), 20
@@ -251,7 +282,7 @@ _SIZES, _TRIALS = (100, 400), 20
 @query(
     "i11_coverage",
     f"""WITH b AS ({_median_sql('o_totalprice', 'orders')}),
-    d AS (SELECT o_totalprice AS x, t AS trial, row_number() OVER (PARTITION BY t ORDER BY {_uniform_sql('o_orderkey', 't')}, o_orderkey::VARCHAR) AS rk
+    d AS (SELECT o_totalprice AS x, t AS trial, row_number() OVER (PARTITION BY t ORDER BY {_share_sql("md5(concat(o_orderkey, '-', t // 4))", 't % 4')}, o_orderkey::VARCHAR) AS rk
         FROM orders, (SELECT unnest(range({_TRIALS})) AS t)),
     m AS (SELECT size, trial, median(x) AS m FROM d, (SELECT unnest([100, 400]) AS size) WHERE rk <= size GROUP BY ALL)
     SELECT size, {R('avg((m BETWEEN (SELECT low FROM b) AND (SELECT high FROM b))::INT)')} AS coverage FROM m GROUP BY size""",
@@ -263,21 +294,102 @@ def coverage(spark, sf):
     return flat(out, "size", "coverage")
 
 
+_MONTHLY = """m AS (SELECT strftime(date_trunc('month', l_shipdate), '%Y-%m-%d %H:%M:%S') AS window_start, l_returnflag AS slice_value,
+        avg(l_discount) AS x FROM lineitem GROUP BY GROUPING SETS ((1), (1, 2)))"""
+
+
 @query(
     "i13_alerts",
-    f"""WITH t AS ({_mean_sql('l_discount', "(SELECT * FROM lineitem WHERE l_shipdate < '1996-01-01')", digits=9)}),
-    m AS (SELECT strftime(date_trunc('month', l_shipdate), '%Y-%m-%d %H:%M:%S') AS window_start, avg(l_discount) AS x FROM lineitem GROUP BY 1)
-    SELECT window_start, 'l_discount' AS column_name, 'avg' AS metric, {R('x')} AS value, {R('low')} AS low, {R('high')} AS high
-    FROM m, t WHERE NOT (x BETWEEN low AND high)""",
+    f"""WITH t AS ({_mean_sql('l_discount', "(SELECT * FROM lineitem WHERE l_shipdate < '1996-01-01')", digits=9)}), {_MONTHLY}
+    SELECT window_start, 'l_discount' AS column_name, 'avg' AS metric, {R('x')} AS value, {R('low')} AS low, {R('high')} AS high,
+        CASE WHEN x < low THEN 'below' ELSE 'above' END AS reason
+    FROM m, t WHERE slice_value IS NULL AND NOT (x BETWEEN low AND high)""",
 )
 def alerts(spark, sf):
     """Months whose mean discount leaves the first year's interval."""
     df = table(spark, sf, "lineitem")
     first = df.where("l_shipdate < timestamp_ntz'1996-01-01 00:00:00'")
     bounds = TH.mean_interval(first, ["l_discount"], CONFIDENCE)
-    spec = MonitorSpec(TimeSeries("l_shipdate"), ("1 month",), columns=("l_discount",), exact=False)
+    spec = MonitorSpec(TimeSeries("l_shipdate"), ("1 month",), columns=("l_discount",))
     out = TH.alerts(P.profile(df, spec), bounds, ["avg"], ["window"])
-    return flat(out, "window", "column_name", "metric", "value", "low", "high")
+    return flat(out, "window", "column_name", "metric", "value", "low", "high", "reason")
+
+
+@query(
+    "i13_alerts_by_slice",
+    f"""WITH {_MONTHLY}, t AS (SELECT l_returnflag AS slice_value, avg(l_discount) AS low FROM lineitem GROUP BY 1
+        UNION ALL SELECT NULL, NULL)
+    SELECT window_start, slice_value, 'l_discount' AS column_name, {R('x')} AS value, {R('low')} AS low,
+        CASE WHEN low IS NULL THEN 'no bounds' ELSE 'below' END AS reason
+    FROM m JOIN t USING (slice_value) WHERE x < low
+    UNION ALL SELECT window_start, NULL, 'l_discount', {R('x')}, NULL, 'no bounds' FROM m WHERE slice_value IS NULL""",
+)
+def alerts_by_slice(spark, sf):
+    """A bound of each slice's own, open above; the whole table has none and says so."""
+    df = table(spark, sf, "lineitem")
+    spec = MonitorSpec(TimeSeries("l_shipdate"), ("1 month",), ("l_returnflag",), columns=("l_discount",))
+    own = df.groupBy(F.col("l_returnflag").alias("slice_value")).agg(F.avg("l_discount").alias("low"))
+    none = own.limit(1).select(F.lit(None).cast("string").alias("slice_value"), F.lit(None).cast("double").alias("low"))
+    bounds = own.union(none).withColumns(
+        {"metric": F.lit("avg"), "column_name": F.lit("l_discount"), "high": F.lit(None).cast("double")}
+    )
+    out = TH.alerts(P.profile(df, spec), bounds, ["avg"], ["window", "slice_value"], ["slice_value"])
+    return flat(out, "window", "slice_value", "column_name", "value", "low", "reason")
+
+
+@query(
+    "i13_constant_limits",
+    f"""SELECT strftime(date_trunc('year', o_orderdate), '%Y-%m-%d %H:%M:%S') AS window_start, 'o_totalprice' AS column_name,
+        {R('avg(o_totalprice)', 2)} AS value, 'above' AS reason FROM orders GROUP BY 1 HAVING avg(o_totalprice) > 100000""",
+)
+def alerts_by_constant(spark, sf):
+    """Years whose mean order is above a limit given by hand."""
+    spec = MonitorSpec(TimeSeries("o_orderdate"), ("1 year",), columns=("o_totalprice",))
+    limits = TH.constant_limits([("avg", "o_totalprice", None, 100_000.0)], spark)
+    out = TH.alerts(P.profile(orders(spark, sf), spec), limits, ["avg"], ["window"])
+    return flat(out.drop("low", "high", "metric"), "window", "column_name", "value", "reason", digits=2)
+
+
+@query(
+    "i9_thresholds_of_a_version",
+    _mean_sql("o_totalprice", "(SELECT * FROM orders WHERE o_orderkey % 2 = 0)", digits=3),
+)
+def thresholds_of_a_version(spark, sf):
+    df = orders(spark, sf).withColumn("model_version", (F.col("o_orderkey") % 2 + 1).cast("string"))
+    out = TH.generate_thresholds(df, {"o_totalprice": ["avg"]}, F.col("o_orderkey"), CONFIDENCE, model_version="1")
+    return flat(out, *TH.COLUMNS, digits=3)
+
+
+_FEW = "(SELECT o_orderpriority, max(o_totalprice) AS x FROM orders GROUP BY o_orderpriority)"
+
+
+@query(
+    "i6_mean_interval_of_few",
+    f"""SELECT 'avg' AS metric, 0.8::DOUBLE AS interval_width, 'x' AS column_name,
+        {R('avg(x) - b', 3)} AS low, {R('avg(x) + b', 3)} AS high
+    FROM (SELECT x, CASE count(*) OVER () {' '.join(f"WHEN {k + 1} THEN {t_exact(k, 0.8)!r}::DOUBLE" for k in range(1, 10))} END
+        * stddev_samp(x) OVER () / sqrt(count(*) OVER ()) AS b FROM {_FEW}) GROUP BY b""",
+)
+def mean_interval_of_few(spark, sf):
+    """A handful of values at a confidence that no table lists."""
+    few = orders(spark, sf).groupBy("o_orderpriority").agg(F.max("o_totalprice").alias("x"))
+    return flat(TH.mean_interval(few, ["x"], 0.8), *TH.COLUMNS, digits=3)
+
+
+@query(
+    "i3_bootstrap_of_large_values",
+    f"""WITH x AS (SELECT o_orderkey, epoch_ms(o_orderdate) + 1700000000000 AS x FROM orders), a AS (SELECT avg(x) AS m FROM x),
+    d AS ({_draws_sql('o_orderkey', 'x', 'o_orderkey, x')})
+    SELECT replicate, {R('sqrt((sum(w * (x - m) ** 2) - sum(w * (x - m)) ** 2 / sum(w)) / (sum(w) - 1)) / 1e6', 3)} AS stddev
+    FROM d, a GROUP BY replicate, m""",
+)
+def bootstrap_of_large_values(spark, sf):
+    """Spread of moments in milliseconds, whose squares would cancel."""
+    df = orders(spark, sf).select(
+        "o_orderkey", (F.unix_millis(F.col("o_orderdate").cast("timestamp")) + 1700000000000).alias("x")
+    )
+    reps = B.bootstrap(df, {"x": ["stddev"]}, REPLICATES, F.col("o_orderkey"))
+    return reps.select("replicate", rounded(F.col("value") / 1e6, 3).alias("stddev"))
 
 
 # 2.F ---------------------------------------------------------------------------
@@ -285,14 +397,13 @@ def alerts(spark, sf):
 
 @query(
     "f1_multi_key_sort",
-    """SELECT row_number() OVER (ORDER BY o_orderdate DESC, o_orderpriority DESC, o_orderkey) AS position,
-        o_orderkey FROM orders QUALIFY position <= 100""",
+    """SELECT row_number() OVER (ORDER BY o_orderdate DESC, o_orderpriority DESC, o_orderkey) AS position, o_orderkey
+        FROM orders""",
 )
 def multi_key_sort(spark, sf):
-    """The first hundred rows of a descending sort, with their position."""
-    top = orders(spark, sf).orderBy(F.desc("o_orderdate"), F.desc("o_orderpriority"), "o_orderkey").limit(100)
-    order = Window.orderBy(F.desc("o_orderdate"), F.desc("o_orderpriority"), "o_orderkey")
-    return top.select(F.row_number().over(order).alias("position"), "o_orderkey")
+    """All rows of a descending sort with their position."""
+    order = [F.desc("o_orderdate"), F.desc("o_orderpriority"), F.asc("o_orderkey")]
+    return positions(orders(spark, sf), order).select("position", "o_orderkey")
 
 
 @query(

@@ -50,7 +50,7 @@ def clusters(spark, sf) -> DataFrame:
         F.concat(F.lit("c"), F.col("user_id") % 10).alias("customer"),
         F.col("user_id").alias("workspace_id"),
         (F.col("user_id") % 50).alias("cluster_id"),
-        F.when(F.col("event_id") % 2 == 0, "JOBS_DLT").otherwise("JOBS").alias("sku"),
+        F.when(F.col("event_id") % 2 == 0, "batch_managed").otherwise("batch").alias("sku"),
         F.col("value").alias("units"),
         (1 + F.col("user_id") % 4).cast("double").alias("list_price"),
     )
@@ -61,7 +61,7 @@ def rates(spark, sf) -> DataFrame:
     days = table(spark, sf, "events").select(F.to_date("ts").alias("date"), F.col("user_id").alias("workspace_id"))
     rate = F.when(F.col("workspace_id") % 8 != 0, 0.5 + (F.col("workspace_id") % 3))
     return days.where("workspace_id % 4 = 0").distinct().select(
-        "date", "workspace_id", F.lit("JOBS_DLT").alias("sku"), rate.alias("rate")
+        "date", "workspace_id", F.lit("batch_managed").alias("sku"), rate.alias("rate")
     )
 
 
@@ -91,7 +91,7 @@ def package_revenue(spark, sf):
 
 @query("d23_cluster_revenue", f"SELECT {_KEYS}, {R('revenue', 4)} AS revenue FROM ({_CLUSTERS})")
 def cluster_revenue(spark, sf):
-    out = U.cluster_revenue(clusters(spark, sf), cluster_events(spark, sf), rates(spark, sf), "%DLT%", "azure")
+    out = U.cluster_revenue(clusters(spark, sf), cluster_events(spark, sf), rates(spark, sf), "%managed%", "azure")
     return _account(out, rounded(F.col("revenue"), 4).alias("revenue"))
 
 
@@ -144,7 +144,7 @@ def join_on_distinct_keys(spark, sf):
 def left_join_rates(spark, sf):
     """Counted per (day, workspace, sku) first, so a hot workspace joins as few rows."""
     keys = ["date", "workspace_id", "sku"]
-    n = clusters(spark, sf).where("sku = 'JOBS_DLT'").groupBy(*keys).agg(F.count("*").alias("k"))
+    n = clusters(spark, sf).where("sku = 'batch_managed'").groupBy(*keys).agg(F.count("*").alias("k"))
     joined = n.join(rates(spark, sf), keys, "left")
     return joined.groupBy("workspace_id").agg(
         F.sum("k").alias("n"), rounded(F.sum(F.col("rate") * F.col("k")), 4).alias("rates")
@@ -164,7 +164,7 @@ _FULL = f"""SELECT coalesce(p.date, c.date) AS date, coalesce(p.provider, c.prov
 def full_outer_join(spark, sf):
     out = U.combine_revenue(
         U.package_revenue(workloads(spark, sf), **ARGS),
-        U.cluster_revenue(clusters(spark, sf), cluster_events(spark, sf), rates(spark, sf), "%DLT%", "azure"),
+        U.cluster_revenue(clusters(spark, sf), cluster_events(spark, sf), rates(spark, sf), "%managed%", "azure"),
     )
     return _account(
         out, "num_calls", *[rounded(F.col(c), 4).alias(c) for c in ("package_revenue", "cluster_revenue")]
@@ -202,7 +202,7 @@ def duplicate_removal(spark, sf):
 def usage_rollup(spark, sf):
     out = U.usage_rollup(
         workloads(spark, sf), clusters(spark, sf), cluster_events(spark, sf), rates(spark, sf),
-        sku_like="%DLT%", reseller="azure", **ARGS,
+        sku_like="%managed%", reseller="azure", **ARGS,
     )
     return _account(
         out,

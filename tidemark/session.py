@@ -14,8 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A skewed join is split even when that costs one more shuffle downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Rank limits up to this size are applied in each task before the shuffle.
-    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
+    # Of a repeated key in a JSON object the last value counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
@@ -49,6 +49,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
+def scratch_name(name: str) -> str:
+    """A table name of its own in the catalog."""
+    return f"tidemark_{name}_{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -58,20 +63,3 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-SMALL_INPUT_BYTES = 1 << 30
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small input out to all cores.
-
-    For row-expanding work over a few small files, which a scan would give to fewer
-    tasks than there are cores.  Larger inputs are returned as they are, without a
-    shuffle.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < min(cores * (16 << 20), SMALL_INPUT_BYTES) else df

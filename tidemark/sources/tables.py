@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,12 @@ def write_table(
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
+def save_table(df: DataFrame, name: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> str:
+    """Store ``df`` as a table of the catalog, whose files lie in the warehouse."""
+    df.write.mode(mode).partitionBy(*partition_by).format("parquet").saveAsTable(name)
+    return name
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """``df`` with the columns of ``schema`` first, missing ones as NULL, new ones last."""
     cols: list[Column] = []
@@ -54,19 +61,28 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*cols, *[F.col(f"`{c}`") for c in extra])
 
 
-def patterned_rows(spark: SparkSession, n: int | Column | DataFrame) -> DataFrame:
-    """Rows with cyclic dates, a NULL in every tenth and 10,000 different strings.
+def patterned_rows(
+    spark: SparkSession,
+    n: int | DataFrame,
+    cycle: int = 10,
+    labels: int = 10_000,
+    null_every: int = 10,
+    start: str = "2020-01-10",
+) -> DataFrame:
+    """Synthetic rows: days and moments in a cycle, a day with gaps, labels of given number.
 
     ``n`` is a number of rows, or a frame with an ``id`` column to derive them from.
     """
     ids = n if isinstance(n, DataFrame) else spark.range(n)
-    digit = (F.col("id") % 10).cast("string")
-    day = F.concat(F.lit("2020-01-1"), digit)
+    step = F.pmod("id", F.lit(cycle)).cast("int")
+    first = F.to_date(F.lit(start))
+    day = F.date_format(F.date_add(first, step), "yyyy-MM-dd")
+    moment = F.date_format(F.timestamp_seconds(F.unix_timestamp(first) + step), "yyyy-MM-dd HH:mm:ss")
     return ids.select(
-        day.alias("date_str"),
-        F.concat(F.lit("2020-01-01 00:00:1"), digit).alias("ts_str"),
-        F.when(F.col("id") % 10 != 0, day).alias("dates_with_nulls"),
-        F.concat(F.lit("str: "), (F.col("id") % 10000).cast("string")).alias("random_str"),
+        day.alias("day_text"),
+        moment.alias("moment_text"),
+        F.when(F.pmod("id", F.lit(null_every)) != 0, day).alias("gappy_day"),
+        F.format_string("label %d", F.pmod("id", F.lit(labels))).alias("label"),
     )
 
 
@@ -144,6 +160,17 @@ class SnapshotTable:
         remove(self.spark, self.path)
 
 
+def among(columns: Sequence[str], values: Sequence[tuple]) -> Column:
+    """The columns hold one of the tuples of values, as a condition on literals."""
+    out = F.lit(False)
+    for row in values:
+        equal = [F.col(f"`{c}`").eqNullSafe(F.lit(v)) for c, v in zip(columns, row)]
+        out = out | reduce(lambda a, b: a & b, equal)
+    if len(columns) == 1 and all(row[0] is not None for row in values):
+        out = F.col(f"`{columns[0]}`").isin([row[0] for row in values])
+    return out
+
+
 def upsert_partitions(
     spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], partition_col: str
 ) -> None:
@@ -157,12 +184,14 @@ def upsert_partitions(
     if not exists(spark, path):
         source.write.partitionBy(partition_col).parquet(path)
         return
-    # A join on the partition column alone: pruned at run time to the source's partitions.
-    parts = source.select(partition_col).distinct()
-    target = spark.read.parquet(path)
     column_type = source.schema[partition_col].dataType
-    target = target.withColumn(partition_col, F.col(partition_col).cast(column_type))
-    touched = target.join(parts, partition_col, "left_semi")
+    schema = T.StructType(
+        [f for f in spark.read.parquet(path).schema.fields if f.name != partition_col]
+        + [T.StructField(partition_col, column_type)]
+    )
+    # As many values as there are partitions; as literals they prune the scan.
+    parts = [tuple(r) for r in source.select(partition_col).distinct().collect()]
+    touched = spark.read.schema(schema).parquet(path).where(among([partition_col], parts))
     merged = materialize(upsert(touched, source, keys), "upsert")
     (
         merged.write.mode("overwrite")
