@@ -17,6 +17,19 @@ from tidemark.session import materialize, tune
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Rows of whole documents that go to a Python worker at a time.
+BATCH_ROWS = 2000
+
+
+def prepared(stage: Stage) -> Stage:
+    """The stage in a session that is set up for it."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
 def drop_unclear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with enough margin."""
@@ -44,11 +57,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("language", drop_unclear_language),
-    ("near copies", drop_near_copies),
-    ("decontaminate", drop_contaminated),
-    ("secrets", mask_secrets),
-    ("encode", encode),
+    ("language", prepared(drop_unclear_language)),
+    ("near copies", prepared(drop_near_copies)),
+    ("decontaminate", prepared(drop_contaminated)),
+    ("secrets", prepared(mask_secrets)),
+    ("encode", prepared(encode)),
 ]
 
 #: Compression and tokenizers cannot be said in SQL; the stages are tested against brute force.

@@ -171,7 +171,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 def accepted(docs: DataFrame) -> DataFrame:
     """Documents, columns as given, whose language is predicted with enough margin."""
     contents = dictionaries(docs.where(~held_out()))
-    flagged = predict(docs.withColumn("llm:row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select(
-        F.col("text"), F.col("`llm:row`")
-    ), contents)
-    return flagged.where(~F.col("rejected")).select(*[F.col(f"`llm:row`.`{c}`").alias(c) for c in docs.columns])
+    # Columns go by number meanwhile, so that none clashes with the prediction's.
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    flagged = predict(numbered, contents, f"c{docs.columns.index('text')}")
+    return flagged.where(~F.col("rejected")).select(*numbered.columns).toDF(*docs.columns)
