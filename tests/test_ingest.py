@@ -17,6 +17,7 @@ from tidemark.operators import usage as U
 from tidemark.plans import monitors as M
 from tidemark.session import scratch_path
 from tidemark.sources import tables as A
+from tidemark.sources.tables import among, upsert_partitions
 from tidemark.streaming import ingest as L
 
 FIELDS = T.StructType([T.StructField("a", T.DoubleType()), T.StructField("b c", T.StringType())])
@@ -199,3 +200,40 @@ def test_logging_table_checks_its_schema(spark):
 def test_no_log_folder_is_an_error(spark):
     with pytest.raises(FileNotFoundError):
         L.read_request_stream(spark, [scratch_path(spark, "none")])
+
+
+def test_upsert_reads_only_the_partitions_of_the_source(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(100).selectExpr("id", "cast(id % 10 AS string) AS day").write.partitionBy("day").parquet(path)
+    rows = spark.read.schema("id long, day string").parquet(path).where(among(["day"], [("3",), ("4",)]))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :].split("]")[0]
+    assert "3" in filters and "4" in filters
+    source = spark.createDataFrame([(3, "3"), (1003, "3")], "id long, day string")
+    upsert_partitions(spark, path, source, ["id", "day"], "day")
+    assert spark.read.schema("id long, day string").parquet(path).count() == 101
+
+
+def test_labels_given_twice_and_to_baseline_rows(spark, tmp_path):
+    schema = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("y", T.IntegerType())])
+    log = M.LoggingTable(spark, str(tmp_path / "log"), schema, ["id"])
+    log.log_baseline(spark.range(4).select("id"), "v:1", "a")
+    log.log_baseline(spark.range(4).select("id"), "v:1", "b")
+    log.log_scored(spark.range(2).select("id"), "v:1", "c")
+    labels = spark.createDataFrame([(1, 5), (1, 5), (0, None), (9, 1)], "id long, y int")
+    assert log.log_labels(labels, "y") == 1 and log.log_labels(labels, "y") == 0
+    got = sorted((r.log_type, r.id, r.y) for r in log.read().collect())
+    assert got == [("BASELINE", i, None) for i in range(4)] + [("INPUT", 0, None), ("INPUT", 1, 5)]
+    with pytest.raises(ValueError):
+        log.log_labels(spark.createDataFrame([(1, 5), (1, 6)], "id long, y int"), "y")
+
+
+def test_metrics_of_a_stream_are_compacted(spark, tmp_path):
+    data, path, checkpoint = (str(tmp_path / n) for n in ("data", "metrics", "checkpoint"))
+    spec = MonitorSpec(TimeSeries("ts"), ("1 day",), columns=("v",))
+    for i in range(3):
+        spark.range(i * 10, i * 10 + 10).selectExpr("timestamp'2024-01-01' AS ts", "id AS v").write.mode("append").parquet(data)
+        L.update_metrics_stream(spark.readStream.schema("ts timestamp, v long").parquet(data), spec, path, checkpoint)
+        assert not (tmp_path / "metrics" / "batches" / f"batch={i}").exists()
+    row = L.merged_metrics(spark, path).where("column_name = 'v'").first()
+    assert (row["count"], row["avg"], row["max"]) == (30, 14.5, 29.0)

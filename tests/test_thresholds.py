@@ -34,7 +34,7 @@ def test_intervals_of_eight_rows_at_any_confidence(spark):
     mean, median = TH.mean_interval(df, ["x"], 0.8).first(), TH.median_interval(df, ["x"], 0.8).first()
     breadth = 1.414924 * math.sqrt(6) / math.sqrt(8)
     assert (mean.low, mean.high) == (pytest.approx(3.5 - breadth, abs=1e-5), pytest.approx(3.5 + breadth, abs=1e-5))
-    assert (median.low, median.high) == (1.0, 5.0)
+    assert (median.low, median.high) == (1.0, 6.0)
     bounds = TH.mean_interval(df, ["x"], 0.8)
     metrics = spark.createDataFrame([("w", "x", 1e9)], "w string, column_name string, avg double")
     assert TH.alerts(metrics, bounds, ["avg"], ["w"]).count() == 1

@@ -81,6 +81,34 @@ def ks_statistics(
     return named(found, cur, cur_keys)
 
 
+# Quantiles that stand for each side's sketch, and what the estimate may be off: their
+# steps and the ranks of both sketches.
+SKETCH_POINTS = 400
+SKETCH_ERROR = 0.015
+
+
+def sketch_ks(cur: Column, base: Column) -> Column:
+    """Kolmogorov-Smirnov distance of two quantile sketches, from their quantiles.
+
+    Both lists are run through in order; a value counts up on one side and down on the
+    other, and the largest sum between two different values is the distance.
+    """
+    shares = F.array(*[F.lit((i + 0.5) / SKETCH_POINTS) for i in range(SKETCH_POINTS)])
+
+    def steps(sketch: Column, sign: int) -> Column:
+        quantiles = F.kll_sketch_get_quantile_double(sketch, shares)
+        return F.transform(quantiles, lambda x: F.struct(x.alias("x"), F.lit(sign).alias("sign")))
+
+    start = F.struct(F.lit(None).cast("double").alias("x"), F.lit(0).alias("sum"), F.lit(0).alias("most"))
+
+    def run(state: Column, step: Column) -> Column:
+        done = F.when(state["x"] != step["x"], F.greatest(state["most"], F.abs(state["sum"]))).otherwise(state["most"])
+        return F.struct(step["x"].alias("x"), (state["sum"] + step["sign"]).alias("sum"), done.alias("most"))
+
+    both = F.array_sort(F.concat(steps(cur, 1), steps(base, -1)))
+    return F.aggregate(both, start, run, lambda s: s["most"] / F.lit(float(SKETCH_POINTS)))
+
+
 def _share(side: str, without: str | None = None) -> Column:
     """Value of the distribution function, or its limit from the left."""
     upto = F.col(f"n_{side}_before") + F.col(f"{side}_upto")
@@ -161,14 +189,30 @@ def metric_deltas(pairs: DataFrame, spec: MonitorSpec) -> list[Column]:
     return cols
 
 
-def _select_pair(joined: DataFrame, kind: str, window_cmp: Column, spec: MonitorSpec) -> DataFrame:
-    return joined.select(
+def select_pair(joined: DataFrame, kind: str, window_cmp: Column, spec: MonitorSpec) -> DataFrame:
+    """Drift rows of paired metric rows: deltas and, with sketches, the KS test."""
+    out = joined.select(
         F.lit(kind).alias("drift_type"),
         *[F.col(f"cur.{k}") for k in GROUP],
         window_cmp.alias("window_cmp"),
         F.col("cur.column_name"),
         *metric_deltas(joined, spec),
+        *([] if spec.exact else [F.struct(*[_sketched(side) for side in ("cur", "base")]).alias("_pair")]),
     )
+    if spec.exact:
+        return out
+    n = [F.col(f"_pair.{side}.n") for side in ("cur", "base")]
+    both = (n[0] > 0) & (n[1] > 0)
+    distance = F.when(both, sketch_ks(F.col("_pair.cur.sketch"), F.col("_pair.base.sketch")))
+    return out.withColumn("ks_statistic", distance).withColumn(
+        "ks_pvalue", F.when(both, ks_pvalue(F.col("ks_statistic"), *n))
+    ).drop("_pair")
+
+
+def _sketched(side: str) -> Column:
+    """Sketch of a metric row and the number of values in it; none for other columns."""
+    n = F.when(F.col(f"{side}.sketch").isNotNull(), F.col(f"{side}.count") - F.col(f"{side}.num_nulls"))
+    return F.struct(F.coalesce(n, F.lit(0)).alias("n"), F.col(f"{side}.sketch").alias("sketch")).alias(side)
 
 
 def pair_with_baseline(analysis: DataFrame, base_analysis: DataFrame) -> DataFrame:
@@ -195,23 +239,15 @@ def previous_counts(counts: DataFrame, pairs: DataFrame) -> tuple[DataFrame, Dat
     return paired, base.withColumnRenamed("_next", "window")
 
 
-def distances(
-    cur: DataFrame, base: DataFrame, base_keys: Sequence[str], pvalue: bool = True
-) -> tuple[DataFrame, DataFrame]:
-    """KS of the numeric columns and category tests of the others."""
-    keys = [*GROUP, "column_name"]
-    is_number = F.col("num").isNotNull()
-    return (
-        ks_statistics(cur.where(is_number), base.where(is_number), base_keys, keys),
-        category_tests(cur.where(~is_number), base.where(~is_number), base_keys, keys, pvalue),
-    )
-
-
 def _with_distances(
-    metrics: DataFrame, cur: DataFrame, base: DataFrame, base_keys: Sequence[str], pvalue: bool
+    metrics: DataFrame, cur: DataFrame, base: DataFrame, base_keys: Sequence[str], exact: bool, pvalue: bool
 ) -> DataFrame:
+    """Add the category tests and, if exact ones are asked for, the KS test."""
     keys = [*GROUP, "column_name"]
-    for part in distances(cur, base, base_keys, pvalue):
+    is_number = F.col("num").isNotNull()
+    parts = [ks_statistics(cur.where(is_number), base.where(is_number), base_keys, keys)] if exact else []
+    parts.append(category_tests(cur.where(~is_number), base.where(~is_number), base_keys, keys, pvalue))
+    for part in parts:
         metrics = join_null_safe(metrics, part, keys, "left")
     return metrics
 
@@ -226,8 +262,8 @@ def baseline_drift(
 ) -> DataFrame:
     """Every window against the baseline of its version and slice."""
     none = F.lit(None).cast(analysis.schema["window"].dataType)
-    metrics = _select_pair(pair_with_baseline(analysis, base_analysis), BASELINE, none, spec)
-    return _with_distances(metrics, counts, base_counts, [*_BASE_KEYS, "column_name"], pvalue)
+    metrics = select_pair(pair_with_baseline(analysis, base_analysis), BASELINE, none, spec)
+    return _with_distances(metrics, counts, base_counts, [*_BASE_KEYS, "column_name"], spec.exact, pvalue)
 
 
 def consecutive_drift(
@@ -235,10 +271,10 @@ def consecutive_drift(
 ) -> DataFrame:
     """Every window against the one before it; the first has none."""
     joined = pair_with_previous(analysis)
-    metrics = _select_pair(joined, CONSECUTIVE, F.col("cur.window_cmp"), spec)
+    metrics = select_pair(joined, CONSECUTIVE, F.col("cur.window_cmp"), spec)
     # Written out, the few pairs have a known size and join without moving the counts.
     cur, base = previous_counts(counts, materialize(window_pairs(analysis), "pairs"))
-    return _with_distances(metrics, cur, base, [*GROUP, "column_name"], pvalue)
+    return _with_distances(metrics, cur, base, [*GROUP, "column_name"], spec.exact, pvalue)
 
 
 def drift(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.columns import col, join_null_safe, quoted
+from tidemark.functions.columns import col, join_null_safe, numeric_columns, quoted
 from tidemark.functions.templates import render
 from tidemark.operators.counts import distinct_and_median, value_counts
 from tidemark.operators.quality import quality_metrics
@@ -30,7 +30,9 @@ _BASE_METRICS = {
     "avg_length": "double",
     "non_null_columns": "bigint",
 }
-_SKETCH_METRICS = {"distinct_count": "bigint", "median": "double"}
+_SKETCH_METRICS = {"distinct_count": "bigint", "median": "double", "sketch": "binary"}
+# Size of a quantile sketch: ranks are off by less than 0.4 % with 99 % confidence.
+SKETCH_SIZE = 800
 
 
 def analysed_columns(df: DataFrame, spec: MonitorSpec) -> list[str]:
@@ -140,7 +142,8 @@ def _column_aggregates(name: str, data_type: T.DataType, exact: bool) -> dict[st
         present = F.count(c)
         out["percent_zeros"] = F.when(present > 0, F.count_if(c == 0) / present)
         if not exact:
-            out["median"] = F.percentile_approx(c, 0.5, 10000).cast("double")
+            out["sketch"] = F.kll_sketch_agg_double(c.cast("double"), SKETCH_SIZE)
+            out["median"] = F.when(present > 0, F.kll_sketch_get_quantile_double(out["sketch"], F.lit(0.5)))
     elif isinstance(data_type, T.StringType):
         out["avg_length"] = F.avg(F.length(c))
     if not exact:
@@ -270,6 +273,12 @@ def aggregate_metrics(
     return long.withColumn("log_type", F.lit(log_type))
 
 
+def counted_columns(df: DataFrame, spec: MonitorSpec) -> list[str]:
+    """Columns whose value counts are needed: numbers have sketches unless ``spec.exact``."""
+    numbers = set(numeric_columns(df))
+    return [c for c in analysed_columns(df, spec) if spec.exact or c not in numbers]
+
+
 def group_value_counts(
     df: DataFrame,
     spec: MonitorSpec,
@@ -277,6 +286,9 @@ def group_value_counts(
     as_of: dt.datetime | None = None,
     only_windows: DataFrame | None = None,
 ) -> DataFrame:
-    """Value counts of every analysed column in every group of ``df``."""
+    """Value counts of every counted column in every group of ``df``."""
     rows = group_rows(df, spec, log_type, as_of, only_windows)
-    return value_counts(rows, GROUP, analysed_columns(df, spec), inner)
+    columns = counted_columns(df, spec)
+    if not columns:
+        return value_counts(rows, GROUP, analysed_columns(df, spec), inner).where(F.lit(False))
+    return value_counts(rows, GROUP, columns, inner)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 from tidemark import spec as S
 from tidemark.operators.joins import conflicting_labels, log_labels
 from tidemark.plans import refresh as R
-from tidemark.session import materialize
+from tidemark.session import materialize, scratch_scope
 from tidemark.sources.tables import SnapshotTable, among, conform, exists, remove
 
 _SPEC_SCHEMA = "table_name string, baseline_table_name string, linked_entities array<string>, spec string"
@@ -166,32 +167,62 @@ class Monitors:
     ) -> None:
         """Bring the metric tables up to date.
 
-        With ``changed`` (rows added, altered or removed since the last refresh) only the
-        windows they touch are recomputed.  A table without time gets one more window.
+        Only windows whose rows have changed since the last refresh are recomputed, and
+        those drift compares with them.  They are found by the marks of the last refresh,
+        or given by ``changed``, the rows added, altered or removed.  New columns and
+        metrics appear in recomputed windows; ``backfill`` recomputes all.  A table without
+        time gets one more window.
         """
         info = self.info(table_name)
+        with scratch_scope(self.spark):
+            self._refresh(info, backfill, changed, as_of)
+
+    def _refresh(self, info: MonitorInfo, backfill: bool, changed: DataFrame | None, as_of: dt.datetime | None) -> None:
+        folder = self._folder(info.table_name)
         analysis = SnapshotTable(self.spark, info.analysis_metrics_path)
         drift = SnapshotTable(self.spark, info.drift_metrics_path)
-        df = self.spark.table(table_name)
-        base = (
-            R.run_stages(self.spark.table(info.baseline_table_name), info.spec, S.BASELINE)
-            if info.baseline_table_name
-            else None
-        )
-        counts = SnapshotTable(self.spark, f"{self._folder(table_name)}/value_counts")
+        df = self.spark.table(info.table_name)
+        base, moved_base = self._baseline(info)
         if info.spec.timestamp_col is None:
+            counts = SnapshotTable(self.spark, f"{folder}/value_counts")
             self._refresh_snapshot(info, df, base, as_of, analysis, drift, counts)
-        elif backfill or changed is None or not analysis.exists():
+            return
+        seen = SnapshotTable(self.spark, f"{folder}/seen")
+        marks = materialize(R.window_marks(df, info.spec), "marks")
+        # A baseline that has changed is compared with every window anew.
+        if backfill or moved_base or not analysis.exists() or not (seen.exists() or changed is not None):
             stage = R.run_stages(df, info.spec, as_of=as_of)
-            rows = stage.metrics if base is None else stage.metrics.unionByName(base.metrics)
-            analysis.replace(rows)
-            drift.replace(R.drift_stage(stage, info.spec, base))
+            rows, moved = stage.metrics, R.drift_stage(stage, info.spec, base)
         else:
-            touched = materialize(R.touched_windows(changed, info.spec), "touched")
-            analysis.replace(R.refresh_analysis(df, info.spec, analysis.read(), touched))
-            drift.replace(
-                R.refresh_drift(df, info.spec, drift.read(), analysis.read(), touched, base)
-            )
+            touched = R.moved_windows(seen.read(), marks) if changed is None else R.touched_windows(changed, info.spec)
+            touched = materialize(touched, "touched")
+            old = analysis.read().where(F.col("log_type") == S.INPUT)
+            rows = materialize(R.refresh_analysis(df, info.spec, old, touched), "analysis")
+            moved = R.refresh_drift(df, info.spec, drift.read(), rows, touched, base)
+        drift.replace(moved)
+        analysis.replace(rows if base is None else rows.unionByName(base.metrics, allowMissingColumns=True))
+        # Last, so that a refresh that fails is done again.
+        seen.replace(marks)
+
+    def _baseline(self, info: MonitorInfo) -> tuple[R.Stage | None, bool]:
+        """The baseline's metrics and counts, computed once for a spec and a state of the
+        table, and whether that was now."""
+        if not info.baseline_table_name:
+            return None, False
+        df = self.spark.table(info.baseline_table_name)
+        hashes = F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)"))
+        state = df.agg(F.count("*"), hashes).first()
+        text = "|".join([info.baseline_table_name, spec_to_json(info.spec), str(df.dtypes), *map(str, state)])
+        root = f"{self._folder(info.table_name)}/baseline"
+        folder = f"{root}/{hashlib.md5(text.encode()).hexdigest()}"
+        parts = [SnapshotTable(self.spark, f"{folder}/{name}") for name in ("metrics", "counts")]
+        fresh = not all(p.exists() for p in parts)
+        if fresh:
+            stage = R.run_stages(df, info.spec, S.BASELINE)
+            remove(self.spark, root)
+            for part, rows in zip(parts, stage):
+                part.replace(rows)
+        return R.Stage(*[p.read() for p in parts]), fresh
 
     def _refresh_snapshot(self, info, df, base, as_of, analysis, drift, counts) -> None:
         """One more window; value counts of the last one are kept for the comparison."""
@@ -205,7 +236,7 @@ class Monitors:
             if counts.exists() and last is not None:
                 seen = counts.read().unionByName(stage.counts)
         scored = materialize(scored, "analysis")
-        rows = R.drift_stage(R.Stage(scored, seen), info.spec, base)
+        rows = R.drift_stage(R.Stage(scored, materialize(seen, "counts")), info.spec, base)
         newest = scored.agg(F.max("window")).scalar()
         fresh = rows.where(F.col("window") == newest)
         if drift.exists():

@@ -14,16 +14,18 @@ from tidemark.operators.counts import long_values
 from tidemark.operators.drift import drift, window_pairs
 from tidemark.operators.profile import (
     GROUP,
+    SKETCH_SIZE,
     add_derived_metrics,
     aggregate_metrics,
     analysed_columns,
+    counted_columns,
     group_rows,
     group_value_counts,
     inner,
 )
 from tidemark.operators.windows import assign_windows
 from tidemark.session import materialize
-from tidemark.spec import BASELINE, CONSECUTIVE, INPUT, MonitorSpec
+from tidemark.spec import BASELINE, CONSECUTIVE, INPUT, TABLE, MonitorSpec
 
 _WINDOW = ["granularity", "window"]
 
@@ -44,9 +46,12 @@ def aggregate_stage(
 ) -> Stage:
     """First step: everything that reads the monitored rows.
 
-    The value counts serve distinct counts, medians and drift, so they are written once.
+    The value counts of texts serve the category tests, with ``spec.exact`` those of all
+    columns serve distinct counts and medians too; they are written once, if there are any.
     """
-    counts = materialize(group_value_counts(df, spec, log_type, as_of, only_windows), "counts")
+    counts = group_value_counts(df, spec, log_type, as_of, only_windows)
+    if counted_columns(df, spec):
+        counts = materialize(counts, "counts")
     return Stage(aggregate_metrics(df, spec, log_type, as_of, counts, only_windows), counts)
 
 
@@ -99,16 +104,33 @@ def monitor(
 def changed_rows(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows whose number of copies differs between two snapshots, with ``_change``.
 
-    One signed count over both sides: a single shuffle, summed on the map side first.
+    One signed count over both sides: a single shuffle, summed on the map side first.  A
+    column that one side lacks is NULL there.
     """
-    cols = new.columns
-    both = (
-        new.select(*[col(c) for c in cols], F.lit(1).alias("_sign"))
-        .unionByName(old.select(*[col(c) for c in cols], F.lit(-1).alias("_sign")))
-        .groupBy(*[col(c) for c in cols])
-        .agg(F.sum("_sign").alias("_change"))
+    both = new.withColumn("_sign", F.lit(1)).unionByName(old.withColumn("_sign", F.lit(-1)), allowMissingColumns=True)
+    cols = [c for c in both.columns if c != "_sign"]
+    counted = both.groupBy(*[col(c) for c in cols]).agg(F.sum("_sign").alias("_change"))
+    return counted.where(F.col("_change") != 0)
+
+
+def window_marks(df: DataFrame, spec: MonitorSpec) -> DataFrame:
+    """``granularity, window, rows, mark``: what tells whether a window's rows have changed.
+
+    Sums of row hashes: each task adds up its rows, so nothing but the marks is shuffled.
+    """
+    row = F.xxhash64(*[col(c) for c in df.columns])
+    placed = df.select(col(spec.timestamp_col), row.alias("_hash"))
+    hashes = assign_windows(placed, spec.timestamp_col, spec.granularities)
+    return hashes.groupBy(*_WINDOW).agg(
+        F.count("*").alias("rows"), F.sum(F.col("_hash").cast("decimal(38,0)")).alias("mark")
     )
-    return both.where(F.col("_change") != 0)
+
+
+def moved_windows(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Windows that two sets of marks differ in, new and vanished ones included."""
+    both = old.select(*_WINDOW, "rows", "mark").exceptAll(new.select(*_WINDOW, "rows", "mark"))
+    other = new.select(*_WINDOW, "rows", "mark").exceptAll(old.select(*_WINDOW, "rows", "mark"))
+    return both.union(other).select(*_WINDOW).distinct()
 
 
 def touched_windows(changed: DataFrame, spec: MonitorSpec) -> DataFrame:
@@ -120,24 +142,44 @@ def touched_windows(changed: DataFrame, spec: MonitorSpec) -> DataFrame:
     )
 
 
+SCAN_RANGES = 100
+
+
+def scan_ranges(windows: DataFrame, most: int = SCAN_RANGES) -> list[tuple]:
+    """The windows' time as at most ``most`` ranges; neighbours are joined beyond that.
+
+    The input has a row per window, like the metric table.
+    """
+    times = windows.select(F.col("window.start").alias("a"), F.col("window.end").alias("b")).distinct()
+    before = Window.orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    opens = times.withColumn("opens", F.coalesce(F.col("a") > F.max("b").over(before), F.lit(True)).cast("int"))
+    island = F.sum("opens").over(Window.orderBy("a", "b"))
+    merged = opens.withColumn("i", island).groupBy("i").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    size = F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy()) / F.lit(most)))
+    joined = merged.withColumn("j", F.floor((F.col("i") - 1) / size)).groupBy("j")
+    return [(r["a"], r["b"]) for r in joined.agg(F.min("a").alias("a"), F.max("b").alias("b")).collect()]
+
+
 def _scan_bounds(df: DataFrame, spec: MonitorSpec, windows: DataFrame) -> DataFrame:
-    """``df`` cut to the time range of the windows, so that the scan can skip files."""
-    lo, hi = windows.agg(F.min("window.start"), F.max("window.end")).first()
-    ts = col(spec.timestamp_col)
-    if lo is None:
-        return df.limit(0)
-    kind = df.schema[spec.timestamp_col].dataType
-    return df.where((ts >= F.lit(lo).cast(kind)) & (ts < F.lit(hi).cast(kind)))
+    """``df`` cut to the times of the windows, so that the scan can skip files."""
+    ts, kind = col(spec.timestamp_col), df.schema[spec.timestamp_col].dataType
+    inside = F.lit(False)
+    for low, high in scan_ranges(windows):
+        inside = inside | ((ts >= F.lit(low).cast(kind)) & (ts < F.lit(high).cast(kind)))
+    return df.where(inside)
 
 
 def refresh_analysis(
     df: DataFrame, spec: MonitorSpec, old: DataFrame, touched: DataFrame
 ) -> DataFrame:
-    """The metric table after recomputing the touched windows only."""
+    """The metric table after recomputing the touched windows only.
+
+    Columns and metrics that are new are NULL in the windows that are not.
+    """
     touched = materialize(touched, "touched")
     part = _scan_bounds(df, spec, touched)
     fresh = run_stages(part, spec, only_windows=touched).metrics
-    return join_null_safe(old, touched, _WINDOW, "left_anti").unionByName(fresh)
+    return join_null_safe(old, touched, _WINDOW, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
 def refresh_drift(
@@ -172,7 +214,7 @@ def refresh_drift(
     counts = materialize(group_value_counts(part, spec, only_windows=needed), "counts")
     rows = Stage(join_null_safe(scored, needed, _WINDOW, "left_semi"), counts)
     fresh = join_null_safe(drift_stage(rows, spec, baseline), affected, _WINDOW, "left_semi")
-    return join_null_safe(old_drift, affected, _WINDOW, "left_anti").unionByName(fresh)
+    return join_null_safe(old_drift, affected, _WINDOW, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
 # Mergeable aggregates ---------------------------------------------------------
@@ -192,8 +234,9 @@ def aggregate_base(df: DataFrame, spec: MonitorSpec, columns: Sequence[str] | No
         F.min("num").alias("lowest"),
         F.max("num").alias("highest"),
         F.count_if(F.col("num") == 0).alias("n_zeros"),
+        F.sum(F.when(F.col("num").isNull(), F.length("txt"))).alias("letters"),
         F.hll_sketch_agg(F.when(present, F.xxhash64("num", "txt"))).alias("hll"),
-        F.kll_sketch_agg_double("num").alias("kll"),
+        F.kll_sketch_agg_double("num", SKETCH_SIZE).alias("kll"),
     )
 
 
@@ -217,15 +260,21 @@ def merge_aggregate_base(parts: DataFrame) -> DataFrame:
         F.min("lowest").alias("lowest"),
         F.max("highest").alias("highest"),
         F.sum("n_zeros").alias("n_zeros"),
+        F.sum("letters").alias("letters"),
         F.hll_union_agg("hll").alias("hll"),
         F.kll_merge_agg_double("kll").alias("kll"),
     )
 
 
 def finish_aggregate_base(base: DataFrame) -> DataFrame:
-    """Metrics from merged aggregates; distinct count and median are estimates."""
+    """Metrics from merged aggregates; distinct count and median are estimates.
+
+    ``sketch`` is what drift needs, so windows can be compared without the data.
+    """
     n = F.nullif(F.col("n_num"), F.lit(0))
-    return base.select(
+    values = F.nullif(F.col("n_values"), F.lit(0))
+    distinct = F.hll_sketch_estimate("hll")
+    columns = base.select(
         *GROUP,
         "column_name",
         F.col("n_rows").alias("count"),
@@ -237,8 +286,14 @@ def finish_aggregate_base(base: DataFrame) -> DataFrame:
             F.col("n_num") > 1, F.sqrt(F.greatest(F.lit(0.0), F.col("m2")) / (F.col("n_num") - 1))
         ).alias("stddev"),
         (F.col("n_zeros") / n).alias("percent_zeros"),
-        F.hll_sketch_estimate("hll").alias("distinct_count"),
-        F.when(F.col("n_num") > 0, F.kll_sketch_get_quantile_double("kll", F.lit(0.5))).alias(
-            "median"
-        ),
+        (F.col("letters") / values).alias("avg_length"),
+        distinct.alias("distinct_count"),
+        (distinct / values).alias("percent_distinct"),
+        F.when(F.col("n_num") > 0, F.kll_sketch_get_quantile_double("kll", F.lit(0.5))).alias("median"),
+        F.when(F.col("n_num") > 0, F.col("kll")).alias("sketch"),
+        F.lit(None).cast("bigint").alias("non_null_columns"),
+    )
+    tables = base.groupBy(*GROUP).agg(
+        F.max("n_rows").alias("count"), F.count_if(F.col("n_values") > 0).alias("non_null_columns")
     )
+    return columns.unionByName(tables.withColumn("column_name", F.lit(TABLE)), allowMissingColumns=True)

@@ -23,12 +23,12 @@ from tidemark.spec import (
 )
 
 LINEITEM_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
-LINEITEM = MonitorSpec(
-    TimeSeries("l_shipdate"),
-    granularities=("1 month",),
-    slicing_exprs=("l_returnflag", "l_quantity > 25"),
-    columns=LINEITEM_COLUMNS,
+# All columns beside the timestamp, in one pass with sketches.
+SKETCHED = MonitorSpec(
+    TimeSeries("l_shipdate"), granularities=("1 month",), slicing_exprs=("l_returnflag", "l_quantity > 25")
 )
+EVERYTHING = SKETCHED.with_params(exact=True)
+LINEITEM = EVERYTHING.with_params(columns=LINEITEM_COLUMNS)
 YEARLY = LINEITEM.with_params(granularities=("1 year",))
 SHIFT = 3.1e-8
 AS_OF = dt.datetime(2024, 2, 1)
@@ -51,7 +51,7 @@ def chi2_tail_sql(statistic: str, dof: str) -> str:
     """Upper tail of the chi-squared distribution: a series of 500 terms for the lower one."""
     a, h = f"(({dof}) / 2.0)", f"(({statistic}) / 2.0)"
     term = f"exp(({a} + k) * ln({h}) - {h} - lgamma({a} + k + 1))"
-    return f"CASE WHEN {h} <= 0 THEN 1.0 ELSE 1 - list_sum(list_transform(range(0, 500), lambda k: {term})) END"
+    return f"CASE WHEN {a} <= 0 THEN NULL WHEN {h} <= 0 THEN 1.0 ELSE 1 - list_sum(list_transform(range(0, 500), lambda k: {term})) END"
 
 
 def stamp(c: Column) -> Column:
@@ -76,53 +76,109 @@ def flat(df: DataFrame, *metrics: str, digits: int = 6) -> DataFrame:
 
 _MONTH_ROWS = """
 rows_ AS (
-  SELECT strftime(date_trunc('month', l_shipdate), '%Y-%m-%d %H:%M:%S') AS window_start, s.*,
-         l_quantity, l_extendedprice, l_discount, l_returnflag, l_linestatus
+  SELECT strftime(date_trunc('month', l_shipdate), '%Y-%m-%d %H:%M:%S') AS window_start, s.*, lineitem.*
   FROM lineitem, LATERAL (VALUES (NULL, NULL), ('l_returnflag', l_returnflag),
        ('l_quantity > 25', CAST(l_quantity > 25 AS VARCHAR))) AS s(slice_key, slice_value))
 """
 _YEAR_ROWS = _MONTH_ROWS.replace("'month'", "'year'")
 
 
-def _union_columns(numeric: str, text: str) -> str:
+_NUMBERS = {
+    "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int",
+    "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double",
+}
+_TEXTS = ("l_returnflag", "l_linestatus")
+_KEYS = "window_start, slice_key, slice_value"
+
+
+def _profile_sql(exact: bool) -> str:
+    """All metrics of all columns; with ``exact`` those that take value counts too."""
+
+    def counted(c: str, number: bool) -> str:
+        if not exact:
+            return ""
+        median = R(f"quantile_disc({c}, 0.5)", 4) if number else "NULL"
+        return f"""count(DISTINCT {c}) AS distinct_count, {R(f'count(DISTINCT {c}) / nullif(count({c}), 0)')} AS percent_distinct,
+            {median} AS median,"""
+
+    base = 'count(*) AS "count", count(*) - count({c}) AS num_nulls,'
     parts = [
-        numeric.format(c=c) for c in ("l_quantity", "l_extendedprice", "l_discount")
-    ] + [text.format(c=c) for c in ("l_returnflag", "l_linestatus")]
-    return "\nUNION ALL\n".join(parts)
+        f"""SELECT {_KEYS}, '{c}' AS column_name, '{t}' AS data_type, {base.format(c=c)} {counted(c, True)}
+        {R(f'min({c})', 4)} AS "min", {R(f'max({c})', 4)} AS "max", {R(f'avg({c})', 4)} AS "avg", {R(f'stddev_samp({c})', 4)} AS stddev,
+        {R(f'count(*) FILTER ({c} = 0) / nullif(count({c}), 0)')} AS percent_zeros, NULL::DOUBLE AS avg_length,
+        NULL::BIGINT AS non_null_columns FROM rows_ GROUP BY ALL"""
+        for c, t in _NUMBERS.items()
+    ]
+    parts += [
+        f"""SELECT {_KEYS}, '{c}', 'string', {base.format(c=c)} {counted(c, False)} NULL, NULL, NULL, NULL, NULL,
+        {R(f'avg(length({c}))')}, NULL FROM rows_ GROUP BY ALL"""
+        for c in _TEXTS
+    ]
+    filled = " + ".join(f"(count({c}) > 0)::INT" for c in (*_NUMBERS, *_TEXTS))
+    parts.append(
+        f"""SELECT {_KEYS}, ':table', NULL, count(*), NULL, {'NULL, NULL, NULL,' if exact else ''}
+        NULL, NULL, NULL, NULL, NULL, NULL, {filled} FROM rows_ GROUP BY ALL"""
+    )
+    return f"WITH {_MONTH_ROWS} " + " UNION ALL ".join(parts)
+
+
+def _profile_out(rows: DataFrame, exact: bool) -> DataFrame:
+    names = ["window", "slice_key", "slice_value", "column_name", "data_type", "count", "num_nulls"]
+    coarse = {m: rounded(F.col(m), 4).alias(m) for m in ("min", "max", "avg", "stddev", "median")}
+    fine = {m: rounded(F.col(m)).alias(m) for m in ("percent_zeros", "avg_length", "percent_distinct")}
+    wanted = ["min", "max", "avg", "stddev", "percent_zeros", "avg_length", "non_null_columns"]
+    wanted += ["distinct_count", "percent_distinct", "median"] if exact else []
+    flat_ = [stamp(F.col("window.start")).alias("window_start"), *[F.col(n) for n in names[1:]]]
+    return rows.select(*flat_, *[(coarse | fine).get(m, F.col(m)) for m in wanted])
+
+
+@query("d14_long_profile", _profile_sql(exact=False))
+def long_profile(spark, sf):
+    """Every column of every month and slice in one scan; estimates are left to the next two."""
+    return _profile_out(P.profile(table(spark, sf, "lineitem"), SKETCHED), exact=False)
+
+
+@query("d14_exact_profile", _profile_sql(exact=True))
+def exact_profile(spark, sf):
+    return _profile_out(P.profile(table(spark, sf, "lineitem"), EVERYTHING), exact=True)
 
 
 @query(
-    "d14_long_profile",
-    f"""WITH {_MONTH_ROWS}
-    {_union_columns(
-        '''SELECT window_start, slice_key, slice_value, '{c}' AS column_name, 'double' AS data_type,
-        count(*) AS "count", count(*) - count({c}) AS num_nulls,
-        count(DISTINCT {c}) AS distinct_count,
-        round(3.1e-8 + count(DISTINCT {c}) / nullif(count({c}), 0), 6) AS percent_distinct,
-        round(3.1e-8 + min({c}), 6) AS "min", round(3.1e-8 + max({c}), 6) AS "max", round(3.1e-8 + avg({c}), 6) AS "avg",
-        round(3.1e-8 + stddev_samp({c}), 6) AS stddev, round(3.1e-8 + quantile_disc({c}, 0.5), 6) AS median,
-        round(3.1e-8 + count(*) FILTER ({c} = 0) / nullif(count({c}), 0), 6) AS percent_zeros,
-        NULL::DOUBLE AS avg_length, NULL::BIGINT AS non_null_columns
-        FROM rows_ GROUP BY ALL''',
-        '''SELECT window_start, slice_key, slice_value, '{c}', 'string', count(*),
-        count(*) - count({c}), count(DISTINCT {c}),
-        round(3.1e-8 + count(DISTINCT {c}) / nullif(count({c}), 0), 6), NULL, NULL, NULL, NULL, NULL, NULL,
-        round(3.1e-8 + avg(length({c})), 6), NULL
-        FROM rows_ GROUP BY ALL''')}
-    UNION ALL
-    SELECT window_start, slice_key, slice_value, ':table', NULL, count(*), NULL, NULL, NULL, NULL,
-        NULL, NULL, NULL, NULL, NULL, NULL,
-        (count(l_quantity) > 0)::INT + (count(l_extendedprice) > 0)::INT + (count(l_discount) > 0)::INT
-        + (count(l_returnflag) > 0)::INT + (count(l_linestatus) > 0)::INT
-    FROM rows_ GROUP BY ALL""",
+    "d14_sketch_errors",
+    f"""WITH {_MONTH_ROWS} """
+    + " UNION ALL ".join(
+        f"SELECT {_KEYS}, '{c}' AS column_name, true AS distinct_close, true AS median_close FROM rows_ GROUP BY ALL"
+        for c in _NUMBERS
+    ),
 )
-def long_profile(spark, sf):
-    rows = P.profile(table(spark, sf, "lineitem"), LINEITEM)
-    return flat(
-        rows, "window", "slice_key", "slice_value", "column_name", "data_type", "count",
-        "num_nulls", "distinct_count", "percent_distinct", "min", "max", "avg", "stddev",
-        "median", "percent_zeros", "avg_length", "non_null_columns",
+def sketch_errors(spark, sf):
+    """Distinct counts within a tenth of the exact ones, medians within a hundredth of the ranks."""
+    df = table(spark, sf, "lineitem")
+    rows = P.profile(df, SKETCHED).where("data_type != 'string'")
+    values = C.long_values(P.group_rows(df, SKETCHED), P.GROUP, list(_NUMBERS))
+    by = [*P.GROUP, "column_name"]
+    joined = D.join_null_safe(values, rows.select(*by, "median", "distinct_count"), by)
+    n, mid = F.count("num"), F.max("median")
+    below, upto = F.count_if(F.col("num") < F.col("median")) / n, F.count_if(F.col("num") <= F.col("median")) / n
+    exact = F.count_distinct("num")
+    out = joined.groupBy(*by).agg(
+        (F.abs(F.max("distinct_count") - exact) <= 0.1 * exact + 1).alias("distinct_close"),
+        # A value at a step of the distribution function has all the ranks of the step.
+        (mid.isNotNull() & (below <= 0.51) & (upto + 1 / n >= 0.49)).alias("median_close"),
     )
+    return flat(out, "window", "slice_key", "slice_value", "column_name", "distinct_close", "median_close")
+
+
+@query(
+    "d14_names_of_groups",
+    f"""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, unnest(['window', 'granularity']) AS column_name,
+        unnest([count(*), count(*)]) AS "count", unnest([{R('avg(value)')}, {R('avg(user_id)')}]) AS "avg" FROM events GROUP BY 1""",
+)
+def names_of_groups(spark, sf):
+    """Monitored columns called like columns of the metric table."""
+    df = table(spark, sf, "events").select("ts", F.col("value").alias("window"), F.col("user_id").alias("granularity"))
+    rows = P.profile(df, MonitorSpec(TimeSeries("ts"), ("1 day",)))
+    return flat(rows.where("column_name != ':table'"), "window", "column_name", "count", "avg")
 
 
 # 2.D single metrics -----------------------------------------------------------
@@ -153,14 +209,16 @@ def count_and_nulls(spark, sf):
 
 @query(
     "d2_distinct",
-    f"""WITH {_YEAR_ROWS}
-    {_union_columns(*['''SELECT window_start, slice_key, slice_value, '{c}' AS column_name,
-      count(DISTINCT {c}) AS distinct_count,
-      round(3.1e-8 + count(DISTINCT {c}) / count({c}), 6) AS percent_distinct
-      FROM rows_ GROUP BY ALL'''] * 2)}""",
+    f"WITH {_YEAR_ROWS} "
+    + " UNION ALL ".join(
+        f"""SELECT {_KEYS}, '{c}' AS column_name, count(DISTINCT {c}) AS distinct_count,
+        {R(f'count(DISTINCT {c}) / count({c})')} AS percent_distinct FROM rows_ GROUP BY ALL"""
+        for c in (*_NUMBERS, *_TEXTS)
+    ),
 )
 def distinct(spark, sf):
-    rows = P.profile(table(spark, sf, "lineitem"), YEARLY).where("column_name != ':table'")
+    spec = EVERYTHING.with_params(granularities=("1 year",))
+    rows = P.profile(table(spark, sf, "lineitem"), spec).where("column_name != ':table'")
     return flat(
         rows, "window", "slice_key", "slice_value", "column_name", "distinct_count", "percent_distinct"
     )
@@ -450,6 +508,27 @@ def ks_test(spark, sf):
     return _distance_rows(spark, sf, columns, D.ks_statistics, ["ks_statistic", "ks_pvalue"])
 
 
+@query(
+    "e6_ks_test_of_sketches",
+    f"SELECT * EXCLUDE (ks_statistic, ks_pvalue), true AS close FROM ({_ks_sql('BASELINE')} UNION ALL {_ks_sql('CONSECUTIVE')})",
+)
+def ks_test_of_sketches(spark, sf):
+    """The statistic from the windows' sketches, next to the exact one."""
+    exact = ks_test(spark, sf)
+    spec = SKETCHED.with_params(granularities=("1 year",), columns=("l_quantity", "l_extendedprice", "l_discount"))
+    rows = P.profile(table(spark, sf, "lineitem"), spec).where("column_name != ':table'")
+    base = P.profile(first_year(spark, sf), spec, BASELINE).where("column_name != ':table'")
+    keys = ["drift_type", "window_start", "window_cmp_start", "slice_key", "slice_value", "column_name"]
+    none = F.lit(None).cast(rows.schema["window"].dataType)
+    found = [
+        D.select_pair(D.pair_with_baseline(rows, base), BASELINE, none, spec),
+        D.select_pair(D.pair_with_previous(rows), "CONSECUTIVE", F.col("cur.window_cmp"), spec),
+    ]
+    near = flat(found[0].unionByName(found[1]), *["drift_type", "window", "window_cmp", *keys[3:], "ks_statistic"])
+    joined = D.join_null_safe(exact, near.withColumnRenamed("ks_statistic", "near"), keys)
+    return joined.select(*keys, (F.abs(F.col("near") - F.col("ks_statistic")) <= D.SKETCH_ERROR).alias("close"))
+
+
 def _drop_tv(sql: str) -> str:
     return f"SELECT * EXCLUDE (tv_distance) FROM ({sql})"
 
@@ -466,14 +545,13 @@ def chi_squared(spark, sf):
 def _pvalue_sql(kind: str) -> str:
     tail = chi2_tail_sql(f"chi_squared_statistic - {SHIFT}", "chi_squared_dof")
     return f"""SELECT * EXCLUDE (chi_squared_dof, tv_distance) REPLACE (round(chi_squared_statistic, 6) AS chi_squared_statistic),
-        {R(tail, 5)} AS chi_squared_pvalue FROM ({_cat_sql(kind, 14)})"""
+        {R(tail)} AS chi_squared_pvalue FROM ({_cat_sql(kind, 14)})"""
 
 
 @query("e7_chi_squared_pvalue", _pvalue_sql("BASELINE") + " UNION ALL " + _pvalue_sql("CONSECUTIVE"))
 def chi_squared_pvalue(spark, sf):
     metrics = ["chi_squared_statistic", "chi_squared_pvalue"]
-    rows = _distance_rows(spark, sf, ("l_returnflag", "l_linestatus"), D.category_tests, metrics)
-    return rows.withColumn("chi_squared_pvalue", rounded(F.col("chi_squared_pvalue"), 5))
+    return _distance_rows(spark, sf, ("l_returnflag", "l_linestatus"), D.category_tests, metrics)
 
 
 @query(

@@ -9,11 +9,13 @@ from pyspark.sql import types as T
 from tidemark.operators import drift as D
 from tidemark.operators import profile as P
 from tidemark.operators import quality as Q
+from tidemark.operators.setops import union_all
 from tidemark.plans import monitors as M
 from tidemark.plans import refresh as R
 from tidemark.queries.monitoring import (
     AS_OF,
     GENERIC,
+    SKETCHED,
     YEARLY,
     _ORDER_LOG,
     _YEAR_AVG,
@@ -29,6 +31,7 @@ from tidemark.queries.monitoring import (
 )
 from tidemark.queries.registry import query, table
 from tidemark.session import scratch_path
+from tidemark.sources.tables import SnapshotTable
 from tidemark.spec import BASELINE, InferenceLog, Metric, MonitorSpec, TimeSeries
 
 VARIATION = Metric("aggregate", "variation", ("o_totalprice",), "stddev(`{{column_name}}`) / avg(`{{column_name}}`)")
@@ -115,6 +118,19 @@ def classification_quality(spark, sf):
     return flat(rows, "slice_key", "slice_value", "model_version", "count", "accuracy_score")
 
 
+@query(
+    "d20_accuracy_of_doubles",
+    f"""WITH {_DOCUMENT_LOG} SELECT source AS model_version, {rounded_sql('avg((prediction = quality)::INT)')} AS accuracy_score
+    FROM log_ GROUP BY 1""",
+)
+def accuracy_of_doubles(spark, sf):
+    """Predictions are doubles, labels are whole numbers."""
+    spec = MonitorSpec(CLASSIFICATION_LOG, ("100 years",), columns=("n_chars",))
+    log = document_log(spark, sf).withColumn("prediction", F.col("prediction").cast("double"))
+    rows = P.profile(log, spec).where("column_name = ':table'")
+    return flat(rows, "model_version", "accuracy_score")
+
+
 @query(
     "d20_confusion_matrix",
     f"WITH {_DOCUMENT_LOG} SELECT lang, quality, prediction, count(*) AS n FROM log_ WHERE quality IS NOT NULL GROUP BY ALL",
@@ -265,51 +281,110 @@ def changed_rows(spark, sf):
     return changed.groupBy(stamp(month).alias("window_start")).agg(F.sum("_change").alias("changed"))
 
 
+_REFRESHED = ("l_discount", "l_extendedprice", "l_partkey")
+
+
 @query(
     "d16_incremental_refresh",
-    f"""WITH {_YEAR_ROWS}
-    SELECT window_start, slice_key, slice_value, 'l_discount' AS column_name, count(*) AS "count",
-        count(DISTINCT l_discount) AS distinct_count, quantile_disc(l_discount, 0.5) AS median,
-        {rounded_sql('avg(l_discount)')} AS "avg" FROM rows_ GROUP BY ALL""",
+    f"WITH {_YEAR_ROWS} "
+    + " UNION ALL ".join(
+        f"""SELECT window_start, slice_key, slice_value, '{c}' AS column_name, count(*) AS "count",
+        count(DISTINCT {c}) AS distinct_count, quantile_disc({c}, 0.5)::DOUBLE AS median,
+        {rounded_sql(f'avg({c})', 4)} AS "avg" FROM rows_ GROUP BY ALL"""
+        for c in _REFRESHED
+    ),
 )
 def incremental_refresh(spark, sf):
     """Metrics before a late batch, brought up to date by the windows it touches."""
-    spec = YEARLY.with_params(columns=("l_discount",))
+    spec = YEARLY.with_params(columns=_REFRESHED)
     old, new = _old_lineitem(spark, sf), table(spark, sf, "lineitem")
     before = R.run_stages(old, spec).metrics
-    touched = R.touched_windows(R.changed_rows(old, new), spec)
-    rows = R.refresh_analysis(new, spec, before, touched).where("column_name = 'l_discount'")
+    touched = R.moved_windows(R.window_marks(old, spec), R.window_marks(new, spec))
+    rows = R.refresh_analysis(new, spec, before, touched).where("column_name != ':table'")
     return flat(
-        rows, "window", "slice_key", "slice_value", "column_name", "count", "distinct_count", "median", "avg"
+        rows, "window", "slice_key", "slice_value", "column_name", "count", "distinct_count", "median", "avg", digits=4
     )
 
 
+@query(
+    "d16_sketched_refresh",
+    f"WITH {_YEAR_ROWS} "
+    + " UNION ALL ".join(
+        f"""SELECT window_start, slice_key, slice_value, '{c}' AS column_name, count(*) AS "count",
+        {rounded_sql(f'avg({c})', 4)} AS "avg", {rounded_sql(f'stddev_samp({c})', 4)} AS stddev FROM rows_ GROUP BY ALL"""
+        for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    ),
+)
+def sketched_refresh(spark, sf):
+    """The same over all columns, with sketches instead of value counts."""
+    spec = SKETCHED.with_params(granularities=("1 year",))
+    old, new = _old_lineitem(spark, sf), table(spark, sf, "lineitem")
+    before = R.run_stages(old, spec).metrics
+    touched = R.moved_windows(R.window_marks(old, spec), R.window_marks(new, spec))
+    rows = R.refresh_analysis(new, spec, before, touched).where("avg IS NOT NULL")
+    return flat(rows, "window", "slice_key", "slice_value", "column_name", "count", "avg", "stddev", digits=4)
+
+
 @query(
     "d16_incremental_drift",
-    f"SELECT * EXCLUDE (ks_pvalue) FROM ({_ks_sql('CONSECUTIVE')}) WHERE column_name = 'l_discount'",
+    f"SELECT * EXCLUDE (ks_pvalue) FROM ({_ks_sql('CONSECUTIVE')}) WHERE column_name <> 'l_quantity'",
 )
 def incremental_drift(spark, sf):
-    spec = YEARLY.with_params(columns=("l_discount",))
+    spec = YEARLY.with_params(columns=("l_discount", "l_extendedprice"))
     old, new = _old_lineitem(spark, sf), table(spark, sf, "lineitem")
     before = R.monitor(old, spec)
     touched = R.touched_windows(R.changed_rows(old, new), spec)
     analysis = R.refresh_analysis(new, spec, before.analysis, touched)
     rows = R.refresh_drift(new, spec, before.drift, analysis, touched)
     return flat(
-        rows.where("column_name = 'l_discount'"), "drift_type", "window", "window_cmp", "slice_key",
+        rows.where("column_name != ':table'"), "drift_type", "window", "window_cmp", "slice_key",
         "slice_value", "column_name", "ks_statistic",
     )
 
 
+@query(
+    "a9_changed_rows_with_new_column",
+    """SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS changed
+    FROM orders WHERE o_orderkey % 7 = 0 GROUP BY ALL""",
+)
+def changed_rows_with_new_column(spark, sf):
+    """A column was added, and is filled in for some rows only."""
+    old = table(spark, sf, "orders")
+    new = old.withColumn("note", F.when(F.col("o_orderkey") % 7 == 0, F.lit("checked")))
+    changed = R.changed_rows(old, new).where("_change > 0")
+    month = F.date_trunc("month", "o_orderdate")
+    return changed.groupBy(stamp(month).alias("window_start")).agg(F.sum("_change").alias("changed"))
+
+
+@query(
+    "d17_moments_of_large_values",
+    f"""SELECT strftime(date_trunc('year', o_orderdate), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS "count",
+        {rounded_sql('stddev_samp((epoch_ms(o_orderdate) - 700000000000) / 1e6)', 3)} AS stddev FROM orders GROUP BY 1""",
+)
+def moments_of_large_values(spark, sf):
+    """Five batches of moments in milliseconds, far from zero, merged."""
+    df = table(spark, sf, "orders").select(
+        "o_orderdate", "o_orderkey", (F.unix_millis(F.col("o_orderdate").cast("timestamp")) + 10**12).alias("x")
+    )
+    spec = MonitorSpec(TimeSeries("o_orderdate"), ("1 year",), columns=("x",))
+    parts = [R.aggregate_base(df.where(f"o_orderkey % 5 = {i}"), spec) for i in range(5)]
+    rows = R.finish_aggregate_base(R.merge_aggregate_base(union_all(parts))).where("column_name = 'x'")
+    rows = rows.withColumn("stddev", F.col("stddev") / 1e6)
+    return flat(rows, "window", "count", "stddev", digits=3)
+
+
 @query(
     "d17_mergeable_base",
     f"""WITH {_YEAR_ROWS}
     SELECT window_start, slice_key, slice_value, 'l_quantity' AS column_name, count(*) AS "count",
         min(l_quantity) AS "min", max(l_quantity) AS "max", {rounded_sql('avg(l_quantity)')} AS "avg",
-        {rounded_sql('stddev_samp(l_quantity)')} AS stddev, count(DISTINCT l_quantity) AS distinct_count
+        {rounded_sql('stddev_samp(l_quantity)')} AS stddev, count(DISTINCT l_quantity) AS distinct_count,
+        NULL::DOUBLE AS avg_length, NULL::BIGINT AS non_null_columns
     FROM rows_ GROUP BY ALL
     UNION ALL SELECT window_start, slice_key, slice_value, 'l_returnflag', count(*), NULL, NULL, NULL, NULL,
-        count(DISTINCT l_returnflag) FROM rows_ GROUP BY ALL""",
+        count(DISTINCT l_returnflag), {rounded_sql('avg(length(l_returnflag))')}, NULL FROM rows_ GROUP BY ALL
+    UNION ALL SELECT window_start, slice_key, slice_value, ':table', count(*), NULL, NULL, NULL, NULL, NULL, NULL, 2
+    FROM rows_ GROUP BY ALL""",
 )
 def mergeable_base(spark, sf):
     """Two batches aggregated apart and merged."""
@@ -319,7 +394,7 @@ def mergeable_base(spark, sf):
     rows = R.finish_aggregate_base(R.merge_aggregate_base(parts[0].unionByName(parts[1])))
     return flat(
         rows, "window", "slice_key", "slice_value", "column_name", "count", "min", "max", "avg",
-        "stddev", "distinct_count",
+        "stddev", "distinct_count", "avg_length", "non_null_columns",
     )
 
 
@@ -333,20 +408,26 @@ def _monitors(spark, sf) -> M.Monitors:
     return M.Monitors(spark, scratch_path(spark, "monitors"))
 
 
-_LIFECYCLE = YEARLY.with_params(columns=("l_discount",), slicing_exprs=("l_returnflag",))
-_LIFECYCLE_SQL = f"""WITH {_YEAR_ROWS.replace(", ('l_quantity > 25', CAST(l_quantity > 25 AS VARCHAR))", "")
-    .replace(''',
-       ('l_quantity > 25', CAST(l_quantity > 25 AS VARCHAR))''', '')}
-    SELECT window_start, slice_key, slice_value, 'l_discount' AS column_name, count(*) AS "count",
-        {rounded_sql('avg(l_discount)')} AS "avg" FROM rows_ WHERE slice_key IS DISTINCT FROM 'l_quantity > 25' GROUP BY ALL"""
+_LIFECYCLE = SKETCHED.with_params(
+    granularities=("1 year",), slicing_exprs=("l_returnflag",), columns=("l_discount", "l_extendedprice", "l_partkey")
+)
+_LIFECYCLE_SQL = f"WITH {_YEAR_ROWS} SELECT * FROM (" + " UNION ALL ".join(
+    f"""SELECT window_start, slice_key, slice_value, '{c}' AS column_name, count(*) AS "count",
+        {rounded_sql(f'avg({c})', 4)} AS "avg" FROM rows_ GROUP BY ALL"""
+    for c in _LIFECYCLE.columns
+) + ") WHERE slice_key IS DISTINCT FROM 'l_quantity > 25'"
+
+
+def _metric_rows(monitors: M.Monitors, name: str, *more: str) -> DataFrame:
+    rows = monitors.analysis(name).where("column_name != ':table'")
+    return flat(rows, "window", "slice_key", "slice_value", "column_name", "count", "avg", *more, digits=4)
 
 
 @query("p1_create_monitor", _LIFECYCLE_SQL)
 def create_monitor(spark, sf):
     monitors = _monitors(spark, sf)
     monitors.create_or_update("watched_lineitem", _LIFECYCLE)
-    rows = monitors.analysis("watched_lineitem").where("column_name = 'l_discount'")
-    return flat(rows, "window", "slice_key", "slice_value", "column_name", "count", "avg")
+    return _metric_rows(monitors, "watched_lineitem")
 
 
 @query("p2_update_monitor", f"SELECT * FROM ({_LIFECYCLE_SQL}) WHERE slice_key IS NULL")
@@ -356,21 +437,63 @@ def update_monitor(spark, sf):
     monitors.create_or_update("watched_lineitem", _LIFECYCLE, skip_analysis=True)
     monitors.update("watched_lineitem", slicing_exprs=())
     monitors.refresh("watched_lineitem", backfill=True)
-    rows = monitors.analysis("watched_lineitem").where("column_name = 'l_discount'")
-    return flat(rows, "window", "slice_key", "slice_value", "column_name", "count", "avg")
+    return _metric_rows(monitors, "watched_lineitem")
+
+
+_WIDTH = Metric("aggregate", "width", ("l_extendedprice",), "max(`{{column_name}}`) - min(`{{column_name}}`)")
+
+
+@query(
+    "p2_new_metric_without_backfill",
+    f"""WITH {_YEAR_ROWS}, m AS (SELECT window_start, slice_key, slice_value, count(*) AS n, avg(l_extendedprice) AS mean,
+        max(l_extendedprice) - min(l_extendedprice) AS width FROM rows_ GROUP BY ALL)
+    SELECT window_start, slice_key, slice_value, 'l_extendedprice' AS column_name, n AS "count", {rounded_sql('mean', 4)} AS "avg",
+        CASE WHEN window_start[:4] IN ('1997', '1999') THEN {rounded_sql('width', 4)} END AS width
+    FROM m WHERE slice_key IS DISTINCT FROM 'l_quantity > 25'""",
+)
+def new_metric_without_backfill(spark, sf):
+    """A metric is added; it appears in the windows that the next refresh recomputes."""
+    monitors = _monitors(spark, sf)
+    _old_lineitem(spark, sf).createOrReplaceTempView("watched_lineitem")
+    monitors.create_or_update("watched_lineitem", _LIFECYCLE)
+    monitors.update("watched_lineitem", custom_metrics=(_WIDTH,))
+    table(spark, sf, "lineitem").createOrReplaceTempView("watched_lineitem")
+    monitors.refresh("watched_lineitem")
+    return _metric_rows(monitors, "watched_lineitem", "width").where("column_name = 'l_extendedprice'")
 
 
 @query("p3_refresh_monitor", _LIFECYCLE_SQL)
 def refresh_monitor(spark, sf):
-    """First analysis on the old rows, then a refresh with the changed ones."""
+    """First analysis on the old rows, then a refresh that finds what has changed."""
     monitors = _monitors(spark, sf)
-    old, new = _old_lineitem(spark, sf), table(spark, sf, "lineitem")
-    old.createOrReplaceTempView("watched_lineitem")
+    _old_lineitem(spark, sf).createOrReplaceTempView("watched_lineitem")
     monitors.create_or_update("watched_lineitem", _LIFECYCLE)
-    new.createOrReplaceTempView("watched_lineitem")
-    monitors.refresh("watched_lineitem", changed=R.changed_rows(old, new))
-    rows = monitors.analysis("watched_lineitem").where("column_name = 'l_discount'")
-    return flat(rows, "window", "slice_key", "slice_value", "column_name", "count", "avg")
+    table(spark, sf, "lineitem").createOrReplaceTempView("watched_lineitem")
+    monitors.refresh("watched_lineitem")
+    return _metric_rows(monitors, "watched_lineitem")
+
+
+@query(
+    "p3_refresh_with_new_column",
+    f"""WITH {_YEAR_ROWS}, late AS (SELECT * FROM rows_ WHERE window_start[:4] IN ('1997', '1999'))
+    SELECT * FROM ({_LIFECYCLE_SQL.split(' ', 1)[1].split(' SELECT * FROM (', 1)[1].rsplit(') WHERE', 1)[0]})
+        WHERE slice_key IS DISTINCT FROM 'l_quantity > 25'
+    UNION ALL SELECT window_start, slice_key, slice_value, 'half', count(*), {rounded_sql('avg(l_quantity / 2)', 4)} FROM late
+        WHERE slice_key IS DISTINCT FROM 'l_quantity > 25' GROUP BY ALL""",
+)
+def refresh_with_new_column(spark, sf):
+    """The table has gained a column, filled in for two years, when it is refreshed."""
+    monitors = _monitors(spark, sf)
+    spec = _LIFECYCLE.with_params(columns=None)
+    old, new = _old_lineitem(spark, sf), table(spark, sf, "lineitem")
+    columns = ["l_shipdate", "l_returnflag", *_LIFECYCLE.columns]
+    old.select(*columns).createOrReplaceTempView("watched_lineitem")
+    monitors.create_or_update("watched_lineitem", spec)
+    half = F.when(F.year("l_shipdate").isin(1997, 1999), F.col("l_quantity") / 2)
+    new.select(*columns, half.alias("half")).createOrReplaceTempView("watched_lineitem")
+    monitors.refresh("watched_lineitem", changed=R.changed_rows(old.select(*columns), new.select(*columns)))
+    rows = monitors.analysis("watched_lineitem").where("column_name NOT IN (':table', 'l_returnflag')")
+    return flat(rows, "window", "slice_key", "slice_value", "column_name", "count", "avg", digits=4)
 
 
 @query(
@@ -395,51 +518,63 @@ def refresh_without_time(spark, sf):
     return flat(rows, "drift_type", "window", "window_cmp", "column_name", "count_delta", "avg_delta")
 
 
+_YEARS = "(SELECT count(DISTINCT year(o_orderdate)) * 2 FROM orders)"
+
+
 @query(
     "p4_delete_monitor",
-    "SELECT 'watched_orders' AS table_name, count(*) AS n_rows, 'MONITOR_NOT_FOUND' AS code FROM orders",
+    f"""SELECT unnest(['watched_orders', 'kept_orders']) AS table_name, unnest([0, {_YEARS}]) AS n_metric_rows,
+        'MONITOR_NOT_FOUND' AS code""",
 )
 def delete_monitor(spark, sf):
-    """One of two monitors is deleted; asking for it afterwards is an error."""
+    """Two monitors are deleted, one with its metric tables; neither is found afterwards."""
     monitors = _monitors(spark, sf)
-    monitors.create_or_update("watched_lineitem", _LIFECYCLE, skip_analysis=True)
-    monitors.create_or_update("watched_orders", ORDERS_BY_YEAR, skip_analysis=True)
-    monitors.delete("watched_lineitem", purge_artifacts=True)
-    try:
-        monitors.info("watched_lineitem")
-        code = "FOUND"
-    except M.MonitorError as error:
-        code = error.code
-    left = monitors.specs().select("table_name", F.lit(code).alias("code"))
-    sizes = table(spark, sf, "orders").agg(F.count("*").alias("n_rows"))
-    return sizes.withColumn("table_name", F.lit("watched_orders")).join(left, "table_name")
+    table(spark, sf, "orders").createOrReplaceTempView("kept_orders")
+    out = []
+    for name, purge in (("watched_orders", True), ("kept_orders", False)):
+        path = monitors.create_or_update(name, ORDERS_BY_YEAR).analysis_metrics_path
+        monitors.delete(name, purge_artifacts=purge)
+        try:
+            monitors.info(name)
+            code = "FOUND"
+        except M.MonitorError as error:
+            code = error.code
+        metrics = SnapshotTable(spark, path)
+        rows = metrics.read() if metrics.exists() else spark.range(0)
+        out.append(rows.agg(F.count("*").alias("n_metric_rows")).select(F.lit(name).alias("table_name"), "n_metric_rows", F.lit(code).alias("code")))
+    return out[0].union(out[1])
 
 
 @query(
     "p5_monitors_by_entity",
-    "SELECT 'watched_orders' AS table_name, count(*) AS n_rows FROM orders UNION ALL SELECT 'watched_lineitem', count(*) FROM lineitem",
+    f"""SELECT 'watched_orders' AS table_name, {_YEARS} AS n_metric_rows
+    UNION ALL SELECT 'watched_customer', (SELECT count(DISTINCT c_mktsegment) + 1 FROM customer) * 2""",
 )
 def monitors_by_entity(spark, sf):
+    """The monitors of an entity, with the size of their metric tables."""
     monitors = _monitors(spark, sf)
-    monitors.create_or_update("watched_lineitem", _LIFECYCLE, linked_entities=["a", "b"], skip_analysis=True)
-    monitors.create_or_update("watched_orders", ORDERS_BY_YEAR, linked_entities=["b"], skip_analysis=True)
-    monitors.create_or_update("watched_customer", GENERIC, linked_entities=["a"], skip_analysis=True)
-    sizes = [
-        table(spark, sf, n).agg(F.count("*").alias("n_rows")).withColumn("table_name", F.lit(f"watched_{n}"))
-        for n in ("lineitem", "orders", "customer")
-    ]
-    return sizes[0].unionByName(sizes[1]).unionByName(sizes[2]).join(monitors.by_entity("b"), "table_name")
+    by_segment = GENERIC.with_params(slicing_exprs=("c_mktsegment",), columns=("c_acctbal",))
+    monitors.create_or_update("watched_lineitem", _LIFECYCLE, linked_entities=["a"], skip_analysis=True)
+    monitors.create_or_update("watched_orders", ORDERS_BY_YEAR, linked_entities=["a", "b"])
+    monitors.create_or_update("watched_customer", by_segment, linked_entities=["b"], as_of=AS_OF)
+    names = [r["table_name"] for r in monitors.by_entity("b").collect()]
+    return union_all(
+        [
+            monitors.analysis(n).agg(F.count("*").alias("n_metric_rows")).select(F.lit(n).alias("table_name"), "n_metric_rows")
+            for n in names
+        ]
+    )
 
 
 @query(
     "p6_logging_table",
     f"""WITH {_DOCUMENT_LOG}
     SELECT 'BASELINE' AS log_type, lang, count(*) AS n, 0 AS labelled FROM log_ WHERE doc_id % 4 = 0 GROUP BY lang
-    UNION ALL SELECT 'INPUT', lang, count(*), count(quality) FILTER (doc_id % 2 = 1) FROM log_ WHERE doc_id % 4 <> 0 GROUP BY lang""",
+    UNION ALL SELECT 'INPUT', lang, count(*), count(quality) FROM log_ WHERE doc_id % 4 <> 0 GROUP BY lang""",
 )
 def logging_table(spark, sf):
     """Baseline logged twice, scored rows in two batches, one batch taken back, then
-    logged again, and the labels of odd ids filled in."""
+    logged again, and all labels filled in.  The version has signs that paths escape."""
     docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
     schema = T.StructType(
         [
@@ -449,14 +584,14 @@ def logging_table(spark, sf):
             T.StructField("quality", T.IntegerType()),
         ]
     )
-    log = M.LoggingTable(spark, scratch_path(spark, "logging"), schema, ["doc_id"])
-    log.log_baseline(docs.where("doc_id % 8 = 0"), "1", "first")
-    log.log_baseline(docs.where("doc_id % 4 = 0"), "1", "second")
-    log.log_scored(docs.where("doc_id % 4 = 1"), "1", "a")
-    log.log_scored(docs.where("doc_id % 4 > 1"), "1", "b")
-    log.remove_batch("INPUT", "1", "b")
-    log.log_scored(docs.where("doc_id % 4 > 1"), "1", "c")
-    log.log_labels(table(spark, sf, "labels").where("doc_id % 2 = 1"), "quality")
+    log, version = M.LoggingTable(spark, scratch_path(spark, "logging"), schema, ["doc_id"]), "v:1/a=b#c"
+    log.log_baseline(docs.where("doc_id % 8 = 0"), version, "first")
+    log.log_baseline(docs.where("doc_id % 4 = 0"), version, "second")
+    log.log_scored(docs.where("doc_id % 4 = 1"), version, "a")
+    log.log_scored(docs.where("doc_id % 4 > 1"), version, "b")
+    log.remove_batch("INPUT", version, "b")
+    log.log_scored(docs.where("doc_id % 4 > 1"), version, "c")
+    log.log_labels(table(spark, sf, "labels"), "quality")
     return log.read().groupBy("log_type", "lang").agg(
         F.count("*").alias("n"), F.count("quality").alias("labelled")
     )

@@ -98,6 +98,25 @@ def record_array(spark, sf):
     )
 
 
+@query(
+    "k1_odd_objects",
+    "SELECT event_id, 2 AS n_records, event_id::VARCHAR AS last_user FROM events",
+)
+def odd_objects(spark, sf):
+    """Objects after line breaks and tabs, with repeated keys: the last value counts."""
+    user, event = F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    payload = F.concat(
+        F.lit('\n\t{"a": 1, "a": 2, "instances": [{"user_id": "'), user,
+        F.lit('"}, {"user_id": "x", "user_id": "'), event, F.lit('"}]}'),
+    )
+    parsed = F.from_json(K.record_array(payload), "array<map<string,string>>")
+    return table(spark, sf, "events").select(
+        "event_id",
+        F.size(parsed).alias("n_records"),
+        F.try_element_at(F.try_element_at(parsed, F.lit(-1)), F.lit("user_id")).alias("last_user"),
+    )
+
+
 @query(
     "k2_typed_records",
     f"""WITH {_LOG} SELECT shape >= 0 AS readable, CASE WHEN shape IN (0, 1) THEN 1 WHEN shape IN (2, 3) THEN 2 WHEN shape = 4 THEN 0 END AS n_records,
@@ -227,7 +246,8 @@ def incremental_metrics(spark, sf):
     rows = K.process_requests(raw, FIELDS, PREDICTION, ["log_id"])
     spec = MonitorSpec(TimeSeries("timestamp"), ("1 day",), columns=("value",))
     L.update_metrics_stream(rows, spec, path, cfg.checkpoint_path)
-    return flat(L.merged_metrics(spark, path), "window", "column_name", "count", "num_nulls", "avg", "stddev")
+    rows = L.merged_metrics(spark, path).where("column_name = 'value'")
+    return flat(rows, "window", "column_name", "count", "num_nulls", "avg", "stddev")
 
 
 @query(

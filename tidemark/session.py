@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A skewed join is split even when that costs one more shuffle downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Sketches of so many groups are kept in a task's memory before it sorts instead.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "1024",
     # Of a repeated key in a JSON object the last value counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
@@ -45,8 +49,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+# Folders of the open scopes, innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside are removed at the end.
+
+    For jobs that leave their result in tables of their own; frames made inside must not
+    be used afterwards.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def scratch_name(name: str) -> str:

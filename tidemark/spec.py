@@ -63,9 +63,10 @@ class MonitorSpec:
     slicing_exprs: tuple[str, ...] = ()
     custom_metrics: tuple[Metric, ...] = ()
     columns: tuple[str, ...] | None = None
-    # exact: distinct counts and medians from value counts; otherwise mergeable
-    # sketches in the same single pass as the other metrics.
-    exact: bool = True
+    # Distinct counts, medians and Kolmogorov-Smirnov distances are estimates from mergeable
+    # sketches, in the same single pass as the other metrics; exact ones take value counts
+    # of every column.
+    exact: bool = False
 
     def __post_init__(self):
         for name in ("granularities", "slicing_exprs", "custom_metrics"):

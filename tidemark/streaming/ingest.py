@@ -20,7 +20,7 @@ from tidemark.plans.refresh import (
     merge_aggregate_base,
     monitor,
 )
-from tidemark.sources.tables import exists, upsert_partitions
+from tidemark.sources.tables import SnapshotTable, exists, remove, upsert_partitions
 from tidemark.spec import MonitorSpec
 
 RAW_SCHEMA = T.StructType(
@@ -126,14 +126,14 @@ def run_inference_log(
 
 
 def update_metrics_stream(stream: DataFrame, spec: MonitorSpec, path: str, checkpoint: str) -> None:
-    """Partial aggregates of every micro-batch, one folder per batch.
+    """Partial aggregates of every micro-batch, one folder per batch, compacted at the end.
 
     A batch that runs again replaces its own folder, so nothing is counted twice.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         part = aggregate_base(batch, spec)
-        part.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        part.write.mode("overwrite").parquet(f"{path}/batches/batch={batch_id}")
 
     query = (
         stream.writeStream.foreachBatch(save)
@@ -142,8 +142,47 @@ def update_metrics_stream(stream: DataFrame, spec: MonitorSpec, path: str, check
         .start()
     )
     query.awaitTermination()
+    compact_metrics(stream.sparkSession, path)
+
+
+def _parts(spark: SparkSession, path: str) -> tuple[DataFrame | None, DataFrame | None, int]:
+    """The compacted base, the batches after it, and the last batch in the base."""
+    base = SnapshotTable(spark, f"{path}/base")
+    rows = base.read() if base.exists() else None
+    upto = -1 if rows is None else rows.agg(F.max("upto")).first()[0]
+    rows = None if rows is None else rows.drop("upto")
+    batches = None
+    if exists(spark, f"{path}/batches"):
+        reader = spark.read
+        if rows is not None:  # no folder of a batch may be left
+            reader = reader.schema(T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())]))
+        batches = reader.parquet(f"{path}/batches").where(F.col("batch") > upto)
+    return rows, batches, upto
+
+
+def _merged(base: DataFrame | None, batches: DataFrame | None) -> DataFrame:
+    parts = [p for p in (base, None if batches is None else batches.drop("batch")) if p is not None]
+    if not parts:
+        raise FileNotFoundError("no batch so far")
+    return merge_aggregate_base(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+
+
+def compact_metrics(spark: SparkSession, path: str) -> None:
+    """Merge the batches into one base; a stop at any point loses and doubles nothing.
+
+    The base says which batches it holds, and readers leave those out; their folders are
+    removed afterwards.
+    """
+    base, batches, upto = _parts(spark, path)
+    ids = [] if batches is None else sorted(r[0] for r in batches.select("batch").distinct().collect())
+    if ids:
+        rows = _merged(base, batches).withColumn("upto", F.lit(int(ids[-1])))
+        SnapshotTable(spark, f"{path}/base").replace(rows)
+    for done in ids:
+        remove(spark, f"{path}/batches/batch={done}")
 
 
 def merged_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Metrics over all batches so far, without reading the data again."""
-    return finish_aggregate_base(merge_aggregate_base(spark.read.parquet(path).drop("batch")))
+    base, batches, _ = _parts(spark, path)
+    return finish_aggregate_base(_merged(base, batches))
