@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import site
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,9 +30,23 @@ def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every job of this package assumes."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand the package to the Python workers, unless they find it where the driver did."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    root, context = os.path.dirname(package), spark.sparkContext
+    found = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), *site.getsitepackages(), os.getcwd()]
+    if root in map(os.path.abspath, filter(None, found)) or getattr(context, "_tidemark_shipped", False):
+        return
+    # The driver serves the archive to every executor as long as it runs.
+    folder = tempfile.mkdtemp(prefix="tidemark-code-")
+    context.addPyFile(shutil.make_archive(f"{folder}/tidemark-code", "zip", root, os.path.basename(package)))
+    context._tidemark_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
