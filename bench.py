@@ -20,7 +20,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from tidemark.queries import QUERIES  # noqa: E402
 
 HEADLINE = [
-    "d14_long_profile",  # monthly profile with two slices
+    "d14_long_profile",  # monthly profile of all columns with two slices, sketches
+    "d14_exact_profile",  # the same with exact distinct counts and medians
     "d17_mergeable_base",  # the same kind of metrics in one pass with sketches
     "e6_ks_test",  # distribution tests, numeric
     "e8_total_variation",  # distribution tests, categorical

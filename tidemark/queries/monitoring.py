@@ -12,7 +12,7 @@ from tidemark.operators import drift as D
 from tidemark.operators import profile as P
 from tidemark.operators import slices as S
 from tidemark.operators import windows as W
-from tidemark.queries.registry import query, table
+from tidemark.queries.registry import dealt, query, table
 from tidemark.session import materialize
 from tidemark.spec import (
     BASELINE,
@@ -34,6 +34,10 @@ SHIFT = 3.1e-8
 AS_OF = dt.datetime(2024, 2, 1)
 
 
+def lineitem(spark, sf) -> DataFrame:
+    return dealt(table(spark, sf, "lineitem"), "l_orderkey")
+
+
 def rounded(c: Column, digits: int = 6) -> Column:
     """Rounded for comparison.
 
@@ -135,12 +139,12 @@ def _profile_out(rows: DataFrame, exact: bool) -> DataFrame:
 @query("d14_long_profile", _profile_sql(exact=False))
 def long_profile(spark, sf):
     """Every column of every month and slice in one scan; estimates are left to the next two."""
-    return _profile_out(P.profile(table(spark, sf, "lineitem"), SKETCHED), exact=False)
+    return _profile_out(P.profile(lineitem(spark, sf), SKETCHED), exact=False)
 
 
 @query("d14_exact_profile", _profile_sql(exact=True))
 def exact_profile(spark, sf):
-    return _profile_out(P.profile(table(spark, sf, "lineitem"), EVERYTHING), exact=True)
+    return _profile_out(P.profile(lineitem(spark, sf), EVERYTHING), exact=True)
 
 
 @query(
@@ -153,7 +157,7 @@ def exact_profile(spark, sf):
 )
 def sketch_errors(spark, sf):
     """Distinct counts within a tenth of the exact ones, medians within a hundredth of the ranks."""
-    df = table(spark, sf, "lineitem")
+    df = lineitem(spark, sf)
     rows = P.profile(df, SKETCHED).where("data_type != 'string'")
     values = C.long_values(P.group_rows(df, SKETCHED), P.GROUP, list(_NUMBERS))
     by = [*P.GROUP, "column_name"]
@@ -218,7 +222,7 @@ def count_and_nulls(spark, sf):
 )
 def distinct(spark, sf):
     spec = EVERYTHING.with_params(granularities=("1 year",))
-    rows = P.profile(table(spark, sf, "lineitem"), spec).where("column_name != ':table'")
+    rows = P.profile(lineitem(spark, sf), spec).where("column_name != ':table'")
     return flat(
         rows, "window", "slice_key", "slice_value", "column_name", "distinct_count", "percent_distinct"
     )
@@ -254,7 +258,7 @@ def mean_and_stddev(spark, sf):
     FROM orders GROUP BY ALL UNION ALL SELECT NULL, quantile_disc(o_totalprice, 0.5) FROM orders""",
 )
 def median(spark, sf):
-    spec = GENERIC.with_params(slicing_exprs=("o_orderpriority",), columns=("o_totalprice",))
+    spec = GENERIC.with_params(slicing_exprs=("o_orderpriority",), columns=("o_totalprice",), exact=True)
     counts = materialize(P.group_value_counts(table(spark, sf, "orders"), spec, as_of=AS_OF), "counts")
     return C.medians(counts, P.GROUP).select("slice_value", "median")
 
@@ -268,7 +272,7 @@ def median(spark, sf):
 )
 def percent_zeros(spark, sf):
     spec = YEARLY.with_params(columns=("l_discount",))
-    rows = P.profile(table(spark, sf, "lineitem"), spec).where("column_name = 'l_discount'")
+    rows = P.profile(lineitem(spark, sf), spec).where("column_name = 'l_discount'")
     return flat(rows, "window", "slice_key", "slice_value", "percent_zeros")
 
 
@@ -328,7 +332,7 @@ def table_row(spark, sf):
 )
 def category_counts(spark, sf):
     spec = LINEITEM.with_params(columns=("l_returnflag", "l_linestatus"))
-    counts = P.group_value_counts(table(spark, sf, "lineitem"), spec)
+    counts = P.group_value_counts(lineitem(spark, sf), spec)
     return flat(
         counts.withColumnRenamed("txt", "value"),
         "window", "slice_key", "slice_value", "column_name", "value", "n",
@@ -391,7 +395,7 @@ def versions_and_stages(spark, sf):
 
 
 def first_year(spark, sf) -> DataFrame:
-    return table(spark, sf, "lineitem").where("l_shipdate < timestamp_ntz'1996-01-01 00:00:00'")
+    return lineitem(spark, sf).where("l_shipdate < timestamp_ntz'1996-01-01 00:00:00'")
 
 
 @query(
@@ -405,7 +409,7 @@ def first_year(spark, sf) -> DataFrame:
 )
 def log_types(spark, sf):
     spec = YEARLY.with_params(columns=("l_quantity",), exact=False)
-    rows = P.profile(table(spark, sf, "lineitem"), spec).unionByName(
+    rows = P.profile(lineitem(spark, sf), spec).unionByName(
         P.profile(first_year(spark, sf), spec, BASELINE)
     )
     return flat(
@@ -474,7 +478,7 @@ def _cat_sql(kind: str, digits: int = 6) -> str:
 
 def _pairs(spark, sf, spec):
     """(kind, current counts, base counts, base keys, analysis pairs) for both drift types."""
-    df = table(spark, sf, "lineitem")
+    df = lineitem(spark, sf)
     counts = materialize(P.group_value_counts(df, spec), "counts")
     pairs = materialize(D.window_pairs(counts), "pairs")
     base = materialize(P.group_value_counts(first_year(spark, sf), spec, BASELINE), "counts")
@@ -516,7 +520,7 @@ def ks_test_of_sketches(spark, sf):
     """The statistic from the windows' sketches, next to the exact one."""
     exact = ks_test(spark, sf)
     spec = SKETCHED.with_params(granularities=("1 year",), columns=("l_quantity", "l_extendedprice", "l_discount"))
-    rows = P.profile(table(spark, sf, "lineitem"), spec).where("column_name != ':table'")
+    rows = P.profile(lineitem(spark, sf), spec).where("column_name != ':table'")
     base = P.profile(first_year(spark, sf), spec, BASELINE).where("column_name != ':table'")
     keys = ["drift_type", "window_start", "window_cmp_start", "slice_key", "slice_value", "column_name"]
     none = F.lit(None).cast(rows.schema["window"].dataType)
@@ -582,7 +586,7 @@ m AS (SELECT window_start, slice_key, slice_value, count(*) AS n, avg(l_discount
 )
 def pair_with_baseline(spark, sf):
     spec = YEARLY.with_params(columns=("l_discount",), exact=False)
-    cur = P.profile(table(spark, sf, "lineitem"), spec).where("column_name = 'l_discount'")
+    cur = P.profile(lineitem(spark, sf), spec).where("column_name = 'l_discount'")
     pairs = D.pair_with_baseline(cur, P.profile(first_year(spark, sf), spec, BASELINE))
     return pairs.select(
         stamp(F.col("cur.window.start")).alias("window_start"),
@@ -604,7 +608,7 @@ def pair_with_baseline(spark, sf):
 )
 def pair_with_previous(spark, sf):
     spec = YEARLY.with_params(columns=("l_discount",), exact=False)
-    cur = P.profile(table(spark, sf, "lineitem"), spec).where("column_name = 'l_discount'")
+    cur = P.profile(lineitem(spark, sf), spec).where("column_name = 'l_discount'")
     return D.pair_with_previous(cur).select(
         stamp(F.col("cur.window.start")).alias("window_start"),
         stamp(F.col("base.window.start")).alias("window_cmp_start"),
@@ -640,7 +644,7 @@ def fixed_windows(spark, sf):
 )
 def calendar_windows(spark, sf):
     rows = W.assign_windows(
-        table(spark, sf, "lineitem").select("l_shipdate"),
+        lineitem(spark, sf).select("l_shipdate"),
         "l_shipdate",
         ["1 month", "3 months", "1 year", "2 years"],
     )
@@ -698,7 +702,7 @@ def previous_window(spark, sf):
 )
 def numeric_deltas(spark, sf):
     spec = YEARLY.with_params(columns=("l_discount",))
-    cur = P.profile(table(spark, sf, "lineitem"), spec).where("column_name = 'l_discount'")
+    cur = P.profile(lineitem(spark, sf), spec).where("column_name = 'l_discount'")
     joined = D.pair_with_previous(cur)
     rows = joined.select("cur.window", "cur.slice_key", "cur.slice_value", "cur.column_name", *D.metric_deltas(joined, spec))
     return flat(

@@ -25,6 +25,7 @@ from tidemark.queries.monitoring import (
     R as rounded_sql,
     first_year,
     flat,
+    lineitem,
     order_log,
     rounded,
     stamp,
@@ -218,7 +219,7 @@ _DRIFT_OUT = [
 
 
 def _stages(spark, sf, spec):
-    scored = R.run_stages(table(spark, sf, "lineitem"), spec)
+    scored = R.run_stages(lineitem(spark, sf), spec)
     base = R.run_stages(first_year(spark, sf), spec, BASELINE)
     return scored, base
 
@@ -245,7 +246,7 @@ _QUANTITY_ONLY = YEARLY.with_params(columns=("l_discount", "l_returnflag"))
 def three_stages(spark, sf):
     """Aggregate, derive, compare; the comparison joined back to the metric rows."""
     spec = _QUANTITY_ONLY
-    stage = R.derived_stage(R.aggregate_stage(table(spark, sf, "lineitem"), spec), spec)
+    stage = R.derived_stage(R.aggregate_stage(lineitem(spark, sf), spec), spec)
     moved = R.drift_stage(stage, spec).select(*P.GROUP, "column_name", "avg_delta", "percent_zeros_delta")
     rows = D.join_null_safe(stage.metrics, moved, [*P.GROUP, "column_name"], "left")
     return flat(
@@ -267,7 +268,7 @@ def counts_of_drift_types(spark, sf):
 def _old_lineitem(spark, sf) -> DataFrame:
     """The table before a late batch: some rows of 1997 and 1999 were missing."""
     late = "year(l_shipdate) IN (1997, 1999) AND l_orderkey % 5 = 0"
-    return table(spark, sf, "lineitem").where(f"NOT ({late})")
+    return lineitem(spark, sf).where(f"NOT ({late})")
 
 
 @query(
@@ -276,7 +277,7 @@ def _old_lineitem(spark, sf) -> DataFrame:
     FROM lineitem WHERE year(l_shipdate) IN (1997, 1999) AND l_orderkey % 5 = 0 GROUP BY ALL""",
 )
 def changed_rows(spark, sf):
-    changed = R.changed_rows(_old_lineitem(spark, sf), table(spark, sf, "lineitem"))
+    changed = R.changed_rows(_old_lineitem(spark, sf), lineitem(spark, sf))
     month = F.date_trunc("month", "l_shipdate")
     return changed.groupBy(stamp(month).alias("window_start")).agg(F.sum("_change").alias("changed"))
 
@@ -297,7 +298,7 @@ _REFRESHED = ("l_discount", "l_extendedprice", "l_partkey")
 def incremental_refresh(spark, sf):
     """Metrics before a late batch, brought up to date by the windows it touches."""
     spec = YEARLY.with_params(columns=_REFRESHED)
-    old, new = _old_lineitem(spark, sf), table(spark, sf, "lineitem")
+    old, new = _old_lineitem(spark, sf), lineitem(spark, sf)
     before = R.run_stages(old, spec).metrics
     touched = R.moved_windows(R.window_marks(old, spec), R.window_marks(new, spec))
     rows = R.refresh_analysis(new, spec, before, touched).where("column_name != ':table'")
@@ -318,7 +319,7 @@ def incremental_refresh(spark, sf):
 def sketched_refresh(spark, sf):
     """The same over all columns, with sketches instead of value counts."""
     spec = SKETCHED.with_params(granularities=("1 year",))
-    old, new = _old_lineitem(spark, sf), table(spark, sf, "lineitem")
+    old, new = _old_lineitem(spark, sf), lineitem(spark, sf)
     before = R.run_stages(old, spec).metrics
     touched = R.moved_windows(R.window_marks(old, spec), R.window_marks(new, spec))
     rows = R.refresh_analysis(new, spec, before, touched).where("avg IS NOT NULL")
@@ -331,7 +332,7 @@ def sketched_refresh(spark, sf):
 )
 def incremental_drift(spark, sf):
     spec = YEARLY.with_params(columns=("l_discount", "l_extendedprice"))
-    old, new = _old_lineitem(spark, sf), table(spark, sf, "lineitem")
+    old, new = _old_lineitem(spark, sf), lineitem(spark, sf)
     before = R.monitor(old, spec)
     touched = R.touched_windows(R.changed_rows(old, new), spec)
     analysis = R.refresh_analysis(new, spec, before.analysis, touched)
@@ -389,7 +390,7 @@ def moments_of_large_values(spark, sf):
 def mergeable_base(spark, sf):
     """Two batches aggregated apart and merged."""
     spec = YEARLY.with_params(columns=("l_quantity", "l_returnflag"))
-    df = table(spark, sf, "lineitem")
+    df = lineitem(spark, sf)
     parts = [R.aggregate_base(df.where(f"l_orderkey % 2 = {i}"), spec) for i in (0, 1)]
     rows = R.finish_aggregate_base(R.merge_aggregate_base(parts[0].unionByName(parts[1])))
     return flat(
@@ -457,7 +458,7 @@ def new_metric_without_backfill(spark, sf):
     _old_lineitem(spark, sf).createOrReplaceTempView("watched_lineitem")
     monitors.create_or_update("watched_lineitem", _LIFECYCLE)
     monitors.update("watched_lineitem", custom_metrics=(_WIDTH,))
-    table(spark, sf, "lineitem").createOrReplaceTempView("watched_lineitem")
+    lineitem(spark, sf).createOrReplaceTempView("watched_lineitem")
     monitors.refresh("watched_lineitem")
     return _metric_rows(monitors, "watched_lineitem", "width").where("column_name = 'l_extendedprice'")
 
@@ -468,7 +469,7 @@ def refresh_monitor(spark, sf):
     monitors = _monitors(spark, sf)
     _old_lineitem(spark, sf).createOrReplaceTempView("watched_lineitem")
     monitors.create_or_update("watched_lineitem", _LIFECYCLE)
-    table(spark, sf, "lineitem").createOrReplaceTempView("watched_lineitem")
+    lineitem(spark, sf).createOrReplaceTempView("watched_lineitem")
     monitors.refresh("watched_lineitem")
     return _metric_rows(monitors, "watched_lineitem")
 
@@ -485,7 +486,7 @@ def refresh_with_new_column(spark, sf):
     """The table has gained a column, filled in for two years, when it is refreshed."""
     monitors = _monitors(spark, sf)
     spec = _LIFECYCLE.with_params(columns=None)
-    old, new = _old_lineitem(spark, sf), table(spark, sf, "lineitem")
+    old, new = _old_lineitem(spark, sf), lineitem(spark, sf)
     columns = ["l_shipdate", "l_returnflag", *_LIFECYCLE.columns]
     old.select(*columns).createOrReplaceTempView("watched_lineitem")
     monitors.create_or_update("watched_lineitem", spec)

@@ -33,3 +33,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt out to as many tasks as there are cores, by a key.
+
+    For queries that multiply their rows.  The given tables are one row group each, which a
+    scan gives to one task; tables of many files need no such shuffle, and the operators
+    never do it themselves.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
