@@ -39,8 +39,9 @@ from tidemark.session import scratch_path
 END_ID = 2
 #: Bytes of text that a part aims at.
 PART_BYTES = 32 << 20
-#: Units whose ids a worker keeps, in each of two generations.
-KNOWN_UNITS = 250_000
+#: Units whose ids a worker keeps, in each of two generations, and bytes of text of a step.
+KNOWN_UNITS = 400_000
+ENCODE_BYTES = 4 << 20
 
 
 # ---------------------------------------------------------------- encoding
@@ -232,7 +233,7 @@ def write(
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer = unit_encoder(tokenizer_path, dtype, end_id), None
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", ENCODE_BYTES):
             # An attempt that starts over starts with a new file.
             writer = writer or PartWriter(folder, batch.column("part")[0].as_py(), dtype)
             writer.add(batch.column("doc_id").to_pylist(), *encoder.encode(batch.column("text")))
