@@ -52,9 +52,10 @@ def near_copies(seed, n_groups=8):
 
 
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("tile", [2, 384])
-def test_groups_and_links_against_all_pairs(spark, monkeypatch, seed, tile):
+@pytest.mark.parametrize("tile, grams", [(2, 400_000), (384, 200), (384, 400_000)])
+def test_groups_and_links_against_all_pairs(spark, monkeypatch, seed, tile, grams):
     monkeypatch.setattr(J, "TILE", tile)
+    monkeypatch.setattr(J, "TILE_GRAMS", grams)
     rows = near_copies(seed)
     df = spark.createDataFrame([(*x, b"") for x in rows], "doc_id long, text string, class binary")
     got = sorted((tuple(r) for r in J.classify(df).collect()), key=repr)

@@ -5,8 +5,8 @@ number of its copies.  Representatives that agree in a band of their MinHash sig
 in a bucket; there the Jaccard similarity of their full n-gram sets decides.  The rows of
 a band and the number of bands follow from the similarity and the wanted recall.
 
-A bucket is cut into tiles of bounded size, so no group is ever in one task, and a tile
-returns a row per member: how many documents it is linked to and the least member that its
+A bucket is cut into tiles of bounded members and n-grams, so no group is ever in one task,
+and a tile returns a row per member: how many documents it is linked to and the least member that its
 links lead to.  Pairs are counted in matrices and never written.  A pair that agrees in
 several bands is counted in the first of them.  The groups that links connect come from
 rounds of contraction on those rows.
@@ -35,8 +35,9 @@ WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.9995
 MOST_BANDS = 16
-#: Members of a bucket that one tile compares with as many others.
+#: Members of a bucket that one tile compares with as many others, and their n-grams.
 TILE = 384
+TILE_GRAMS = 400_000
 #: Grams that are compared at a time inside a tile.
 GRAM_BLOCK = 4096
 TILE_KEYS = ["band", "value", "left", "right"]
@@ -64,7 +65,7 @@ def distinct_grams(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[n
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int, text_col: str = "text") -> DataFrame:
-    """``docs`` without the text, with the class of the n-gram set and the band hashes.
+    """``docs`` without the text, with the class of the n-gram set, its size and the band hashes.
 
     The class is null and the bands are empty where there is no n-gram.
     """
@@ -96,12 +97,21 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, text_col: str
                 pa.array(hashes[with_grams].view(np.int64).ravel()),
             )
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in kept], pa.array(classes, pa.binary()), lists],
-                [*[batch.schema.names[i] for i in kept], "class", "bands"],
+                [
+                    *[batch.column(i) for i in kept],
+                    pa.array(classes, pa.binary()),
+                    pa.array(np.bincount(of, minlength=n), pa.int64()),
+                    lists,
+                ],
+                [*[batch.schema.names[i] for i in kept], "class", "grams", "bands"],
             )
 
     shape = docs.drop(text_col).withColumns(
-        {"class": F.lit(None).cast("binary"), "bands": F.array().cast("array<long>")}
+        {
+            "class": F.lit(None).cast("binary"),
+            "grams": F.lit(0).cast("long"),
+            "bands": F.array().cast("array<long>"),
+        }
     )
     return docs.mapInArrow(step, shape.schema)
 
@@ -212,13 +222,18 @@ def links(
     classes = materialize(
         signed.where(F.col("class").isNotNull())
         .groupBy("class")
-        .agg(F.count("*").alias("copies"), F.min(rep).alias("rep"), F.max("bands").alias("bands")),
+        .agg(
+            F.count("*").alias("copies"),
+            F.min(rep).alias("rep"),
+            F.max("grams").alias("grams"),
+            F.max("bands").alias("bands"),
+        ),
         "classes",
     )
-    slots = classes.select("class", F.posexplode("bands").alias("band", "value"))
-    size = F.count("*").alias("size")
-    buckets = materialize(slots.groupBy("band", "value").agg(size).where("size > 1"), "buckets")
-    blocks = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
+    slots = classes.select("class", "grams", F.posexplode("bands").alias("band", "value"))
+    sizes = slots.groupBy("band", "value").agg(F.count("*").alias("members"), F.sum("grams").alias("weight"))
+    buckets = materialize(sizes.where("members > 1"), "buckets")
+    blocks = F.ceil(F.greatest(F.col("members") / F.lit(TILE), F.col("weight") / F.lit(TILE_GRAMS))).cast("int")
     block = F.pmod(F.xxhash64("class", "band"), F.col("blocks")).cast("int")
     # A member of block b stands in the tiles of b with every block; once in that of b with b.
     tiles = (
@@ -247,7 +262,7 @@ def links(
     )
     groups = connected(found.where(F.col("class") != F.col("least")).select("class", "least"))
     degree = found.groupBy("class").agg(F.sum("links").alias("linked"))
-    joined = classes.drop("bands").join(degree, "class", "left").join(groups, "class", "left")
+    joined = classes.drop("bands", "grams").join(degree, "class", "left").join(groups, "class", "left")
     return signed, joined.select(
         "class", "copies", "rep",
         (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("links"),
