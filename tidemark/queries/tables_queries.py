@@ -57,7 +57,7 @@ def tab_separated(spark, sf):
 @query("a3_catalog_table", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY ALL")
 def catalog_table(spark, sf):
     """A table stored in the catalog, read by its name."""
-    name = A.save_table(table(spark, sf, "orders"), scratch_name("orders"))
+    name = A.save_table(table(spark, sf, "orders"), scratch_name("orders"), path=scratch_path(spark, "orders"))
     return spark.table(name).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
@@ -97,7 +97,7 @@ def write_modes(spark, sf):
 def partitioned_table(spark, sf):
     """Create-as-select of every row into date partitions, then an aggregate over them."""
     dated = table(spark, sf, "events").withColumn("date", F.to_date("ts"))
-    name = A.save_table(dated, scratch_name("events"), partition_by=["date"])
+    name = A.save_table(dated, scratch_name("events"), partition_by=["date"], path=scratch_path(spark, "events"))
     daily = spark.table(name).groupBy("date", "event_type").agg(F.count("*").alias("n"))
     return daily.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "event_type", "n")
 

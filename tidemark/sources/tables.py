@@ -45,9 +45,12 @@ def write_table(
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
-def save_table(df: DataFrame, name: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> str:
-    """Store ``df`` as a table of the catalog, whose files lie in the warehouse."""
-    df.write.mode(mode).partitionBy(*partition_by).format("parquet").saveAsTable(name)
+def save_table(
+    df: DataFrame, name: str, mode: str = "overwrite", partition_by: Sequence[str] = (), path: str | None = None
+) -> str:
+    """Store ``df`` as a table of the catalog, in the warehouse or under a path of its own."""
+    writer = df.write.mode(mode).partitionBy(*partition_by).format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
     return name
 
 
