@@ -6,8 +6,8 @@ of that suffix with its place, and at window length the range of all occurrences
 words are marked.  Documents are never shuffled: a shard is what a task reads anyway.
 
 The benchmark is the stated query set.  It is sent to the tasks in blocks of at most
-``block_chars`` characters, each searched by one more step of the same scan, so its size
-bounds time and not memory.
+``block_chars`` characters, each searched by one more step of the same scan, so a task
+holds one block at a time; the driver holds the benchmark.
 
 Cases: a null or empty text has no words, is not contaminated and matches nothing; an item
 without words has no window; equal items count once by their id; repeated documents are

@@ -204,7 +204,8 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, train_rows: i
             )
 
     table = docs.sparkSession.sparkContext.broadcast(vectors)
-    texts = docs.select("doc_id", "text").join(drawn, "doc_id").select("doc_id", "label", "text")
+    # Rows of one id are one, with the least text.
+    texts = docs.select("doc_id", "text").join(drawn, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = texts.mapInArrow(step, schema).toArrow().sort_by("doc_id")
     if not rows.num_rows:
         return Network(0.5)

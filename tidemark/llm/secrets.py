@@ -122,13 +122,18 @@ def train(
     text_col: str = "text",
     sample_documents: int = SAMPLE_DOCUMENTS,
     drawn_strings: int = DRAWN_STRINGS,
+    id_col: str = "doc_id",
 ) -> Models:
-    """Both models, from at most about ``sample_documents`` documents and drawn strings."""
+    """Both models, from at most about ``sample_documents`` documents and drawn strings.
+
+    Documents are drawn by a hash of id and text, so copies of a text are drawn one by one.
+    """
     spark = docs.sparkSession
     rows = docs.count()
     share = min(1.0, sample_documents / max(rows, 1))
     text = F.col(text_col)
-    drawn = F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int(share * (1 << 30))
+    of = [text, *([F.col(id_col)] if id_col in docs.columns else [])]
+    drawn = F.pmod(F.xxhash64(*of), F.lit(1 << 30)) < int(share * (1 << 30))
     sample = docs.where(text.isNotNull() & drawn).select(text.alias("text"))
     spans = sample.select(F.explode(base_spans(F.col("text"))).alias("span"))
     value = F.regexp_extract("span.value", "([A-Za-z0-9+/_=-]+)$", 1)
