@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import neighbours as N
@@ -93,3 +94,15 @@ def test_odd_vectors_and_ties(spark):
 def test_few_rows(spark, rows):
     got = found(N.search(spark.createDataFrame(rows, SCHEMA), FIFTIETH))
     assert {q: len(x) for q, x in got.items()} == ({0: len(rows) - 1} if len(rows) > 1 else {})
+
+
+def test_close_vectors_of_a_tight_group(spark):
+    """Distinct vectors whose cosines differ by far less than half precision tells."""
+    r = np.random.default_rng(7)
+    center = r.normal(size=64)
+    x = np.concatenate([center + 2e-4 * r.normal(size=(2000, 64)), r.normal(size=(3000, 64))]).astype(np.float32)
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    got = found(N.search(spark.createDataFrame(rows, SCHEMA), FIFTIETH))
+    want = brute(rows, lambda i: i % 50 == 0)
+    of_group = {q: w for q, w in want.items() if q < 2000}
+    assert recall(got, of_group) >= 0.99 and recall(got, want) >= 0.9

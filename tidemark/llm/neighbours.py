@@ -5,15 +5,17 @@ the largest coordinate, with its sign, of a random projection.  A tree is the so
 of the strings of all vectors, cut into cells by the first symbol and, where a cell would be
 large, by a hash of the id.
 
-A query descends in every tree to the entries that share its longest prefix: binary search
-in a cell's sorted array counts, for each level, the entries that share that many symbols.
-The counts of all trees and cells, added up, say how far the query ascends: the same level
-in all trees, the deepest at which ``candidates`` entries are found; the root, which holds
-all vectors, if none is.  A second pass over the cells scores the entries under that level
-and returns the best of each cell; the best of all are scored again on the original vectors.
-
-Of equal vectors only the few with the least ids can be results, so the others are not
-entries.  Their order is exact; only what a query's cells do not hold can be missed.
+A query descends in every tree to the entries that share its longest prefix, counted in bits
+of the string: binary search in a cell's sorted array counts, for each number of bits, the
+entries that share as many.  The counts of all trees and cells, added up, say how far the
+query ascends: the same number of bits in all trees, the most at which ``candidates`` entries
+are found; the root, which holds all vectors, if none is, or if that is no more work.  A
+second pass over the cells scores the entries under that prefix.
+
+Scores are taken in the cells on the vectors as given, in double precision, so the best of a
+cell are the best of it however close they are; the best of all cells are the result.  Only
+what a query's prefixes do not hold can be missed.  Of equal vectors only the few with the
+least ids can be results, so the others are not entries.
 
 Cases: a vector that is null, zero, or holds null or non-finite components takes no part,
 nor does one with a null id or of another length than most; rows of one id count once, the
@@ -37,11 +39,15 @@ TREES = 22
 LEVELS = 10
 #: Coordinates of a level's projection; a level has twice as many symbols.
 PROJECTED = 16
-#: Entries, over all trees, at which a query stops ascending.
+#: Bits of a symbol.
+SYMBOL_BITS = (2 * PROJECTED - 1).bit_length()
+#: Entries, over all trees, at which a query stops ascending at the earliest.
 CANDIDATES = 4000
 NEAREST = 5
-#: Best entries of a cell, and of all cells, that are scored again.
-OF_CELL, OF_ALL = 20, 40
+#: More than sums of products of unit vectors differ by the order of their terms.
+ROUNDING = 1e-12
+#: Products of vectors that a step works on.
+PRODUCTS = 1 << 20
 CELL_ROWS = 2048
 ROOT = -1
 CELL = ["tree", "symbol", "cell"]
@@ -85,17 +91,18 @@ def hash_strings(units: np.ndarray, trees: int, levels: int) -> np.ndarray:
     return out
 
 
-def entries(vectors: DataFrame, trees: int, levels: int, with_vectors: bool) -> DataFrame:
-    """A row per tree and vector: tree, first symbol, string, id and, on wish, the unit vector."""
+def entries(vectors: DataFrame, trees: int, levels: int, packed_as: str | None) -> DataFrame:
+    """A row per tree and vector: tree, first symbol, string, id and, on wish, the vector in that type."""
     first = (2 * PROJECTED) ** (levels - 1)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
-                units = unit(matrix(part.column("vector")))
+                given = matrix(part.column("vector"))
+                units = unit(given)
                 strings = hash_strings(units, trees, levels)
-                packed = [u.tobytes() for u in units.astype(np.float16)] if with_vectors else [b""] * len(units)
+                packed = [v.tobytes() for v in given.astype(packed_as)] if packed_as else [b""] * len(units)
                 for tree in range(trees):
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -113,58 +120,93 @@ def entries(vectors: DataFrame, trees: int, levels: int, with_vectors: bool) ->
     )
 
 
-def _ranges(strings: np.ndarray, wanted: np.ndarray, shared: np.ndarray, levels: int):
+def _ranges(strings: np.ndarray, wanted: np.ndarray, shared: np.ndarray, levels: int, symbols: int = 2 * PROJECTED):
     """Range of the sorted strings that share the given number of symbols with the wanted."""
-    width = (2 * PROJECTED) ** (levels - shared.astype(np.int64))
+    width = symbols ** (levels - shared.astype(np.int64))
     low = wanted // width * width
     return np.searchsorted(strings, low), np.searchsorted(strings, low + width)
 
 
+def _stops(levels: int) -> list[int]:
+    """Numbers of shared bits that a query can stop at; a cell holds all entries of a first symbol."""
+    return list(range(SYMBOL_BITS, levels * SYMBOL_BITS + 1, SYMBOL_BITS))
+
+
 def _descend(levels: int):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stops = _stops(levels)
         for cell in runs_of(batches, CELL):
             asked = cell.column("level").to_numpy() >= 0
             strings = cell.column("string").to_numpy()
             held, wanted = np.sort(strings[~asked]), strings[asked]
-            counts = np.zeros((len(wanted), levels), np.int64)
-            for level in range(1, levels + 1):
-                low, high = _ranges(held, wanted, np.full(len(wanted), level), levels)
-                counts[:, level - 1] = high - low
+            counts = []
+            for bits in stops:
+                low, high = _ranges(held, wanted, np.full(len(wanted), bits), levels * SYMBOL_BITS, 2)
+                counts.append(high - low)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell.column("id").to_numpy()[asked]), *[pa.array(counts[:, k]) for k in range(levels)]],
-                ["query", *[f"n{k + 1}" for k in range(levels)]],
+                [pa.array(cell.column("id").to_numpy()[asked]), *[pa.array(c.astype(np.int64)) for c in counts]],
+                ["query", *[f"n{bits}" for bits in stops]],
             )
 
     return step
 
 
-def _ascend(levels: int):
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Scores of pairs of rows, the same whatever other rows there are."""
+    return np.einsum("ij,ij->i", a, b) if len(a) else np.empty(0)
+
+
+def best_of(
+    units: np.ndarray, ids: np.ndarray, asked: np.ndarray, asked_ids: np.ndarray, nearest: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of ``asked``, row of ``units`` and score of the nearest of every row of ``asked``."""
+    out = []
+    size = max(1, PRODUCTS // max(len(units), 1))
+    for start in range(0, len(asked), size):
+        part, own = asked[start : start + size], asked_ids[start : start + size]
+        near = part @ units.T
+        near[own[:, None] == ids] = -np.inf
+        least = np.full((len(part), 1), -np.inf)
+        if len(units) > nearest:
+            least = np.partition(near, -nearest, axis=1)[:, -nearest, None] - ROUNDING
+        q, u = np.nonzero((near >= least) & (near > -np.inf))
+        step = max(1, PRODUCTS // units.shape[1])
+        scores = [_dots(units[u[i : i + step]], part[q[i : i + step]]) for i in range(0, len(q), step)]
+        scores = np.concatenate(scores) if scores else np.empty(0)
+        order = np.lexsort((ids[u], -scores, q))
+        q, u, scores = q[order], u[order], scores[order]
+        kept = np.arange(len(q)) - np.searchsorted(q, q) < nearest
+        out.append((q[kept] + start, u[kept], scores[kept]))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _ascend(levels: int, nearest: int, packed_as: str):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in runs_of(batches, CELL):
             level, ids = cell.column("level").to_numpy(), cell.column("id").to_numpy()
+            asked = level >= 0
+            if not asked.any() or asked.all():
+                continue
             strings = cell.column("string").to_numpy()
             packed = cell.column("packed").combine_chunks()
-            vectors = np.frombuffer(b"".join(packed.to_pylist()), np.float16).reshape(len(ids), -1).astype(np.float32)
-            asked = level >= 0
+            units = unit(np.frombuffer(b"".join(packed.to_pylist()), packed_as).reshape(len(ids), -1).astype(np.float64))
             order = np.flatnonzero(~asked)
             order = order[np.argsort(strings[order], kind="stable")]
-            held, held_ids, held_vectors = strings[order], ids[order], vectors[order]
+            held_ids, held = ids[order], units[order]
             queries = np.flatnonzero(asked)
-            low, high = _ranges(held, strings[queries], level[queries], levels)
+            low, high = _ranges(strings[order], strings[queries], level[queries], levels * SYMBOL_BITS, 2)
             if cell.column("tree")[0].as_py() == ROOT:
                 low, high = np.zeros(len(queries), np.int64), np.full(len(queries), len(order))
-            out: list[tuple[np.ndarray, ...]] = []
-            for q, a, b in zip(queries.tolist(), low.tolist(), high.tolist()):
-                found, scores = held_ids[a:b], held_vectors[a:b] @ vectors[q]
-                if b - a > OF_CELL:
-                    best = np.lexsort((found, -scores))[:OF_CELL]
-                    found, scores = found[best], scores[best]
-                out.append((np.full(len(found), ids[q]), found, scores))
-            columns = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.float64))],
-                ["query", "id", "near"],
-            )
+            spans, span = np.unique(np.stack([low, high]), axis=1, return_inverse=True)
+            for k, (a, b) in enumerate(spans.T.tolist()):
+                own = queries[span.ravel() == k]
+                q, u, scores = best_of(held[a:b], held_ids[a:b], units[own], ids[own], nearest)
+                if len(q):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[own][q]), pa.array(held_ids[a:b][u]), pa.array(scores)], ["query", "id", "score"]
+                    )
 
     return step
 
@@ -180,31 +222,38 @@ def search(
     vector_col: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of every query, a condition on ``id``."""
+    single = vectors.schema[vector_col].dataType.elementType.typeName() == "float"
+    packed_as = "<f4" if single else "<f8"  # either holds the vectors as given
     used = materialize(usable(vectors, id_col, vector_col), "vectors")
     queries = used.where(is_query)
     # Of equal vectors, as many as can be results and the query itself.
     place = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
     kept = materialize(used.withColumn("place", place).where(F.col("place") <= nearest + 1).drop("place"), "kept")
 
-    sizes = entries(kept, trees, levels, False).groupBy("tree", "symbol").count()
+    sizes = entries(kept, trees, levels, None).groupBy("tree", "symbol").count()
     # A row per tree and first symbol: at most trees x 2 PROJECTED.
     cells = materialize(sizes.select("tree", "symbol", F.ceil(F.col("count") / F.lit(CELL_ROWS)).alias("cells")), "cells")
 
-    def dealt(with_vectors: bool, asked: DataFrame) -> DataFrame:
-        held = entries(kept, trees, levels, with_vectors).join(F.broadcast(cells), ["tree", "symbol"])
+    def dealt(packed: str | None, asked: DataFrame) -> DataFrame:
+        held = entries(kept, trees, levels, packed).join(F.broadcast(cells), ["tree", "symbol"])
         held = held.withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells"))).withColumn("level", F.lit(-1))
-        asked = entries(asked, trees, levels, with_vectors).join(F.broadcast(cells), ["tree", "symbol"])
+        asked = entries(asked, trees, levels, packed).join(F.broadcast(cells), ["tree", "symbol"])
         return held.drop("cells"), asked.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
 
     names = [*CELL, "string", "id", "packed", "level"]
-    held, asked = dealt(False, queries)
+    held, asked = dealt(None, queries)
     asked = asked.withColumn("level", F.lit(0))
     counts = held.select(names).union(asked.select(names)).repartition(*CELL).sortWithinPartitions(*CELL)
-    columns = [f"n{k + 1}" for k in range(levels)]
-    counts = counts.mapInArrow(_descend(levels), ", ".join(["query long", *[f"{c} long" for c in columns]]))
-    counts = counts.groupBy("query").agg(*[F.sum(c).alias(c) for c in columns])
+    columns = {bits: f"n{bits}" for bits in _stops(levels)}
+    counts = counts.mapInArrow(_descend(levels), ", ".join(["query long", *[f"{c} long" for c in columns.values()]]))
     # The query is one of its own candidates in every tree.
-    reached = F.greatest(*[F.when(F.col(c) - trees >= candidates, k + 1).otherwise(0) for k, c in enumerate(columns)])
+    counts = counts.groupBy("query").agg(*[(F.sum(c) - trees).alias(c) for c in columns.values()])
+    counts = materialize(counts, "counts")
+    rows = kept.count()
+    # Entries of more than all vectors are no less work than the vectors themselves.
+    reached = F.greatest(
+        *[F.when(F.col(c).between(candidates, rows), bits).otherwise(0) for bits, c in columns.items()]
+    )
     stops = counts.select("query", reached.alias("stop"))
     stops = materialize(
         queries.select(F.col("id").alias("query")).join(stops, "query", "left").select(
@@ -213,46 +262,35 @@ def search(
         "stops",
     )
 
-    held, asked = dealt(True, queries)
-    asked = asked.join(stops.where("stop > 0"), asked.id == stops.query).withColumn("level", F.col("stop"))
-    below = held.select(names).union(asked.select(names))
     at_root = materialize(queries.join(stops.where("stop = 0"), queries.id == stops.query).select("id", "vector"), "root")
-    if not at_root.isEmpty():
-        shards = max(1, -(-kept.count() // CELL_ROWS))
-        whole = entries(kept, 1, 1, True).select(
+    below = None
+    if not stops.where("stop > 0").isEmpty():
+        held, asked = dealt(packed_as, queries)
+        asked = asked.join(stops.where("stop > 0"), asked.id == stops.query).withColumn("level", F.col("stop"))
+        below = held.select(names).union(asked.select(names))
+    if below is None or not at_root.isEmpty():
+        shards = max(1, -(-rows // CELL_ROWS))
+        whole = entries(kept, 1, 1, packed_as).select(
             F.lit(ROOT).alias("tree"), F.lit(0).alias("symbol"), F.pmod(F.xxhash64("id"), F.lit(shards)).alias("cell"),
             F.lit(0).cast("long").alias("string"), "id", "packed", F.lit(-1).alias("level"),
         )
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("cell")
-        asked = entries(at_root, 1, 1, True).select(
+        asked = entries(at_root, 1, 1, packed_as).select(
             F.lit(ROOT).alias("tree"), F.lit(0).alias("symbol"), every,
             F.lit(0).cast("long").alias("string"), "id", "packed", F.lit(0).alias("level"),
         )
-        below = below.union(whole.select(names)).union(asked.select(names))
+        at_all = whole.select(names).union(asked.select(names))
+        below = at_all if below is None else below.union(at_all)
     found = below.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(
-        _ascend(levels), "query long, id long, near double"
+        _ascend(levels, nearest, packed_as), "query long, id long, score double"
     )
-    found = found.where("query != id").groupBy("query", "id").agg(F.max("near").alias("near"))
-    order = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "id"))
-    best = found.withColumn("place", order).where(F.col("place") <= OF_ALL).select("query", "id")
-    return _exact(best, used, nearest)
-
-
-def _exact(pairs: DataFrame, used: DataFrame, nearest: int) -> DataFrame:
-    """The pairs scored on the original vectors in double precision, ranked."""
+    return _ranked(found, nearest)
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (matrix(batch.column(c)) for c in ("vector", "other"))
-            scores = np.einsum("ij,ij->i", unit(a), unit(b)) if len(a) else np.empty(0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("query"), batch.column("id"), pa.array(scores, pa.float64())], ["query", "id", "score"]
-            )
 
-    others = used.select(F.col("id").alias("query"), F.col("vector").alias("other"))
-    full = pairs.join(used, "id").join(others, "query").select("query", "id", "vector", "other")
-    scored = full.mapInArrow(step, "query long, id long, score double")
+def _ranked(found: DataFrame, nearest: int) -> DataFrame:
+    """The nearest of every query, of pairs that several trees may have found."""
+    pairs = found.groupBy("query", "id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= nearest).select(
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= nearest).select(
         F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score"
     )
