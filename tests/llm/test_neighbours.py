@@ -106,3 +106,19 @@ def test_close_vectors_of_a_tight_group(spark):
     want = brute(rows, lambda i: i % 50 == 0)
     of_group = {q: w for q, w in want.items() if q < 2000}
     assert recall(got, of_group) >= 0.99 and recall(got, want) >= 0.9
+
+
+def test_recall_on_many_vectors(spark):
+    """The candidates follow from the table; a fixed number loses neighbours here."""
+    given = np.array([r[0] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").collect()])
+    r = np.random.default_rng(8)
+    x = r.multivariate_normal(given.mean(axis=0), np.cov(given.T), 200_000, method="cholesky").astype(np.float32)
+    table = pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float32()))})
+    got = found(N.search(spark.createDataFrame(table).repartition(16), "pmod(id, 2000) = 0"))
+    units = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = {}
+    for q in range(0, len(x), 2000):
+        scores = units @ units[q]
+        scores[q] = -1
+        want[q] = [(int(i), scores[i]) for i in np.argsort(-scores)[:5]]
+    assert got.keys() == want.keys() and recall(got, want) >= 0.93

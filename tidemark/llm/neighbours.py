@@ -12,6 +12,11 @@ query ascends: the same number of bits in all trees, the most at which ``candida
 are found; the root, which holds all vectors, if none is, or if that is no more work.  A
 second pass over the cells scores the entries under that prefix.
 
+How many candidates are enough follows from the table: a bounded set of queries is answered
+by brute force, and the least number at which their neighbours share the prefixes that the
+queries stop at, up to a recall of ``RECALL``, is taken (``CANDIDATES`` at least).  On a table
+with no such number every query goes to the root.
+
 Scores are taken in the cells on the vectors as given, in double precision, so the best of a
 cell are the best of it however close they are; the best of all cells are the result.  Only
 what a query's prefixes do not hold can be missed.  Of equal vectors only the few with the
@@ -43,6 +48,9 @@ PROJECTED = 16
 SYMBOL_BITS = (2 * PROJECTED - 1).bit_length()
 #: Entries, over all trees, at which a query stops ascending at the earliest.
 CANDIDATES = 4000
+#: Recall that the candidates have to reach for so many queries, answered by brute force.
+RECALL = 0.97
+PROBED = 200
 NEAREST = 5
 #: More than sums of products of unit vectors differ by the order of their terms.
 ROUNDING = 1e-12
@@ -129,7 +137,7 @@ def _ranges(strings: np.ndarray, wanted: np.ndarray, shared: np.ndarray, levels:
 
 def _stops(levels: int) -> list[int]:
     """Numbers of shared bits that a query can stop at; a cell holds all entries of a first symbol."""
-    return list(range(SYMBOL_BITS, levels * SYMBOL_BITS + 1, SYMBOL_BITS))
+    return list(range(SYMBOL_BITS, levels * SYMBOL_BITS + 1))
 
 
 def _descend(levels: int):
@@ -211,17 +219,76 @@ def _ascend(levels: int, nearest: int, packed_as: str):
     return step
 
 
+def _probed(kept: DataFrame, queries: DataFrame, trees: int, levels: int, nearest: int) -> dict[int, list[int]]:
+    """For a bounded set of queries, the most bits that each true neighbour shares in a tree."""
+    probes = queries.orderBy(F.xxhash64("id"), "id").limit(PROBED).collect()
+    if not probes:
+        return {}
+    asked_ids = np.array([r["id"] for r in probes])
+    asked = unit(np.array([r["vector"] for r in probes], np.float64))
+    sent = kept.sparkSession.sparkContext.broadcast((asked_ids, asked))  # at most PROBED vectors
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_ids, own = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, units = batch.column("id").to_numpy(), unit(matrix(batch.column("vector")))
+            q, u, scores = best_of(units, ids, own, own_ids, nearest)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own_ids[q]), pa.array(ids[u]), pa.array(scores)], ["query", "id", "score"]
+            )
+
+    found = kept.select("id", "vector").mapInArrow(step, "query long, id long, score double")
+    true = _ranked(found, nearest).select(F.col("query_id").alias("query"), F.col("vec_id").alias("id"))
+    pairs = true.join(kept, "id").collect()  # at most PROBED x nearest
+    own = dict(zip(asked_ids.tolist(), hash_strings(asked, trees, levels).T))
+    out: dict[int, list[int]] = {q: [] for q in own}
+    if pairs:
+        strings = hash_strings(unit(np.array([r["vector"] for r in pairs], np.float64)), trees, levels).T
+        for row, string in zip(pairs, strings):
+            least = int((string ^ own[row["query"]]).min())
+            out[row["query"]].append(levels * SYMBOL_BITS - least.bit_length())
+    return out
+
+
+def enough(counts: dict[int, list[int]], shared: dict[int, list[int]], levels: int, recall: float = RECALL) -> int:
+    """The least number of candidates at which the probed queries reach the recall, beyond all counts if none does."""
+    stops = _stops(levels)
+
+    def reached(candidates: int) -> float:
+        hit = total = 0
+        for query, bits in shared.items():
+            stop = max((s for s, n in zip(stops, counts.get(query, [])) if n >= candidates), default=0)
+            hit += sum(b >= stop for b in bits)
+            total += len(bits)
+        return hit / max(total, 1)
+
+    tried = sorted({n for c in counts.values() for n in c} | {0})
+    low, high = 0, len(tried)
+    while low < high:  # more candidates never lower the recall
+        middle = (low + high) // 2
+        if reached(tried[middle]) >= recall:
+            high = middle
+        else:
+            low = middle + 1
+    return tried[low] if low < len(tried) and shared else tried[-1] + 1
+
+
 def search(
     vectors: DataFrame,
     is_query: Column | str,
     trees: int = TREES,
     levels: int = LEVELS,
-    candidates: int = CANDIDATES,
+    candidates: int | None = None,
     nearest: int = NEAREST,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): the nearest found of every query, a condition on ``id``."""
+    """(query_id, rank, vec_id, score): the nearest found of every query, a condition on ``id``.
+
+    ``candidates`` follows from the table unless given.
+    """
     single = vectors.schema[vector_col].dataType.elementType.typeName() == "float"
     packed_as = "<f4" if single else "<f8"  # either holds the vectors as given
     used = materialize(usable(vectors, id_col, vector_col), "vectors")
@@ -250,6 +317,10 @@ def search(
     counts = counts.groupBy("query").agg(*[(F.sum(c) - trees).alias(c) for c in columns.values()])
     counts = materialize(counts, "counts")
     rows = kept.count()
+    if candidates is None:
+        shared = _probed(kept, queries, trees, levels, nearest)
+        probed = counts.where(F.col("query").isin(list(shared))).collect() if shared else []
+        candidates = max(CANDIDATES, enough({r["query"]: list(r)[1:] for r in probed}, shared, levels))
     # Entries of more than all vectors are no less work than the vectors themselves.
     reached = F.greatest(
         *[F.when(F.col(c).between(candidates, rows), bits).otherwise(0) for bits, c in columns.items()]
