@@ -52,3 +52,18 @@ def test_accepted_keeps_columns(spark, small):
     assert kept.columns == docs.columns
     ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
     assert -1 not in ids and len(ids) >= 0.98 * docs.count()
+
+
+def test_short_texts_are_judged(spark):
+    """Short texts of a language without a dictionary are mostly rejected, of one with it hardly; ties always."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    contents = L.dictionaries(docs.where(~L.held_out()))
+    known, other = L.Classifier(contents), L.Classifier({k: v for k, v in contents.items() if k != "de"})
+    held = docs.where(L.held_out() & (F.col("lang") == "de")).collect()
+    texts = [" ".join(L.folded(r["text"]).split()[5:25]) for r in held]
+    texts = [t for t in texts if 60 < len(t) < 200]
+    assert len(texts) >= 20
+    assert sum(known.predict(t)[2] for t in texts) <= 0.1 * len(texts)
+    assert sum(other.predict(t)[2] for t in texts) >= 0.6 * len(texts)
+    same = L.Classifier({"a": b"the cat sat on the mat " * 50, "b": b"the cat sat on the mat " * 50})
+    assert same.predict("the cat sat")[1:] == (0.0, True)

@@ -3,7 +3,7 @@
 Each language has a dictionary of raw text, taken from labelled documents.  A text is
 compressed once with each dictionary; the language whose dictionary gives the smallest
 result is predicted.  The score is the share that the best dictionary saves over the
-second-best; where that is next to nothing, the text is rejected.
+second-best; where that is next to nothing, the text is rejected, at any length.
 
 Compression sees at most a block of ``block`` characters at a time with a fresh dictionary,
 and sizes of all blocks of a text are added, so long texts count whole and the dictionary
@@ -15,7 +15,7 @@ bound a parameter).  Languages are taken by frequency, at most ``max_languages``
 
 Cases: a null text or one without a letter is ``und`` with score 0 and rejected; with no
 labelled text every text is ``und``; equal sizes go to the language with more labelled
-texts, then the first in the alphabet; a null label teaches nothing; repeated rows are
+texts, then the first in the alphabet, and are rejected; a null label teaches nothing; repeated rows are
 predicted each; upper case is folded, as case says nothing of the language.
 """
 
@@ -37,10 +37,12 @@ MAX_LANGUAGES = 200
 LEVEL = 6
 BLOCK = 32 << 10
 UNKNOWN = "und"
-#: Below this score a prediction is rejected, for texts of at least so many letters; whole
-#: bytes cannot tell the margin of a shorter one.
+#: Below this score a prediction is rejected.
 REJECT_BELOW = 0.002
-JUDGED_FROM = 200
+#: Of texts of fewer letters the sizes of all ends are added, which widens the margin: so many
+#: times for each end, and so many times at most.
+ENDS_BELOW = 200
+MORE_PER_END, MOST_MORE = 1.25, 22.5
 
 
 def dictionaries(
@@ -128,17 +130,19 @@ class Classifier:
         if not letters or not self.langs:
             return UNKNOWN, 0.0, True
         blocks = [letters[i : i + self.block].encode() for i in range(0, len(letters), self.block)]
-        if len(letters) < JUDGED_FROM:
+        least = reject_below
+        if len(letters) < ENDS_BELOW:
             # Sizes are whole bytes, too coarse for a few words: those of all ends are added.
             words = letters.split(" ")
             blocks = [" ".join(words[i:]).encode() for i in range(len(words))]
+            least *= min(MORE_PER_END * len(words), MOST_MORE)
         sizes = [self.size(c, blocks) for c in self.own]
         best = min(range(len(sizes)), key=lambda i: sizes[i])
         if len(sizes) == 1:
             return self.langs[0], 1.0, False
         second = min(s for i, s in enumerate(sizes) if i != best)
         score = (second - sizes[best]) / max(second, 1)
-        return self.langs[best], score, score < reject_below and len(letters) >= JUDGED_FROM
+        return self.langs[best], score, score < least or score == 0
 
 
 def predict(
