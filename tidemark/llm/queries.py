@@ -154,3 +154,12 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import neighbours
 
     return neighbours.search(table(spark, sf_dir, "embeddings"), "pmod(id, 50) = 0")
+
+
+@query("op11_alignment")
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizers' tokens of every document in groups over the same bytes, with their links' counts."""
+    from tidemark.llm import alignment
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.report(table(spark, sf_dir, "documents"), *paths)
