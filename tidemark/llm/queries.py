@@ -163,3 +163,72 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return alignment.report(table(spark, sf_dir, "documents"), *paths)
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE crcs AS (
+  -- crc32 bit by bit: a byte is mixed in, then eight shifts follow.
+  SELECT *, xor(list_reduce(
+      flatten([[4294967295]] || list_transform(
+        string_split(CAST(doc_id AS VARCHAR), ''),
+        lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END
+    ), 4294967295) AS crc
+  FROM documents
+), leaves AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, {_leaf("n_chars")} AS leaf,
+         CASE WHEN crc % 7 = 0 THEN {_leaf("(n_chars + 1)")} END AS changed
+  FROM crcs
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY lang) AS n
+  FROM leaves
+), tree(lang, lvl, pos, h, n) AS (
+  SELECT lang, 0, pos, leaf, n FROM placed
+  UNION ALL
+  SELECT lang, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2
+  FROM tree WHERE n > 1 GROUP BY lang, lvl, pos // 2, n
+), subroots AS (
+  SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+  FROM tree WHERE n = 1
+), upper(lvl, pos, h, n) AS (
+  SELECT 0, pos, h, n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2
+  FROM upper WHERE n > 1 GROUP BY lvl, pos // 2, n
+), siblings AS (
+  SELECT rid, t.lvl AS step, t.h, t.pos < (p.pos >> t.lvl) AS on_left
+  FROM placed AS p JOIN tree AS t ON t.lang IS NOT DISTINCT FROM p.lang AND t.pos = xor(p.pos >> t.lvl, 1)
+  UNION ALL
+  SELECT rid, 1000 + u.lvl, u.h, u.pos < (s.pos >> u.lvl)
+  FROM placed AS p JOIN subroots AS s ON s.lang IS NOT DISTINCT FROM p.lang
+  JOIN upper AS u ON u.pos = xor(s.pos >> u.lvl, 1)
+), proofs AS (
+  SELECT rid, sha256(string_agg(h, '' ORDER BY step)) AS proof_sha256,
+         list(CASE WHEN on_left THEN h || '.' ELSE '.' || h END ORDER BY step) AS path
+  FROM siblings GROUP BY rid
+), folded AS (
+  SELECT p.doc_id, p.leaf, s.h AS subroot, (SELECT h FROM upper WHERE n = 1) AS root,
+         coalesce(proof_sha256, sha256('')) AS proof_sha256,
+         list_reduce([coalesce(p.changed, p.leaf)] || coalesce(path, []),
+                     lambda a, x: sha256(replace(x, '.', a))) AS folded_root
+  FROM placed AS p JOIN subroots AS s ON s.lang IS NOT DISTINCT FROM p.lang LEFT JOIN proofs USING (rid)
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+
+@query("op12_manifest", OP12_SQL)
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle leaves, roots and proofs of all documents, checked after tampering with some."""
+    from tidemark.llm import manifest
+
+    return manifest.report(table(spark, sf_dir, "documents"))
