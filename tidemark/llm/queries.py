@@ -205,15 +205,19 @@ WITH RECURSIVE crcs AS (
   SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2
   FROM upper WHERE n > 1 GROUP BY lvl, pos // 2, n
 ), siblings AS (
-  SELECT rid, t.lvl AS step, t.h, t.pos < (p.pos >> t.lvl) AS on_left
-  FROM placed AS p JOIN tree AS t ON t.lang IS NOT DISTINCT FROM p.lang AND t.pos = xor(p.pos >> t.lvl, 1)
+  -- A node that is alone in its run has none, and is hashed all the same.
+  SELECT rid, o.lvl AS step, t.h, t.pos < o.pos AS on_left
+  FROM placed AS p
+  JOIN tree AS o ON o.lang IS NOT DISTINCT FROM p.lang AND o.pos = p.pos >> o.lvl AND o.n > 1
+  LEFT JOIN tree AS t ON t.lang IS NOT DISTINCT FROM o.lang AND t.lvl = o.lvl AND t.pos = xor(o.pos, 1)
   UNION ALL
-  SELECT rid, 1000 + u.lvl, u.h, u.pos < (s.pos >> u.lvl)
+  SELECT rid, 1000 + o.lvl, u.h, u.pos < o.pos
   FROM placed AS p JOIN subroots AS s ON s.lang IS NOT DISTINCT FROM p.lang
-  JOIN upper AS u ON u.pos = xor(s.pos >> u.lvl, 1)
+  JOIN upper AS o ON o.pos = s.pos >> o.lvl AND o.n > 1
+  LEFT JOIN upper AS u ON u.lvl = o.lvl AND u.pos = xor(o.pos, 1)
 ), proofs AS (
-  SELECT rid, sha256(string_agg(h, '' ORDER BY step)) AS proof_sha256,
-         list(CASE WHEN on_left THEN h || '.' ELSE '.' || h END ORDER BY step) AS path
+  SELECT rid, sha256(coalesce(string_agg(h, '' ORDER BY step), '')) AS proof_sha256,
+         list(CASE WHEN on_left THEN h || '.' ELSE '.' || coalesce(h, '') END ORDER BY step) AS path
   FROM siblings GROUP BY rid
 ), folded AS (
   SELECT p.doc_id, p.leaf, s.h AS subroot, (SELECT h FROM upper WHERE n = 1) AS root,
