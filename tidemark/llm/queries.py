@@ -236,3 +236,31 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import manifest
 
     return manifest.report(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS rn, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), lines AS (
+  SELECT rn, doc_id, i, ls[i] AS line,
+         translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM split, UNNEST(range(1, len(ls) + 1)) AS t(i)
+), repeated AS (
+  SELECT key, max(doc_id) AS last FROM lines WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+  SELECT rn, doc_id, i, line, last IS NOT NULL AND last <> doc_id AS gone FROM lines LEFT JOIN repeated USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY rn, doc_id
+"""
+
+
+@query("op13_line_dedup", OP13_SQL)
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the long lines that other documents hold too."""
+    from tidemark.llm import line_dedup
+
+    return line_dedup.report(table(spark, sf_dir, "documents"))
