@@ -31,6 +31,27 @@ def string_columns(df: DataFrame) -> list[str]:
     return columns_of_type(df, T.StringType)
 
 
+def null_safe_hash(columns: Sequence[Column]) -> Column:
+    """64-bit hash that tells (x, NULL) from (NULL, x); the plain one skips NULLs."""
+    flagged = [part for c in columns for part in (c.isNull(), c)]
+    return F.xxhash64(*flagged)
+
+
+def row_hash(df: DataFrame, names: Sequence[str] | None = None) -> Column:
+    """64-bit hash of a row's values, each hashed together with its column's name.
+
+    A NULL counts as nothing, so a column that was added and is still empty changes no
+    hash, while a value that moves between columns does.  Nested values are hashed as JSON.
+    """
+    nested = (T.StructType, T.ArrayType, T.MapType)
+    whole = F.lit(0).cast("long")
+    for name in names if names is not None else df.columns:
+        value = F.to_json(col(name)) if isinstance(df.schema[name].dataType, nested) else col(name)
+        here = F.when(value.isNotNull(), F.xxhash64(F.lit(name), value)).otherwise(F.lit(0))
+        whole = whole.bitwiseXOR(here)
+    return F.xxhash64(whole)
+
+
 def same_keys(left: str, right: str, keys: Iterable[str]) -> Column:
     """Null-safe equality of the named columns of two aliased frames."""
     parts = [F.col(f"{left}.{quoted(k)}").eqNullSafe(F.col(f"{right}.{quoted(k)}")) for k in keys]

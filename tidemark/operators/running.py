@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import col
+from tidemark.functions.columns import col, null_safe_hash
 from tidemark.session import materialize
 
 CHUNK = "_chunk"
@@ -23,7 +23,7 @@ GROUP_ID = "_gid"
 
 def group_id(keys: Sequence[str]) -> Column:
     """64-bit number of a group; without keys there is one group."""
-    return F.xxhash64(*[col(k) for k in keys]) if keys else F.lit(0).cast("long")
+    return null_safe_hash([col(k) for k in keys]) if keys else F.lit(0).cast("long")
 
 
 def group_table(df: DataFrame, keys: Sequence[str], name: str = GROUP_ID) -> DataFrame:

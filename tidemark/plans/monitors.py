@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import spec as S
+from tidemark.functions.columns import row_hash
 from tidemark.operators.joins import conflicting_labels, log_labels
 from tidemark.plans import refresh as R
 from tidemark.session import materialize, scratch_scope
@@ -210,7 +211,7 @@ class Monitors:
         if not info.baseline_table_name:
             return None, False
         df = self.spark.table(info.baseline_table_name)
-        hashes = F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)"))
+        hashes = F.sum(row_hash(df).cast("decimal(38,0)"))
         state = df.agg(F.count("*"), hashes).first()
         text = "|".join([info.baseline_table_name, spec_to_json(info.spec), str(df.dtypes), *map(str, state)])
         root = f"{self._folder(info.table_name)}/baseline"

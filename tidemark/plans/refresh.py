@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import col, join_null_safe
+from tidemark.functions.columns import col, join_null_safe, row_hash
 from tidemark.operators.counts import long_values
 from tidemark.operators.drift import drift, window_pairs
 from tidemark.operators.profile import (
@@ -113,13 +113,20 @@ def changed_rows(old: DataFrame, new: DataFrame) -> DataFrame:
     return counted.where(F.col("_change") != 0)
 
 
+def watched_columns(df: DataFrame, spec: MonitorSpec) -> list[str]:
+    """The columns that the metrics follow from; all, where the spec has free text."""
+    if spec.slicing_exprs or spec.custom_metrics or spec.columns is None:
+        return df.columns
+    named = {*analysed_columns(df, spec), *(v for k, v in vars(spec.analysis).items() if k.endswith("_col"))}
+    return [c for c in df.columns if c in named]
+
+
 def window_marks(df: DataFrame, spec: MonitorSpec) -> DataFrame:
     """``granularity, window, rows, mark``: what tells whether a window's rows have changed.
 
     Sums of row hashes: each task adds up its rows, so nothing but the marks is shuffled.
     """
-    row = F.xxhash64(*[col(c) for c in df.columns])
-    placed = df.select(col(spec.timestamp_col), row.alias("_hash"))
+    placed = df.select(col(spec.timestamp_col), row_hash(df, watched_columns(df, spec)).alias("_hash"))
     hashes = assign_windows(placed, spec.timestamp_col, spec.granularities)
     return hashes.groupBy(*_WINDOW).agg(
         F.count("*").alias("rows"), F.sum(F.col("_hash").cast("decimal(38,0)")).alias("mark")

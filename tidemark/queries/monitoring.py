@@ -252,6 +252,21 @@ def mean_and_stddev(spark, sf):
     return flat(rows, "slice_value", "avg", "stddev", digits=4)
 
 
+@query(
+    "d5_median_null_keys",
+    """SELECT CASE WHEN l_orderkey % 2 = 0 THEN l_returnflag END AS a, CASE WHEN l_orderkey % 2 = 1 THEN l_returnflag END AS b,
+        quantile_disc(l_extendedprice, 0.5) AS median FROM lineitem GROUP BY 1, 2""",
+)
+def median_null_keys(spark, sf):
+    """Groups whose keys hold the same value in another column, NULL in the rest."""
+    even = F.col("l_orderkey") % 2 == 0
+    rows = lineitem(spark, sf).select(
+        F.when(even, F.col("l_returnflag")).alias("a"), F.when(~even, F.col("l_returnflag")).alias("b"), "l_extendedprice"
+    )
+    counts = materialize(C.value_counts(rows, ["a", "b"], ["l_extendedprice"]), "counts")
+    return C.medians(counts, ["a", "b"]).select("a", "b", "median")
+
+
 @query(
     "d5_median",
     """SELECT o_orderpriority AS slice_value, quantile_disc(o_totalprice, 0.5) AS median
