@@ -48,10 +48,10 @@ from tidemark.session import materialize
 #: Frequent pairs that every task is given, 13 bytes each.
 HEAD_PAIRS = 1 << 20
 #: Units that a worker keeps, and bytes of them.
-KNOWN_UNITS = 1_000_000
-KNOWN_BYTES = 32 << 20
+KNOWN_UNITS = 500_000
+KNOWN_BYTES = 16 << 20
 #: Bytes of text that are aligned at a time.
-ALIGN_BYTES = 1 << 21
+ALIGN_BYTES = 1 << 19
 #: Intervals of so few tokens are not halved any more: all their ends are looked for at once.
 SMALL = 32
 
@@ -221,8 +221,9 @@ class TwoEncoders:
         return plain and not any(b" " in piece.lstrip(b" ") for piece in self.bytes_b)
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.text, self.ids_a, self.ids_b = Ragged(np.uint8), Ragged(np.int64), Ragged(np.int64)
+        # Hashes of units in ascending order, and the units' rows.
+        self.keys, self.rows = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.text, self.ids_a, self.ids_b = Ragged(np.uint8), Ragged(np.int32), Ragged(np.int32)
         self.fits = np.ones(1 << 12, bool)
 
     def encode_a(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -268,11 +269,15 @@ class TwoEncoders:
     def rows_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The known units' rows of the slices of the bytes; new units are learned."""
         keys, first, inverse = np.unique(slice_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        names = keys.tolist()
-        rows = np.fromiter((self.known.get(k, -1) for k in names), np.int64, len(names))
-        new = np.flatnonzero(rows < 0)
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        rows = np.empty(len(keys), np.int64)
+        rows[known] = self.rows[at[known]]
+        new = np.flatnonzero(~known)
         rows[new] = self.learn(data, starts[first[new]], ends[first[new]])
-        self.known.update(zip(keys[new].tolist(), rows[new].tolist()))
+        self.keys, self.rows = np.insert(self.keys, at[new], keys[new]), np.insert(self.rows, at[new], rows[new])
         found = rows[inverse]
         # Hashes only find a row; whether it holds the very unit is seen from the bytes.
         sizes = ends - starts
@@ -310,7 +315,7 @@ class TwoEncoders:
         bounds, out = np.append(0, np.cumsum(counts)), []
         for ids in (self.ids_a, self.ids_b):
             found, sizes = ids.of(units)
-            out += [found, np.append(0, np.cumsum(sizes))[bounds]]
+            out += [found.astype(np.int64), np.append(0, np.cumsum(sizes))[bounds]]
         return out
 
 
