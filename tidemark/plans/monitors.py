@@ -17,8 +17,9 @@ from tidemark import spec as S
 from tidemark.functions.columns import row_hash
 from tidemark.operators.joins import conflicting_labels, log_labels
 from tidemark.plans import refresh as R
+from tidemark.plans.files import file_changes, listing, of_files
 from tidemark.session import materialize, scratch_scope
-from tidemark.sources.tables import SnapshotTable, among, conform, exists, remove
+from tidemark.sources.tables import SnapshotTable, among, conform, exists, folders_of, remove, remove_folder
 
 _SPEC_SCHEMA = "table_name string, baseline_table_name string, linked_entities array<string>, spec string"
 
@@ -153,11 +154,23 @@ class Monitors:
 
     # metrics -------------------------------------------------------------
 
+    def _tables(self, info: MonitorInfo) -> tuple[SnapshotTable, SnapshotTable, int]:
+        """Analysis, drift and the last version that is complete in both; 0 if none is.
+
+        Both are written with one version number, so a refresh that fails between them
+        leaves the versions before it in use.
+        """
+        paths = (info.analysis_metrics_path, info.drift_metrics_path)
+        analysis, drift = (SnapshotTable(self.spark, p) for p in paths)
+        return analysis, drift, max({*analysis.versions()} & {*drift.versions()}, default=0)
+
     def analysis(self, table_name: str) -> DataFrame:
-        return SnapshotTable(self.spark, self.info(table_name).analysis_metrics_path).read()
+        analysis, _, version = self._tables(self.info(table_name))
+        return analysis.read(version or None)
 
     def drift(self, table_name: str) -> DataFrame:
-        return SnapshotTable(self.spark, self.info(table_name).drift_metrics_path).read()
+        _, drift, version = self._tables(self.info(table_name))
+        return drift.read(version or None)
 
     def refresh(
         self,
@@ -169,8 +182,9 @@ class Monitors:
         """Bring the metric tables up to date.
 
         Only windows whose rows have changed since the last refresh are recomputed, and
-        those drift compares with them.  They are found by the marks of the last refresh,
-        or given by ``changed``, the rows added, altered or removed.  New columns and
+        those drift compares with them.  Of a table on files they are found by the files that
+        are new or gone, of a view by the marks of the last refresh; or they are given by
+        ``changed``, the rows added, altered or removed.  New columns and
         metrics appear in recomputed windows; ``backfill`` recomputes all.  A table without
         time gets one more window.
         """
@@ -180,39 +194,53 @@ class Monitors:
 
     def _refresh(self, info: MonitorInfo, backfill: bool, changed: DataFrame | None, as_of: dt.datetime | None) -> None:
         folder = self._folder(info.table_name)
-        analysis = SnapshotTable(self.spark, info.analysis_metrics_path)
-        drift = SnapshotTable(self.spark, info.drift_metrics_path)
-        df = self.spark.table(info.table_name)
+        analysis, drift, version = self._tables(info)
         base, moved_base = self._baseline(info)
         if info.spec.timestamp_col is None:
             counts = SnapshotTable(self.spark, f"{folder}/value_counts")
-            self._refresh_snapshot(info, df, base, as_of, analysis, drift, counts)
+            self._refresh_snapshot(info, self.spark.table(info.table_name), base, as_of, counts)
             return
-        seen = SnapshotTable(self.spark, f"{folder}/seen")
-        marks = materialize(R.window_marks(df, info.spec), "marks")
+        df, on_files = self._watched(info.table_name)
+        seen = SnapshotTable(self.spark, f"{folder}/{'files' if on_files else 'seen'}")
+        before = seen.read() if seen.exists() else None
+        if on_files:
+            state, touched = file_changes(df, info.spec, before)
+        else:
+            state = materialize(R.window_marks(df, info.spec), "marks")
+            touched = None if before is None else R.moved_windows(before, state)
         # A baseline that has changed is compared with every window anew.
-        if backfill or moved_base or not analysis.exists() or not (seen.exists() or changed is not None):
+        if backfill or moved_base or not version or (before is None and changed is None):
             stage = R.run_stages(df, info.spec, as_of=as_of)
             rows, moved = stage.metrics, R.drift_stage(stage, info.spec, base)
         else:
-            touched = R.moved_windows(seen.read(), marks) if changed is None else R.touched_windows(changed, info.spec)
-            touched = materialize(touched, "touched")
-            old = analysis.read().where(F.col("log_type") == S.INPUT)
-            rows = materialize(R.refresh_analysis(df, info.spec, old, touched), "analysis")
-            moved = R.refresh_drift(df, info.spec, drift.read(), rows, touched, base)
-        drift.replace(moved)
-        analysis.replace(rows if base is None else rows.unionByName(base.metrics, allowMissingColumns=True))
+            if changed is not None:
+                touched = R.touched_windows(changed, info.spec)
+            touched, files = materialize(touched, "touched"), state if on_files else None
+            old = analysis.read(version).where(F.col("log_type") == S.INPUT)
+            rows = materialize(R.refresh_analysis(df, info.spec, old, touched, files), "analysis")
+            moved = R.refresh_drift(df, info.spec, drift.read(version), rows, touched, base, files)
+        drift.replace(moved, version + 1)
+        whole = rows if base is None else rows.unionByName(base.metrics, allowMissingColumns=True)
+        analysis.replace(whole, version + 1)
         # Last, so that a refresh that fails is done again.
-        seen.replace(marks)
+        seen.replace(state)
+
+    def _watched(self, table_name: str) -> tuple[DataFrame, bool]:
+        """A table as it is now, and whether its files tell what has changed."""
+        on_files = of_files(self.spark, table_name)
+        if on_files:
+            self.spark.catalog.refreshTable(table_name)
+        return self.spark.table(table_name), on_files
 
     def _baseline(self, info: MonitorInfo) -> tuple[R.Stage | None, bool]:
         """The baseline's metrics and counts, computed once for a spec and a state of the
         table, and whether that was now."""
         if not info.baseline_table_name:
             return None, False
-        df = self.spark.table(info.baseline_table_name)
-        hashes = F.sum(row_hash(df).cast("decimal(38,0)"))
-        state = df.agg(F.count("*"), hashes).first()
+        df, on_files = self._watched(info.baseline_table_name)
+        # The files' names, sizes and times, or else all rows.
+        rows = listing(df) if on_files else df
+        state = rows.agg(F.count("*"), F.sum(row_hash(rows).cast("decimal(38,0)"))).first()
         text = "|".join([info.baseline_table_name, spec_to_json(info.spec), str(df.dtypes), *map(str, state)])
         root = f"{self._folder(info.table_name)}/baseline"
         folder = f"{root}/{hashlib.md5(text.encode()).hexdigest()}"
@@ -225,13 +253,14 @@ class Monitors:
                 part.replace(rows)
         return R.Stage(*[p.read() for p in parts]), fresh
 
-    def _refresh_snapshot(self, info, df, base, as_of, analysis, drift, counts) -> None:
+    def _refresh_snapshot(self, info, df, base, as_of, counts) -> None:
         """One more window; value counts of the last one are kept for the comparison."""
+        analysis, drift, version = self._tables(info)
         stage = R.run_stages(df, info.spec, as_of=as_of)
         scored = stage.metrics
         seen = stage.counts
-        if analysis.exists():
-            old = analysis.read().where(F.col("log_type") == S.INPUT)
+        if version:
+            old = analysis.read(version).where(F.col("log_type") == S.INPUT)
             scored = old.unionByName(scored, allowMissingColumns=True)
             last = old.agg(F.max("window")).first()[0]
             if counts.exists() and last is not None:
@@ -240,16 +269,17 @@ class Monitors:
         rows = R.drift_stage(R.Stage(scored, materialize(seen, "counts")), info.spec, base)
         newest = scored.agg(F.max("window")).scalar()
         fresh = rows.where(F.col("window") == newest)
-        if drift.exists():
-            fresh = drift.read().unionByName(fresh, allowMissingColumns=True)
-        drift.replace(fresh)
-        analysis.replace(scored if base is None else scored.unionByName(base.metrics, allowMissingColumns=True))
+        if version:
+            fresh = drift.read(version).unionByName(fresh, allowMissingColumns=True)
+        drift.replace(fresh, version + 1)
+        whole = scored if base is None else scored.unionByName(base.metrics, allowMissingColumns=True)
+        analysis.replace(whole, version + 1)
         counts.replace(stage.counts)
 
     def delete(self, table_name: str, purge_artifacts: bool = False) -> None:
         info = self.info(table_name)
         if purge_artifacts:
-            for name in ("analysis_metrics", "drift_metrics", "value_counts", "baseline", "seen"):
+            for name in ("analysis_metrics", "drift_metrics", "value_counts", "baseline", "seen", "files"):
                 SnapshotTable(self.spark, f"{self._folder(table_name)}/{name}").drop()
         self._specs.replace(self.specs().where(F.col("table_name") != table_name))
 
@@ -271,21 +301,20 @@ class LoggingTable:
             self.payload.fields + [T.StructField(n, T.StringType()) for n in _PARTITIONS]
         )
 
-    def _append(self, df: DataFrame, log_type: str, version: str, batch_id: str) -> str:
+    def _append(self, df: DataFrame, log_type: str, version: str, batch_id: str, replace: bool = False) -> str:
         missing = [f.name for f in self.payload.fields if not f.nullable and f.name not in df.columns]
         unknown = [c for c in df.columns if c not in self.payload.names]
         if missing or unknown:
             raise ValueError(f"missing columns {missing}, unknown columns {unknown}")
         tags = zip(_PARTITIONS, (log_type, version, batch_id))
         rows = conform(df, self.payload).withColumns({k: F.lit(v) for k, v in tags})
-        rows.write.mode("append").partitionBy(*_PARTITIONS).parquet(self.path)
+        # A batch that replaces itself is complete before the files it replaces go.
+        writer = rows.write.mode("overwrite" if replace else "append").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(*_PARTITIONS).parquet(self.path)
         return batch_id
 
-    def _partition(self, log_type: str, version: str, batch_id: str | None = None) -> str:
-        """Folder of a version or batch, its values escaped as the writer does."""
-        values = [v for v in (log_type, version, batch_id) if v is not None]
-        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-        return "/".join([self.path, *[f"{k}={escape(v)}" for k, v in zip(_PARTITIONS, values)]])
+    def _batches(self, log_type: str, version: str) -> DataFrame:
+        return self.read().where((F.col("log_type") == log_type) & (F.col("model_version") == version))
 
     def log_baseline(self, df: DataFrame, version: str, batch_id: str) -> str:
         """Baseline of a version; logging it again replaces it.
@@ -294,15 +323,11 @@ class LoggingTable:
         """
         new = materialize(df, "baseline")
         others: list[str] = []
-        if exists(self.spark, self._partition(S.BASELINE, version)):
-            mine = (F.col("log_type") == S.BASELINE) & (F.col("model_version") == version)
-            others = [r[0] for r in self.read().where(mine).select("batch_id").distinct().collect()]
-        if batch_id in others:
-            remove(self.spark, self._partition(S.BASELINE, version, batch_id))
-        self._append(new, S.BASELINE, version, batch_id)
+        if exists(self.spark, self.path):
+            others = folders_of(self._batches(S.BASELINE, version).where(F.col("batch_id") != batch_id))
+        self._append(new, S.BASELINE, version, batch_id, replace=True)
         for other in others:
-            if other != batch_id:
-                remove(self.spark, self._partition(S.BASELINE, version, other))
+            remove_folder(self.spark, other)
         return batch_id
 
     def log_scored(self, df: DataFrame, version: str, batch_id: str) -> str:
@@ -332,7 +357,8 @@ class LoggingTable:
         return filled.where("_updated").count()
 
     def remove_batch(self, log_type: str, version: str, batch_id: str) -> None:
-        remove(self.spark, self._partition(log_type, version, batch_id))
+        for folder in folders_of(self._batches(log_type, version).where(F.col("batch_id") == batch_id)):
+            remove_folder(self.spark, folder)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)

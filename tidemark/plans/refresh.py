@@ -24,6 +24,7 @@ from tidemark.operators.profile import (
     inner,
 )
 from tidemark.operators.windows import assign_windows
+from tidemark.plans.files import rows_of_windows
 from tidemark.session import materialize
 from tidemark.spec import BASELINE, CONSECUTIVE, INPUT, TABLE, MonitorSpec
 
@@ -177,14 +178,15 @@ def _scan_bounds(df: DataFrame, spec: MonitorSpec, windows: DataFrame) -> DataFr
 
 
 def refresh_analysis(
-    df: DataFrame, spec: MonitorSpec, old: DataFrame, touched: DataFrame
+    df: DataFrame, spec: MonitorSpec, old: DataFrame, touched: DataFrame, files: DataFrame | None = None
 ) -> DataFrame:
     """The metric table after recomputing the touched windows only.
 
-    Columns and metrics that are new are NULL in the windows that are not.
+    Columns and metrics that are new are NULL in the windows that are not.  ``files`` are
+    the windows of every file, where they are kept.
     """
     touched = materialize(touched, "touched")
-    part = _scan_bounds(df, spec, touched)
+    part = _scan_bounds(df if files is None else rows_of_windows(df, files, touched), spec, touched)
     fresh = run_stages(part, spec, only_windows=touched).metrics
     return join_null_safe(old, touched, _WINDOW, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
@@ -196,6 +198,7 @@ def refresh_drift(
     analysis: DataFrame,
     touched: DataFrame,
     baseline: Stage | None = None,
+    files: DataFrame | None = None,
 ) -> DataFrame:
     """The drift table after an incremental refresh.
 
@@ -217,7 +220,7 @@ def refresh_drift(
         "granularity", F.col("window_cmp").alias("window")
     )
     needed = materialize(affected.unionByName(before).distinct(), "needed")
-    part = _scan_bounds(df, spec, needed)
+    part = _scan_bounds(df if files is None else rows_of_windows(df, files, needed), spec, needed)
     counts = materialize(group_value_counts(part, spec, only_windows=needed), "counts")
     rows = Stage(join_null_safe(scored, needed, _WINDOW, "left_semi"), counts)
     fresh = join_null_safe(drift_stage(rows, spec, baseline), affected, _WINDOW, "left_semi")

@@ -12,12 +12,16 @@ from tidemark.operators import quality as Q
 from tidemark.operators.setops import union_all
 from tidemark.plans import monitors as M
 from tidemark.plans import refresh as R
+from tidemark.plans.files import differing, file_changes
 from tidemark.queries.monitoring import (
     AS_OF,
     GENERIC,
     SKETCHED,
     YEARLY,
+    EVERYTHING,
+    _NUMBERS,
     _ORDER_LOG,
+    _TEXTS,
     _YEAR_AVG,
     _YEAR_ROWS,
     _cat_sql,
@@ -31,8 +35,8 @@ from tidemark.queries.monitoring import (
     stamp,
 )
 from tidemark.queries.registry import query, table
-from tidemark.session import scratch_path
-from tidemark.sources.tables import SnapshotTable
+from tidemark.session import scratch_name, scratch_path
+from tidemark.sources.tables import SnapshotTable, save_table
 from tidemark.spec import BASELINE, InferenceLog, Metric, MonitorSpec, TimeSeries
 
 VARIATION = Metric("aggregate", "variation", ("o_totalprice",), "stddev(`{{column_name}}`) / avg(`{{column_name}}`)")
@@ -299,7 +303,18 @@ def changed_rows(spark, sf):
     return changed.groupBy(stamp(month).alias("window_start")).agg(F.sum("_change").alias("changed"))
 
 
-_REFRESHED = ("l_discount", "l_extendedprice", "l_partkey")
+def _stored(df: DataFrame, *partition_by: str) -> str:
+    """The rows as a table of the catalog, in files by shipping date."""
+    spark = df.sparkSession
+    rows = df.repartitionByRange(8, "l_shipdate")
+    return save_table(rows, scratch_name("lineitem"), path=scratch_path(spark, "lineitem"), partition_by=partition_by)
+
+
+def _late_lineitem(spark, sf) -> DataFrame:
+    return lineitem(spark, sf).where("year(l_shipdate) IN (1997, 1999) AND l_orderkey % 5 = 0")
+
+
+_MEDIAN = "quantile_disc({c}, 0.5)::DOUBLE"
 
 
 @query(
@@ -307,23 +322,41 @@ _REFRESHED = ("l_discount", "l_extendedprice", "l_partkey")
     f"WITH {_YEAR_ROWS} "
     + " UNION ALL ".join(
         f"""SELECT window_start, slice_key, slice_value, '{c}' AS column_name, count(*) AS "count",
-        count(DISTINCT {c}) AS distinct_count, quantile_disc({c}, 0.5)::DOUBLE AS median,
-        {rounded_sql(f'avg({c})', 4)} AS "avg" FROM rows_ GROUP BY ALL"""
-        for c in _REFRESHED
+        count(DISTINCT {c}) AS distinct_count, {_MEDIAN.format(c=c) if c in _NUMBERS else 'NULL::DOUBLE'} AS median,
+        {rounded_sql(f'avg({c})', 4) if c in _NUMBERS else 'NULL::DOUBLE'} AS "avg" FROM rows_ GROUP BY ALL"""
+        for c in (*_NUMBERS, *_TEXTS)
     ),
 )
 def incremental_refresh(spark, sf):
-    """Metrics before a late batch, brought up to date by the windows it touches."""
-    spec = YEARLY.with_params(columns=_REFRESHED)
-    old, new = _old_lineitem(spark, sf), lineitem(spark, sf)
-    before = R.run_stages(old, spec).metrics
-    touched = R.moved_windows(R.window_marks(old, spec), R.window_marks(new, spec))
-    rows = R.refresh_analysis(new, spec, before, touched).where("column_name != ':table'")
+    """Exact metrics of all columns before a late batch, brought up to date by its files."""
+    spec = EVERYTHING.with_params(granularities=("1 year",))
+    name = _stored(_old_lineitem(spark, sf))
+    before = R.run_stages(spark.table(name), spec).metrics
+    seen = file_changes(spark.table(name), spec, None)
+    save_table(_late_lineitem(spark, sf), name, mode="append")
+    new = spark.table(name)
+    files, touched = file_changes(new, spec, seen.files)
+    rows = R.refresh_analysis(new, spec, before, touched, files).where("column_name != ':table'")
     return flat(
         rows, "window", "slice_key", "slice_value", "column_name", "count", "distinct_count", "median", "avg", digits=4
     )
 
 
+@query(
+    "a9_changed_rows_by_files",
+    """SELECT strftime(date_trunc('month', l_shipdate), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS changed
+    FROM lineitem WHERE year(l_shipdate) IN (1997, 1999) AND l_orderkey % 5 = 0 GROUP BY ALL""",
+)
+def changed_rows_by_files(spark, sf):
+    """Two states of a table that share most files: only the others are compared."""
+    name = _stored(_old_lineitem(spark, sf))
+    old = spark.read.parquet(*spark.table(name).inputFiles())
+    save_table(_late_lineitem(spark, sf), name, mode="append")
+    changed = R.changed_rows(*differing(old, spark.table(name)))
+    month = F.date_trunc("month", "l_shipdate")
+    return changed.groupBy(stamp(month).alias("window_start")).agg(F.sum("_change").alias("changed"))
+
+
 @query(
     "d16_sketched_refresh",
     f"WITH {_YEAR_ROWS} "
@@ -491,6 +524,32 @@ def refresh_monitor(spark, sf):
     return _metric_rows(monitors, "watched_lineitem")
 
 
+@query("p3_refresh_by_files", _LIFECYCLE_SQL)
+def refresh_by_files(spark, sf):
+    """A table on files is analysed; a late batch adds files; a refresh reads what they touch."""
+    monitors, name = _monitors(spark, sf), _stored(_old_lineitem(spark, sf))
+    monitors.create_or_update(name, _LIFECYCLE)
+    save_table(_late_lineitem(spark, sf), name, mode="append")
+    monitors.refresh(name)
+    return _metric_rows(monitors, name)
+
+
+@query(
+    "p3_refresh_after_removal",
+    f"""SELECT * FROM ({_LIFECYCLE_SQL.replace('FROM rows_', "FROM rows_ WHERE year(l_shipdate) NOT IN (1995, 1996) OR l_orderkey % 2 = 0")})""",
+)
+def refresh_after_removal(spark, sf):
+    """The files of two partitions are replaced by others with fewer rows."""
+    monitors, year = _monitors(spark, sf), F.year("l_shipdate")
+    name = _stored(lineitem(spark, sf).withColumn("year", year), "year")
+    monitors.create_or_update(name, _LIFECYCLE)
+    fewer = lineitem(spark, sf).where(year.isin(1995, 1996) & (F.col("l_orderkey") % 2 == 0))
+    write = fewer.withColumn("year", year).select(spark.table(name).columns).write.mode("overwrite")
+    write.option("partitionOverwriteMode", "dynamic").insertInto(name)
+    monitors.refresh(name)
+    return _metric_rows(monitors, name)
+
+
 @query(
     "p3_refresh_after_a_move",
     f"""SELECT strftime(date_trunc('year', l_shipdate), '%Y-%m-%d %H:%M:%S') AS window_start, c AS column_name, count(*) AS "count",

@@ -105,6 +105,19 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def folders_of(df: DataFrame) -> list[str]:
+    """Folders of the files that a frame reads, as addresses; a row for each comes to the driver."""
+    path = F.col("_metadata.file_path")
+    found = df.select(F.regexp_extract(path, "^(.*)/[^/]*$", 1).alias("folder")).distinct().collect()
+    return [r["folder"] for r in found]
+
+
+def remove_folder(spark: SparkSession, address: str) -> None:
+    """Remove a folder by the address that ``folders_of`` gives, in which signs are escaped."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(address))
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 class SnapshotTable:
     """A table kept as a row of complete versions, so that it can be replaced by a
     result computed from itself.  The newest folder with a success marker is current."""
@@ -135,16 +148,17 @@ class SnapshotTable:
             raise FileNotFoundError(f"no version under {self.path}")
         return self.spark.read.parquet(self._folder(versions[-1] if version is None else version))
 
-    def replace(self, df: DataFrame) -> int:
-        """Write the next version; readers see it once it is complete.
+    def replace(self, df: DataFrame, version: int | None = None) -> int:
+        """Write the next version, or the given one; readers see it once it is complete.
 
         The version before it is kept for readers that still use it.
         """
         versions = self.versions()
-        version = (versions or [0])[-1] + 1
+        if version is None:
+            version = (versions or [0])[-1] + 1
         # A folder left by a write that failed has no success marker.
         df.write.mode("overwrite").parquet(self._folder(version))
-        for old in versions[:-1]:
+        for old in [v for v in versions if v < version][:-1]:
             remove(self.spark, self._folder(old))
         return version
 
