@@ -303,11 +303,10 @@ def changed_rows(spark, sf):
     return changed.groupBy(stamp(month).alias("window_start")).agg(F.sum("_change").alias("changed"))
 
 
-def _stored(df: DataFrame, *partition_by: str) -> str:
+def _stored(df: DataFrame, folder: str | None = None, partition_by: tuple[str, ...] = ()) -> str:
     """The rows as a table of the catalog, in files by shipping date."""
-    spark = df.sparkSession
-    rows = df.repartitionByRange(8, "l_shipdate")
-    return save_table(rows, scratch_name("lineitem"), path=scratch_path(spark, "lineitem"), partition_by=partition_by)
+    folder = folder or scratch_path(df.sparkSession, "lineitem")
+    return save_table(df.repartitionByRange(8, "l_shipdate"), scratch_name("lineitem"), path=folder, partition_by=partition_by)
 
 
 def _late_lineitem(spark, sf) -> DataFrame:
@@ -540,12 +539,12 @@ def refresh_by_files(spark, sf):
 )
 def refresh_after_removal(spark, sf):
     """The files of two partitions are replaced by others with fewer rows."""
-    monitors, year = _monitors(spark, sf), F.year("l_shipdate")
-    name = _stored(lineitem(spark, sf).withColumn("year", year), "year")
+    monitors, year, folder = _monitors(spark, sf), F.year("l_shipdate"), scratch_path(spark, "lineitem")
+    name = _stored(lineitem(spark, sf).withColumn("year", year), folder, ("year",))
     monitors.create_or_update(name, _LIFECYCLE)
     fewer = lineitem(spark, sf).where(year.isin(1995, 1996) & (F.col("l_orderkey") % 2 == 0))
-    write = fewer.withColumn("year", year).select(spark.table(name).columns).write.mode("overwrite")
-    write.option("partitionOverwriteMode", "dynamic").insertInto(name)
+    write = fewer.withColumn("year", year).write.mode("overwrite").partitionBy("year")
+    write.option("partitionOverwriteMode", "dynamic").parquet(folder)
     monitors.refresh(name)
     return _metric_rows(monitors, name)
 
