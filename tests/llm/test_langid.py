@@ -1,5 +1,9 @@
+import random
 import zlib
 
+import pytest
+import zstandard
+
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid as L
@@ -67,3 +71,78 @@ def test_short_texts_are_judged(spark):
     assert sum(other.predict(t)[2] for t in texts) >= 0.6 * len(texts)
     same = L.Classifier({"a": b"the cat sat on the mat " * 50, "b": b"the cat sat on the mat " * 50})
     assert same.predict("the cat sat")[1:] == (0.0, True)
+
+
+@pytest.fixture(scope="module")
+def held(spark):
+    """Dictionaries of the other folds, and folded texts of the held-out fold."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    contents = L.dictionaries(docs.where(~L.held_out()))
+    rows = docs.where(L.held_out() & F.col("lang").isNotNull()).collect()
+    return contents, [(L.folded(r["text"] or ""), r["lang"]) for r in rows]
+
+
+@pytest.mark.parametrize("words,rejected,right", [(1, 0.2, 0.85), (2, 0.12, 0.95), (3, 0.05, 0.96), (5, 0.03, 0.97), (20, 0.02, 0.98)])
+def test_cuts_of_a_few_words(held, words, rejected, right):
+    contents, texts = held
+    r, known = random.Random(words), L.Classifier(contents)
+    cuts = []
+    while len(cuts) < 300:
+        text, lang = r.choice(texts)
+        found = text.split(" ")
+        if len(found) >= words:
+            i = r.randrange(len(found) - words + 1)
+            cuts.append((" ".join(found[i : i + words]), lang))
+    got = [known.predict(t) for t, _ in cuts]
+    assert sum(g[2] for g in got) < rejected * len(cuts)
+    assert sum(g[0] == lang for g, (_, lang) in zip(got, cuts)) >= right * len(cuts)
+
+
+def brute(text, contents, margin=L.MARGIN_BYTES):
+    """The rule, with the library called anew for every size."""
+    letters = L.folded(text or "")
+    if not letters or not contents:
+        return "und", 0.0, True
+
+    def size(content, frame):
+        data = zstandard.ZstdCompressionDict(content + L.TAIL + L.FRAME, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data.precompute_compress(level=L.LEVEL)
+        out = 0
+        for i in range(0, len(letters), L.BLOCK):
+            own = zstandard.ZstdCompressor(
+                level=L.LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False
+            )
+            out += len(own.compress(frame + b" " + letters[i : i + L.BLOCK].encode() + b" " + L.TAIL))
+        return out
+
+    sizes = [(size(c, L.FRAME), i, lang) for i, (lang, c) in enumerate(contents.items())]
+    n = 1
+    if sorted(sizes)[0][0] == sorted(sizes)[1][0]:
+        n = 1 + len(L.FRAMES)
+        sizes = [(s + sum(size(contents[lang], f) for f in L.FRAMES), i, lang) for s, i, lang in sizes]
+    (best, _, lang), (second, *_) = sorted(sizes)[:2]
+    return lang, (second - best) / second, (second - best) / n < margin * (second / (second + 50 * n)) ** 2
+
+
+def test_predictions_equal_the_rule(spark, small, held):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    words = [(-1 - i, t.split(" ")[0]) for i, (t, _) in enumerate(held[1][:40])]
+    odd = spark.createDataFrame([*words, (-100, None), (-101, "1"), (-102, "a " * 40_000)], docs.schema)
+    rows = L.predict(docs.limit(60).unionByName(odd), held[0]).collect()
+    assert len(rows) == 103
+    for r in rows:
+        assert (r["lang_pred"], r["score"], r["rejected"]) == brute(r["text"], held[0])
+
+
+def test_every_label_is_learned(spark):
+    """Long texts teach by a piece of them, and no language is left out."""
+    rows = [("long", "ein sehr langer text " * 20_000)] * 2 + [(f"l{i}", f"wort{i} und satz{i} " * 30) for i in range(300)]
+    contents = L.dictionaries(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(contents) == 301 and all(contents.values()) and len(contents["long"]) > 10_000
+    bounded = L.dictionaries(spark.createDataFrame(rows, "lang string, text string"), all_bytes=301 * 1024)
+    assert set(bounded) == set(contents) and max(map(len, bounded.values())) <= 2 * 1024
+
+
+def test_no_margin_rejects_nothing_with_letters():
+    same = L.Classifier({"a": b"the cat sat on the mat " * 50, "b": b"the cat sat on the mat " * 50})
+    assert same.predict("the cat sat", margin=0) == ("a", 0.0, False)

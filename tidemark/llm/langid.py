@@ -3,20 +3,27 @@
 Each language has a dictionary of raw text, taken from labelled documents.  A text is
 compressed once with each dictionary; the language whose dictionary gives the smallest
 result is predicted.  The score is the share that the best dictionary saves over the
-second-best; where that is next to nothing, the text is rejected, at any length.
+second-best.  A text is rejected where that saving is less than a margin, which grows
+smoothly with the compressed size from half a byte for a word to six bytes.
 
 Compression sees at most a block of ``block`` characters at a time with a fresh dictionary,
 and sizes of all blocks of a text are added, so long texts count whole and the dictionary
-is never out of reach.
+is never out of reach.  Every block stands between two frames that all dictionaries hold:
+the compressor looks for no match in the last bytes of its input, which would leave a word or
+two unread.  Sizes are whole bytes; where the best two are equal, at any length, the text is
+compressed between further frames, which round differently, and the sizes are added.
 
-The dictionaries are the one thing fitted: at most ``dictionary_bytes`` of each language,
-from whole documents in an order drawn by a hash of their text (a bounded sample, its
-bound a parameter).  Languages are taken by frequency, at most ``max_languages``.
+The dictionaries are the one thing fitted: at most ``dictionary_bytes`` of each language, and
+``all_bytes`` of all languages, from documents in an order drawn by a hash of their text (a
+bounded sample, its bounds parameters).  Of a text longer than a quarter of a dictionary a
+piece of that length teaches, at a place drawn by the hash.  Every label has a dictionary.
 
 Cases: a null text or one without a letter is ``und`` with score 0 and rejected; with no
-labelled text every text is ``und``; equal sizes go to the language with more labelled
-texts, then the first in the alphabet, and are rejected; a null label teaches nothing; repeated rows are
-predicted each; upper case is folded, as case says nothing of the language.
+labelled text every text is ``und``; sizes that stay equal go to the language with more labelled
+texts, then the first in the alphabet, with score 0, and are rejected unless the margin is 0; a
+null label teaches nothing; repeated rows are predicted each; upper case is folded, as case says
+nothing of the language; an empty table gives an empty result; columns of the result's names are
+replaced by it.
 """
 
 from __future__ import annotations
@@ -31,18 +38,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.tokens import steps
+from tidemark.session import materialize
 
 DICTIONARY_BYTES = 96 << 10
-MAX_LANGUAGES = 200
+ALL_BYTES = 24 << 20
 LEVEL = 6
 BLOCK = 32 << 10
 UNKNOWN = "und"
-#: Below this score a prediction is rejected.
-REJECT_BELOW = 0.002
-#: Of texts of fewer letters the sizes of all ends are added, which widens the margin: so many
-#: times for each end, and so many times at most.
-ENDS_BELOW = 200
-MORE_PER_END, MOST_MORE = 1.25, 22.5
+#: Bytes that the best dictionary must save on a long text, and the compressed size at which
+#: a quarter of them do.
+MARGIN_BYTES = 6.0
+QUARTER_MARGIN_SIZE = 50
 
 
 def dictionaries(
@@ -50,46 +56,47 @@ def dictionaries(
     text_col: str = "text",
     lang_col: str = "lang",
     dictionary_bytes: int = DICTIONARY_BYTES,
-    max_languages: int = MAX_LANGUAGES,
+    all_bytes: int = ALL_BYTES,
 ) -> dict[str, bytes]:
-    """Raw-content dictionaries, one per language, from a bounded sample of whole texts.
+    """Raw-content dictionaries, one per language, from a bounded sample of the texts.
 
     Texts are ranked by a hash of their content, so copies of a text, ranked side by side,
     are taken once.
     """
-    size = F.octet_length(text_col)
-    known = labelled.where(F.col(lang_col).isNotNull() & (size > 0) & (size <= dictionary_bytes // 4))
-    sums = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("rows"), F.sum(size).alias("bytes"))
-    # One row per language, at most max_languages of them.
-    top = sums.orderBy(F.desc("rows"), "lang").limit(max_languages).collect()
-    out = {}
-    share = F.lit(None).cast("double")
-    for row in top:
-        # Twice the wanted bytes, so that copies dropped afterwards leave enough.
-        keep = min(1.0, 2.0 * dictionary_bytes / max(row["bytes"], 1) + 200 / row["rows"])
-        share = F.when(F.col(lang_col) == row["lang"], F.lit(keep)).otherwise(share)
-    draw = F.xxhash64(text_col)
+    known = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    known = known.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0))
+    languages = known.select("lang").distinct().count()
+    wanted = min(dictionary_bytes, max(all_bytes // max(languages, 1), 1 << 10))
+    piece = wanted // 4
+    draw = F.xxhash64("text")
+    start = F.pmod(draw, F.greatest(F.char_length("text") - piece, F.lit(0)) + 1).cast("int") + 1
+    known = known.select("lang", F.substring("text", start, F.lit(piece)).alias("text"), draw.alias("draw"))
+    sums = known.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes"))
+    # Twice the wanted bytes, so that copies dropped afterwards leave enough.
+    keep = 2.0 * wanted / F.col("bytes") + 200 / F.col("rows")
+    # One row per language.
+    shares = materialize(sums.select("lang", "rows", keep.alias("keep")), "languages")
     # Draws are equal for copies and even over different texts.
-    within = (F.pmod(draw, F.lit(1 << 30)) / float(1 << 30)) < share
-    texts = known.where(within).groupBy(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).agg(
-        F.xxhash64(text_col).alias("draw")
-    )
+    within = F.pmod("draw", F.lit(1 << 30)) / float(1 << 30) < F.col("keep")
+    texts = known.join(F.broadcast(shares), "lang").where(within).select("lang", "draw", "text").distinct()
     drawn: dict[str, list[tuple[int, str]]] = {}
-    for row in texts.select("lang", "draw", "text").toLocalIterator():
+    for row in texts.toLocalIterator():
         drawn.setdefault(row["lang"], []).append((row["draw"], row["text"]))
-    for lang in [row["lang"] for row in top if row["lang"] in drawn]:
+    out = {}
+    for lang in [row["lang"] for row in shares.orderBy(F.desc("rows"), "lang").collect()]:
         content = b""
-        for _, text in sorted(drawn[lang]):
-            if len(content) >= dictionary_bytes:
+        for _, text in sorted(drawn.get(lang, [])):
+            if len(content) >= wanted:
                 break
             content += folded(text).encode() + b"\n"
         out[lang] = content
     return out
 
 
-#: Stands at the end of every dictionary and before every text: what it saves is the same
-#: everywhere, but for it a few words would be stored as they are.
-FRAME = b"0123456789" * 13
+#: Stand at the end of every dictionary, before and after every text.
+FRAME, TAIL = b"0123456789" * 13, b"9876543210" * 4
+#: What else may stand before a text; each adds bits of its own.
+FRAMES = (FRAME + TAIL[3:20], FRAME + TAIL[3:20] + FRAME[5:30], FRAME + TAIL[1:9] + FRAME[7:19] + TAIL[15:30])
 
 _LETTERS = regex.compile(r"\p{L}+")
 
@@ -104,7 +111,7 @@ def compressors(contents: tuple[tuple[str, bytes], ...], level: int):
     """Language names and a compressor for each."""
     out = []
     for _, content in contents:
-        data = zstandard.ZstdCompressionDict(content + FRAME, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data = zstandard.ZstdCompressionDict(content + TAIL + FRAME, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         data.precompute_compress(level=level)
         out.append(
             zstandard.ZstdCompressor(
@@ -121,35 +128,35 @@ class Classifier:
         self.langs, self.own = compressors(tuple(contents.items()), level)
         self.block = block
 
-    def size(self, compressor, blocks: list[bytes]) -> int:
-        return sum(len(compressor.compress(FRAME + b)) for b in blocks)
+    def sizes(self, blocks: list[bytes], frame: bytes = FRAME) -> list[int]:
+        """Compressed size with each dictionary."""
+        framed = [b" ".join((frame, b, TAIL)) for b in blocks]
+        return [sum(len(c.compress(b)) for b in framed) for c in self.own]
 
-    def predict(self, text: str | None, reject_below: float = REJECT_BELOW) -> tuple[str, float, bool]:
+    def predict(self, text: str | None, margin: float = MARGIN_BYTES) -> tuple[str, float, bool]:
         """Language, score, and whether the prediction is rejected."""
         letters = folded(text or "")
         if not letters or not self.langs:
             return UNKNOWN, 0.0, True
-        blocks = [letters[i : i + self.block].encode() for i in range(0, len(letters), self.block)]
-        least = reject_below
-        if len(letters) < ENDS_BELOW:
-            # Sizes are whole bytes, too coarse for a few words: those of all ends are added.
-            words = letters.split(" ")
-            blocks = [" ".join(words[i:]).encode() for i in range(len(words))]
-            least *= min(MORE_PER_END * len(words), MOST_MORE)
-        sizes = [self.size(c, blocks) for c in self.own]
-        best = min(range(len(sizes)), key=lambda i: sizes[i])
-        if len(sizes) == 1:
+        if len(self.own) == 1:
             return self.langs[0], 1.0, False
-        second = min(s for i, s in enumerate(sizes) if i != best)
-        score = (second - sizes[best]) / max(second, 1)
-        return self.langs[best], score, score < least or score == 0
+        blocks = [letters[i : i + self.block].encode() for i in range(0, len(letters), self.block)]
+        sizes, times = self.sizes(blocks), 1
+        best, second = sorted(sizes)[:2]
+        if best == second:
+            more = [self.sizes(blocks, frame) for frame in FRAMES]
+            sizes, times = list(map(sum, zip(sizes, *more))), 1 + len(FRAMES)
+            best, second = sorted(sizes)[:2]
+        saved, size = (second - best) / times, second / times
+        least = margin * (size / (size + QUARTER_MARGIN_SIZE)) ** 2
+        return self.langs[sizes.index(best)], (second - best) / second, saved < least
 
 
 def predict(
     docs: DataFrame,
     contents: dict[str, bytes],
     text_col: str = "text",
-    reject_below: float = REJECT_BELOW,
+    margin: float = MARGIN_BYTES,
 ) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``rejected``, which replace such columns."""
     kept = docs.drop("lang_pred", "score", "rejected")
@@ -158,7 +165,7 @@ def predict(
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(sent.value)
         for batch in steps(batches, text_col):
-            found = [classifier.predict(t, reject_below) for t in batch.column(text_col).to_pylist()]
+            found = [classifier.predict(t, margin) for t in batch.column(text_col).to_pylist()]
             columns = [
                 pa.array([f[0] for f in found], pa.string()),
                 pa.array([f[1] for f in found], pa.float64()),
