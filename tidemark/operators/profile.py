@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,9 @@ from pyspark.sql import types as T
 from tidemark.functions.columns import col, join_null_safe, numeric_columns, quoted
 from tidemark.functions.templates import render
 from tidemark.operators.counts import distinct_and_median, value_counts
+from tidemark.operators.distinct import distinct_counts, distinct_parts
 from tidemark.operators.quality import quality_metrics
+from tidemark.operators.selection import SELECT_SIZE, order_statistics
 from tidemark.operators.slices import slice_pairs
 from tidemark.operators.windows import no_window, snapshot_window, window_of
 from tidemark.session import materialize
@@ -152,11 +155,13 @@ def _column_aggregates(name: str, data_type: T.DataType, exact: bool) -> dict[st
 
 
 def wide_aggregates(
-    rows: DataFrame, spec: MonitorSpec, columns: list[str]
+    rows: DataFrame, spec: MonitorSpec, columns: list[str], selected: Sequence[str] = ()
 ) -> tuple[DataFrame, dict[str, dict[str, str]], dict[str, str]]:
     """One aggregate over all columns.
 
     Returns the frame, the metric-to-column map per profiled column, and metric types.
+    ``selected`` are columns that the frame has sketches of besides, to select order
+    statistics by (``n<i>``, ``k<i>``).
     """
     named = {f.name: f.dataType for f in rows.schema.fields}
     types = {c: named[inner(c)] for c in columns}
@@ -183,6 +188,9 @@ def wide_aggregates(
             text = render(m.metric_definition, column_name=c if c == TABLE else inner(c))
             placed.setdefault(c, {})[m.metric_name] = f"m{k}__{len(aggs)}"
             aggs.append(F.expr(text).cast(m.output_type).alias(placed[c][m.metric_name]))
+    for i, c in enumerate(selected):
+        value = _inner_col(c).cast("double")
+        aggs += [F.count(value).alias(f"n{i}"), F.kll_sketch_agg_double(value, SELECT_SIZE).alias(f"k{i}")]
     return rows.groupBy(*GROUP).agg(*aggs), placed, metric_types
 
 
@@ -211,10 +219,26 @@ def to_long(
     return wide.select(*GROUP, F.explode(cells).alias("_cell")).select(*GROUP, "_cell.*")
 
 
-def add_exact_metrics(long: DataFrame, counts: DataFrame) -> DataFrame:
-    """Join exact distinct counts and medians, from written counts, to the long rows."""
+def selected_metrics(rows: DataFrame, wide: DataFrame, columns: list[str], numbers: list[str]) -> DataFrame:
+    """Exact distinct counts and medians without value counts: bitmaps and selection.
+
+    ``wide`` is written, with sketches of the ``numbers`` and a number ``_group`` for each group.
+    """
+    groups = materialize(wide.select("_group", *GROUP), "groups")
+    numbered = join_null_safe(rows, groups, GROUP)
+    distinct = distinct_counts(distinct_parts(numbered, ["_group"], columns, inner), ["_group"])
+    by = [*GROUP, "column_name"]
+    found = groups.join(distinct, "_group").drop("_group")
+    if not numbers:
+        return found.withColumn("median", F.lit(None).cast("double"))
+    medians = order_statistics(rows, GROUP, numbers, source=inner, sketched=wide)
+    return join_null_safe(found, materialize(medians, "medians"), by, "left")
+
+
+def add_exact_metrics(long: DataFrame, exact: DataFrame) -> DataFrame:
+    """Join exact distinct counts and medians to the long rows."""
     by = [*GROUP, "column_name"]
-    long = join_null_safe(long, distinct_and_median(counts, GROUP), by, "left")
+    long = join_null_safe(long, exact, by, "left")
     distinct = F.when(
         F.col("column_name") != TABLE, F.coalesce(F.col("distinct_count"), F.lit(0))
     )
@@ -258,18 +282,22 @@ def aggregate_metrics(
 ) -> DataFrame:
     """Metrics that need the monitored rows.
 
-    With ``spec.exact`` the value counts are needed; pass them when they are at hand as a
-    written table.
+    Exact distinct counts and medians come from value counts where these are at hand as a
+    written table, else from bitmaps and by selection.
     """
     columns = analysed_columns(df, spec)
     rows = group_rows(df, spec, log_type, as_of, only_windows)
     data_types = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name in columns}
-    wide, placed, metric_types = wide_aggregates(rows, spec, columns)
+    selecting = spec.exact and counts is None
+    numbers = [c for c in numeric_columns(df) if c in columns] if selecting else []
+    wide, placed, metric_types = wide_aggregates(rows, spec, columns, numbers)
+    if selecting:
+        wide = materialize(wide.withColumn("_group", F.monotonically_increasing_id()), "wide")
     long = to_long(wide, placed, metric_types, data_types)
-    if spec.exact:
-        if counts is None:
-            counts = materialize(value_counts(rows, GROUP, columns, inner), "counts")
-        long = add_exact_metrics(long, counts)
+    if selecting:
+        long = add_exact_metrics(long, selected_metrics(rows, wide, columns, numbers))
+    elif spec.exact:
+        long = add_exact_metrics(long, distinct_and_median(counts, GROUP))
     return long.withColumn("log_type", F.lit(log_type))
 
 

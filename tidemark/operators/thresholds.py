@@ -14,7 +14,7 @@ from tidemark.functions.stats import t_quantile
 from tidemark.operators import bootstrap as B
 from tidemark.operators.counts import value_counts
 from tidemark.operators.drift import category_tests, ks_statistics
-from tidemark.operators.running import value_at_rank
+from tidemark.operators.selection import order_statistics
 from tidemark.operators.setops import union_all
 from tidemark.session import materialize
 
@@ -77,16 +77,19 @@ def mean_interval(
 
 
 def median_interval(df: DataFrame, columns: Sequence[str], confidence: float) -> DataFrame:
-    """Order-statistic interval of the median, from value counts.
+    """Order-statistic interval of the median.
 
     Ranks count the non-NULL values of each column and stay within 1..n.
     """
-    counts = materialize(value_counts(df, [], columns).where(F.col("num").isNotNull()), "counts")
-    n = F.col("n_total")
-    breadth = t_quantile(n - 1, confidence) * F.sqrt(n / 4)
-    low = F.greatest(F.lit(1), F.ceil(n / 2 - breadth))
-    high = F.least(n, F.ceil(n / 2 + breadth))
-    rows = value_at_rank(counts, ["column_name"], "num", "n", {"low": low, "high": high})
+
+    def breadth(n: Column) -> Column:
+        return t_quantile(n - 1, confidence) * F.sqrt(n / 4)
+
+    ranks = {
+        "low": lambda n: F.greatest(F.lit(1), F.ceil(n / 2 - breadth(n))),
+        "high": lambda n: F.least(n, F.ceil(n / 2 + breadth(n))),
+    }
+    rows = order_statistics(df, [], columns, ranks)
     return rows.select(
         F.lit("median").alias("metric"), F.lit(confidence).alias("interval_width"), "column_name", "low", "high"
     )

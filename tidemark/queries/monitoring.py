@@ -12,6 +12,7 @@ from tidemark.operators import drift as D
 from tidemark.operators import profile as P
 from tidemark.operators import slices as S
 from tidemark.operators import windows as W
+from tidemark.operators.selection import order_statistics
 from tidemark.queries.registry import dealt, query, table
 from tidemark.session import materialize
 from tidemark.spec import (
@@ -274,8 +275,8 @@ def median_null_keys(spark, sf):
 )
 def median(spark, sf):
     spec = GENERIC.with_params(slicing_exprs=("o_orderpriority",), columns=("o_totalprice",), exact=True)
-    counts = materialize(P.group_value_counts(table(spark, sf, "orders"), spec, as_of=AS_OF), "counts")
-    return C.medians(counts, P.GROUP).select("slice_value", "median")
+    rows = P.group_rows(table(spark, sf, "orders"), spec, as_of=AS_OF)
+    return order_statistics(rows, P.GROUP, ["o_totalprice"]).select("slice_value", "median")
 
 
 @query(

@@ -9,7 +9,9 @@ from pyspark.sql import types as T
 from tidemark.operators import drift as D
 from tidemark.operators import profile as P
 from tidemark.operators import quality as Q
+from tidemark.operators.distinct import distinct_counts, distinct_parts, merge_distinct_parts
 from tidemark.operators.setops import union_all
+from tidemark.operators.windows import window_of
 from tidemark.plans import monitors as M
 from tidemark.plans import refresh as R
 from tidemark.plans.files import differing, file_changes
@@ -35,7 +37,7 @@ from tidemark.queries.monitoring import (
     stamp,
 )
 from tidemark.queries.registry import query, table
-from tidemark.session import scratch_name, scratch_path
+from tidemark.session import materialize, scratch_name, scratch_path
 from tidemark.sources.tables import SnapshotTable, save_table
 from tidemark.spec import BASELINE, InferenceLog, Metric, MonitorSpec, TimeSeries
 
@@ -423,6 +425,27 @@ def moments_of_large_values(spark, sf):
     return flat(rows, "window", "count", "stddev", digits=3)
 
 
+@query(
+    "d17_merged_exact_distinct",
+    f"WITH {_YEAR_ROWS} "
+    + " UNION ALL ".join(
+        f"SELECT window_start, slice_key, slice_value, '{c}' AS column_name, count(DISTINCT {c}) AS distinct_count FROM rows_ GROUP BY ALL"
+        for c in (*_NUMBERS, *_TEXTS)
+    ),
+)
+def merged_exact_distinct(spark, sf):
+    """Bitmaps of five batches of all columns, kept apart, then merged over batches and months into years."""
+    columns, months = [*_NUMBERS, *_TEXTS], EVERYTHING
+    by = ["window", "slice_key", "slice_value"]
+    parts = [
+        distinct_parts(P.group_rows(lineitem(spark, sf).where(f"l_linenumber * 7 % 5 = {i}"), months), by, columns, P.inner)
+        for i in range(5)
+    ]
+    kept = materialize(union_all(parts), "parts")
+    yearly = kept.withColumn("window", window_of(F.col("window.start"), "1 year"))
+    return flat(distinct_counts(merge_distinct_parts(yearly, by), by), *by, "column_name", "distinct_count")
+
+
 @query(
     "d17_mergeable_base",
     f"""WITH {_YEAR_ROWS}
