@@ -1,8 +1,10 @@
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
+import pytest
 
 from tidemark.llm import pages as P
 
@@ -141,3 +143,30 @@ def test_boilerplate_does_not_depend_on_the_cells(spark):
     one, many = ({x["page_id"]: x["text"] for x in P.main_text(df, size).collect()} for size in (1 << 20, 1000))
     assert one == many
     assert {i: t for i, t in many.items() if i < 100} == want
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<script " * 100_000, "<a " * 100_000, '<a "' * 100_001 + ">", "<a " * 50_000 + '">', "<!" * 100_000, "</ " * 100_000,
+     "<p '" * 50_000 + '<p "' * 50_000, "<!--" * 100_000, "<div>" * 20_000 + "</nav>" * 20_000, "<a b='>" * 60_000],
+)
+def test_unclosed_markup_takes_one_run(page):
+    start = time.process_time()
+    P.blocks(page)
+    assert time.process_time() - start < 3
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["user-comments", "reader-comments", "post-comments", "comments-section", "comment-respond", "fb-comments", "discussion",
+     "sponsored-content", "subscribe-cta", "social-media", "article-sidebar", "story-footer"],
+)
+def test_names_headed_by_what_they_are(name):
+    page = f"<article><p>Main text.</p><div class='{name}'><p>Not of it.</p></div><p>More.</p></article>"
+    assert [t for z, t in P.blocks(page) if z == P.ARTICLE] == ["Main text.", "More."]
+
+
+@pytest.mark.parametrize("name", ["related-work", "has-comments", "no-sidebar", "with-footer", "section-search", "text"])
+def test_names_that_only_mention_it(name):
+    page = f"<article><p>Main text.</p><div class='{name}'><p>Also of it.</p></div></article>"
+    assert [t for z, t in P.blocks(page) if z == P.ARTICLE] == ["Main text.", "Also of it."]

@@ -5,7 +5,8 @@ its main text, whatever stands around it, unless that is an aside or comments; e
 stand for menus, headers, footers, sidebars, notices, adverts, forms or comments, by name,
 role or class, are not.  Forms, roles and classes say nothing of an element around most of the
 page's text, nor do words of a class that it only has or lacks (has-sidebar); inside articles
-all words of a class must say so (related-posts, but not related-work).  What is left open are
+all words of a class must say so (related-posts, but not related-work), or its first or last be
+one that names the element (user-comments, article-sidebar).  What is left open are
 blocks of pages without such a container.
 
 For those the pages of a host are read together.  The token streams of all blocks outside
@@ -31,6 +32,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,7 +75,7 @@ NESTING = CONTAINERS | CHROME_NAMES | {"div", "section", "table", "ul", "ol", "d
 HINTS = (
     r"nav|navbar|navigation|menu|header|masthead|footer|sidebar|aside|ads?|advert\w*|sponsor\w*|banner|promo\w*|cookies?"
     r"|consent|gdpr|notices?|popup|modal|overlay|share|sharing|social|comments?|disqus|replies|related|breadcrumbs?"
-    r"|newsletter|subscribe|widget|pagination|toolbar|login|signup|search"
+    r"|newsletter|subscribe|widget|pagination|toolbar|login|signup|search|discussions?"
 )
 # What an element has or lacks, it is not itself.
 _OWNS = "".join(rf"(?<!\b{m})(?<!_{m})" for m in ("has", "have", "no", "with", "without", "hide", "show"))
@@ -85,17 +87,81 @@ COMPANIONS = {
     "group", "holder", "icon", "icons", "inline", "item", "items", "left", "link", "links", "list", "more", "panel",
     "posts", "right", "site", "slot", "stories", "this", "thread", "tools", "top", "unit", "us", "wrap", "wrapper",
 }
-_COMMENTS = re.compile(r"comments?|disqus|replies")
-_BESIDE = re.compile(r"comments?|disqus|replies|aside|sidebar|related|ads?|advert\w*|sponsor\w*|promo\w*")
+# Words that say what an element is wherever a name starts or ends with them (user-comments,
+# article-sidebar), and those that say it only has or lacks it.
+_HEADS = re.compile(r"comments?|disqus|replies|sidebar|footer|sponsored|subscribe|social")
+_OWNING = {"has", "have", "no", "with", "without", "hide", "show"}
+_COMMENTS = re.compile(r"comments?|disqus|replies|discussions?")
+_BESIDE = re.compile(r"comments?|disqus|replies|discussions?|aside|sidebar|related|ads?|advert\w*|sponsor\w*|promo\w*")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert"}
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<skip>" + "|".join(sorted(SKIPPED)) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=skip)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>",
-    re.I | re.S,
-)
+_OPENS = re.compile(r"<(?:(?P<comment>!--)|(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*)|(?P<other>[!?/]))", re.I)
+_SKIP = re.compile(r"<(" + "|".join(sorted(SKIPPED)) + r")\b", re.I)
+# The rest of a tag; what is in quotes does not end it.
+_REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+
+
+class Markup:
+    """The comments and tags of a page, in one run through it, whatever is left open."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.ends: list[int] | None = None
+
+    def close_of(self, at: int) -> int:
+        """Place after the mark that ends the tag whose rest starts here; -1 if nothing ends it.
+
+        A first search without success goes through the page once from its end and notes
+        for every place where a tag from there would end, so no later one searches again.
+        """
+        if at > self.last:
+            return -1
+        if self.ends is None:
+            found = _REST.match(self.page, at)
+            if found:
+                return found.end()
+            self.ends = self._all_ends()
+        return self.ends[at]
+
+    def _all_ends(self) -> list[int]:
+        page = self.page
+        ends, after = [-1] * (len(page) + 2), {}
+        for i in range(len(page) - 1, -1, -1):
+            c = page[i]
+            if c == ">":
+                ends[i] = i + 1
+            elif c in "\"'":
+                ends[i] = ends[after[c] + 1] if c in after else -1
+                after[c] = i
+            else:
+                ends[i] = ends[i + 1]
+        return ends
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """Start, end, name in lower case, whether it closes, and the rest of its text."""
+        page, at = self.page, 0
+        while tag := _OPENS.search(page, at):
+            start, at = tag.start(), tag.end()
+            if tag["comment"]:
+                stop = page.find("-->", at)
+                at = len(page) if stop < 0 else stop + 3
+                yield start, at, "", False, ""
+                continue
+            end = self.close_of(at) if tag["name"] else -1
+            if end < 0:
+                # Not a tag by itself; a declaration or the like ends at the next mark.
+                if page[start + 1] in "!?/" and start < self.last:
+                    at = page.find(">", start) + 1
+                    yield start, at, "", False, ""
+                continue
+            rest, skipped = page[at : end - 1], _SKIP.match(page, start)
+            at = end
+            if skipped:
+                closing = re.compile(rf"</{skipped[1]}\s*>", re.I).search(page, end)
+                at = closing.end() if closing else len(page)
+                yield start, at, "", False, ""
+            else:
+                yield start, at, tag["name"].lower(), bool(tag["close"]), rest
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
@@ -128,30 +194,35 @@ def _outline(page: str) -> tuple[list[tuple], list[float]]:
     inside: list[int] = []
     seen = 0
 
+    opened: Counter[str] = Counter()
+
     def close(place: int) -> None:
-        for _, number in stack[place:]:
+        for name, number in stack[place:]:
             inside[number] = seen - before[number]
+            opened[name] -= 1
         del stack[place:]
 
     at = 0
-    for tag in _MARKUP.finditer(page):
-        if tag.start() > at:
-            steps.append(("text", page[at : tag.start()], None))
+    for start, end, name, closes, rest in Markup(page):
+        if start > at:
+            steps.append(("text", page[at:start], None))
             seen += len("".join(steps[-1][1].split()))
-        at = tag.end()
-        name = (tag["name"] or "").lower()
+        at = end
         if name in SPACES:
             steps.append(("text", " ", None))
         elif name in BLOCKS:
             if name not in NESTING:
                 steps.append(("end", None, None))
-            elif tag["close"]:
-                place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), len(stack))
+            elif closes:
+                place = len(stack)
+                if opened[name]:
+                    place = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name)
                 close(place)
                 steps.append(("close", place, None))
-            elif not tag["rest"].endswith("/"):
-                steps.append(("open", (name, len(before)), tag["rest"]))
+            elif not rest.endswith("/"):
+                steps.append(("open", (name, len(before)), rest))
                 stack.append((name, len(before)))
+                opened[name] += 1
                 before.append(seen)
                 inside.append(0)
             else:
@@ -164,13 +235,15 @@ def _outline(page: str) -> tuple[list[tuple], list[float]]:
 
 
 def _whole_hints(value: str) -> set[str]:
-    """Hints among the classes that are nothing but hints and their companions."""
+    """Hints among the classes that are nothing but hints and their companions, or headed by one."""
     out: set[str] = set()
     for name in value.lower().split():
         words = [w for w in re.split(r"[_-]+", name) if w and not w.isdigit()]
         hints = {w for w in words if _HINT_WORD.fullmatch(w)}
         if all(w in hints or w in COMPANIONS for w in words):
             out |= hints
+        elif not _OWNING & set(words):
+            out |= {w for w in (words[0], words[-1]) if _HEADS.fullmatch(w)}
     return out
 
 
