@@ -21,8 +21,8 @@ _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType)
 _WORD = ["word", "num", "txt"]
 
 
-def _cell(name: str, data_type: T.DataType, source: str) -> Column:
-    """``(column_name, word, num, txt, bits)`` of a value; NULL for a NULL."""
+def _cell(number: int, data_type: T.DataType, source: str) -> Column:
+    """``(column, word, num, txt, bits)`` of a value; NULL for a NULL."""
     c = col(source)
     parts = {
         "word": F.lit(None).cast("long"), "num": F.lit(None).cast("double"), "txt": F.lit(None).cast("string"),
@@ -38,7 +38,7 @@ def _cell(name: str, data_type: T.DataType, source: str) -> Column:
         parts["txt"] = F.base64(c)
     else:
         parts["txt"] = c.cast("string")
-    return F.when(c.isNotNull(), F.struct(F.lit(name).alias("column_name"), *[v.alias(k) for k, v in parts.items()]))
+    return F.when(c.isNotNull(), F.struct(F.lit(number).alias("column"), *[v.alias(k) for k, v in parts.items()]))
 
 
 def distinct_parts(
@@ -46,9 +46,13 @@ def distinct_parts(
 ) -> DataFrame:
     """``keys, column_name, word, num, txt, bits``: what tells the values of every group apart."""
     types = {f.name: f.dataType for f in rows.schema.fields}
-    cells = F.array(*[_cell(c, types[source(c)], source(c)) for c in columns])
+    cells = F.array(*[_cell(i, types[source(c)], source(c)) for i, c in enumerate(columns)])
     present = rows.select(*[col(k) for k in keys], F.explode(cells).alias("_cell")).where("_cell IS NOT NULL")
-    return merge_distinct_parts(present.select(*[col(k) for k in keys], "_cell.*"), keys)
+    # Columns go by number while values are told apart.
+    by = [*keys, "column"]
+    words = present.select(*[col(k) for k in keys], "_cell.*").groupBy(*map(col, by), *_WORD).agg(F.bit_or("bits").alias("bits"))
+    name = F.get(F.array(*[F.lit(c) for c in columns]), F.col("column")).alias("column_name")
+    return words.select(*[col(k) for k in keys], name, *_WORD, "bits")
 
 
 def merge_distinct_parts(parts: DataFrame, keys: Sequence[str]) -> DataFrame:

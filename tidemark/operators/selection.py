@@ -28,16 +28,22 @@ _BELOW, _ABOVE = float("-inf"), float("nan")
 _PLACE = ["_group", "column"]
 
 
-def bounds(sketch: Column, rank: Column, n: Column, error: float) -> Column:
-    """``struct<low,high>`` that the value of the rank lies between; open where the sketch is empty."""
-    # The function takes constant shares only: a grid of them, of which the two around are picked.
-    grid = F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]))
+def quantile_grid(sketch: str) -> Column:
+    """Quantiles of a sketch at ``GRID + 1`` shares; NULL of an empty one.
+
+    The function takes constant shares only, so bounds are picked from a grid of them.
+    """
+    shares = ", ".join(f"{i / GRID}D" for i in range(GRID + 1))
+    return F.expr(f"if(kll_sketch_get_n_double({sketch}) > 0, kll_sketch_get_quantile_double({sketch}, array({shares})), null)")
+
+
+def bounds(grid: Column, rank: Column, n: Column, error: float) -> Column:
+    """``struct<low,high>`` that the value of the rank lies between; open without a grid."""
     share = rank / n
     below = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share - error)) * GRID).cast("int")
     above = F.ceil(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share + error)) * GRID).cast("int")
-    inside = F.struct(F.get(grid, below).alias("low"), F.get(grid, above).alias("high"))
-    anywhere = F.struct(F.lit(_BELOW).alias("low"), F.lit(_ABOVE).alias("high"))
-    return F.when(F.kll_sketch_get_n_double(sketch) > 0, inside).otherwise(anywhere)
+    low, high = F.coalesce(F.get(grid, below), F.lit(_BELOW)), F.coalesce(F.get(grid, above), F.lit(_ABOVE))
+    return F.struct(low.alias("low"), high.alias("high"))
 
 
 #: Rank of the discrete median among n values.
@@ -73,6 +79,9 @@ def order_statistics(
     """
     columns, names = list(columns), list(ranks)
     wide = group_sketches(rows, keys, columns, source) if sketched is None else sketched
+    here = ["_group", *keys]
+    grids = [quantile_grid(f"k{i}").alias(f"k{i}") for i in range(len(columns))]
+    gridded = wide.select(*map(col, here), *[f"n{i}" for i in range(len(columns))], *grids)
     each = []
     for i in range(len(columns)):
         n = F.col(f"n{i}")
@@ -80,7 +89,7 @@ def order_statistics(
             rank = ranks[name](n).cast("long")
             at = F.when(n > 0, bounds(F.col(f"k{i}"), rank, n, error))
             each.append(F.struct(F.lit(i * len(names) + j).alias("column"), F.when(n > 0, rank).alias("rank"), at.alias("at")))
-    places = wide.select("_group", *[col(k) for k in keys], F.explode(F.array(*each)).alias("_c"))
+    places = gridded.select("_group", *[col(k) for k in keys], F.explode(F.array(*each)).alias("_c"))
     wanted = places.select("_group", *[col(k) for k in keys], "_c.*").where("rank IS NOT NULL")
     wanted = materialize(wanted, "bounds")
     values = [col(source(c)).cast("double") for c in columns for _ in names]

@@ -257,6 +257,7 @@ class Monitors:
         """One more window; value counts of the last one are kept for the comparison."""
         analysis, drift, version = self._tables(info)
         stage = R.run_stages(df, info.spec, as_of=as_of)
+        stage = R.Stage(stage.metrics, materialize(stage.counts, "counts"))
         scored = stage.metrics
         seen = stage.counts
         if version:
@@ -266,7 +267,7 @@ class Monitors:
             if counts.exists() and last is not None:
                 seen = counts.read().unionByName(stage.counts)
         scored = materialize(scored, "analysis")
-        rows = R.drift_stage(R.Stage(scored, materialize(seen, "counts")), info.spec, base)
+        rows = R.drift_stage(R.Stage(scored, seen), info.spec, base)
         newest = scored.agg(F.max("window")).scalar()
         fresh = rows.where(F.col("window") == newest)
         if version:

@@ -18,7 +18,6 @@ from tidemark.operators.profile import (
     add_derived_metrics,
     aggregate_metrics,
     analysed_columns,
-    counted_columns,
     group_rows,
     group_value_counts,
     inner,
@@ -32,7 +31,7 @@ _WINDOW = ["granularity", "window"]
 
 
 class Stage(NamedTuple):
-    """Metric rows and the value counts the distribution tests need."""
+    """Metric rows and the value counts that drift needs, which are counted when it is asked for."""
 
     metrics: DataFrame
     counts: DataFrame
@@ -47,13 +46,11 @@ def aggregate_stage(
 ) -> Stage:
     """First step: everything that reads the monitored rows.
 
-    The value counts of texts serve the category tests, with ``spec.exact`` those of all
-    columns serve distinct counts and medians too; they are written once, if there are any.
+    The value counts of texts serve the category tests, with ``spec.exact`` those of numbers
+    the exact KS test; the metrics do without them.
     """
     counts = group_value_counts(df, spec, log_type, as_of, only_windows)
-    if counted_columns(df, spec):
-        counts = materialize(counts, "counts")
-    return Stage(aggregate_metrics(df, spec, log_type, as_of, counts, only_windows), counts)
+    return Stage(aggregate_metrics(df, spec, log_type, as_of, None, only_windows), counts)
 
 
 def derived_stage(stage: Stage, spec: MonitorSpec) -> Stage:
@@ -64,7 +61,7 @@ def derived_stage(stage: Stage, spec: MonitorSpec) -> Stage:
 def drift_stage(stage: Stage, spec: MonitorSpec, baseline: Stage | None = None) -> DataFrame:
     """Third step: every window against baseline and predecessor."""
     base = baseline or Stage(None, None)
-    return drift(stage.metrics, stage.counts, spec, base.metrics, base.counts)
+    return drift(stage.metrics, materialize(stage.counts, "counts"), spec, base.metrics, base.counts)
 
 
 def run_stages(
@@ -74,8 +71,10 @@ def run_stages(
     as_of: dt.datetime | None = None,
     only_windows: DataFrame | None = None,
 ) -> Stage:
+    """Both steps over the rows, the metrics written; of a baseline, the counts too."""
     stage = derived_stage(aggregate_stage(df, spec, log_type, as_of, only_windows), spec)
-    return Stage(materialize(stage.metrics, "metrics"), stage.counts)
+    counts = materialize(stage.counts, "counts") if log_type == BASELINE else stage.counts
+    return Stage(materialize(stage.metrics, "metrics"), counts)
 
 
 class MonitorResult(NamedTuple):
@@ -221,7 +220,7 @@ def refresh_drift(
     )
     needed = materialize(affected.unionByName(before).distinct(), "needed")
     part = _scan_bounds(df if files is None else rows_of_windows(df, files, needed), spec, needed)
-    counts = materialize(group_value_counts(part, spec, only_windows=needed), "counts")
+    counts = group_value_counts(part, spec, only_windows=needed)
     rows = Stage(join_null_safe(scored, needed, _WINDOW, "left_semi"), counts)
     fresh = join_null_safe(drift_stage(rows, spec, baseline), affected, _WINDOW, "left_semi")
     return join_null_safe(old_drift, affected, _WINDOW, "left_anti").unionByName(fresh, allowMissingColumns=True)
