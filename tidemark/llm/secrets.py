@@ -10,7 +10,8 @@ Everything is column expressions.  Positions come from the lengths of what a pat
 and of what lies between, so they count code points.  The models are one array of at most
 ``(len(ALPHABET) + 1) ** 2`` numbers; it is the only thing that reaches the driver.
 
-Cases: a null or empty text has no spans; matches of a kind do not overlap, those of
+Cases: an empty table has no rows; columns of the input are kept or not read, so none clashes; a
+null or empty text has no spans; matches of a kind do not overlap, those of
 different kinds may; a span of the models never overlaps one of the patterns; without any
 sample both models are uniform and add nothing; repeated rows are scanned each; long texts
 are scanned whole.
@@ -54,15 +55,30 @@ WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z_]{6,}(?![A-Za-z0-9+/_=-])"
 SAMPLE_DOCUMENTS = 20_000
 DRAWN_STRINGS = 2_000
 
+#: Matches of a text that are placed one after the other.
+BLOCK = 256
+
 SPAN = "struct<start:int,stop:int,rank:int,kind:string,value:string>"
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, though it stands in lambdas of ``use``."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def located(text: Column, pattern: str, kind: str, rank: int) -> Column:
-    """Array of the pattern's matches with their places, leftmost and non-overlapping."""
+    """Array of the pattern's matches with their places, leftmost and non-overlapping.
+
+    Matches are gone through in blocks, whose lengths are added up first: no array grows by
+    one element per match of the text, which would take the square of their number.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+
+    def pairs_of(matches: Column) -> Column:
+        return F.zip_with(
+            F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match"))
+        )
 
     def add(state: Column, pair: Column) -> Column:
         start = state["at"] + pair["gap"]
@@ -73,7 +89,26 @@ def located(text: Column, pattern: str, kind: str, rank: int) -> Column:
         )
         return F.struct(stop.alias("at"), F.array_append(state["spans"], span).alias("spans"))
 
-    return F.aggregate(pairs, nothing, add)["spans"]
+    def within(block: Column, at: Column) -> Column:
+        nothing = F.struct(at.alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+        return F.aggregate(block, nothing, add)["spans"]
+
+    def length(block: Column) -> Column:
+        return F.aggregate(block, F.lit(0), lambda n, pair: n + pair["gap"] + F.char_length(pair["match"]))
+
+    def over(blocks: Column) -> Column:
+        begins = F.aggregate(
+            blocks, F.array(F.lit(0)), lambda sums, block: F.array_append(sums, F.element_at(sums, -1) + length(block))
+        )
+        return F.flatten(F.zip_with(blocks, F.slice(begins, 1, F.size(blocks)), within))
+
+    def blocks_of(pairs: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / F.lit(BLOCK)).cast("int"))
+        return F.transform(numbers, lambda i: F.slice(pairs, i * BLOCK + 1, F.lit(BLOCK)))
+
+    none = F.array().cast(f"array<{SPAN}>")
+    whole = bound(found, lambda m: F.when(F.size(m) > 0, bound(bound(pairs_of(m), blocks_of), over)).otherwise(none))
+    return whole
 
 
 def base_spans(text: Column) -> Column:
