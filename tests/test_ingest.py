@@ -2,8 +2,10 @@
 
 import datetime as dt
 import json
+import math
 
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,7 +147,6 @@ def test_snapshot_tables_survive_a_failed_write(spark):
 
 
 def test_text_kinds(spark):
-    assert spark.createDataFrame([("the cat is on the mat 42!",)], "t string").select(N.english_hits(F.col("t")).alias("e")).first().e == (4, 6)
     prof = spark.createDataFrame(
         [("id", 300, ["1", "2"]), ("price", 50, ["1.5", "2"]), ("code", 50, ["1", "2"]), ("flag", 5, ["0", "1"]), ("grade", 20, ["1", "2"]), ("name", 900, ["a", "1"])],
         "column_name string, num_of_dist_val long, samples array<string>",
@@ -237,3 +238,40 @@ def test_metrics_of_a_stream_are_compacted(spark, tmp_path):
         assert not (tmp_path / "metrics" / "batches" / f"batch={i}").exists()
     row = L.merged_metrics(spark, path).where("column_name = 'v'").first()
     assert (row["count"], row["avg"], row["max"]) == (30, 14.5, 29.0)
+
+
+def brute_pairs(text):
+    """Numbers of the symbol pairs, sign by sign."""
+    import re
+
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    flat = " " + re.sub("[^a-z~]+", " ", re.sub(r"[^\x00-\x7F]+", "~", low)).strip(" ") + " "
+    codes = [N.SYMBOLS.index(c) for c in flat]
+    return [a * len(N.SYMBOLS) + b for a, b in zip(codes, codes[1:])]
+
+
+def test_symbol_pairs(spark):
+    texts = ["The CAT, 42!", "", "  ", "é", "日本 😀x", "a\nb\x00c", "ÉTÉ ~ t", "word " * 3000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r["p"] for r in df.select(N.symbol_pairs(F.col("t")).alias("p")).collect()]
+    assert got == [brute_pairs(t) for t in texts]
+
+
+def test_fitted_language(spark):
+    """The model is counts plus one; it tells languages apart in texts it has not seen."""
+    rows = [("en", "the cat and the dog", 0), ("de", "die katze und der hund", 0), (None, "zzz", 0), ("en", None, 0)]
+    df = spark.createDataFrame(rows, "lang string, t string, x int")
+    model = N.fit_language(df, "t", F.col("lang") == "en")
+    of = {"en": brute_pairs(rows[0][1]), "de": brute_pairs(rows[1][1])}
+    size = len(N.SYMBOLS) ** 2
+    for pair in range(size):
+        share = [math.log((of[k].count(pair) + 1) / (len(of[k]) + size)) for k in ("en", "de")]
+        assert abs(model.ratios[pair] - (share[0] - share[1])) < 1e-12
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("lang IS NOT NULL")
+    learned = N.fit_language(docs.where("doc_id % 2 = 0"), "text", F.col("lang") == "en")
+    e = learned.evidence(F.col("text"))
+    rest = docs.where("doc_id % 2 = 1").select("lang", N.confidence(e["total"], e["pairs"]).alias("p")).collect()
+    right = sum((r["p"] > 0.5) == (r["lang"] == "en") for r in rest)
+    assert right >= 0.97 * len(rest)
+    none = spark.createDataFrame([("",)], "text string").select(e.alias("e")).select(N.confidence(F.col("e.total"), F.col("e.pairs"))).first()[0]
+    assert 0 <= none <= 1

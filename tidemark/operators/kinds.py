@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,18 +30,11 @@ STRONG_NUMERIC_FROM = 250
 STRONG_CATEGORICAL_UPTO = 10
 SAMPLES = 5
 
-# Fixed list: common English function words.
-ENGLISH = [
-    "a", "about", "after", "all", "also", "an", "and", "any", "are", "as", "at", "be",
-    "because", "been", "before", "but", "by", "can", "could", "did", "do", "does", "for",
-    "from", "had", "has", "have", "he", "her", "his", "how", "i", "if", "in", "into", "is",
-    "it", "its", "just", "like", "more", "most", "my", "no", "not", "of", "on", "one",
-    "only", "or", "other", "our", "out", "over", "she", "so", "some", "such", "than",
-    "that", "the", "their", "them", "then", "there", "these", "they", "this", "to", "up",
-    "us", "was", "we", "were", "what", "when", "which", "who", "will", "with", "would",
-    "you", "your",
-]
-TOKEN_SPLIT = "[^a-z]+"
+#: Symbols of the language model: a blank, the letters, and one for all signs beyond ASCII.
+SYMBOLS = " abcdefghijklmnopqrstuvwxyz~"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: How steeply the mean log-likelihood ratio of a text's pairs turns into a confidence.
+STEEPNESS = 20.0
 
 
 def parsed_datetime(c: Column, formats: Sequence[str] = DATETIME_FORMATS) -> Column:
@@ -132,43 +127,92 @@ def numeric_strength(profiles: DataFrame) -> DataFrame:
     )
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda t: t != "")
+def folded(text: Column) -> Column:
+    """The text in the model's symbols: runs of other signs are one blank, a blank at both ends."""
+    lower = F.translate(text, _UPPER, _LOWER)
+    plain = F.regexp_replace(lower, "[^\\x00-\\x7F]+", "~")
+    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(plain, "[^a-z~]+", " ")), F.lit(" "))
 
 
-def english_hits(text: Column) -> Column:
-    """``struct<hits, tokens>`` of the whole text: function words and all words."""
-    words = tokens(text)
-    known = F.filter(words, lambda t: t.isin(ENGLISH))
-    return F.struct(F.size(known).alias("hits"), F.size(words).alias("tokens"))
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, though it stands in lambdas of ``use``."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def english_scores(df: DataFrame, text: str, keys: Sequence[str] = (), row_cut: float = 0.2) -> DataFrame:
+def symbol_pairs(text: Column) -> Column:
+    """Numbers of the pairs of neighbouring symbols, in order."""
+    width = len(SYMBOLS)
+    codes = F.transform(F.split(folded(text), ""), lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
+
+    def pairs(known: Column) -> Column:
+        after = F.slice(known, 2, F.size(known) - 1)
+        both = F.zip_with(F.slice(known, 1, F.size(known) - 1), after, lambda a, b: a * width + b)
+        return F.filter(both, lambda n: n >= 0)
+
+    # The engine ends a split at the empty pattern with an empty text, which has no symbol.
+    return _bound(F.filter(codes, lambda c: c >= 0), pairs)
+
+
+@dataclass(frozen=True)
+class LanguageModel:
+    """Log-likelihood ratio of every pair of symbols, one language over the others."""
+
+    ratios: tuple[float, ...]
+
+    def evidence(self, text: Column) -> Column:
+        """``struct<total, pairs>``: the sum of the ratios over a whole text, and their number."""
+        # One literal, which the engine turns into an array once, when it plans.
+        table = F.split(F.lit(",".join(f"{r:.6f}" for r in self.ratios)), ",").cast("array<double>")
+        total = lambda pairs: F.aggregate(pairs, F.lit(0.0), lambda s, n: s + F.get(table, n))
+        return _bound(symbol_pairs(text), lambda p: F.struct(total(p).alias("total"), F.size(p).alias("pairs")))
+
+
+def confidence(total: Column, pairs: Column) -> Column:
+    """Between 0 and 1; a half without evidence."""
+    return 1 / (1 + F.exp(-STEEPNESS * F.coalesce(total / F.nullif(pairs, F.lit(0)), F.lit(0.0))))
+
+
+def fit_language(labelled: DataFrame, text: str, is_language: Column) -> LanguageModel:
+    """Fitted from labelled rows: counts of symbol pairs with and without the label, each plus one.
+
+    Pairs are summed up where they stand; at most twice ``len(SYMBOLS) ** 2`` counts come back.
+    """
+    known = labelled.where(is_language.isNotNull() & col(text).isNotNull())
+    each = known.select(is_language.alias("y"), F.explode(symbol_pairs(col(text))).alias("pair"))
+    counts = {(r["y"], r["pair"]): r["n"] for r in each.groupBy("y", "pair").agg(F.count("*").alias("n")).collect()}
+    size = len(SYMBOLS) ** 2
+    totals = {y: sum(n for (z, _), n in counts.items() if z == y) for y in (True, False)}
+
+    def log_share(y: bool, pair: int) -> float:
+        return math.log((counts.get((y, pair), 0) + 1) / (totals[y] + size))
+
+    return LanguageModel(tuple(log_share(True, i) - log_share(False, i) for i in range(size)))
+
+
+def english_scores(
+    df: DataFrame, text: str, model: LanguageModel, keys: Sequence[str] = (), row_cut: float = 0.5
+) -> DataFrame:
     """Three confidences that a text column is English, and its share of distinct values.
 
-    ``by_rows`` is the mean share of function words, ``by_share`` the share of rows above
-    ``row_cut``, ``by_concat`` the share over all words of the column.
+    ``by_rows`` is the mean confidence of the texts, ``by_share`` the share of rows above
+    ``row_cut``, ``by_concat`` the confidence from the evidence of all texts together.
     """
     scored = df.where(col(text).isNotNull()).select(
-        *[col(k) for k in keys], col(text).alias("_t"), english_hits(col(text)).alias("_e")
+        *[col(k) for k in keys], col(text).alias("_t"), model.evidence(col(text)).alias("_e")
     )
-    hits, words = F.col("_e.hits"), F.col("_e.tokens")
-    share = F.when(words > 0, hits / words).otherwise(F.lit(0.0))
+    total, pairs = F.col("_e.total"), F.col("_e.pairs")
     # Grouped by the text's hash first, so that distinct texts can be counted without
     # shuffling the texts themselves.
     per_text = scored.groupBy(*keys, F.sha2("_t", 256).alias("_h")).agg(
-        F.count("*").alias("n"),
-        F.first(share).alias("share"),
-        F.first(hits).alias("hits"),
-        F.first(words).alias("words"),
+        F.count("*").alias("n"), F.first(total).alias("total"), F.first(pairs).alias("pairs")
     )
-    n = F.col("n")
+    n, sure = F.col("n"), confidence(F.col("total"), F.col("pairs"))
     return per_text.groupBy(*keys).agg(
         F.sum("n").alias("n_rows"),
         (F.count("*") / F.sum("n")).alias("percent_distinct"),
-        (F.sum(F.col("share") * n) / F.sum("n")).alias("by_rows"),
-        (F.sum(F.when(F.col("share") > row_cut, n).otherwise(0)) / F.sum("n")).alias("by_share"),
-        (F.sum(F.col("hits") * n) / F.nullif(F.sum(F.col("words") * n), F.lit(0))).alias("by_concat"),
+        (F.sum(sure * n) / F.sum("n")).alias("by_rows"),
+        (F.sum(F.when(sure > row_cut, n).otherwise(0)) / F.sum("n")).alias("by_share"),
+        confidence(F.sum(F.col("total") * n), F.sum(F.col("pairs") * n)).alias("by_concat"),
     )
 
 

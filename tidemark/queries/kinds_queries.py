@@ -9,7 +9,7 @@ from tidemark.operators import kinds as N
 from tidemark.operators import quality as Q
 from tidemark.operators.setops import union_all
 from tidemark.queries.monitoring import R, flat, rounded
-from tidemark.queries.registry import query, table
+from tidemark.queries.registry import dealt, query, table
 from tidemark.sources.tables import patterned_rows
 
 _PROFILED = {
@@ -126,17 +126,30 @@ def strength(spark, sf):
     return N.numeric_strength(profiles(spark, sf)).select("column_name", "kind")
 
 
-_WORDS = ", ".join(f"'{w}'" for w in N.ENGLISH)
-_SCORES = f"""tok AS (SELECT {{keys}}, {{text}} AS txt, len(list_filter(string_split_regex(lower({{text}}), '[^a-z]+'), lambda t: t <> '')) AS words,
-    len(list_filter(string_split_regex(lower({{text}}), '[^a-z]+'), lambda t: t IN ({_WORDS}))) AS hits FROM {{table}}),
-scores AS (SELECT {{keys}}, count(*) AS n_rows, count(DISTINCT txt) / count(*) AS percent_distinct,
-    avg(CASE WHEN words > 0 THEN hits / words ELSE 0 END) AS by_rows,
-    avg((CASE WHEN words > 0 THEN hits / words ELSE 0 END > 0.2)::INT) AS by_share,
-    sum(hits) / sum(words) AS by_concat FROM tok GROUP BY ALL)"""
+_FOLDED = "' ' || trim(regexp_replace(regexp_replace(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x7F]+', '~', 'g'), '[^a-z~]+', ' ', 'g')) || ' '"
+_PAIRS = f"""(SELECT list_transform(range(1, len(c)), lambda i: {len(N.SYMBOLS)} * c[i] + c[i + 1])
+    FROM (SELECT list_transform(string_split({_FOLDED}, ''), lambda x: strpos('{N.SYMBOLS}', x) - 1) AS c))"""
+# Counts of symbol pairs in English and other documents, then the sum over every text's pairs.
+_SCORES = f"""fitted AS (SELECT y, pair, count(*) AS n FROM (SELECT lang = 'en' AS y, unnest({_PAIRS.format(text='text')}) AS pair
+    FROM documents WHERE lang IS NOT NULL) GROUP BY ALL),
+ratios AS (SELECT pair, round(ln((coalesce(any_value(n) FILTER (y), 0) + 1) / (coalesce((SELECT sum(n) FROM fitted WHERE y), 0) + {len(N.SYMBOLS) ** 2}))
+    - ln((coalesce(any_value(n) FILTER (NOT y), 0) + 1) / (coalesce((SELECT sum(n) FROM fitted WHERE NOT y), 0) + {len(N.SYMBOLS) ** 2})), 6) AS ratio
+    FROM (SELECT * FROM fitted UNION ALL SELECT NULL, unnest(range({len(N.SYMBOLS) ** 2})), 0) GROUP BY pair),
+texts AS (SELECT row_number() OVER () AS i, {{keys}}, {{text}} AS txt FROM {{table}}),
+sums AS (SELECT i, sum(ratio) AS total, count(*) AS pairs
+    FROM (SELECT i, unnest({_PAIRS.format(text='txt')}) AS pair FROM texts) JOIN ratios USING (pair) GROUP BY i),
+sure AS (SELECT *, 1 / (1 + exp(-{N.STEEPNESS} * coalesce(total / nullif(pairs, 0), 0))) AS p FROM texts LEFT JOIN sums USING (i) WHERE txt IS NOT NULL),
+scores AS (SELECT {{keys}}, count(*) AS n_rows, count(DISTINCT txt) / count(*) AS percent_distinct, avg(p) AS by_rows,
+    avg((p > 0.5)::INT) AS by_share, 1 / (1 + exp(-{N.STEEPNESS} * sum(total) / sum(pairs))) AS by_concat FROM sure GROUP BY ALL)"""
 
 
 def _scores_sql(keys: str, text: str, source: str) -> str:
-    return _SCORES.format(keys=keys, text=text, table=source)
+    return _SCORES.replace("{keys}", keys).replace("{text}", text).replace("{table}", source)
+
+
+def english_model(spark, sf) -> N.LanguageModel:
+    docs = dealt(table(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id")
+    return N.fit_language(docs, "text", F.col("lang") == "en")
 
 
 @query(
@@ -145,16 +158,18 @@ def _scores_sql(keys: str, text: str, source: str) -> str:
         {R('by_rows')} AS by_rows, {R('by_share')} AS by_share, {R('by_concat')} AS by_concat FROM scores""",
 )
 def english_confidence(spark, sf):
-    out = N.english_scores(table(spark, sf, "documents"), "text", ["lang"])
+    """Confidence by character pairs, fitted from the documents' own labels."""
+    docs = dealt(table(spark, sf, "documents"), "doc_id")
+    out = N.english_scores(docs, "text", english_model(spark, sf), ["lang"])
     return flat(out, "lang", "n_rows", "percent_distinct", "by_rows", "by_share", "by_concat")
 
 
 def text_columns(spark, sf) -> DataFrame:
     """Text columns with their truth: documents by language, and two that hold codes."""
-    docs = table(spark, sf, "documents").select(F.concat(F.lit("text "), "lang").alias("c"), F.col("text").alias("t"))
+    docs = dealt(table(spark, sf, "documents"), "doc_id").select(F.concat(F.lit("text "), "lang").alias("c"), F.col("text").alias("t"))
     seg = table(spark, sf, "customer").select(F.lit("segment").alias("c"), F.col("c_mktsegment").alias("t"))
     brand = table(spark, sf, "part").select(F.lit("brand").alias("c"), F.col("p_brand").alias("t"))
-    scores = N.english_scores(docs.unionByName(seg).unionByName(brand), "t", ["c"])
+    scores = N.english_scores(docs.unionByName(seg).unionByName(brand), "t", english_model(spark, sf), ["c"])
     return scores.withColumn("truth", F.col("c") == "text en")
 
 
@@ -164,15 +179,15 @@ _TEXT_SOURCE = """(SELECT 'text ' || lang AS c, text AS t FROM documents UNION A
 
 @query(
     "n4_text_columns",
-    f"""WITH {_scores_sql('c', 't', _TEXT_SOURCE)} SELECT c AS column_name, percent_distinct >= 0.5 AND by_rows >= 0.2 AS is_text FROM scores""",
+    f"""WITH {_scores_sql('c', 't', _TEXT_SOURCE)} SELECT c AS column_name, percent_distinct >= 0.5 AND by_rows >= 0.5 AS is_text FROM scores""",
 )
 def is_text(spark, sf):
-    yes = N.is_text(F.col("percent_distinct"), F.col("by_rows"), F.lit(0.5), F.lit(0.2))
+    yes = N.is_text(F.col("percent_distinct"), F.col("by_rows"), F.lit(0.5), F.lit(0.5))
     return text_columns(spark, sf).select(F.col("c").alias("column_name"), yes.alias("is_text"))
 
 
 _P_GRID = [0.3, 0.4, 0.5, 0.6, 0.7]
-_C_GRID = [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5]
+_C_GRID = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 
 
 @query(
