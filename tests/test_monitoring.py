@@ -11,6 +11,7 @@ from tidemark import GenericTable, InferenceLog, Metric, MonitorSpec, TimeSeries
 from tidemark.operators import drift as D
 from tidemark.operators import profile as P
 from tidemark.operators import windows as W
+from tidemark.operators.counts import class_counts
 from tidemark.operators.running import running_by_group, running_totals, value_at_rank
 from tidemark.plans import monitors as M
 from tidemark.plans import refresh as R
@@ -161,6 +162,44 @@ def test_category_tests_with_missing_categories(spark):
     assert 0 < row.chi_squared_pvalue < 1
 
 
+def test_classes_bound_the_total_variation(spark):
+    rng = random.Random(5)
+    texts = [[f"t{int(rng.paretovariate(0.4)) % 3000 + shift}" for _ in range(2000)] for shift in (0, 400)]
+    rows = [("k", side, t) for side, part in enumerate(texts) for t in part] + [("k", 0, None)]
+    df = spark.createDataFrame(rows, "k string, side int, c string")
+    _, _, tv = _brute_chi(*[{x: part.count(x) for x in set(part)} for part in texts])
+    widths = []
+    for classes in (1, 16, 256, 2**20):
+        cur, base = (class_counts(df.where(f"side = {s}"), ["k"], ["c"], classes) for s in (0, 1))
+        assert cur.count() <= classes and cur.agg(F.sum("n")).first()[0] == 2000
+        r = D.category_tests(cur, base, ["k", "column_name"], ["k", "column_name"]).first()
+        assert r.tv_distance <= tv + 1e-9 and tv <= r.tv_distance_max + 1e-9
+        widths.append(r.tv_distance_max - r.tv_distance)
+    assert widths == sorted(widths, reverse=True) and widths[-1] < 1e-6
+
+
+def test_counts_of_a_unique_text_are_bounded(spark):
+    df = spark.range(5000).selectExpr("concat('id', id) AS c", "CAST(NULL AS STRING) AS d")
+    spec = MonitorSpec(category_classes=64)
+    old = R.run_stages(df, spec, as_of=day(0), log_type=BASELINE)
+    stage = R.run_stages(df.where("c < 'id3'"), spec, as_of=day(1))
+    assert stage.counts.count() <= 64 and old.counts.count() <= 64
+    row = R.drift_stage(stage, spec, old).where("column_name = 'c'").first()
+    share = df.where("c < 'id3'").count() / 5000
+    assert row.tv_distance <= 1 - share <= row.tv_distance_max
+    empty = R.run_stages(df.where("false"), spec, as_of=day(1))
+    assert empty.counts.count() == 0 and R.drift_stage(empty, spec, old).where("tv_distance IS NOT NULL").count() == 0
+    with pytest.raises(ValueError):
+        MonitorSpec(category_classes=0)
+
+
+def test_pvalue_of_sketches_allows_for_their_error(spark):
+    rows = [(float(i % 1000), d) for d in (0, 1) for i in range(20000)]
+    df = spark.createDataFrame([(x, day(d)) for x, d in rows], "x double, ts timestamp")
+    drift = R.monitor(df, MonitorSpec(TimeSeries("ts"), ("1 day",), columns=("x",))).drift
+    assert drift.where("column_name = 'x'").first().ks_pvalue == 1
+
+
 def test_running_totals_over_skewed_groups(spark):
     rng = random.Random(0)
     rows = [("hot", float(i), rng.randint(1, 5)) for i in range(3000)] + [(None, 1.0, 2), (None, 0.5, 1)]

@@ -56,6 +56,25 @@ def value_counts(
     return present.groupBy(*keys, "column_name", "num", "txt").agg(F.count("*").alias("n"))
 
 
+def class_counts(
+    rows: DataFrame, keys: Sequence[str], columns: Sequence[str], classes: int, source: Callable[[str], str] = str
+) -> DataFrame:
+    """Rows per (keys, column, class of values), however many values a column has.
+
+    A value's class is its hash modulo ``classes``, the same in every table, so counts of
+    different tables and days compare and add up.  ``low`` and ``high`` are the least and
+    the largest hash in the class: where they agree the class holds one value.  Of texts
+    only; ``txt`` is the class.
+    """
+    cells = long_values(rows, keys, columns, source).where(F.col("txt").isNotNull())
+    hashed = cells.select(*keys, "column_name", F.xxhash64("txt").alias("_hash"))
+    of_class = F.pmod("_hash", F.lit(classes)).cast("string").alias("txt")
+    counted = hashed.groupBy(*keys, "column_name", of_class).agg(
+        F.count("*").alias("n"), F.min("_hash").alias("low"), F.max("_hash").alias("high")
+    )
+    return counted.select(*keys, "column_name", F.lit(None).cast("double").alias("num"), "txt", "n", "low", "high")
+
+
 def medians(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Discrete median of the numeric columns: the value at rank ceil(n/2)."""
     numbers = counts.where(F.col("num").isNotNull())

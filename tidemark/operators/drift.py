@@ -134,17 +134,32 @@ def category_tests(
 
     Categories only the base has contribute through the base totals, so a left join
     from the current side is enough and the base is never copied per window.
+
+    Counts of classes (``low`` and ``high`` are columns) give the test of the classes, whose
+    statistic is never above that of the values, and bounds of the values' total variation:
+    ``tv_distance`` from below, ``tv_distance_max`` from above.  A class contributes exactly
+    where it is one value on both sides, or its values cannot meet; else at least the
+    difference and at most the sum of both shares.
     """
+    classes = "low" in cur.columns and "low" in base.columns
+    ends = ["low", "high"] if classes else []
     n1 = cur.groupBy(*cur_keys).agg(F.sum("n").cast("double").alias("n1"))
     n2 = base.groupBy(*base_keys).agg(
         F.sum("n").cast("double").alias("n2"), F.count("*").alias("k2")
     )
-    base_n = base.select(*base_keys, "txt", F.col("n").alias("b"))
-    rows = join_null_safe(cur.select(*cur_keys, "txt", "n"), base_n, [*base_keys, "txt"], "left")
+    base_n = base.select(*base_keys, "txt", F.col("n").alias("b"), *[F.col(e).alias(f"b_{e}") for e in ends])
+    rows = join_null_safe(cur.select(*cur_keys, "txt", "n", *ends), base_n, [*base_keys, "txt"], "left")
     # Metric-sized; once written, their size is known and the counts need not move.
     totals = materialize(join_null_safe(n1, n2, base_keys), "totals")
     rows = join_null_safe(rows, totals, cur_keys)
     a, b = F.col("n").cast("double"), F.coalesce(F.col("b"), F.lit(0)).cast("double")
+    p, q = a / F.col("n1"), b / F.col("n2")
+    least = most = F.abs(p - q)
+    if classes:
+        apart = F.col("b").isNull() | (F.col("high") < F.col("b_low")) | (F.col("low") > F.col("b_high"))
+        one = (F.col("low") == F.col("b_high")) & (F.col("high") == F.col("b_low"))
+        least = F.when(apart, p + q).otherwise(F.abs(p - q))
+        most = F.when(one, F.abs(p - q)).otherwise(p + q)
     sums = rows.groupBy(*cur_keys).agg(
         F.max("n1").alias("n1"),
         F.max("n2").alias("n2"),
@@ -154,7 +169,8 @@ def category_tests(
         F.sum(b).alias("matched"),
         F.sum(a * a / (a + b)).alias("sa"),
         F.sum(b * b / (a + b)).alias("sb"),
-        F.sum(F.abs(a / F.col("n1") - b / F.col("n2"))).alias("gap"),
+        F.sum(least).alias("gap"),
+        F.sum(most).alias("gap_max"),
     )
     only_base = F.col("n2") - F.col("matched")
     chi = (F.col("n1") + F.col("n2")) * (
@@ -166,6 +182,7 @@ def category_tests(
         F.greatest(F.lit(0.0), chi).alias("chi_squared_statistic"),
         dof.alias("chi_squared_dof"),
         (0.5 * (F.col("gap") + only_base / F.col("n2"))).alias("tv_distance"),
+        *([(0.5 * (F.col("gap_max") + only_base / F.col("n2"))).alias("tv_distance_max")] if classes else []),
     )
     if pvalue:
         p = chi2_pvalue(F.col("chi_squared_statistic"), F.col("chi_squared_dof").cast("double"))
@@ -190,7 +207,11 @@ def metric_deltas(pairs: DataFrame, spec: MonitorSpec) -> list[Column]:
 
 
 def select_pair(joined: DataFrame, kind: str, window_cmp: Column, spec: MonitorSpec) -> DataFrame:
-    """Drift rows of paired metric rows: deltas and, with sketches, the KS test."""
+    """Drift rows of paired metric rows: deltas and, with sketches, the KS test.
+
+    The statistic of two sketches may be off by ``SKETCH_ERROR``; the p-value is that of the
+    least distance it allows, so it is an upper bound however many rows there are.
+    """
     out = joined.select(
         F.lit(kind).alias("drift_type"),
         *[F.col(f"cur.{k}") for k in GROUP],
@@ -205,7 +226,7 @@ def select_pair(joined: DataFrame, kind: str, window_cmp: Column, spec: MonitorS
     both = (n[0] > 0) & (n[1] > 0)
     distance = F.when(both, sketch_ks(F.col("_pair.cur.sketch"), F.col("_pair.base.sketch")))
     return out.withColumn("ks_statistic", distance).withColumn(
-        "ks_pvalue", F.when(both, ks_pvalue(F.col("ks_statistic"), *n))
+        "ks_pvalue", F.when(both, ks_pvalue(F.greatest(F.lit(0.0), F.col("ks_statistic") - SKETCH_ERROR), *n))
     ).drop("_pair")
 
 

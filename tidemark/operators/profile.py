@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.columns import col, join_null_safe, numeric_columns, quoted
 from tidemark.functions.templates import render
-from tidemark.operators.counts import distinct_and_median, value_counts
+from tidemark.operators.counts import class_counts, distinct_and_median, value_counts
 from tidemark.operators.distinct import distinct_counts, distinct_parts
 from tidemark.operators.quality import quality_metrics
 from tidemark.operators.selection import SELECT_SIZE, order_statistics
@@ -314,9 +314,15 @@ def group_value_counts(
     as_of: dt.datetime | None = None,
     only_windows: DataFrame | None = None,
 ) -> DataFrame:
-    """Value counts of every counted column in every group of ``df``."""
+    """Value counts of every counted column in every group of ``df``.
+
+    Unless ``spec.exact``, counts of classes of values, whose number is bounded.
+    """
     rows = group_rows(df, spec, log_type, as_of, only_windows)
     columns = counted_columns(df, spec)
-    if not columns:
-        return value_counts(rows, GROUP, analysed_columns(df, spec), inner).where(F.lit(False))
-    return value_counts(rows, GROUP, columns, inner)
+    wanted = columns or analysed_columns(df, spec)
+    if spec.exact:
+        counts = value_counts(rows, GROUP, wanted, inner)
+    else:
+        counts = class_counts(rows, GROUP, wanted, spec.category_classes, inner)
+    return counts if columns else counts.where(F.lit(False))

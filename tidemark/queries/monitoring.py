@@ -410,8 +410,12 @@ def versions_and_stages(spark, sf):
     )
 
 
+def in_first_year(df: DataFrame) -> DataFrame:
+    return df.where("l_shipdate < timestamp_ntz'1996-01-01 00:00:00'")
+
+
 def first_year(spark, sf) -> DataFrame:
-    return lineitem(spark, sf).where("l_shipdate < timestamp_ntz'1996-01-01 00:00:00'")
+    return in_first_year(lineitem(spark, sf))
 
 
 @query(
@@ -492,12 +496,12 @@ def _cat_sql(kind: str, digits: int = 6) -> str:
     FROM e GROUP BY window_start, cmp, slice_key, slice_value, column_name)"""
 
 
-def _pairs(spark, sf, spec):
+def _pairs(spark, sf, spec, df=None):
     """(kind, current counts, base counts, base keys, analysis pairs) for both drift types."""
-    df = lineitem(spark, sf)
+    df = lineitem(spark, sf) if df is None else df
     counts = materialize(P.group_value_counts(df, spec), "counts")
     pairs = materialize(D.window_pairs(counts), "pairs")
-    base = materialize(P.group_value_counts(first_year(spark, sf), spec, BASELINE), "counts")
+    base = materialize(P.group_value_counts(in_first_year(df), spec, BASELINE), "counts")
     cur, previous = D.previous_counts(counts, pairs)
     none = F.lit(None).cast(counts.schema["window"].dataType)
     return [
@@ -586,6 +590,65 @@ def total_variation(spark, sf):
     return _distance_rows(spark, sf, ("l_returnflag", "l_linestatus"), measure, ["tv_distance"])
 
 
+def _texts(spark, sf) -> DataFrame:
+    """Rows with a text of few values, one of many and one that is almost unique."""
+    part = F.concat(F.lit("part "), "l_partkey").alias("part")
+    row = F.concat_ws("/", "l_orderkey", "l_linenumber").alias("row")
+    return lineitem(spark, sf).select("l_shipdate", "l_quantity", "l_returnflag", part, row)
+
+
+def _texts_sql(kind: str) -> str:
+    """Exact tests of the three texts, and what their bounds from classes are to say."""
+    sql = _cat_sql(kind)
+    values = {"l_returnflag": "l_returnflag", "part": "concat('part ', l_partkey)", "row": "concat(l_orderkey, '/', l_linenumber)"}
+    mine = " UNION ALL ".join(
+        f"SELECT window_start, slice_key, slice_value, '{c}' AS column_name, {v} AS v FROM rows_" for c, v in values.items()
+    )
+    given = " UNION ALL ".join(
+        f"SELECT window_start, slice_key, slice_value, '{c}' AS column_name, {c} AS v FROM rows_" for c in _TEXTS
+    )
+    assert given in sql
+    return f"""SELECT drift_type, window_start, window_cmp_start, slice_key, slice_value, column_name, tv_distance,
+        true AS tv_within, true AS chi_squared_below, CASE WHEN column_name = 'l_returnflag' THEN true END AS exact FROM ({sql.replace(given, mine)})"""
+
+
+@query("e8_total_variation_of_classes", _texts_sql("BASELINE") + " UNION ALL " + _texts_sql("CONSECUTIVE"))
+def total_variation_of_classes(spark, sf):
+    """Bounds from counts of classes around the exact distances, of texts of many values.
+
+    ``exact`` is whether the bounds of the text of few values meet.
+    """
+    found = []
+    for exact in (True, False):
+        spec = YEARLY.with_params(columns=("l_returnflag", "part", "row"), exact=exact)
+        for kind, cur, base, base_keys, pairs, none in _pairs(spark, sf, spec, _texts(spark, sf)):
+            keys = [*P.GROUP, "column_name"]
+            rows = D.category_tests(cur, base, base_keys, keys, pvalue=False).withColumn("drift_type", F.lit(kind))
+            if pairs is None:
+                rows = rows.withColumn("window_cmp", none)
+            else:
+                rows = D.join_null_safe(rows, pairs, [c for c in pairs.columns if c != "window_cmp"])
+            found.append(rows)
+    keys = ["drift_type", "window", "window_cmp", "slice_key", "slice_value", "column_name"]
+    both = [found[i].unionByName(found[i + 1]) for i in (0, 2)]
+    near = both[1].select(
+        *keys, F.col("chi_squared_statistic").alias("chi"), F.col("tv_distance").alias("least"), F.col("tv_distance_max").alias("most")
+    )
+    rows = D.join_null_safe(both[0], near, keys)
+    slack = F.lit(1e-9)
+    within = (F.col("least") <= F.col("tv_distance") + slack) & (F.col("tv_distance") <= F.col("most") + slack)
+    return flat(
+        rows.withColumns(
+            {
+                "tv_within": within,
+                "chi_squared_below": F.col("chi") <= F.col("chi_squared_statistic") * (1 + slack) + slack,
+                "exact": F.when(F.col("column_name") == "l_returnflag", F.col("most") - F.col("least") <= slack),
+            }
+        ),
+        *keys, "tv_distance", "tv_within", "chi_squared_below", "exact",
+    )
+
+
 _YEAR_AVG = f"""{_YEAR_ROWS},
 m AS (SELECT window_start, slice_key, slice_value, count(*) AS n, avg(l_discount) AS mean,
     count(*) FILTER (l_discount = 0) / count(*) AS zeros, count(DISTINCT l_discount) / count(*) AS dist

@@ -64,15 +64,19 @@ class MonitorSpec:
     custom_metrics: tuple[Metric, ...] = ()
     columns: tuple[str, ...] | None = None
     # Distinct counts, medians and Kolmogorov-Smirnov distances are estimates from mergeable
-    # sketches, in the same single pass as the other metrics; exact ones take value counts
-    # of every column.
+    # sketches, in the same single pass as the other metrics, and categories are compared by
+    # counts of at most ``category_classes`` classes of values per group and column; exact
+    # ones take value counts of every column.
     exact: bool = False
+    category_classes: int = 4096
 
     def __post_init__(self):
         for name in ("granularities", "slicing_exprs", "custom_metrics"):
             object.__setattr__(self, name, tuple(getattr(self, name)))
         if self.columns is not None:
             object.__setattr__(self, "columns", tuple(self.columns))
+        if self.category_classes < 1:
+            raise ValueError("category_classes must be at least 1")
         if isinstance(self.analysis, GenericTable):
             if self.granularities:
                 raise ValueError("a generic table has no time column to cut into windows")
