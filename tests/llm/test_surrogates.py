@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import surrogates as S
 
@@ -91,6 +92,44 @@ def test_test_data_loses_its_entities(spark, small):
     assert total > 10
 
 
+def test_numbers_of_two_countries_stay_two(spark):
+    text = "Call +44 20 7946 0958 or (207) 946-0958, +1 207 946 0958. Also +49 30 1234, +49 (30) 1235 and +358 40 1234."
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = S.replaced(df, "k").first().text
+    m = re.fullmatch(
+        r"Call \+44 (\d\d \d{4} \d{4}) or \((\d{3})\) (\d{3})-(\d{4}), \+1 (\d{3}) (\d{3}) (\d{4})\. "
+        r"Also \+49 (\d\d \d{4}), \+49 \((\d\d)\) (\d{4}) and \+358 \d\d \d{4}\.",
+        got,
+    )
+    assert m and m.groups()[1:4] == m.groups()[4:7] and m[1].replace(" ", "")[-10:] != "".join(m.groups()[1:4])
+    assert m[8] != f"{m[9]} {m[10]}" and "7946" not in got
+
+
+def test_names_are_found_again_without_a_title(spark):
+    text = "Mr John Smith came. John Smith left, Smith's car too; JOHN. Blacksmith Johnson. Dr Ann O'Brien and Herr Prof. Dr. Kant! O'Brien’s, Kant."
+    df = spark.createDataFrame([(1, text), (2, "John Smith")], "doc_id long, text string")
+    rows = {r.doc_id: r.text for r in S.replaced(df, "k").collect()}
+    m = re.fullmatch(
+        r"Mr (\w+) (\w+) came\. (\w+) (\w+) left, (\w+)'s car too; (\w+)\. Blacksmith Johnson\. "
+        r"Dr (\w+) (\w+) and Herr Prof\. Dr\. (\w+)! (\w+)’s, (\w+)\.",
+        rows[1],
+    )
+    john, smith, john2, smith2, smith3, upper, ann, brien, kant, brien2, kant2 = m.groups()
+    assert john == john2 and upper == john.upper() and smith == smith2 == smith3 and brien == brien2 and kant == kant2
+    assert len({"John", "Smith", "Ann", "Kant", john, smith, ann, brien, kant}) == 9
+    assert rows[2] == "John Smith"
+
+
+def test_short_numbers_get_longer_when_all_are_taken(spark):
+    rows = [("phone", f"+35840{i:02d}") for i in range(100)] + [("phone", f"+358{i}0{j}{k}") for i in range(10) for j in range(10) for k in range(10)]
+    df = spark.createDataFrame(rows, "kind string, canon string").distinct()
+    got = S.assign(df, "k").collect()
+    assert len({r.surrogate for r in got}) == len(got) == df.count()
+    assert all(r.surrogate.startswith("+358") for r in got) and not {r.surrogate for r in got} & {r.canon for r in got}
+    shown = S.written(F.lit("phone"), F.lit("+358 40 12"), F.lit("+358771234"), F.lit("+3584012"))
+    assert spark.range(1).select(shown).first()[0] == "+358 77 1234"
+
+
 def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.replaced(df).collect() == []
