@@ -1,5 +1,6 @@
 """What a task holds must not grow with the table."""
 
+from tidemark.queries import refresh_queries as Q
 from tidemark.queries import registry
 
 
@@ -26,3 +27,11 @@ def test_dealt_to_every_core(spark, tmp_path):
     sf = _table(spark, tmp_path, 1_000)
     rows = registry.dealt(registry.table(spark, sf, "lineitem"), "l_orderkey")
     assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_stored_files_by_rows(spark, tmp_path, monkeypatch):
+    sf = _table(spark, tmp_path, 40_000)
+    monkeypatch.setattr(registry.tasks_of, "__defaults__", (1_000,))
+    name = Q._stored(registry.table(spark, sf, "lineitem"), sf)
+    assert len(spark.table(name).inputFiles()) == 40
+    assert spark.table(name).count() == 40_000
