@@ -37,6 +37,19 @@ def test_stored_files_by_rows(spark, tmp_path, monkeypatch):
     assert spark.table(name).count() == 40_000
 
 
+def test_log_files_of_many_blocks(spark, tmp_path):
+    """A stream reads few files at a time, so a file must be more than one task."""
+    import pyarrow.parquet as pq
+
+    from tidemark.queries import requests
+
+    log = spark.range(200_000).selectExpr("CAST(id AS STRING) AS log_id", "sha2(CAST(id AS STRING), 256) AS request")
+    requests._write_log(log, 2, f"{tmp_path}/log")
+    files = [p.replace("file://", "") for p in spark.read.parquet(f"{tmp_path}/log").inputFiles()]
+    assert len(files) == 2
+    assert all(pq.ParquetFile(f).num_row_groups > 2 for f in files)
+
+
 def test_pairs_of_bytes_are_those_of_columns(spark):
     """The sums over bytes against the pairs as column expressions, on odd texts."""
     from pyspark.sql import functions as F

@@ -12,7 +12,7 @@ from tidemark.functions.dates import within_days
 from tidemark.operators import joins as J
 from tidemark.operators import payloads as K
 from tidemark.queries.monitoring import R, flat, rounded, stamp
-from tidemark.queries.registry import query, table
+from tidemark.queries.registry import ROWS_A_TASK, query, table, tasks_of
 from tidemark.session import scratch_path
 from tidemark.spec import MonitorSpec, TimeSeries
 from tidemark.streaming import ingest as L
@@ -156,12 +156,26 @@ def process_requests(spark, sf):
     return rows.select(*_OUT, stamp(F.col("timestamp")).alias("timestamp"))
 
 
+#: Bytes of a block of a log file, which one task reads: a file is as many tasks as blocks.
+LOG_BLOCK = 1 << 20
+
+
+def _write_log(rows: DataFrame, files: int, path: str) -> None:
+    """Log rows as so many more files of a folder."""
+    out = rows.repartition(files, "log_id").write.mode("append").option("parquet.block.size", LOG_BLOCK)
+    out.parquet(path)
+
+
+def _log_files(spark, sf) -> int:
+    return tasks_of(table(spark, sf, "events"), 3, 4 * ROWS_A_TASK)
+
+
 def _staged_log(spark, sf) -> tuple[str, str]:
     """The log written to two folders by model version, several files each."""
     paths = tuple(scratch_path(spark, f"requests-{v}") for v in (1, 2))
-    log = request_log(spark, sf)
+    log, files = request_log(spark, sf), _log_files(spark, sf)
     for v, path in zip(("1", "2"), paths):
-        log.where(F.col("model_version") == v).repartition(3, "log_id").write.parquet(path)
+        _write_log(log.where(F.col("model_version") == v), files, path)
     return paths
 
 
@@ -195,9 +209,9 @@ def incremental_append(spark, sf):
     """The stream runs twice, more files arriving in between; nothing is read twice."""
     folder = scratch_path(spark, "requests")
     cfg = _config(spark, sf, [folder])
-    log = request_log(spark, sf)
+    log, files = request_log(spark, sf), _log_files(spark, sf)
     for half in (0, 1):
-        log.where(F.col("log_id").cast("long") % 2 == half).repartition(3, "log_id").write.mode("append").parquet(folder)
+        _write_log(log.where(F.col("log_id").cast("long") % 2 == half), files, folder)
         L.ingest(spark, cfg)
     L.ingest(spark, cfg)  # nothing new: no rows
     rows = spark.read.parquet(cfg.processed_path)
