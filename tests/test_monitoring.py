@@ -11,7 +11,7 @@ from tidemark import GenericTable, InferenceLog, Metric, MonitorSpec, TimeSeries
 from tidemark.operators import drift as D
 from tidemark.operators import profile as P
 from tidemark.operators import windows as W
-from tidemark.operators.counts import class_counts
+from tidemark.operators.counts import class_counts, value_counts
 from tidemark.operators.running import running_by_group, running_totals, value_at_rank
 from tidemark.plans import monitors as M
 from tidemark.plans import refresh as R
@@ -356,3 +356,39 @@ def test_scratch_scope_removes_its_tables(spark):
         path = frame.inputFiles()[0].rsplit("/", 1)[0]
         assert exists(spark, path)
     assert not exists(spark, path)
+
+
+def test_ks_over_many_ranges(spark, monkeypatch):
+    """Values in several ranges, ties and NaN over their bounds, a base that some ranges lack."""
+    rng = random.Random(7)
+    base = [rng.choice([5.0, rng.uniform(0, 9)]) for _ in range(500)]
+    windows = {1: [5.0] * 300 + [7.5], 2: [rng.uniform(-20, 20) for _ in range(300)], 3: [50.0, 60.0, 70.0]}
+    cur = None
+    for w, values in windows.items():
+        part = _counts(spark, values, k="x", w=w)
+        cur = part if cur is None else cur.unionByName(part)
+    want = {w: round(_brute_ks(v, base), 12) for w, v in windows.items()}
+    moved = []
+    monkeypatch.setattr(D, "CHUNK_ROWS", 40)
+    monkeypatch.setattr(D, "materialize", lambda df, name="cut": moved.append(name) or materialize(df, name))
+    got = D.ks_statistics(cur, _counts(spark, base, k="x"), ["k"], ["k", "w"]).collect()
+    assert {r.w: round(r.ks_statistic, 12) for r in got} == want
+    assert "chunks" not in moved  # values are moved once
+
+
+def test_cells_are_counted_before_they_are_copied(spark):
+    """Counts by cell are those by group; a row is no longer copied to each slice first."""
+    rows = [(i % 3, None if i % 5 == 0 else f"t{i % 4}", float(i % 7), f"2024-01-0{1 + i % 3} 00:00:00") for i in range(200)]
+    df = spark.createDataFrame(rows, "a int, t string, x double, at string").withColumn("at", F.col("at").cast("timestamp"))
+    spec = MonitorSpec(TimeSeries("at"), ("1 day", "1 month"), slicing_exprs=("t", "a > 1"), exact=True)
+    cells = P.cell_rows(df, spec)
+    assert cells.count() == 200 and {len(r[0]) for r in cells.select("_gids").collect()} == {6}
+    by = [*P.GROUP, "column_name", "num", "txt"]
+    want = value_counts(P.group_rows(df, spec), P.GROUP, ["a", "t", "x"])
+    got = P.group_value_counts(df, spec)
+    assert want.select(*by, "n").exceptAll(got.select(*by, "n")).count() == 0 and got.count() == want.count()
+    daily = spec.with_params(granularities=("1 day",))
+    days = P.group_list(df, daily).select("granularity", "window").distinct().limit(2)
+    some = P.group_value_counts(df, daily, only_windows=materialize(days))
+    assert some.select("window").distinct().count() == 2
+    assert some.exceptAll(P.group_value_counts(df, daily)).count() == 0
