@@ -392,3 +392,110 @@ def test_cells_are_counted_before_they_are_copied(spark):
     some = P.group_value_counts(df, daily, only_windows=materialize(days))
     assert some.select("window").distinct().count() == 2
     assert some.exceptAll(P.group_value_counts(df, daily)).count() == 0
+
+
+def _odd_log(spark):
+    """Values with NULLs, a column far from zero, an empty one, texts; a slice value per few rows."""
+    return spark.range(4000).selectExpr(
+        "timestamp_seconds(CAST(-5000000 + (id * 7919) % 20000000 AS LONG)) AS ts",
+        "if(id % 11 = 0, NULL, 1700000000000 + id % 37) AS x", "CAST((id * 31) % 101 AS DOUBLE) / 7 - 3 AS v",
+        "CAST(NULL AS INT) AS none", "if(id % 5 = 0, NULL, repeat('é', CAST(id % 4 AS INT))) AS t", "id % 3 = 0 AS flag",
+        "if(id % 13 = 0, NULL, CAST(id % 4 AS STRING)) AS s", "if(id % 97 = 0, -0.0D, CAST(id % 2 AS DOUBLE)) AS zero",
+    )
+
+
+@pytest.mark.parametrize("log_type", ["INPUT", "BASELINE"])
+def test_metrics_merged_from_cells(spark, monkeypatch, log_type):
+    df = _odd_log(spark)
+    spec = MonitorSpec(TimeSeries("ts"), ("1 week", "3 months"), ("s", "v > 0"), exact=False)
+    only = None
+    if log_type == "INPUT":
+        only = materialize(P.group_list(df, spec).select("granularity", "window").distinct().where("month(window.start) < 4"))
+    found = {}
+    for cells in (True, False):
+        if not cells:
+            monkeypatch.setattr(P, "by_cells", lambda *_: False)
+        rows = P.profile(df, spec, log_type, only_windows=only).collect()
+        found[cells] = {tuple(r[k] for k in (*P.GROUP, "column_name")): r.asDict() for r in rows}
+        assert len(rows) == len(found[cells])
+    assert found[True].keys() == found[False].keys() and len(found[True]) > 50
+    for key, want in found[False].items():
+        got = found[True][key]
+        assert got.keys() == want.keys()
+        n = want["count"] - (want["num_nulls"] or 0)
+        for name in want.keys() - {"sketch", "median", "distinct_count", "percent_distinct"}:
+            # At 1.7e12 the mean of a cell is known to 2e-4, of values that differ by ten.
+            near = {"rel": 1e-5 if name == "stddev" else 1e-9, "abs": 1e-9}
+            assert got[name] == (pytest.approx(want[name], **near) if isinstance(want[name], float) else want[name]), (key, name)
+        for name, off in (("distinct_count", 0.1 * (want["distinct_count"] or 0) + 1), ("percent_distinct", 0.1 + 1 / max(1, n))):
+            assert (got[name] is None) == (want[name] is None) and (got[name] is None or abs(got[name] - want[name]) <= off), (key, name)
+        assert (got["median"] is None) == (want["median"] is None) and (got["sketch"] is None) == (want["sketch"] is None)
+        # The sketches keep every value of groups this small.
+        assert n > 800 or got["median"] == want["median"], key
+
+
+def test_sketches_see_a_row_once(spark):
+    """Sketches are made below the generator that copies what is left of a row's cell to its groups."""
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    spec = MonitorSpec(TimeSeries("l_shipdate"), ("1 year",), ("l_returnflag",), columns=("l_tax", "l_linestatus"), exact=False)
+    plan = P.profile(df, spec)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    copied = max(i for i, line in enumerate(lines) if "Generate explode" in line)
+    assert [i > copied for i, line in enumerate(lines) if "kll_sketch_agg_double" in line] == [True]
+
+
+def test_cells_of_many_slices_are_not_summed_up(spark):
+    """Slices of 60 values each, all crossed: 3,600 cells stand for 120 groups."""
+    df = spark.range(3600).selectExpr("timestamp'2024-01-01' AS ts", "id % 60 AS a", "id DIV 60 AS b", "id AS v")
+    spec = MonitorSpec(TimeSeries("ts"), ("1 day",), ("a", "b"), columns=("v",), exact=False)
+    types = [df.schema["v"].dataType]
+    assert not P.by_cells(P._placed(df, spec, "INPUT", None, numbered=True), spec, types)
+    same = spec.with_params(slicing_exprs=("a", "a + 1"))
+    assert P.by_cells(P._placed(df, same, "INPUT", None, numbered=True), same, types)
+    counts = {(r.slice_key, r.slice_value): r["count"] for r in P.profile(df, spec).where("column_name = 'v'").collect()}
+    assert len(counts) == 121 and counts[(None, None)] == 3600 and counts[("a", "7")] == 60
+
+
+def test_marks_are_exact_sums_read_once(spark, tmp_path):
+    from tidemark.functions.columns import row_hash
+    from tidemark.operators.windows import window_of
+
+    _odd_log(spark).write.parquet(f"{tmp_path}/log")
+    df = spark.read.parquet(f"{tmp_path}/log")
+    spec = MonitorSpec(TimeSeries("ts"), ("1 day", "1 month"))
+    want = {}
+    for r in df.select(*[window_of(F.col("ts"), g).alias(g) for g in spec.granularities], row_hash(df).alias("h")).collect():
+        for g in spec.granularities:
+            n, total = want.get((g, r[g]), (0, 0))
+            want[(g, r[g])] = n + 1, total + r.h
+    marks = R.window_marks(df, spec)
+    assert {(r.granularity, r.window): (r.rows, int(r.mark)) for r in marks.collect()} == want
+    assert dict(marks.dtypes)["mark"] == "decimal(38,0)"
+    moved = R.moved_windows(marks, R.window_marks(df.where("v != 0"), spec))
+    assert moved._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    gone = df.where("NOT (v != 0)").select(F.explode(F.array(*[F.struct(F.lit(g).alias("g"), window_of(F.col("ts"), g).alias("w")) for g in spec.granularities])).alias("c"))
+    assert {(r[0], r[1]) for r in moved.collect()} == {(r.c.g, r.c.w) for r in gone.collect()}
+
+
+def test_windows_around_the_epoch(spark):
+    from tidemark.operators.windows import window_of
+
+    times = [dt.datetime(1969, 11, 30, 23, 59, 59), dt.datetime(1970, 1, 1), dt.datetime(1899, 12, 31, 1), dt.datetime(2024, 2, 29, 12)]
+    df = spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz")
+    want = {
+        "3 months": [(1969, 10, 1), (1970, 1, 1), (1899, 10, 1), (2024, 1, 1)], "1 year": [(1969, 1, 1), (1970, 1, 1), (1899, 1, 1), (2024, 1, 1)],
+        "1 week": [(1969, 11, 24), (1969, 12, 29), (1899, 12, 25), (2024, 2, 26)], "1 day": [(1969, 11, 30), (1970, 1, 1), (1899, 12, 31), (2024, 2, 29)],
+    }
+    for g, starts in want.items():
+        got = df.select(window_of(F.col("ts"), g)["start"].cast("string").alias("s")).collect()
+        assert [r.s for r in got] == [f"{y}-{m:02d}-{d:02d} 00:00:00" for y, m, d in starts], g
+
+
+@pytest.mark.parametrize("name", ["sketched_refresh"])
+def test_table_is_dealt_out_once(spark, monkeypatch, name):
+    from tidemark.queries import refresh_queries as Q
+
+    calls, read = [], Q.lineitem
+    monkeypatch.setattr(Q, "lineitem", lambda *a: calls.append(a) or read(*a))
+    assert getattr(Q, name)(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(calls) == 1
