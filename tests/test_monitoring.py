@@ -491,7 +491,7 @@ def test_windows_around_the_epoch(spark):
         assert [r.s for r in got] == [f"{y}-{m:02d}-{d:02d} 00:00:00" for y, m, d in starts], g
 
 
-@pytest.mark.parametrize("name", ["sketched_refresh"])
+@pytest.mark.parametrize("name", ["sketched_refresh", "refresh_with_new_column"])
 def test_table_is_dealt_out_once(spark, monkeypatch, name):
     from tidemark.queries import refresh_queries as Q
 
