@@ -183,3 +183,27 @@ def test_auc_against_pairs(spark):
     pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
     want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
     assert roc_auc(df, "s", "y").first().auc == pytest.approx(want)
+
+
+def test_replicates_of_rows_move_each_row_once(spark, monkeypatch):
+    """Ranges that cut a hot value, NaN, zeros of both signs, NULLs; against the draws laid out."""
+    monkeypatch.setattr(B, "RANGE_ROWS", 40)
+    value = "CASE WHEN id % 3 = 0 THEN 7.0D WHEN id % 50 = 1 THEN double('NaN') WHEN id % 50 = 4 THEN -0.0D WHEN id % 7 = 0 THEN 0.0D WHEN id % 11 = 0 THEN NULL ELSE id * 37 % 101 END"
+    df = spark.range(600).selectExpr("id", f"{value} AS x", "id % 5 AS k", "CASE WHEN id % 4 > 0 THEN concat('c', id % 3) END AS c").repartition(3)
+    counts = B.replicate_counts(df, ["x", "k", "c"], 10, F.col("id")).cache()
+    assert counts.where("column_name = 'x'").count() == 10  # not a row for every value
+    got = {(r.column_name, r.replicate): r.ks_statistic for r in B.replicate_ks(df, ["x", "k"], 10, F.col("id"), counts).collect()}
+    drawn = poisson_draws(df, F.col("id"), 10).collect()
+    for c in ("x", "k"):
+        for r in range(10):
+            rows = [(v.weight, math.inf if math.isnan(v[c]) else v[c]) for v in drawn if v.replicate == r and v[c] is not None]
+            total = sum(w for w, _ in rows)
+            far = max(abs(sum(w for w, v in rows if v <= at) / total - sum(v <= at for _, v in rows) / len(rows)) for _, at in rows)
+            assert got[c, r] == pytest.approx(far, abs=1e-12), (c, r)
+    texts = {(r.replicate, r.txt): (r.rows, r.n) for r in counts.where("column_name = 'c' AND txt IS NOT NULL").collect()}
+    want = {}
+    for v in drawn:
+        if v.c is not None:
+            rows, n = want.get((v.replicate, v.c), (0, 0))
+            want[v.replicate, v.c] = rows + 1, n + v.weight
+    assert texts == want

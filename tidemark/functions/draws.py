@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,3 +95,18 @@ def poisson_draws(df: DataFrame, key: Column, replicates: int) -> DataFrame:
         .where(F.col("replicate") < replicates)
         .drop("_key", "_block", "_hex", "_pos")
     )
+
+
+def draw_bytes(key: Column, replicates: int) -> Column:
+    """The hashes that ``poisson_draws`` draws from, 16 bytes each, one after the other."""
+    blocks = range(math.ceil(replicates / _PER_HASH))
+    return F.concat(*[F.unhex(F.md5(F.concat_ws("-", key.cast("string"), F.lit(str(b))))) for b in blocks])
+
+
+def poisson_weights(drawn: pa.Array, replicates: int) -> np.ndarray:
+    """The counts of ``poisson_draws`` from ``draw_bytes``: a row for each, a column per replicate."""
+    width = math.ceil(replicates / _PER_HASH) * _PER_HASH
+    begin = int.from_bytes(drawn.buffers()[1][4 * drawn.offset : 4 * drawn.offset + 4], "little") if len(drawn) else 0
+    words = np.frombuffer(drawn.buffers()[2], ">u4", len(drawn) * width, begin).reshape(-1, width)[:, :replicates]
+    steps = np.array([math.floor(p * 2**32) for p in POISSON_CDF], "uint32")
+    return np.searchsorted(steps, words.astype("uint32").ravel()).astype("uint8").reshape(words.shape)

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col
-from tidemark.functions.draws import poisson_draws, poisson_of
-from tidemark.operators.counts import long_values
+from tidemark.functions.draws import draw_bytes, poisson_draws, poisson_of, poisson_weights
+from tidemark.operators.counts import value_struct
+from tidemark.operators.drift import _CHUNKS, CHUNK_ROWS, ks_of_ranges
+from tidemark.session import materialize
 
 STATS = ("avg", "stddev", "percent_zeros", "avg_length", "percent_null")
 
@@ -84,14 +90,161 @@ def bootstrap_by_copies(df: DataFrame, column: str, replicates: int, key: Column
     )
 
 
+#: Values whose counts a task adds up before it hands them on.
+_HELD = 20_000
+#: Rows of a range of values that one task resamples.
+RANGE_ROWS = 250_000
+_Batches = Iterator[pa.RecordBatch]
+
+
+def _summed(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The weights of each code added up; codes are 0, 1, ... in any order."""
+    order = np.argsort(codes, kind="stable")
+    starts = np.searchsorted(codes[order], np.arange(codes.max() + 1))
+    return np.add.reduceat(weights[order], starts, axis=0, dtype="int64")
+
+
+def _weighted_counts(replicates: int, columns: int) -> Callable[[_Batches], _Batches]:
+    """Per task: the rows of each column and text (NULL: a number), and how often each replicate has them."""
+
+    def packed(held: dict[tuple, np.ndarray]) -> pa.RecordBatch:
+        sums = np.array(list(held.values()), "int64")
+        ends = pa.array(np.arange(len(held) + 1, dtype="int32") * replicates)
+        weights = pa.ListArray.from_arrays(ends, pa.array(sums[:, 1:].ravel()))
+        which, texts = zip(*held)
+        arrays = [pa.array(which, pa.int32()), pa.array(texts, pa.string()), pa.array(sums[:, 0]), weights]
+        return pa.RecordBatch.from_arrays(arrays, ["_column", "txt", "rows", "weights"])
+
+    def run(batches: _Batches) -> _Batches:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            weights = poisson_weights(batch["_drawn"], replicates)
+            weights = np.hstack([np.ones((len(weights), 1), "uint8"), weights])
+            for i in range(columns):
+                here = batch[f"_p{i}"].to_numpy(zero_copy_only=False)
+                if not here.any():
+                    continue
+                texts = batch[f"_t{i}"].to_numpy(zero_copy_only=False)[here]
+                codes, values = pd.factorize(texts, use_na_sentinel=False)
+                for value, sums in zip(values, _summed(codes, weights[here])):
+                    key = (i, value if isinstance(value, str) else None)
+                    held[key] = held[key] + sums if key in held else sums
+            if len(held) > _HELD:
+                yield packed(held)
+                held = {}
+        if held:
+            yield packed(held)
+
+    return run
+
+
 def replicate_counts(df: DataFrame, columns: Sequence[str], replicates: int, key: Column) -> DataFrame:
-    """Weighted value counts per replicate and column, from one draw per row."""
-    picked = df.select(*[col(c) for c in columns], key.alias("_k"))
-    drawn = poisson_draws(picked, F.col("_k"), replicates)
-    cells = long_values(drawn, ["replicate", "weight"], columns)
-    present = cells.where(F.col("num").isNotNull() | F.col("txt").isNotNull())
-    counted = present.groupBy("replicate", "column_name", "num", "txt").agg(F.sum("weight").alias("n"))
-    return counted.where(F.col("n") > 0)
+    """Weighted value counts per replicate and column, from one draw per row.
+
+    ``replicate, column_name, txt, rows, n``: values of numbers are not told apart.  Each task adds up
+    the counts of a value for all replicates at once.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    picked = [draw_bytes(key, replicates).alias("_drawn")]
+    for i, c in enumerate(columns):
+        value = value_struct(c, types[c])
+        present = value["num"].isNotNull() | value["txt"].isNotNull()
+        picked += [present.alias(f"_p{i}"), F.when(value["num"].isNull(), value["txt"]).alias(f"_t{i}")]
+    schema = "_column int, txt string, rows long, weights array<long>"
+    parts = df.select(*picked).mapInArrow(_weighted_counts(replicates, len(columns)), schema)
+    each = parts.select("_column", "txt", "rows", F.posexplode("weights").alias("replicate", "n"))
+    counted = each.groupBy("replicate", "_column", "txt").agg(F.sum("rows").alias("rows"), F.sum("n").alias("n"))
+    name = F.get(F.array(*[F.lit(c) for c in columns]), F.col("_column"))
+    return counted.select("replicate", name.alias("column_name"), "txt", "rows", "n")
+
+
+_RANGES = f"{_CHUNKS}, first double, last double, after double"
+
+
+def _resampled_ranges(replicates: int, totals: dict[int, tuple[int, list[int]]]) -> Callable[[_Batches], _Batches]:
+    """Inside one range of values: like ``_chunk_distances``, of every replicate and the rows themselves.
+
+    Distances are taken after each value; after the last one, ``after``, only where the next
+    range begins with another one.  ``totals`` are by column, of the rows and of the replicates.
+    """
+
+    def folded(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        num, weights = (np.concatenate(side) for side in zip(*parts))
+        order = np.argsort(num, kind="stable")
+        num, weights = num[order], weights[order]
+        other = (num[1:] != num[:-1]) & ~(np.isnan(num[1:]) & np.isnan(num[:-1]))
+        starts = np.flatnonzero(np.r_[True, other])
+        return num[starts], np.add.reduceat(weights, starts, axis=0, dtype="int64")
+
+    def run(batches: _Batches) -> _Batches:
+        held: dict[int, list] = {}
+        size = 0
+        for batch in batches:
+            weights = poisson_weights(batch["_drawn"], replicates)
+            weights = np.hstack([np.ones((len(weights), 1), "uint8"), weights])
+            which, num = batch["_column"].to_numpy(), batch["num"].to_numpy()
+            for i in np.unique(which):
+                held.setdefault(int(i), []).append((num[which == i], weights[which == i]))
+            size += len(num)
+            # Rows of a hot value become one.
+            if size > 2 * RANGE_ROWS:
+                held, size = {i: [folded(parts)] for i, parts in held.items()}, 0
+        chunk, found = TaskContext.get().partitionId(), []
+        for i, parts in held.items():
+            num, weights = folded(parts)
+            rows, of_replicates = totals[i]
+            upto = np.cumsum(weights[:, 0])
+            found.append((i, None, False, chunk, int(upto[-1]), None, None, None, None, None))
+            for r, total in enumerate(of_replicates):
+                if not total:
+                    continue
+                mine = np.cumsum(weights[:, r + 1])
+                off = mine / total - upto / rows
+                sides = (float(off[:-1].max()), float(off[:-1].min())) if len(off) > 1 else (None, None)
+                ends = (float(num[0]), float(num[-1]), float(off[-1]))
+                found.append((i, i * replicates + r, True, chunk, int(mine[-1]), *sides, *ends))
+        if found:
+            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), *[pa.float64()] * 5]
+            names = [c.split()[0] for c in _RANGES.split(", ")]
+            arrays = [pa.array(c, t, from_pandas=False) for c, t in zip(zip(*found), types)]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return run
+
+
+def replicate_ks(
+    df: DataFrame, columns: Sequence[str], replicates: int, key: Column, counts: DataFrame
+) -> DataFrame:
+    """``replicate, column_name, ks_statistic`` of every replicate against the rows themselves.
+
+    ``counts`` are the written ``replicate_counts`` of the columns, which are numbers.  A row moves
+    once, to the range of its value, with its key: what the replicates draw is drawn there.
+    """
+    named = counts.where(F.col("column_name").isin(*columns)).select("column_name", "replicate", "rows", "n").collect()
+    totals = {i: (0, [0] * replicates) for i in range(len(columns))}
+    for r in named:
+        i = columns.index(r["column_name"])
+        totals[i][1][r["replicate"]] = r["n"]
+        totals[i] = (r["rows"], totals[i][1])
+    cells = F.array(*[F.struct(F.lit(i).alias("_column"), (col(c).cast("double") + 0.0).alias("num")) for i, c in enumerate(columns)])
+    rows = df.select(key.alias("_k"), F.explode(cells).alias("_c")).select("_c.*", "_k").where("num IS NOT NULL")
+    chunks = max(1, math.ceil(sum(n for n, _ in totals.values()) / RANGE_ROWS))
+    drawn = rows.repartitionByRange(chunks, "_column", "num", "_k").select("_column", "num", draw_bytes(F.col("_k"), replicates).alias("_drawn"))
+    local = materialize(drawn.mapInArrow(_resampled_ranges(replicates, totals), _RANGES), "distances")
+    following = F.lead("first").over(Window.partitionBy("own").orderBy("chunk"))
+    ended = following.isNull() | ~following.eqNullSafe(F.col("last"))
+    after = F.when(F.col("mine") & ended, F.col("after"))
+    local = local.select(
+        "base", "own", "mine", "chunk", "n", F.greatest("most", after).alias("most"), F.least("least", after).alias("least")
+    )
+    of = [
+        (i, i * replicates + r, columns[i], r, n, total)
+        for i, (total, each) in totals.items()
+        for r, n in enumerate(each)
+        if n
+    ]
+    schema = "_base long, _own long, column_name string, replicate int, n_cur long, n_base long"
+    return ks_of_ranges(local, df.sparkSession.createDataFrame(of, schema), ["replicate", "column_name"])
 
 
 def resample_counts(counts: DataFrame, replicates: int, seed: int = 0) -> DataFrame:

@@ -109,25 +109,27 @@ def distance_thresholds(
 ) -> list[DataFrame]:
     """How far a resample of the baseline lies from the baseline itself.
 
-    ``by_counts`` resamples value counts; otherwise rows are weighted, which shuffles and
-    stores rows x replicates.
+    ``by_counts`` resamples value counts; otherwise rows are weighted.
     """
-    columns = list(column_metrics)
-    base = materialize(value_counts(df, [], columns), "counts")
-    reps = (
-        B.resample_counts(base, replicates)
-        if by_counts
-        else B.replicate_counts(df, columns, replicates, key)
-    )
-    reps = materialize(reps, "replicates")
+    numbers = [c for c, ms in column_metrics.items() if "ks_test" in ms]
+    texts = [c for c, ms in column_metrics.items() if {"chi_squared_test", "tv_distance"} & set(ms)]
     keys, is_number = ["replicate", "column_name"], F.col("num").isNotNull()
     measured = []
-    if any("ks_test" in m for m in column_metrics.values()):
-        measured.append(ks_statistics(reps.where(is_number), base.where(is_number), ["column_name"], keys))
-    if any({"chi_squared_test", "tv_distance"} & set(m) for m in column_metrics.values()):
-        measured.append(
-            category_tests(reps.where(~is_number), base.where(~is_number), ["column_name"], keys, False)
-        )
+    if by_counts:
+        base = materialize(value_counts(df, [], list(column_metrics)), "counts")
+        reps = materialize(B.resample_counts(base, replicates), "replicates")
+        if numbers:
+            measured.append(ks_statistics(reps.where(is_number), base.where(is_number), ["column_name"], keys))
+        reps, base = reps.where(~is_number), base.where(~is_number)
+    else:
+        counts = materialize(B.replicate_counts(df, list(column_metrics), replicates, key), "replicates")
+        if numbers:
+            measured.append(B.replicate_ks(df, numbers, replicates, key, counts))
+        valued = counts.where(F.col("column_name").isin(*texts))
+        reps = valued.where("n > 0").select(*keys, "txt", "n")
+        base = valued.where("replicate = 0").select("column_name", "txt", F.col("rows").alias("n"))
+    if texts:
+        measured.append(category_tests(reps, base, ["column_name"], keys, False))
     out = []
     for rows in measured:
         for metric, source in DISTANCES.items():

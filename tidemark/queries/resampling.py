@@ -16,7 +16,8 @@ from tidemark.operators import reshape, sampling, setops
 from tidemark.operators import thresholds as TH
 from tidemark.operators.running import positions
 from tidemark.queries.monitoring import R, flat, rounded
-from tidemark.queries.registry import query, table
+from tidemark.queries.registry import dealt, query, table
+from tidemark.session import materialize
 from tidemark.spec import MonitorSpec, TimeSeries
 
 CONFIDENCE = 0.95
@@ -223,8 +224,10 @@ def _top_sql(metric: str, column: str, value: str, source: str) -> str:
         FROM (SELECT x, row_number() OVER (ORDER BY x) AS rk FROM delta)""",
 )
 def drift_thresholds(spark, sf):
+    # Drawn from several times: dealt out once and written.
+    rows = dealt(orders(spark, sf).select("o_orderkey", "o_orderstatus", "o_totalprice"), "o_orderkey")
     out = TH.generate_thresholds(
-        orders(spark, sf),
+        materialize(rows, "rows"),
         {
             "o_orderstatus": ["chi_squared_test", "tv_distance", "ks_test"],
             "o_totalprice": ["ks_test", "avg_delta"],
